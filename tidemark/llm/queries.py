@@ -79,7 +79,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
-                     list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+                     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
         g AS (SELECT doc_id, i, concat_ws(' ', ws[i], ws[i + 1], ws[i + 2]) AS s
               FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
         m AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
@@ -88,7 +88,7 @@ ORACLE_SQL: dict[str, str] = {
                      CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
                      CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
                      len(ls) AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS n_letters,
-                     len(list_filter(ws, x -> x = '|')) AS n_bars, coalesce(list_max(list_transform(ws, x -> strlen(x))), 0) AS longest_word
+                     len(list_filter(ws, lambda x: x = '|')) AS n_bars, coalesce(list_max(list_transform(ws, lambda x: strlen(x))), 0) AS longest_word
               FROM w LEFT JOIN r ON w.doc_id = r.doc_id),
         f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
