@@ -55,7 +55,9 @@ def test_suffix_dedup(data):
     same(suffix_dedup.remove_repeats(docs), brute.op1(rows))
 
 
-def test_suffix_dedup_over_many_buckets_and_parted_words(spark):
+@pytest.mark.parametrize("whole", [0, 2, 8])
+def test_suffix_dedup_over_many_buckets_and_parted_words(spark, monkeypatch, whole):
+    monkeypatch.setattr(suffix_dedup, "WHOLE", whole)
     r = random.Random(3)
     words = ["".join(r.choices("abcde", k=r.randint(1, 9))) for _ in range(60)]
     text = lambda n: " ".join(r.choices(words, k=n))

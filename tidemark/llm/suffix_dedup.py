@@ -6,7 +6,7 @@ about one in twenty; such an anchor stands for the run of windows whose minimize
 reversed suffix. Splitters sampled from the corpus range-partition the suffixes by their leading bytes, and by doc_id where a
 leading word is so common that several splitters share it. A bucket sorts its suffixes, and their reversed left sides, by multikey quicksort
 over 8-byte characters; two windows are equal where both sorts put them in one run at the window's depths. Words that
-splitters cut are compared across the buckets: each bucket passes on its smallest doc_id per such window.
+splitters part are compared across the buckets: each bucket passes on its smallest doc_id per such window.
 
 Suffixes travel in packed blocks, one per bucket and flush of a task.
 
@@ -16,6 +16,7 @@ bytes from each other; texts shorter than the window lose nothing.
 
 from __future__ import annotations
 
+from collections import Counter
 from hashlib import sha256
 
 import numpy as np
@@ -29,8 +30,10 @@ from .common import joined_ranges, materialize, offsets, shuffle_partitions, sli
 LEAD = 12
 LAST = (1 << 63) - 1
 FLUSH = 400_000
-#: Sampled suffixes per bucket.
-OVERSAMPLE = 24
+#: Sampled suffixes and bytes of sampled texts per bucket.
+OVERSAMPLE, SAMPLE_BYTES = 24, 256 << 10
+#: A leading word stays whole, in one bucket, while it has at most so many buckets' share of the suffixes.
+WHOLE = 8
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -109,12 +112,12 @@ def _lead_key(right: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return full.view(f"S{LEAD + 9}").ravel()
 
 
-def sample_splitters(rows: DataFrame, buckets: int, window: int) -> list[bytes]:
+def sample_splitters(rows: DataFrame, total: int, buckets: int, window: int) -> list[bytes]:
     """buckets - 1 splitters at most, from a sample of the suffixes whose size follows from the number of buckets. The sample only
-    balances the buckets; no row depends on it. A leading word that takes one splitter stays whole; of one that takes more, the first splitter keeps
-    the word's start and the others part it by doc_id."""
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    share = min(1.0, 20.0 * OVERSAMPLE * buckets / max(total, 1))
+    balances the buckets; no row depends on it. A leading word that takes up to WHOLE splitters stays whole; one that takes more is parted by doc_id."""
+    drawn = min(1.0, SAMPLE_BYTES * buckets / max(total, 1))
+    rows = rows.sample(drawn, 11) if drawn < 1 else rows
+    share = min(1.0, 20.0 * OVERSAMPLE * buckets / max(total * drawn, 1))
 
     def pick(batches):
         for data, cuts, doc, _ in _documents(batches):
@@ -128,11 +131,10 @@ def sample_splitters(rows: DataFrame, buckets: int, window: int) -> list[bytes]:
     if not keys:
         return []
     cut = [keys[len(keys) * i // buckets] for i in range(1, buckets)]
-    out, before = [], None
+    taken, out = Counter(k[:LEAD] for k in cut), set()
     for k in cut:
-        out.append(k if k[:LEAD] == before else k[:LEAD].ljust(LEAD + 9, b"\0"))
-        before = k[:LEAD]
-    return sorted(set(out))
+        out |= {k[:LEAD].ljust(LEAD + 9, b"\0")} | ({k} if taken[k[:LEAD]] > WHOLE else set())
+    return sorted(out)
 
 
 def _packed(right, left, doc, row, at, first, last) -> bytes:
@@ -378,11 +380,12 @@ def remove_repeats(docs: DataFrame, window: int = 50, buckets: int | None = None
     form UTF-8 become U+FFFD there)."""
     spark = docs.sparkSession
     rows = texts(docs)
-    shared_id = not rows.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    per_id = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    shared_id, total = per_id.agg(F.coalesce(F.max("n") > 1, F.lit(False)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     rows = rows.withColumn("row", F.xxhash64("text") if shared_id else F.lit(0).cast("long"))  # tells rows of one doc_id apart
     n = shuffle_partitions(spark)
     buckets, parts = buckets or 4 * n, 8 * n + 1
-    splitters = sample_splitters(rows, buckets, window)
+    splitters = sample_splitters(rows, total, buckets, window)
     blocks = rows.mapInArrow(_blocks(splitters, window), "bucket int, n long, block binary")
     sorted_blocks = blocks.repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket")
     compared = materialize(sorted_blocks.mapInArrow(_compare(splitters, window, parts), COMPARED), "repeats")
