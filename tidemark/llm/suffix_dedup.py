@@ -299,16 +299,43 @@ def _compare(splitters: list[bytes], window: int, parts: int):
                 yield from _by_group(*(np.concatenate(x) for x in zip(*removed)), parts)
             if open_key:
                 d, w, p = (np.concatenate(x) for x in zip(*open_rows))
-                for i in range(0, len(d), 100_000):
-                    k = open_key[i : i + 100_000]
-                    none = pa.nulls(len(k), pa.int32())
-                    yield pa.RecordBatch.from_arrays([none, pa.nulls(len(k), pa.int64()), pa.array(k, pa.binary()), *(pa.array(x[i : i + len(k)]) for x in (d, w, p))], names=NAMES)
+                digest = np.frombuffer(b"".join(open_key), "<i8").reshape(-1, 2)
+                yield from _blocks_of(_part(digest[:, 0].copy(), parts), np.stack([digest[:, 0], digest[:, 1], d, w, p]), True)
 
     return run
 
 
-NAMES = ["part", "n", "block", "doc", "row", "at"]
-COMPARED = "part int, n long, block binary, doc long, row long, at long"
+def _blocks_of(part: np.ndarray, columns: np.ndarray, undecided: bool):
+    """One packed block of the columns per part."""
+    order = np.argsort(part, kind="stable")
+    ids, starts = np.unique(part[order], return_index=True)
+    blocks = [zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(columns[:, order[a:z]]).tobytes()) for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(order)])]
+    sizes = np.diff(np.append(starts, len(order)))
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), undecided)), pa.array(ids, pa.int32()), pa.array(sizes, pa.int64()), pa.array(blocks, pa.binary())], names=["undecided", *NAMES])
+
+
+def _columns(block: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(block), np.int64).reshape(-1, n)
+
+
+def _compare_across(parts: int):
+    """Windows that the buckets left undecided, all with one remainder of their digests: those with a smaller doc_id elsewhere go."""
+
+    def run(table):
+        a, b, doc, row, at = np.concatenate([_columns(x, n) for n, x in zip(table.column("n").to_pylist(), table.column("block").to_pylist())], axis=1)
+        order = np.lexsort((doc, b, a))
+        a, b, doc, row, at = (x[order] for x in (a, b, doc, row, at))
+        head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        late = doc > np.repeat(doc[head], np.diff(np.append(head, len(doc))))
+        batches = [x.select(NAMES) for x in _by_group(doc[late], row[late], at[late], parts)]
+        return pa.Table.from_batches(batches, BLOCK_SCHEMA)
+
+    return run
+
+
+NAMES = ["part", "n", "block"]
+BLOCK = "part int, n long, block binary"
+BLOCK_SCHEMA = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("block", pa.binary())])
 
 
 def _part(doc: np.ndarray, parts: int) -> np.ndarray:
@@ -329,15 +356,7 @@ def _by_group(doc: np.ndarray, row: np.ndarray, at: np.ndarray, parts: int):
     head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (at[1:] > at[:-1] + 1)]))
     last = at[np.append(head[1:], len(at)) - 1]
     doc, row, at = doc[head], row[head], at[head]
-    group = _part(doc, parts)
-    order = np.argsort(group, kind="stable")
-    ids, starts = np.unique(group[order], return_index=True)
-    out = []
-    for g, a, z in zip(ids.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)]):
-        i = order[a:z]
-        out.append((g, len(i), zstandard.ZstdCompressor(level=1).compress(np.stack([doc[i], row[i], at[i], last[i]]).tobytes())))
-    p, n, b = zip(*out)
-    yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(n, pa.int64()), pa.array(b, pa.binary()), *(pa.nulls(len(p), pa.int64()) for _ in range(3))], names=NAMES)
+    yield from _blocks_of(_part(doc, parts), np.stack([doc, row, at, last]), False)
 
 
 def _result(text: bytes, first: np.ndarray, last: np.ndarray, window: int) -> tuple[int, int, int, str, bytes]:
@@ -357,7 +376,7 @@ def _apply(window: int, with_text: bool):
     def run(left, right):
         removed: dict[tuple[int, int], list] = {}
         for n, block in zip(right.column("n").to_pylist(), right.column("block").to_pylist()):
-            data = np.frombuffer(zstandard.ZstdDecompressor().decompress(block), np.int64).reshape(4, n)
+            data = _columns(block, n)
             cuts = np.flatnonzero((np.diff(data[0]) != 0) | (np.diff(data[1]) != 0)) + 1
             for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), n]):
                 removed.setdefault((int(data[0, a]), int(data[1, a])), []).append(data[2:, a:z])
@@ -388,17 +407,9 @@ def remove_repeats(docs: DataFrame, window: int = 50, buckets: int | None = None
     splitters = sample_splitters(rows, total, buckets, window)
     blocks = rows.mapInArrow(_blocks(splitters, window), "bucket int, n long, block binary")
     sorted_blocks = blocks.repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket")
-    compared = materialize(sorted_blocks.mapInArrow(_compare(splitters, window, parts), COMPARED), "repeats")
-    across = compared.filter("part is null").select("block", "doc", "row", "at")
-    lowest = across.groupBy("block").agg(F.min("doc").alias("low"))
-    late = across.join(lowest, "block").filter("doc > low").select("doc", "row", "at")
-
-    def group(batches):
-        for batch in batches:
-            for out in _by_group(*(batch.column(c).to_numpy() for c in ("doc", "row", "at")), parts):
-                yield out.select(["part", "n", "block"])
-
-    runs = compared.filter("part is not null").select("part", "n", "block").unionAll(late.mapInArrow(group, "part int, n long, block binary"))
+    compared = materialize(sorted_blocks.mapInArrow(_compare(splitters, window, parts), f"undecided boolean, {BLOCK}"), "repeats")
+    across = compared.filter("undecided").select(NAMES).groupBy("part").applyInArrow(_compare_across(parts), BLOCK)
+    runs = compared.filter("not undecided").select(NAMES).unionAll(across)
     placed = rows.withColumn("part", _part_column(F.coalesce("doc_id", F.lit(LAST)), parts))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else "")
     return placed.groupBy("part").cogroup(runs.groupBy("part")).applyInArrow(_apply(window, with_text), schema)
