@@ -21,16 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_partitions, slices, texts
-from .tokens import WordEncoder
+from .tokens import RUN_BYTES, encoder
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def _pieces(path: str, end: int, capacity: int):
     def run(batches):
-        words = WordEncoder(path, str.split)
-        for batch in slices(batches):
-            ids, counts = words.encode(batch.column("text").to_pylist(), end)
+        words = encoder(path, False)
+        for batch in slices(batches, "text", RUN_BYTES):
+            ids, counts = words.encode(batch.column("text"), end)
             data = memoryview(ids.astype("<u4")).cast("B")
             per = -(-counts // capacity)
             doc = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), per) if not batch.column("doc_id").null_count else None

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import offsets, shared_dir, shuffle_partitions, slices, texts
-from .tokens import WordEncoder, spaced_words
+from .tokens import RUN_BYTES, encoder
 
 FILE = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 ARROW = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -36,9 +36,9 @@ def _encoder(path: str, end: int):
     def encode(batches):
         from pyspark import TaskContext
 
-        words, part, start = WordEncoder(path, spaced_words), TaskContext.get().partitionId(), 0
-        for batch in slices(batches):
-            ids, counts = words.encode(batch.column("text").to_pylist(), end)
+        words, part, start = encoder(path, True), TaskContext.get().partitionId(), 0
+        for batch in slices(batches, "text", RUN_BYTES):
+            ids, counts = words.encode(batch.column("text"), end)
             ends = np.cumsum(counts)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(len(counts), part, np.int32)), pa.array(start + ends - counts), pa.array(counts), lists], schema=ARROW)

@@ -1,69 +1,111 @@
-"""Encoding whole texts with the tokenizers library, each distinct word once per task.
+"""Encoding whole texts with the tokenizers library, each distinct word once.
 
-Both kinds of tokenizer here cut a text at white space before anything else, so a text's ids are its words' ids in a row. A
-task encodes the words that it hasn't met yet in one call of the library and puts the ids together with numpy.
+The tokenizers here cut a text at white space before anything else, so a text's ids are its words' ids in a row. Arrow splits the
+texts of a task and finds their distinct words; words that this worker hasn't met go to the library, many in one string with a
+special token between them; numpy puts the ids together. A text that has no safe cut at some space is encoded as a whole.
 """
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import joined_ranges
 
-#: Byte-level BPE: a word takes the one space before it along; a cut is safe only there.
-BEFORE_SPACED_WORD = re.compile(r"(?= \S)")
-CACHED_WORDS = 400_000
-
-
-@lru_cache(2)
-def load(path: str):
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    t.no_padding()
-    t.no_truncation()
-    return t
-
-
-def spaced_words(text: str) -> list[str]:
-    return BEFORE_SPACED_WORD.split(text)
+#: Words that a worker keeps with their ids, some 60 MB; beyond that it starts anew.
+KEPT_WORDS = 1_500_000
+IN_ONE_STRING = 100
+#: Bytes of text that are split and looked up at a time.
+RUN_BYTES = 12 << 20
+SEPARATOR = "<|endoftext|>"
 
 
 class WordEncoder:
-    """cut: from a text to pieces that the tokenizer encodes independently of each other."""
+    """spaced: words take the one space before them along (byte-level BPE); else white space is dropped."""
 
-    def __init__(self, path: str, cut):
-        self.tokenizer, self.cut = load(path), cut
+    def __init__(self, path: str, spaced: bool):
+        from tokenizers import Tokenizer
+
+        self.plain, self.parting, self.spaced = Tokenizer.from_file(path), Tokenizer.from_file(path), spaced
+        self.plain.encode_special_tokens, self.parting.encode_special_tokens = True, False
+        self.separator = self.parting.token_to_id(SEPARATOR)
+        for t in (self.plain, self.parting):
+            t.no_padding()
+            t.no_truncation()
         self.forget()
 
     def forget(self) -> None:
-        self.code: dict[str, int] = {}
-        self.ids, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
-
-    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+        self.words = pa.array([], pa.string())
+        self.ids, self.sizes, self.unsafe = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def _library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in a row, and how many each has."""
+        found = [np.array(e.ids, np.int32) for e in self.plain.encode_batch_fast(words, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.int32), *found]), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _parted(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As _library, for words without the separator's characters."""
+        strings = [SEPARATOR.join(words[i : i + IN_ONE_STRING]) + SEPARATOR for i in range(0, len(words), IN_ONE_STRING)]
+        found = np.concatenate([np.zeros(0, np.int32), *(np.array(e.ids, np.int32) for e in self.parting.encode_batch_fast(strings, add_special_tokens=False))])
+        ends = np.flatnonzero(found == self.separator)
+        return found[found != self.separator], np.diff(ends, prepend=-1) - 1
+
+    def _learn(self, new: pa.Array) -> np.ndarray:
+        """Adds words; returns in which order."""
+        words = new.to_pylist()
+        has = np.array(["<|" in w for w in words], bool)
+        order = np.argsort(has, kind="stable")
+        plain, odd = ([words[i] for i in np.flatnonzero(has == x)] for x in (False, True))
+        lead = " " if self.spaced else ""
+        ids, sizes = zip(self._parted([lead + w for w in plain]), self._library([lead + w for w in odd]))
+        self.words = pa.concat_arrays([self.words, pa.array(plain, pa.string()), pa.array(odd, pa.string())])
+        self.ids, self.sizes = np.concatenate([self.ids, *ids]), np.concatenate([self.sizes, *sizes])
+        self.unsafe = np.concatenate([self.unsafe, np.array([not w or w[0].isspace() for w in plain + odd], bool)])
+        return order
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text's followed by end, and the number of ids of each text."""
-        if len(self.code) > CACHED_WORDS:
+        if len(self.words) > KEPT_WORDS:
             self.forget()
-        words = [self.cut(t) for t in texts]
-        code = self.code
-        if not code:
-            code[""] = 0
-            self.ids, self.sizes = np.array([], np.int32), np.array([0])
-        flat = [w for ws in words for w in ws]
-        if new := [w for w in dict.fromkeys(flat) if w not in code]:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            code.update(zip(new, range(len(code), len(code) + len(new))))
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), np.int32, int(sizes.sum()))])
-            self.sizes = np.concatenate([self.sizes, sizes])
-        at = np.fromiter(map(code.__getitem__, flat), np.int64, len(flat))
-        starts = np.cumsum(self.sizes) - self.sizes
-        per_word = self.sizes[at]
-        body = self.ids[joined_ranges(starts[at], per_word)]
-        ends = np.cumsum(np.concatenate([[0], per_word]))[np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))]
-        counts = np.diff(ends, prepend=0) + 1
-        return np.insert(body, ends, end).astype(np.int32), counts
+        split = pc.split_pattern(texts, " ") if self.spaced else pc.ascii_split_whitespace(texts)
+        flat = split.flatten().dictionary_encode()
+        per_text = pc.list_value_length(split).to_numpy().astype(np.int64)
+        place = pc.index_in(flat.dictionary, value_set=self.words)
+        if place.null_count:
+            new, before = place.is_null().to_numpy(zero_copy_only=False), len(self.words)
+            order = self._learn(flat.dictionary.filter(place.is_null()))
+            place = place.fill_null(0).to_numpy().astype(np.int64)
+            place[np.flatnonzero(new)[order]] = before + np.arange(len(order))
+        else:
+            place = place.to_numpy().astype(np.int64)
+        code = place[flat.indices.to_numpy()]
+        ids, sizes = self.ids, self.sizes
+        row = np.repeat(np.arange(len(per_text)), per_text)
+        if self.spaced:
+            first = np.cumsum(per_text) - per_text
+            unsafe = self.unsafe[code]
+            unsafe[first] = False
+            whole = np.zeros(len(per_text), bool)
+            whole[row[unsafe]] = True
+            firsts = self._library([x if not w else "" for x, w in zip(flat.dictionary.take(flat.indices.take(pa.array(first))).to_pylist(), whole)])
+            wholes = self._library([t for t, w in zip(texts.to_pylist(), whole) if w] if whole.any() else [])
+            code[first] = len(sizes) + np.arange(len(first))
+            if whole.any():
+                keep = ~whole[row]
+                row, code = np.append(row[keep], np.flatnonzero(whole)), np.append(code[keep], len(sizes) + len(first) + np.arange(int(whole.sum())))
+                order = np.argsort(row, kind="stable")
+                row, code = row[order], code[order]
+            ids, sizes = np.concatenate([ids, firsts[0], wholes[0]]), np.concatenate([sizes, firsts[1], wholes[1]])
+        per_word = sizes[code]
+        body = ids[joined_ranges((np.cumsum(sizes) - sizes)[code], per_word)]
+        counts = np.bincount(row, per_word, len(per_text)).astype(np.int64)
+        return np.insert(body, np.cumsum(counts), end).astype(np.int32), counts + 1
+
+
+@lru_cache(2)
+def encoder(path: str, spaced: bool) -> WordEncoder:
+    """One for a worker process, so that tasks share what it has met."""
+    return WordEncoder(path, spaced)
