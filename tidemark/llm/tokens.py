@@ -15,11 +15,11 @@ import pyarrow.compute as pc
 
 from .common import joined_ranges
 
-#: Words that a worker keeps with their ids, some 60 MB; beyond that it starts anew.
-KEPT_WORDS = 1_500_000
+#: Words that a worker holds with their ids, some 30 MB, and how many of the first met, the common ones, it keeps beyond that.
+HELD_WORDS, KEPT_WORDS = 700_000, 300_000
 IN_ONE_STRING = 100
 #: Bytes of text that are split and looked up at a time.
-RUN_BYTES = 12 << 20
+RUN_BYTES = 6 << 20
 SEPARATOR = "<|endoftext|>"
 
 
@@ -35,9 +35,6 @@ class WordEncoder:
         for t in (self.plain, self.parting):
             t.no_padding()
             t.no_truncation()
-        self.forget()
-
-    def forget(self) -> None:
         self.words = pa.array([], pa.string())
         self.ids, self.sizes, self.unsafe = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool)
 
@@ -49,7 +46,8 @@ class WordEncoder:
     def _parted(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """As _library, for words without the separator's characters."""
         strings = [SEPARATOR.join(words[i : i + IN_ONE_STRING]) + SEPARATOR for i in range(0, len(words), IN_ONE_STRING)]
-        found = np.concatenate([np.zeros(0, np.int32), *(np.array(e.ids, np.int32) for e in self.parting.encode_batch_fast(strings, add_special_tokens=False))])
+        runs = (self.parting.encode_batch_fast(strings[i : i + 256], add_special_tokens=False) for i in range(0, len(strings), 256))
+        found = np.concatenate([np.zeros(0, np.int32), *(np.array(e.ids, np.int32) for run in runs for e in run)])
         ends = np.flatnonzero(found == self.separator)
         return found[found != self.separator], np.diff(ends, prepend=-1) - 1
 
@@ -68,8 +66,9 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text's followed by end, and the number of ids of each text."""
-        if len(self.words) > KEPT_WORDS:
-            self.forget()
+        if len(self.words) > HELD_WORDS:
+            self.words, self.sizes, self.unsafe = pa.concat_arrays([self.words.slice(0, KEPT_WORDS)]), self.sizes[:KEPT_WORDS].copy(), self.unsafe[:KEPT_WORDS].copy()
+            self.ids = self.ids[: self.sizes.sum()].copy()
         split = pc.split_pattern(texts, " ") if self.spaced else pc.ascii_split_whitespace(texts)
         flat = split.flatten().dictionary_encode()
         per_text = pc.list_value_length(split).to_numpy().astype(np.int64)
