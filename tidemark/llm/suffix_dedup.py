@@ -30,6 +30,8 @@ from .common import joined_ranges, materialize, offsets, shuffle_partitions, sli
 LEAD = 12
 LAST = (1 << 63) - 1
 FLUSH = 400_000
+#: Windows that a task holds before it passes them on, some 100 MB.
+HELD_WINDOWS = 3_000_000
 #: Sampled suffixes and bytes of sampled texts per bucket.
 OVERSAMPLE, SAMPLE_BYTES = 24, 256 << 10
 #: A leading word stays whole, in one bucket, while it has at most so many buckets' share of the suffixes.
@@ -270,6 +272,8 @@ def _compare(splitters: list[bytes], window: int, parts: int):
             yield bucket, held
 
     def run(batches):
+        # A task's buckets share their blocks, so that there is one block per task and group of documents, not per bucket.
+        gone, open_windows, size = [], [], 0
         for bucket, held in bucket_rows(batches):
             right, left, doc, row, at, before, count = (np.concatenate(x) for x in zip(*held))
             lead = np.ascontiguousarray(right[:, :LEAD])
@@ -295,16 +299,28 @@ def _compare(splitters: list[bytes], window: int, parts: int):
                     strings = np.concatenate([left[firsts, :o][:, ::-1], right[firsts, : window - o]], axis=1)
                     open_key += [sha256(s.tobytes()).digest()[:DIGEST] for s in strings]
                     open_rows.append((doc[firsts], row[firsts], at[firsts] - o))
-            if removed:
-                yield from _by_group(*(np.concatenate(x) for x in zip(*removed)), parts)
+            gone += removed
             if open_key:
                 d, w, p = (np.concatenate(x) for x in zip(*open_rows))
                 digest = np.frombuffer(b"".join(open_key), "<i8").reshape(-1, 2)
-                yield from _blocks_of(_part(digest[:, 0].copy(), parts), np.stack([digest[:, 0], digest[:, 1], d, w, p]), True)
+                open_windows.append(np.stack([digest[:, 0], digest[:, 1], d, w, p]))
+            size += sum(len(x[0]) for x in removed) + len(open_key)
+            if size > HELD_WINDOWS:
+                yield from _flushed(gone, open_windows, parts)
+                gone, open_windows, size = [], [], 0
+        yield from _flushed(gone, open_windows, parts)
 
     return run
 
 
+def _flushed(gone: list, open_windows: list, parts: int):
+    if gone:
+        yield from _by_group(*(np.concatenate(x) for x in zip(*gone)), parts)
+    if open_windows:
+        found = np.concatenate(open_windows, axis=1)
+        yield from _blocks_of(_part(found[0].copy(), parts), found, True)
+
+
 def _blocks_of(part: np.ndarray, columns: np.ndarray, undecided: bool):
     """One packed block of the columns per part."""
     order = np.argsort(part, kind="stable")
@@ -403,7 +419,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, buckets: int | None = None
     shared_id, total = per_id.agg(F.coalesce(F.max("n") > 1, F.lit(False)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     rows = rows.withColumn("row", F.xxhash64("text") if shared_id else F.lit(0).cast("long"))  # tells rows of one doc_id apart
     n = shuffle_partitions(spark)
-    buckets, parts = buckets or 4 * n, 8 * n + 1
+    buckets, parts = buckets or 4 * n, 4 * n + 1
     splitters = sample_splitters(rows, total, buckets, window)
     blocks = rows.mapInArrow(_blocks(splitters, window), "bucket int, n long, block binary")
     sorted_blocks = blocks.repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket")
