@@ -293,3 +293,21 @@ def test_sentencepiece_on_random_strings():
         ids, counts = encoder.encode(texts)
         assert np.split(ids, np.cumsum(counts)[:-1])[0].tolist() == library.encode(texts[0])
         assert ids.tolist() == [i for t in texts for i in library.encode(t)]
+
+
+def test_unigram_model_takes_the_best_path():
+    model = sentencepieces.load(PIECE)
+    kind, model.kind = model.kind, sentencepieces.UNIGRAM
+    try:
+        for word in ("▁theing", "▁sttion", "▁abc"):
+            def best(w):
+                if not w:
+                    return 0.0
+                return max(model.scores.get(w[:n], model.unknown_score if n == 1 else -1e30) + best(w[n:]) for n in range(1, len(w) + 1))
+
+            got = model.encode_sorted([word])[0]
+            texts = ["▁" + model.text[i].decode()[1:] if model.text[i].startswith(b" ") else model.text[i].decode() for i in got]
+            assert "".join(texts) == word
+            assert sum(model.scores.get(t, model.unknown_score) for t in texts) == pytest.approx(best(word))
+    finally:
+        model.kind = kind

@@ -17,6 +17,7 @@ import re
 import zlib
 from functools import lru_cache
 from hashlib import sha256
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,9 @@ from .common import joined_ranges, slices, texts
 
 MARK = "▁"
 MARKED_WORD = re.compile(f"{MARK}+[^{MARK}]*")
-CACHED_WORDS = 300_000
+#: Words that a worker holds with their ids, and how many of the first met it keeps beyond that.
+HELD_WORDS, KEPT_WORDS = 600_000, 200_000
+RUN_BYTES = 8 << 20
 UNIGRAM, BPE = 1, 2
 
 
@@ -45,7 +48,13 @@ class Model:
         self.scores = {p.piece: p.score for _, p in normal}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(found.pieces) if p.type == kinds.BYTE}
         self.unknown = next(i for i, p in enumerate(found.pieces) if p.type == kinds.UNKNOWN)
-        self.longest = max(map(len, self.ids), default=1)
+        ends: dict[str, set[int]] = {}
+        for piece in self.ids:
+            ends.setdefault(piece[-2:], set()).add(len(piece))
+        #: By their last two characters, the lengths of pieces, longest first, without the single characters.
+        self.ends = {k: tuple(sorted((n for n in v if n > 1), reverse=True)) for k, v in ends.items() if len(k) == 2}
+        self.sound: dict[str, bool] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
         self.unknown_score = min(self.scores.values(), default=0.0) - 10
         self.text = [self._text(p, kinds) for p in found.pieces]
         self.follows: dict[tuple[str, str], bool] = {}
@@ -71,49 +80,64 @@ class Model:
         if got is None:
             if len(self.follows) > 2_000_000:
                 self.follows.clear()
-            got = self.follows[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+            got = self.follows[left, right] = self.is_sound(right) and self.merged(left + right) == ([left, right] if left else [right])
         return got
 
-    def step(self, word: str, end: int, states: list[tuple[float, str]]) -> tuple[float, str]:
-        """The forward state at `end`, from the states before it."""
-        best = None
-        for start in range(max(0, end - self.longest), end):
-            piece = word[start:end]
-            if piece in self.scores or start == end - 1:
-                if self.kind == BPE:
-                    if self.may_follow("", piece) and self.may_follow(states[start][1], piece):
-                        return 0.0, piece
-                else:
-                    score = states[start][0] + self.scores.get(piece, self.unknown_score)
-                    if best is None or score > best[0]:
-                        best = score, piece
-        return best
-
-    def encode_sorted(self, words: list[str]) -> list[list[int]]:
-        """Ids of each of the words, which are sorted."""
-        states, before, out = [(0.0, "")], "", []
+    def is_sound(self, piece: str) -> bool:
+        """Whether merging the piece's characters gives the piece."""
+        got = self.sound.get(piece)
+        if got is None:
+            got = self.sound[piece] = self.merged(piece) == [piece]
+        return got
+
+    def encode_sorted(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Ids of each of the words, which are sorted: depth first through their trie. The forward state of a prefix is its last
+        piece, its score and the ids up to there; the states of the prefix that a word shares with the one before stay."""
+        step = self._bpe_state if self.kind == BPE else self._unigram_state
+        pieces, scores, paths, before, out = [""], [0.0], [()], "", []
         for word in words:
-            shared = 0
-            for x, y in zip(before, word):
-                if x != y:
-                    break
+            limit, shared = min(len(before), len(word)), 0
+            while shared < limit and before[shared] == word[shared]:
                 shared += 1
-            del states[shared + 1 :]
+            del pieces[shared + 1 :], scores[shared + 1 :], paths[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                states.append(self.step(word, end, states))
-            ids, at = [], len(word)
-            while at:
-                piece = states[at][1]
-                ids += self.of_piece(piece)[::-1]
-                at -= len(piece)
-            out.append(ids[::-1])
+                step(word, end, pieces, scores, paths)
+            out.append(paths[len(word)])
             before = word
         return out
 
-    def of_piece(self, piece: str) -> list[int]:
-        if (i := self.ids.get(piece)) is not None:
-            return [i]
-        return [self.bytes[b] for b in piece.encode()] if self.bytes else [self.unknown]
+    def _bpe_state(self, word: str, end: int, pieces: list, scores: list, paths: list) -> None:
+        """Of the pieces that end here the one that may follow the last piece before it; a single character if no longer one may."""
+        follows = self.follows
+        for size in self.ends.get(word[end - 2 : end], ()):
+            if (start := end - size) >= 0 and (piece := word[start:end]) in self.scores:
+                got = follows.get((pieces[start], piece))
+                if got or (got is None and self.may_follow(pieces[start], piece)):
+                    break
+        else:
+            start, piece = end - 1, word[end - 1]
+        pieces.append(piece)
+        scores.append(0.0)
+        paths.append(paths[start] + self.of_piece(piece))
+
+    def _unigram_state(self, word: str, end: int, pieces: list, scores: list, paths: list) -> None:
+        """Viterbi: the piece that ends here with the best total score."""
+        best = (-float("inf"), 0, "")
+        for size in (*self.ends.get(word[end - 2 : end], ()), 1):
+            if (start := end - size) >= 0 and ((piece := word[start:end]) in self.scores or size == 1):
+                best = max(best, (scores[start] + self.scores.get(piece, self.unknown_score), start, piece))
+        score, start, piece = best
+        pieces.append(piece)
+        scores.append(score)
+        paths.append(paths[start] + self.of_piece(piece))
+
+    def of_piece(self, piece: str) -> tuple[int, ...]:
+        got = self.known.get(piece)
+        if got is None:
+            i = self.ids.get(piece)
+            got = (i,) if i is not None else tuple(self.bytes[b] for b in piece.encode()) if self.bytes else (self.unknown,)
+            self.known[piece] = got
+        return got
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.text.__getitem__, ids)).removeprefix(b" ")
@@ -127,16 +151,14 @@ def load(path: str) -> Model:
 class Encoder:
     def __init__(self, model: Model):
         self.model = model
-        self.forget()
-
-    def forget(self) -> None:
         self.code: dict[str, int] = {}
         self.ids, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def encode(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row and the number of each text's."""
-        if len(self.code) > CACHED_WORDS:
-            self.forget()
+        if len(self.code) > HELD_WORDS:
+            self.code, self.sizes = dict(islice(self.code.items(), KEPT_WORDS)), self.sizes[:KEPT_WORDS].copy()
+            self.ids = self.ids[: self.sizes.sum()].copy()
         words = [MARKED_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in found]
         flat = [w for ws in words for w in ws]
         if new := sorted({w for w in flat if w not in self.code}):
@@ -151,12 +173,18 @@ class Encoder:
         return ids, np.diff(ends, prepend=0)
 
 
+@lru_cache(2)
+def encoder_of(path: str) -> Encoder:
+    """One for a worker process, so that tasks share the words that it has met."""
+    return Encoder(load(path))
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids of every whole text."""
 
     def run(batches):
-        encoder = Encoder(load(path))
-        for part in slices(batches):
+        encoder = encoder_of(path)
+        for part in slices(batches, "text", RUN_BYTES):
             ids, counts = encoder.encode(part.column("text").to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "ids"])
@@ -183,8 +211,8 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         model = load(path)
-        encoder = Encoder(model)
-        for part in slices(batches):
+        encoder = encoder_of(path)
+        for part in slices(batches, "text", RUN_BYTES):
             found = part.column("text").to_pylist()
             ids, counts = encoder.encode(found)
             data, flat = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B"), ids.tolist()
