@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import exact_dedup, lm, packing, pii, quality_classifier, quality_rules, sentencepieces, simhash, suffix_dedup, token_output
@@ -311,3 +312,26 @@ def test_unigram_model_takes_the_best_path():
             assert sum(model.scores.get(t, model.unknown_score) for t in texts) == pytest.approx(best(word))
     finally:
         model.kind = kind
+
+
+def test_similar_texts_share_a_group(spark):
+    rng = np.random.default_rng(7)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows, truth = [], {}
+    for base in range(0, 4000, 100):
+        words = [vocabulary[i] for i in rng.integers(0, 3000, 600)]
+        for copy in range(40 if base == 0 else 2):
+            changed = list(words)
+            for at in rng.integers(0, 600, 2) if copy else []:
+                changed[at] = "changed"
+            rows.append((base + copy, " ".join(changed)))
+            truth[base + copy] = base
+    rows += [(9000, None), (9001, ""), (9002, "one two three"), (9003, "one two four")]
+    truth |= {9000: 9000, 9001: 9000, 9002: 9002, 9003: 9003}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit(1))
+    found = dict(map(tuple, simhash.similar_groups(docs).collect()))
+    assert found == truth
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(truth.values()))
+    assert simhash.similar_groups(docs.limit(0)).count() == 0

@@ -7,6 +7,12 @@ four segments, in one of 15 choices of them; each distinct fingerprint goes to i
 chain before its full Hamming distance is taken. A key with many fingerprints enumerates the values within two flips of each in
 the two free segments (22 bits at most) instead of comparing pairs, and gives only a spanning forest of links.
 
+The near-duplicate stage looks for texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Such texts differ
+in more than two bits, so their fingerprints of two-word shingles go to a wider ring (nine segments, six bits: 84 keys), and a pair that
+passes the chain and the Hamming check must also agree in a second fingerprint, of 256 bits over the distinct five-word shingles, as
+far as the wanted similarity makes likely. There a key with many fingerprints is swept: what a text links to leaves the rest, so that a
+dense group costs its size, not its square.
+
 Defined results: equal fingerprints meet once as one node; a text without words (null, empty, white space) has fingerprint zero
 and links like any other; rows with equal doc_id stay separate rows of one node; a null doc_id is never a group's smallest
 unless the group has no other.
@@ -14,6 +20,8 @@ unless the group has no other.
 
 from __future__ import annotations
 
+from collections import deque
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -25,39 +33,85 @@ from pyspark.sql import functions as F
 from .common import materialize, raw, slices, texts
 from .components import components
 
-WIDTHS = (11, 11, 11, 11, 10, 10)
-SEGMENTS, BUDGET = len(WIDTHS), 2
-SHIFTS = tuple(sum(WIDTHS[:i]) for i in range(SEGMENTS))
-MASKS = tuple(((1 << w) - 1) << s for w, s in zip(WIDTHS, SHIFTS))
-#: The two segments that a key leaves free.
-FREE = tuple(combinations(range(SEGMENTS), 2))
+
+
+@dataclass(frozen=True)
+class Ring:
+    """The segments of 64 bits, and the differing bits that a link allows."""
+
+    widths: tuple[int, ...]
+    budget: int
+
+    @property
+    def segments(self) -> int:
+        return len(self.widths)
+
+    @property
+    def shifts(self) -> tuple[int, ...]:
+        return tuple(sum(self.widths[:i]) for i in range(self.segments))
+
+    @property
+    def masks(self) -> tuple[int, ...]:
+        return tuple(((1 << w) - 1) << s for w, s in zip(self.widths, self.shifts))
+
+    @property
+    def free(self) -> tuple[tuple[int, ...], ...]:
+        """The segments that each key leaves free: at most so many differ."""
+        return tuple(combinations(range(self.segments), self.budget))
+
+
+RING = Ring((11, 11, 11, 11, 10, 10), 2)
+WIDE_RING = Ring((8, 7, 7, 7, 7, 7, 7, 7, 7), 6)
+#: Words of 64 bits in the second fingerprint.
+WIDE = ("w0", "w1", "w2", "w3")
 SMALL = 16
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
+def shingle_hashes(text: bytes, shingle: int, seed: int = 42) -> list[int]:
+    """XXH64 of each run of `shingle` words of the lower-cased text, repeats included; of the whole sequence where there are fewer words."""
     words = text.translate(LOWER).split()
-    if not words:
-        return 0
+    line = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), seed)]
-    else:
-        line = b" ".join(words)
-        ends, at = [], -1
-        for w in words:
-            at += len(w) + 1
-            ends.append(at)
-        starts = [0] + [e + 1 for e in ends]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :])]
+        return [xxhash.xxh64_intdigest(line, seed)] if words else []
+    ends, at = [], -1
+    for w in words:
+        at += len(w) + 1
+        ends.append(at)
+    starts = [0] + [e + 1 for e in ends]
+    digest = xxhash.xxh64_intdigest
+    return [digest(line[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :])]
+
+
+def _majority(hashes: np.ndarray) -> int:
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 14):
-        part = np.array(hashes[i : i + (1 << 14)], "<u8")
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        counts += np.unpackbits(hashes[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     bits = (2 * counts > len(hashes)).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
+    return _majority(np.array(shingle_hashes(text, shingle, seed), "<u8"))
+
+
+def wide_fingerprint(text: bytes, shingle: int = 5, seed: int = 42) -> list[int]:
+    """A fingerprint of 64 bits per name in WIDE, over the set of shingles; each further word mixes the hashes anew."""
+    hashes = np.unique(np.array(shingle_hashes(text, shingle, seed), "<u8"))
+    found = []
+    for _ in WIDE:
+        hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        hashes ^= hashes >> np.uint64(29)
+        found.append(_majority(hashes))
+    return found
+
+
+def wide_limit(similarity: float) -> int:
+    """Differing bits of two wide fingerprints of sets of one size with this Jaccard similarity: the expectation and one standard deviation."""
+    n, share = 64 * len(WIDE), np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(n * share + np.sqrt(n * share * (1 - share)))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long."""
 
@@ -73,19 +127,45 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).astype(np.int64)
 
 
-def has_chain(x: np.ndarray, length: int = SEGMENTS - 1) -> np.ndarray:
-    """Whether the differences x (as xor) have a start on the ring whose first `length` running sums keep to their share of the budget."""
-    per = np.stack([_bits(x & np.uint64(m)) for m in MASKS])
+def has_chain(x: np.ndarray, ring: Ring = RING) -> np.ndarray:
+    """Whether the differences x (as xor) have a start on the ring whose running sums over all segments but one keep to their share of the budget."""
+    per = np.stack([_bits(x & np.uint64(m)) for m in ring.masks])
     found = np.zeros(x.shape, bool)
-    for start in range(SEGMENTS):
+    for start in range(ring.segments):
         total, good = np.zeros(x.shape, np.int64), np.ones(x.shape, bool)
-        for n in range(length):
-            total += per[(start + n) % SEGMENTS]
-            good &= total * SEGMENTS <= (n + 1) * BUDGET
+        for n in range(ring.segments - 1):
+            total += per[(start + n) % ring.segments]
+            good &= total * ring.segments <= (n + 1) * ring.budget
         found |= good
     return found
 
 
+def _linked(i, j, fp: np.ndarray, wide: np.ndarray | None, ring: Ring, limit: int) -> np.ndarray:
+    """Whether rows i and j link: the chain, then the full check, then the wide fingerprints where there are any. j may be one row."""
+    x = fp[i] ^ fp[j]
+    at = np.flatnonzero(has_chain(x, ring))
+    at = at[_bits(x[at]) <= ring.budget]
+    if wide is not None and len(at):
+        other = wide[j] if np.ndim(j) == 0 else wide[j[at]]
+        at = at[_bits(wide[i[at]] ^ other).sum(1) <= limit]
+    found = np.zeros(len(x), bool)
+    found[at] = True
+    return found
+
+
+def _sweep(rows: np.ndarray, parent: np.ndarray, *how) -> None:
+    """Links the rows of one key: each row reached is held against those not reached yet."""
+    while len(rows):
+        root, rows = rows[0], rows[1:]
+        queue = deque([root])
+        while queue and len(rows):
+            hit = _linked(rows, queue.popleft(), *how)
+            if hit.any():
+                parent[rows[hit]] = root
+                queue.extend(rows[hit])
+                rows = rows[~hit]
+
+
 def _find(parent: np.ndarray, i: np.ndarray) -> np.ndarray:
     i = parent[i]
     while True:
@@ -103,7 +183,7 @@ def _connect(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
 
 
-def _forest(group: np.ndarray, choice: np.ndarray, fp: np.ndarray) -> np.ndarray:
+def _forest(group: np.ndarray, choice: np.ndarray, fp: np.ndarray, wide: np.ndarray | None, ring: Ring, limit: int) -> np.ndarray:
     """parent index of each row, for rows sorted by group; links join rows of one group only."""
     parent = np.arange(len(fp))
     sizes = np.bincount(group)
@@ -114,14 +194,15 @@ def _forest(group: np.ndarray, choice: np.ndarray, fp: np.ndarray) -> np.ndarray
         i = i[group[i] == group[i + step]]
         if not len(i):
             break
-        x = fp[i] ^ fp[i + step]
-        i, x = i[has_chain(x)], x[has_chain(x)]
-        i = i[_bits(x) <= BUDGET]
+        i = i[_linked(i, i + step, fp, wide, ring, limit)]
         _connect(parent, i, i + step)
     many = np.flatnonzero(~few)
-    if len(many):
-        free, shift = np.array(FREE), np.array(SHIFTS, np.uint64)
-        width = np.array([(1 << w) - 1 for w in WIDTHS], np.uint64)
+    if len(many) and wide is not None:
+        for rows in np.split(many, np.flatnonzero(np.diff(group[many])) + 1):
+            _sweep(rows, parent, fp, wide, ring, limit)
+    elif len(many):
+        free, shift = np.array(ring.free), np.array(ring.shifts, np.uint64)
+        width = np.array([(1 << w) - 1 for w in ring.widths], np.uint64)
         p, q = free[choice[many], 0], free[choice[many], 1]
         value = (((fp[many] >> shift[p]) & width[p]) << np.uint64(11)) | ((fp[many] >> shift[q]) & width[q])
         place = (group[many].astype(np.uint64) << np.uint64(22)) | value
@@ -136,25 +217,25 @@ def _forest(group: np.ndarray, choice: np.ndarray, fp: np.ndarray) -> np.ndarray
     return _find(parent, parent)
 
 
-def _links(batches):
-    """For rows (choice, key, fp, node) sorted by choice and key: a spanning forest of the links below each key."""
+def _links(batches, ring: Ring, names: tuple[str, ...], limit: int):
+    """For rows (choice, key, fp, node and the names of a wide fingerprint) sorted by choice and key: a spanning forest of the links below each key."""
 
     def out(rows):
-        choice, key, fp, node = rows
+        choice, key, fp, node, *wide = rows
         start = np.ones(len(key), bool)
         start[1:] = (key[1:] != key[:-1]) | (choice[1:] != choice[:-1])
         group = np.cumsum(start) - 1
         many = np.bincount(group)[group] > 1
         if many.any():
             group, choice, fp, node = np.unique(group[many], return_inverse=True)[1], choice[many], fp[many].view(np.uint64), node[many]
-            root = _forest(group, choice, fp)
+            root = _forest(group, choice, fp, np.stack([w[many].view(np.uint64) for w in wide], 1) if wide else None, ring, limit)
             i = np.flatnonzero(root != np.arange(len(root)))
             if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[root[i]])], names=["a", "b"])
 
     held = None
     for batch in batches:
-        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("choice", "key", "fp", "node")]
+        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("choice", "key", "fp", "node", *names)]
         rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
         last = np.flatnonzero((rows[1] != rows[1][-1]) | (rows[0] != rows[0][-1]))
         cut = int(last[-1]) + 1 if len(last) else 0
@@ -165,13 +246,13 @@ def _links(batches):
         yield from out(held)
 
 
-def fingerprint_links(nodes: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes, as (fp, node) with distinct fp, that span all pairs at two or fewer differing bits."""
+def fingerprint_links(nodes: DataFrame, ring: Ring = RING, wide: tuple[str, ...] = (), limit: int = 0) -> DataFrame:
+    """Links (a, b) between nodes, as distinct (fp, node and the wide columns), that span all pairs within the ring's budget (and the limit of the wide columns)."""
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    keep = [signed(((1 << 64) - 1) ^ MASKS[i] ^ MASKS[j]) for i, j in FREE]
-    keyed = nodes.select("fp", "node", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(k).cast("long")) for k in keep])).alias("choice", "key"))
+    keep = [signed(((1 << 64) - 1) ^ sum(ring.masks[i] for i in free)) for free in ring.free]
+    keyed = nodes.select("fp", "node", *wide, F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(k).cast("long")) for k in keep])).alias("choice", "key"))
     placed = keyed.repartition("choice", "key").sortWithinPartitions("choice", "key")
-    return placed.select("choice", "key", "fp", "node").mapInArrow(_links, "a long, b long")
+    return placed.select("choice", "key", "fp", "node", *wide).mapInArrow(lambda it: _links(it, ring, wide, limit), "a long, b long")
 
 
 def near_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -184,7 +265,24 @@ def near_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return prints.join(placed, prints["fp"] == placed["_fp"], "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with the document of the smallest doc_id of each group, all columns; of rows that share that doc_id all stay."""
-    kept = near_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per row of docs: doc_id and component_id, over links between texts whose sets of word shingles are about so similar or more."""
+    schema = "doc_id long, fp long, " + ", ".join(f"{w} long" for w in WIDE)
+
+    def run(batches):
+        for part in slices(batches):
+            found = np.array([[fingerprint(t, 2), *wide_fingerprint(t, shingle)] for t in raw(part.column("text"))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(np.ascontiguousarray(c)) for c in found.T)], names=["doc_id", "fp", *WIDE])
+
+    prints = materialize(texts(docs).mapInArrow(run, schema), "wide-fingerprints")
+    heads = prints.groupBy("fp", *WIDE).agg(F.min("doc_id").alias("node"))
+    nodes = materialize(heads.filter("node is not null"), "wide-nodes")
+    named = components(fingerprint_links(nodes, WIDE_RING, WIDE, wide_limit(similarity))).withColumnRenamed("node", "_node")
+    placed = nodes.join(named, nodes["node"] == named["_node"], "left").select("fp", *WIDE, F.coalesce("component", "node").alias("component_id"))
+    return prints.join(placed, ["fp", *WIDE], "left").select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with the document of the smallest doc_id of each group of similar texts, all columns; of rows that share that doc_id all stay."""
+    kept = similar_groups(docs, shingle, similarity).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
