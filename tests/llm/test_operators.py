@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import exact_dedup, lm, packing, pii, quality_classifier, quality_rules, sentencepieces, simhash, suffix_dedup, token_output
+from tidemark.llm import exact_dedup, lm, packing, pii, quality_classifier, quality_rules, sentencepieces, similar, simhash, suffix_dedup, token_output
 
 BYTE, WORD, PIECE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, fp long, row long, part int, label int, keep_id long"
@@ -329,9 +329,36 @@ def test_similar_texts_share_a_group(spark):
     rows += [(9000, None), (9001, ""), (9002, "one two three"), (9003, "one two four")]
     truth |= {9000: 9000, 9001: 9000, 9002: 9002, 9003: 9003}
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit(1))
-    found = dict(map(tuple, simhash.similar_groups(docs).collect()))
+    found = dict(map(tuple, similar.similar_groups(docs).collect()))
     assert found == truth
-    kept = simhash.drop_near_duplicates(docs)
+    kept = similar.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(truth.values()))
-    assert simhash.similar_groups(docs.limit(0)).count() == 0
+    assert similar.similar_groups(docs.limit(0)).count() == 0
+
+
+def test_similar_groups_equal_brute_force(spark):
+    """Edits around the wanted similarity: links are those of the exact sets, and texts below it stay apart."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for base in range(0, 600, 10):
+        words = [f"w{i}" for i in rng.integers(0, 5000, 300)]
+        rows.append((base, " ".join(words)))
+        for copy, cut in enumerate((15, 25, 45, 70), 1):
+            changed = list(words)
+            changed[20 : 20 + cut] = [f"v{i}" for i in rng.integers(0, 5000, cut)]
+            rows.append((base + copy, " ".join(changed)))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    found = dict(map(tuple, similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    truth = {}
+    for base in range(0, 600, 10):
+        group = {i: i for i in range(base, base + 5)}
+        for i in group:
+            for j in range(base, i):
+                if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                    low, high = sorted((group[i], group[j]))
+                    group = {k: low if v == high else v for k, v in group.items()}
+        truth |= group
+    wrong = [i for i in truth if found[i] != truth[i]]
+    assert not [i for i in wrong if found[i] < truth[i]]
+    assert len(wrong) <= 0.03 * len(truth)
