@@ -6,8 +6,9 @@ key, so that a pair at 0.8 shares some key with a probability of 0.97, at 0.85 o
 that follow on the ring must keep their running sums of differences within their share of the budget before the full Hamming distance is
 taken. Pairs well within the budget are links; those around it are links if the exact similarity of their shingle sets is high enough.
 
-Below a key a text that links to one already reached leaves the rest, so that a dense group costs its size, not its square. Pairs around
-the budget are checked only where the sure links leave their texts in different groups.
+Below a key a text that links to one already reached leaves the rest, so that a dense group gives links by its size, not its square. Pairs
+around the budget are checked only where the sure links leave their texts in different groups. A text with more than four such partners
+under one key is in a dense group, whose pairs would be too many to check; there the expected distance at the wanted similarity decides.
 
 Defined results: texts of one fingerprint are one node; texts of fewer words than a shingle have one shingle, the whole sequence;
 texts without words (null, empty, white space) are one group; a null doc_id is never a group's smallest unless the group has no
@@ -32,13 +33,15 @@ BITS = 64 * WORDS
 #: Segments of a chain: the shared one and those that follow it on the ring.
 CHAIN = 8
 SMALL = 16
+#: Unsure partners under one key, beyond which a text is in a dense group.
+DENSE = 4
 
 
-def budgets(similarity: float) -> tuple[int, int]:
-    """Differing bits up to which a pair is surely similar (two standard deviations below the expectation at the wanted similarity), and up to which it may be (three above)."""
+def budgets(similarity: float) -> tuple[int, int, int]:
+    """Differing bits up to which a pair is surely similar (two standard deviations below the expectation at the wanted similarity), that expectation, and up to which it may be similar (three above)."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     spread = np.sqrt(BITS * share * (1 - share))
-    return int(BITS * share - 2 * spread), int(BITS * share + 3 * spread)
+    return int(BITS * share - 2 * spread), int(BITS * share), int(BITS * share + 3 * spread)
 
 
 def wide_fingerprint(text: bytes, shingle: int = 5) -> bytes:
@@ -77,33 +80,76 @@ def _distance(x: np.ndarray, most: int) -> np.ndarray:
     return found
 
 
-def _few(rows: np.ndarray, group: np.ndarray, prints: np.ndarray, most: int):
-    """Pairs (i, j, distance) of the rows in groups of at most SMALL."""
+def _find(parent: np.ndarray, i: np.ndarray) -> np.ndarray:
+    i = parent[i]
+    while not np.array_equal(up := parent[i], i):
+        i = up
+    return i
+
+
+def _few(rows: np.ndarray, group: np.ndarray, prints: np.ndarray, sure: int, middle: int, most: int):
+    """Pairs (i, j, sure) of the rows in groups of at most SMALL: a forest of the sure links, then the unsure pairs between its trees."""
+    pairs = []
     for step in range(1, SMALL):
         i, j = rows[:-step], rows[step:]
         same = group[i] == group[j]
         if not same.any():
-            return
+            break
         i, j = i[same], j[same]
         d = _distance(prints[i] ^ prints[j], most)
         hit = d < BITS
-        yield i[hit], j[hit], d[hit]
-
-
-def _sweep(rows: np.ndarray, prints: np.ndarray, sure: int, most: int):
-    """Pairs (i, j, distance) of one large group: each row reached by a sure link is held against the rows not reached yet."""
+        pairs.append((i[hit], j[hit], d[hit]))
+    if not pairs:
+        return
+    i, j, d = (np.concatenate(x) for x in zip(*pairs))
+    parent = np.arange(len(prints))
+    x, y = i[d <= sure], j[d <= sure]
+    while len(x):
+        x, y = _find(parent, x), _find(parent, y)
+        apart = x != y
+        x, y = x[apart], y[apart]
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+    tree = _find(parent, parent)
+    at = np.flatnonzero(tree != np.arange(len(tree)))
+    yield at, tree[at], True
+    unsure = (d > sure) & (tree[i] != tree[j])
+    i, j, d = i[unsure], j[unsure], d[unsure]
+    partners = np.bincount(i, minlength=len(prints)) + np.bincount(j, minlength=len(prints))
+    dense = np.maximum(partners[i], partners[j]) > DENSE
+    likely = dense & (d <= middle)
+    yield i[likely], j[likely], True
+    yield i[~dense], j[~dense], False
+
+
+def _sweep(rows: np.ndarray, prints: np.ndarray, sure: int, middle: int, most: int):
+    """Pairs (i, j, sure) of one large group. Each row reached by a sure link is held against the rows not reached yet; unsure pairs are given where the second row isn't reached."""
     while len(rows):
-        queue, rows = deque(rows[:1]), rows[1:]
+        queue, rows, unsure = deque(rows[:1]), rows[1:], []
         while queue and len(rows):
             i = queue.popleft()
             d = _distance(prints[rows] ^ prints[i], most)
-            hit = d < BITS
-            yield np.full(hit.sum(), i), rows[hit], d[hit]
-            queue.extend(rows[d <= sure])
-            rows = rows[d > sure]
-
-
-def _pairs(batches, sure: int, most: int):
+            near = (d > sure) & (d < BITS)
+            dense = near.sum() > DENSE
+            reached = d <= (middle if dense else sure)
+            if reached.any():
+                yield np.full(reached.sum(), i), rows[reached], True
+                queue.extend(rows[reached])
+            if not dense:
+                unsure.append((np.full(near.sum(), i), rows[near]))
+            rows = rows[~reached]
+            if len(unsure) == 256:
+                unsure = [_still(unsure, rows)]
+        yield *_still(unsure, rows), False
+
+
+def _still(pairs: list, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose second row is among rows (in ascending order)."""
+    i, j = (np.concatenate(x) for x in zip(*pairs, (np.empty(0, np.int64),) * 2))
+    keep = np.isin(j, rows)
+    return i[keep], j[keep]
+
+
+def _pairs(batches, sure: int, middle: int, most: int):
     """Near pairs (a, b, sure) of nodes below each place, for rows sorted by place."""
 
     def out(place, prints, node):
@@ -111,12 +157,12 @@ def _pairs(batches, sure: int, most: int):
         group = np.cumsum(start) - 1
         size = np.bincount(group)[group]
         small, large = np.flatnonzero((size > 1) & (size <= SMALL)), np.flatnonzero(size > SMALL)
-        parts = [_few(small, group, prints, most)]
+        parts = [_few(small, group, prints, sure, middle, most)]
         if len(large):
-            parts += [_sweep(rows, prints, sure, most) for rows in np.split(large, np.flatnonzero(np.diff(group[large])) + 1)]
-        for i, j, d in (found for part in parts for found in part):
+            parts += [_sweep(rows, prints, sure, middle, most) for rows in np.split(large, np.flatnonzero(np.diff(group[large])) + 1)]
+        for i, j, linked in (found for part in parts for found in part):
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array(d <= sure)], names=["a", "b", "sure"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array(np.full(len(i), linked))], names=["a", "b", "sure"])
 
     held = None
     for batch in batches:
@@ -155,12 +201,12 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
             found = [wide_fingerprint(t, shingle) for t in raw(part.column("text"))]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "print"])
 
-    sure, most = budgets(similarity)
+    limits = budgets(similarity)
     docs = texts(docs)
     prints = materialize(docs.mapInArrow(run, "doc_id long, print binary"), "wide-fingerprints")
     nodes = materialize(prints.groupBy("print").agg(F.min("doc_id").alias("node")).filter("node is not null"), "wide-nodes")
     keyed = nodes.mapInArrow(_keys, "place int, print binary, node long").repartition("place").sortWithinPartitions("place")
-    found = keyed.mapInArrow(lambda it: _pairs(it, sure, most), "a long, b long, sure boolean").filter("a <> b")
+    found = keyed.mapInArrow(lambda it: _pairs(it, *limits), "a long, b long, sure boolean").filter("a <> b")
     pairs = materialize(found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sure").alias("sure")), "near-pairs")
     links = pairs.filter("sure").select("a", "b")
     first = components(links)
