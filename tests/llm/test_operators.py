@@ -362,3 +362,36 @@ def test_similar_groups_equal_brute_force(spark):
     wrong = [i for i in truth if found[i] != truth[i]]
     assert not [i for i in wrong if found[i] < truth[i]]
     assert len(wrong) <= 0.03 * len(truth)
+
+
+def templated(kinds: str, seed: int = 5) -> tuple[list, dict]:
+    """Texts of one template, each with a passage of its own place replaced, and their sets: two of kind a have a similarity of 0.806, of kind b 0.784, a and b 0.795."""
+    rng = np.random.default_rng(seed)
+    words, rows, at = [f"w{i}" for i in rng.integers(0, 5000, 600)], [], 4
+    for i, kind in enumerate(kinds):
+        cut = 28 if kind == "a" else 32
+        rows.append((i, " ".join(words[:at] + [f"v{x}" for x in rng.integers(0, 5000, cut)] + words[at + cut :])))
+        at += cut + 4
+    return rows, {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+
+
+@pytest.mark.parametrize("chunk", [128, 3])
+def test_similar_groups_of_a_dense_group_are_exact(spark, monkeypatch, chunk):
+    monkeypatch.setattr(similar, "CHUNK", chunk)
+    rows, sets = templated("babaababbabaabab")
+    truth = {i: min(j for j in sets if j == i or ("babaababbabaabab"[i] == "babaababbabaabab"[j] == "a")) for i in sets}
+    assert all((5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])) == (truth[i] == truth[j]) for i, j in itertools.combinations(sets, 2))
+    assert dict(map(tuple, similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == truth
+
+
+def test_similar_links_are_checked_however_few_bits_differ(spark):
+    """Of many pairs at 0.795 the one with the fewest differing bits, below what was once a link unchecked."""
+    prints = lambda t: np.frombuffer(similar.wide_fingerprint(t.encode()), "<u8")
+    tried = (templated("ab" * 8, seed)[0] for seed in range(40))
+    pairs = ((int(np.bitwise_count(p ^ q).sum()), a[1], b[1]) for rows in tried for made in [[(r, prints(r[1])) for r in rows]] for (a, p), (b, q) in itertools.product(made[::2], made[1::2]))
+    bits, a, b = min(pairs)
+    assert bits <= 96
+    # A segment is alike, or the pair isn't met at all.
+    assert (np.frombuffer(similar.wide_fingerprint(a.encode()), "<u2") == np.frombuffer(similar.wide_fingerprint(b.encode()), "<u2")).any()
+    got = similar.similar_groups(spark.createDataFrame([(0, a), (1, b)], "doc_id long, text string"))
+    assert dict(map(tuple, got.collect())) == {0: 0, 1: 1}

@@ -1,14 +1,16 @@
-"""Near-duplicate groups at a wanted Jaccard similarity of word shingles, by wide SimHash fingerprints and pigeonring filtering.
+"""Near-duplicate groups at a wanted Jaccard similarity of word shingles, by wide SimHash fingerprints and pigeonring filtering,
+and exact similarity within the blocks that these give.
 
 A text's fingerprint has 768 bits: per bit the majority over its distinct five-word shingles. Two texts of similarity s differ in each bit
 with probability arccos(2s / (1 + s)) / pi, whatever the edit looks like. The bits form a ring of 48 segments of 16; every segment is a
 key, so that a pair at 0.8 shares some key with a probability of 0.97, at 0.85 of 0.996 and at 0.9 of 0.9999. Below a key, the segments
 that follow on the ring must keep their running sums of differences within their share of the budget before the full Hamming distance is
-taken. Pairs well within the budget are links; those around it are links if the exact similarity of their shingle sets is high enough.
+taken; pairs within the budget are near.
 
-Below a key a text that links to one already reached leaves the rest, so that a dense group gives links by its size, not its square. Pairs
-around the budget are checked only where the sure links leave their texts in different groups. A text with more than four such partners
-under one key is in a dense group, whose pairs would be too many to check; there the expected distance at the wanted similarity decides.
+Below a key a text that is near one already reached leaves the rest, so that a dense group gives near pairs by its size, not its square.
+Near pairs decide nothing alone: they only gather texts into blocks. Within a block every link is a pair whose sets of shingles have the
+wanted similarity, and every pair of texts is compared unless links join the two already. A block larger than CHUNK is cut into chunks:
+first each chunk is linked, then one text of each group found, and last, where a block still has several groups, every two chunks meet.
 
 Defined results: texts of one fingerprint are one node; texts of fewer words than a shingle have one shingle, the whole sequence;
 texts without words (null, empty, white space) are one group; a null doc_id is never a group's smallest unless the group has no
@@ -21,10 +23,10 @@ from collections import deque
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, raw, slices, texts
+from .common import joined_ranges, materialize, raw, slices, texts
 from .components import components
 from .simhash import shingle_hashes
 
@@ -33,15 +35,14 @@ BITS = 64 * WORDS
 #: Segments of a chain: the shared one and those that follow it on the ring.
 CHAIN = 8
 SMALL = 16
-#: Unsure partners under one key, beyond which a text is in a dense group.
-DENSE = 4
+#: Texts of a block that are compared in one go, about.
+CHUNK = 128
 
 
-def budgets(similarity: float) -> tuple[int, int, int]:
-    """Differing bits up to which a pair is surely similar (two standard deviations below the expectation at the wanted similarity), that expectation, and up to which it may be similar (three above)."""
+def budget(similarity: float) -> int:
+    """Differing bits up to which a pair may be similar: three standard deviations above the expectation at the wanted similarity."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    spread = np.sqrt(BITS * share * (1 - share))
-    return int(BITS * share - 2 * spread), int(BITS * share), int(BITS * share + 3 * spread)
+    return int(BITS * share + 3 * np.sqrt(BITS * share * (1 - share)))
 
 
 def wide_fingerprint(text: bytes, shingle: int = 5) -> bytes:
@@ -87,8 +88,8 @@ def _find(parent: np.ndarray, i: np.ndarray) -> np.ndarray:
     return i
 
 
-def _few(rows: np.ndarray, group: np.ndarray, prints: np.ndarray, sure: int, middle: int, most: int):
-    """Pairs (i, j, sure) of the rows in groups of at most SMALL: a forest of the sure links, then the unsure pairs between its trees."""
+def _few(rows: np.ndarray, group: np.ndarray, prints: np.ndarray, most: int):
+    """Pairs (i, j) of the rows in groups of at most SMALL: a forest of the near pairs."""
     pairs = []
     for step in range(1, SMALL):
         i, j = rows[:-step], rows[step:]
@@ -96,14 +97,12 @@ def _few(rows: np.ndarray, group: np.ndarray, prints: np.ndarray, sure: int, mid
         if not same.any():
             break
         i, j = i[same], j[same]
-        d = _distance(prints[i] ^ prints[j], most)
-        hit = d < BITS
-        pairs.append((i[hit], j[hit], d[hit]))
+        hit = _distance(prints[i] ^ prints[j], most) < BITS
+        pairs.append((i[hit], j[hit]))
     if not pairs:
         return
-    i, j, d = (np.concatenate(x) for x in zip(*pairs))
+    x, y = (np.concatenate(x) for x in zip(*pairs))
     parent = np.arange(len(prints))
-    x, y = i[d <= sure], j[d <= sure]
     while len(x):
         x, y = _find(parent, x), _find(parent, y)
         apart = x != y
@@ -111,58 +110,36 @@ def _few(rows: np.ndarray, group: np.ndarray, prints: np.ndarray, sure: int, mid
         np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
     tree = _find(parent, parent)
     at = np.flatnonzero(tree != np.arange(len(tree)))
-    yield at, tree[at], True
-    unsure = (d > sure) & (tree[i] != tree[j])
-    i, j, d = i[unsure], j[unsure], d[unsure]
-    partners = np.bincount(i, minlength=len(prints)) + np.bincount(j, minlength=len(prints))
-    dense = np.maximum(partners[i], partners[j]) > DENSE
-    likely = dense & (d <= middle)
-    yield i[likely], j[likely], True
-    yield i[~dense], j[~dense], False
-
-
-def _sweep(rows: np.ndarray, prints: np.ndarray, sure: int, middle: int, most: int):
-    """Pairs (i, j, sure) of one large group. Each row reached by a sure link is held against the rows not reached yet; unsure pairs are given where the second row isn't reached."""
+    yield at, tree[at]
+
+
+def _sweep(rows: np.ndarray, prints: np.ndarray, most: int):
+    """Near pairs (i, j) of one large group. Each row reached is held against the rows not reached yet."""
     while len(rows):
-        queue, rows, unsure = deque(rows[:1]), rows[1:], []
+        queue, rows = deque(rows[:1]), rows[1:]
         while queue and len(rows):
             i = queue.popleft()
-            d = _distance(prints[rows] ^ prints[i], most)
-            near = (d > sure) & (d < BITS)
-            dense = near.sum() > DENSE
-            reached = d <= (middle if dense else sure)
+            reached = _distance(prints[rows] ^ prints[i], most) < BITS
             if reached.any():
-                yield np.full(reached.sum(), i), rows[reached], True
+                yield np.full(reached.sum(), i), rows[reached]
                 queue.extend(rows[reached])
-            if not dense:
-                unsure.append((np.full(near.sum(), i), rows[near]))
-            rows = rows[~reached]
-            if len(unsure) == 256:
-                unsure = [_still(unsure, rows)]
-        yield *_still(unsure, rows), False
-
-
-def _still(pairs: list, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs whose second row is among rows (in ascending order)."""
-    i, j = (np.concatenate(x) for x in zip(*pairs, (np.empty(0, np.int64),) * 2))
-    keep = np.isin(j, rows)
-    return i[keep], j[keep]
+                rows = rows[~reached]
 
 
-def _pairs(batches, sure: int, middle: int, most: int):
-    """Near pairs (a, b, sure) of nodes below each place, for rows sorted by place."""
+def _pairs(batches, most: int):
+    """Near pairs (a, b) of nodes below each place, for rows sorted by place: those that join its groups, not all."""
 
     def out(place, prints, node):
         start = np.r_[True, place[1:] != place[:-1]]
         group = np.cumsum(start) - 1
         size = np.bincount(group)[group]
         small, large = np.flatnonzero((size > 1) & (size <= SMALL)), np.flatnonzero(size > SMALL)
-        parts = [_few(small, group, prints, sure, middle, most)]
+        parts = [_few(small, group, prints, most)]
         if len(large):
-            parts += [_sweep(rows, prints, sure, middle, most) for rows in np.split(large, np.flatnonzero(np.diff(group[large])) + 1)]
-        for i, j, linked in (found for part in parts for found in part):
+            parts += [_sweep(rows, prints, most) for rows in np.split(large, np.flatnonzero(np.diff(group[large])) + 1)]
+        for i, j in (found for part in parts for found in part):
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array(np.full(len(i), linked))], names=["a", "b", "sure"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["a", "b"])
 
     held = None
     for batch in batches:
@@ -178,19 +155,90 @@ def _pairs(batches, sure: int, middle: int, most: int):
         yield from out(*held)
 
 
-def _exact(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs whose sets of shingles have at least this Jaccard similarity."""
+def _sets(batches, shingle: int):
+    """block, node and the node's sorted distinct shingles as 64-bit words."""
+    for part in slices(batches):
+        sets = [np.unique(np.array(shingle_hashes(t, shingle), "<u8")).tobytes() for t in raw(part.column("text"))]
+        yield pa.RecordBatch.from_arrays([part.column("block"), part.column("node"), pa.array(sets, pa.binary())], names=["block", "node", "shingles"])
+
+
+def _forest(sets: list[np.ndarray], group: np.ndarray, similarity: float):
+    """Pairs (i, j) of at least this Jaccard similarity that join the groups, as far as any do; group is changed."""
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    met = owner[np.argsort(code, kind="stable")]
+    count = np.bincount(code)
+    start, ends = np.cumsum(count) - count, np.cumsum(sizes)
+    for i in range(len(sets)):
+        if (group == group[0]).all():
+            return
+        own = code[ends[i] - sizes[i] : ends[i]]
+        shared = np.bincount(met[joined_ranges(start[own], count[own])], minlength=len(sets))
+        for j in np.flatnonzero((shared + 1e-9 >= similarity * (sizes + sizes[i] - shared)) & (group != group[i])).tolist():
+            if group[j] != group[i]:
+                group[group == group[j]] = group[i]
+                yield i, j
+
+
+def _links(batches, similarity: float):
+    """Links (a, b) that join the known groups below each place, for rows sorted by place."""
+    place, rows = None, []
+
+    def out():
+        node = [n for n, _, _ in rows]
+        pairs = list(_forest([np.frombuffer(s, "<u8") for _, _, s in rows], np.unique([g for _, g, _ in rows], return_inverse=True)[1], similarity))
+        yield pa.RecordBatch.from_arrays([pa.array([node[x[k]] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    def run(batches):
-        for part in slices(batches):
-            sets = [np.unique(np.array(shingle_hashes(t, shingle), np.uint64)).view(np.int64) for t in raw(part.column("text"))]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
-
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = materialize(docs.join(wanted, "doc_id", "left_semi").mapInArrow(run, "id long, shingles array<long>"), "shingle-sets")
-    a, b = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    return pairs.join(a, "a").join(b, "b").filter(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
+    for batch in batches:
+        for at, *row in zip(*(batch.column(c).to_pylist() for c in ("place", "node", "known", "shingles"))):
+            if at != place and rows:
+                yield from out()
+                rows.clear()
+            place = at
+            rows.append(row)
+    if rows:
+        yield from out()
+
+
+def _joined(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links between the rows (place, node, known, shingles) of each place."""
+    dealt = rows.select("place", "node", "known", "shingles").repartition("place").sortWithinPartitions("place")
+    return materialize(dealt.mapInArrow(lambda it: _links(it, similarity), "a long, b long").filter("a <> b"), "verified-links")
+
+
+def _chunk(n: Column) -> Column:
+    return F.pmod(F.xxhash64("node"), F.ceil(n / CHUNK))
+
+
+def _verified(sets: DataFrame, similarity: float) -> DataFrame:
+    """Links of at least this similarity that join what such links join within each block of (block, node, shingles)."""
+    of_block = lambda df: df.groupBy("block").agg(F.count("*").alias("n"))
+    sizes = of_block(sets)
+    links = _joined(sets.join(sizes, "block").select(F.xxhash64("block", _chunk(F.col("n"))).alias("place"), "node", F.col("node").alias("known"), "shingles"), similarity)
+    large = sets.join(sizes.filter(F.col("n") > CHUNK).select("block"), "block", "left_semi")
+    if large.isEmpty():
+        return links
+
+    def grouped() -> DataFrame:
+        return large.join(components(links).withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("block", "node", "shingles", F.coalesce("component", "node").alias("known"))
+
+    first = materialize(grouped().filter("node = known"), "first-of-groups")
+    links = links.union(_joined(first.join(of_block(first), "block").withColumn("place", F.xxhash64("block", _chunk(F.col("n")))), similarity))
+
+    # Every two chunks of a block with several groups, but those of one group; groups smaller than a chunk share chunks.
+    found = materialize(grouped(), "groups")
+    parts = found.groupBy("block", "known").agg(F.count("*").alias("n"))
+    several = parts.groupBy("block").agg(F.count("*").alias("k"), F.sum(F.when(F.col("n") < CHUNK, F.col("n"))).alias("rest")).filter("k > 1")
+    parts = parts.join(several, "block").select("block", F.col("known").alias("_known"), F.when(F.col("n") >= CHUNK, F.col("known")).alias("whole"), F.when(F.col("n") >= CHUNK, F.col("n")).otherwise(F.col("rest")).alias("n"))
+    parts = parts.withColumnRenamed("block", "_block")
+    found = found.join(parts, (F.col("block") == F.col("_block")) & (F.col("known") == F.col("_known")))
+    found = materialize(found.select("block", "node", "known", "shingles", "whole", F.xxhash64("whole", F.col("whole").isNull(), _chunk(F.col("n"))).alias("chunk")), "chunks")
+    chunks = materialize(found.select("block", "chunk", "whole").distinct(), "chunk-names")
+    x, y = chunks.toDF("block", "x", "u"), chunks.toDF("_block", "y", "v")
+    pairs = x.join(y, (F.col("block") == F.col("_block")) & (F.col("x") <= F.col("y")) & ~F.coalesce(F.col("u") == F.col("v"), F.lit(False)))
+    sides = pairs.select(F.col("block").alias("_block"), F.xxhash64("block", "x", "y").alias("place"), F.explode(F.array_distinct(F.array("x", "y"))).alias("_chunk"))
+    return links.union(_joined(found.join(sides, (F.col("block") == F.col("_block")) & (F.col("chunk") == F.col("_chunk"))), similarity))
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -201,18 +249,16 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
             found = [wide_fingerprint(t, shingle) for t in raw(part.column("text"))]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "print"])
 
-    limits = budgets(similarity)
+    most = budget(similarity)
     docs = texts(docs)
     prints = materialize(docs.mapInArrow(run, "doc_id long, print binary"), "wide-fingerprints")
     nodes = materialize(prints.groupBy("print").agg(F.min("doc_id").alias("node")).filter("node is not null"), "wide-nodes")
     keyed = nodes.mapInArrow(_keys, "place int, print binary, node long").repartition("place").sortWithinPartitions("place")
-    found = keyed.mapInArrow(lambda it: _pairs(it, *limits), "a long, b long, sure boolean").filter("a <> b")
-    pairs = materialize(found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sure").alias("sure")), "near-pairs")
-    links = pairs.filter("sure").select("a", "b")
-    first = components(links)
-    of_a, of_b = first.select(F.col("node").alias("a"), F.col("component").alias("x")), first.select(F.col("node").alias("b"), F.col("component").alias("y"))
-    apart = pairs.filter("not sure").join(of_a, "a", "left").join(of_b, "b", "left").filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
-    links = links.union(_exact(docs, materialize(apart, "unsure-pairs"), shingle, similarity))
+    near = keyed.mapInArrow(lambda it: _pairs(it, most), "a long, b long").filter("a <> b")
+    blocks = components(near).withColumnRenamed("component", "block")
+    wanted = docs.join(blocks, docs["doc_id"] == blocks["node"]).select("block", "node", "text")
+    sets = materialize(wanted.mapInArrow(lambda it: _sets(it, shingle), "block long, node long, shingles binary"), "shingle-sets")
+    links = _verified(sets, similarity)
     named = components(links).withColumnRenamed("node", "_node")
     placed = nodes.join(named, nodes["node"] == named["_node"], "left").select("print", F.coalesce("component", "node").alias("component_id"))
     return prints.join(placed, "print", "left").select("doc_id", "component_id")
