@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 import zlib
 
 import brute
@@ -296,6 +297,20 @@ def test_sentencepiece_on_random_strings():
         assert ids.tolist() == [i for t in texts for i in library.encode(t)]
 
 
+def test_sentencepiece_memory_grows_with_the_word_not_its_square():
+    library, encoder = sentencepiece.SentencePieceProcessor(model_file=PIECE), sentencepieces.Encoder(sentencepieces.load(PIECE))
+    word = "".join(random.Random(9).choices("ABCDEFGHabcdefgh0123456789+/", k=6000))
+    encoder.encode([word[:100]])
+    tracemalloc.start()
+    try:
+        ids, _ = encoder.encode([word])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert ids.tolist() == library.encode(word)
+    assert peak < 20 << 20
+
+
 def test_unigram_model_takes_the_best_path():
     model = sentencepieces.load(PIECE)
     kind, model.kind = model.kind, sentencepieces.UNIGRAM

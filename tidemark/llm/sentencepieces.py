@@ -29,6 +29,8 @@ MARK = "▁"
 MARKED_WORD = re.compile(f"{MARK}+[^{MARK}]*")
 #: Words that a worker holds with their ids, and how many of the first met it keeps beyond that.
 HELD_WORDS, KEPT_WORDS = 600_000, 200_000
+#: Ids that it holds, whatever the length of the words.
+HELD_IDS = 8_000_000
 RUN_BYTES = 8 << 20
 UNIGRAM, BPE = 1, 2
 
@@ -92,21 +94,26 @@ class Model:
 
     def encode_sorted(self, words: list[str]) -> list[tuple[int, ...]]:
         """Ids of each of the words, which are sorted: depth first through their trie. The forward state of a prefix is its last
-        piece, its score and the ids up to there; the states of the prefix that a word shares with the one before stay."""
+        piece, its score and where that piece starts; the states of the prefix that a word shares with the one before stay. A word's
+        ids are made once, by walking back over these starts."""
         step = self._bpe_state if self.kind == BPE else self._unigram_state
-        pieces, scores, paths, before, out = [""], [0.0], [()], "", []
+        pieces, scores, starts, before, out = [""], [0.0], [0], "", []
         for word in words:
             limit, shared = min(len(before), len(word)), 0
             while shared < limit and before[shared] == word[shared]:
                 shared += 1
-            del pieces[shared + 1 :], scores[shared + 1 :], paths[shared + 1 :]
+            del pieces[shared + 1 :], scores[shared + 1 :], starts[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                step(word, end, pieces, scores, paths)
-            out.append(paths[len(word)])
+                step(word, end, pieces, scores, starts)
+            last, at = [], len(word)
+            while at:
+                last.append(pieces[at])
+                at = starts[at]
+            out.append(tuple(i for piece in reversed(last) for i in self.of_piece(piece)))
             before = word
         return out
 
-    def _bpe_state(self, word: str, end: int, pieces: list, scores: list, paths: list) -> None:
+    def _bpe_state(self, word: str, end: int, pieces: list, scores: list, starts: list) -> None:
         """Of the pieces that end here the one that may follow the last piece before it; a single character if no longer one may."""
         follows = self.follows
         for size in self.ends.get(word[end - 2 : end], ()):
@@ -118,9 +125,9 @@ class Model:
             start, piece = end - 1, word[end - 1]
         pieces.append(piece)
         scores.append(0.0)
-        paths.append(paths[start] + self.of_piece(piece))
+        starts.append(start)
 
-    def _unigram_state(self, word: str, end: int, pieces: list, scores: list, paths: list) -> None:
+    def _unigram_state(self, word: str, end: int, pieces: list, scores: list, starts: list) -> None:
         """Viterbi: the piece that ends here with the best total score."""
         best = (-float("inf"), 0, "")
         for size in (*self.ends.get(word[end - 2 : end], ()), 1):
@@ -129,7 +136,7 @@ class Model:
         score, start, piece = best
         pieces.append(piece)
         scores.append(score)
-        paths.append(paths[start] + self.of_piece(piece))
+        starts.append(start)
 
     def of_piece(self, piece: str) -> tuple[int, ...]:
         got = self.known.get(piece)
@@ -156,8 +163,9 @@ class Encoder:
 
     def encode(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row and the number of each text's."""
-        if len(self.code) > HELD_WORDS:
-            self.code, self.sizes = dict(islice(self.code.items(), KEPT_WORDS)), self.sizes[:KEPT_WORDS].copy()
+        if len(self.code) > HELD_WORDS or len(self.ids) > HELD_IDS:
+            kept = min(KEPT_WORDS, int(np.searchsorted(np.cumsum(self.sizes), HELD_IDS // 2)))
+            self.code, self.sizes = dict(islice(self.code.items(), kept)), self.sizes[:kept].copy()
             self.ids = self.ids[: self.sizes.sum()].copy()
         words = [MARKED_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in found]
         flat = [w for ws in words for w in ws]
