@@ -131,6 +131,14 @@ def test_personal_data_adds_further_spellings(spark):
     assert (got[100], got[101], got[102]) == ("phone:6:18", "email:11:40", "")
 
 
+def test_personal_data_context_decides_on_further_spellings(spark):
+    rows = [(i, f"phone {212 + i}-555-{1000 + i} now") for i in range(80)] + [(100 + i, f"sizes of {12 + 13 * i:03d} 512 {1024 + i} bytes") for i in range(60)]
+    rows += [(200, "page sizes of 256 512 1024 bytes"), (201, "call 256 512 1024 now"), (202, "call 056 512 1024 now")]
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(frame(spark, rows)).collect()}
+    assert all(got[i] == "phone:6:18" for i in range(80)) and not any(got[100 + i] for i in range(60))
+    assert (got[200], got[201], got[202]) == ("", "phone:5:17", "")
+
+
 def test_redaction(spark):
     rows = [(1, "a@b.co and 1.2.3.4 end"), (2, None), (3, "clean"), (4, "+49 30 1234567")]
     got = {r["doc_id"]: r["text"] for r in pii.redact(frame(spark, rows)).collect()}

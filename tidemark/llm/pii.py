@@ -2,10 +2,11 @@
 
 High-recall generators mark candidate spans: the base formats (email, ip, card, phone), whose valid matches are always redacted,
 and further spellings (an address with [at] and [dot], a phone number without its country code, a full IPv6 address). A candidate
-has a few small features of format and context. Trees are boosted on the histogram of these features over all base candidates
-of the corpus, with the formats' own checks (Luhn, ranges, digit counts) as labels; the histogram has at most CELLS rows whatever
-the corpus. Per threshold the precision on that histogram is known, and the lowest score that reaches the wanted precision selects
-among the further spellings.
+has a few small features of format and context. Trees are boosted on the histogram of these features over all candidates of the
+corpus; the histogram has at most CELLS rows whatever the corpus. The labels are the formats' own checks (Luhn, ranges, digit counts,
+the digits that area and exchange codes may have), and what these checks read is no feature of the trees: numbers of a phone's shape
+that no phone can have show in which contexts the shape means something else. Per kind the lowest score at which the further spellings
+of the histogram reach the wanted precision selects among them; those that fail their own check are never selected.
 
 Positions count code points, end exclusive. Defined results: a null text counts as empty and has no span; U+0001 in a text is an
 ordinary character; where spans of two kinds overlap both are reported, and redaction joins them; an added span that overlaps a
@@ -15,7 +16,7 @@ base span is left out; a text without candidates, and an empty table, train noth
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,9 @@ KINDS = ("email", "ip", "card", "phone")
 SPAN = "array<struct<start:int,kind:int,end:int,form:int,valid:int,digits:int,separators:int,cue:int,alone:int,uniform:int>>"
 #: Name of each feature and its number of values.
 FEATURES = (("kind", 4), ("form", 2), ("valid", 2), ("digits", 6), ("separators", 4), ("cue", 2), ("alone", 2), ("uniform", 2))
-CELLS = 2 * math.prod(n for _, n in FEATURES)
+CELLS = math.prod(n for _, n in FEATURES)
+#: What the trees may split on: not the check that gives the labels.
+SPLITS = tuple(f for f in FEATURES if f[0] != "valid")
 #: Words that announce personal data.
 CUES = r"(?i)(?:mail|e-mail|phone|tel|call|fax|mobile|card|visa|account|address|contact|ip|host|reach)[^\n]{0,12}$"
 
@@ -41,7 +44,7 @@ GENERATORS = (
     (3, 0, "+", r"\+[0-9][ ().0-9\-]+[0-9]"),
     (0, 1, "at", rf"(?i)(?<!{LOCAL}){LOCAL}{{1,64}}+ ?[\[(]at[\])] ?{LABEL}{{1,63}}+(?: ?(?:[\[(]dot[\])]|\.) ?[a-z]{{2,24}}+(?![A-Za-z0-9])){{1,4}}"),
     (1, 1, ":", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
-    (3, 1, "", r"(?<![0-9+(.\-])(?<![0-9] )(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .\-])[2-9][0-9]{2}[ .\-][0-9]{4}(?![0-9.\-]|\s[0-9])"),
+    (3, 1, "", r"(?<![0-9+(.\-])(?<![0-9] )(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9.\-]|\s[0-9])"),
 )
 
 
@@ -59,7 +62,7 @@ def _valid(kind: int, form: int, match: Column) -> Column:
     digits = _digits(match)
     n = F.length(digits)
     if form == 1:
-        return F.lit(True)
+        return digits.rlike(r"^(?:[2-9](?!11)[0-9]{2}){2}") if kind == 3 else F.lit(True)
     return (F.lit(True), match.rlike(rf"^{BYTE}\.{BYTE}\.{BYTE}\.{BYTE}$"), n.between(12, 19) & luhn(digits), n.between(9, 15))[kind]
 
 
@@ -120,11 +123,14 @@ class Stump:
         return F.when(span[self.root[0]] <= self.root[1], side(0)).otherwise(side(1))
 
 
+Cell = tuple[dict[str, int], int, int]
+
+
 @dataclass
 class Boosted:
     start: float
     trees: list[Stump]
-    threshold: float
+    thresholds: dict[int, float] = field(default_factory=dict)
 
     def score(self, x: dict[str, int]) -> float:
         return self.start + sum(t.value(x) for t in self.trees)
@@ -135,15 +141,27 @@ class Boosted:
             total = total + t.column(span)
         return total
 
+    def calibrate(self, cells: list[Cell], precision: float = 0.98) -> None:
+        """Per kind the lowest score at which the cells' candidates with that score or more have this precision."""
+        for kind in range(len(KINDS)):
+            good = bad = 0
+            self.thresholds[kind] = math.inf
+            scored = sorted(((self.score(x), p, n) for x, p, n in cells if x["kind"] == kind), reverse=True)
+            for i, (s, p, n) in enumerate(scored):
+                good, bad = good + p, bad + n
+                if good >= precision * (good + bad) and good and (i + 1 == len(scored) or scored[i + 1][0] < s - 1e-9):
+                    self.thresholds[kind] = s - 1e-9
 
-Cell = tuple[dict[str, int], int, int]
+    def selects(self, span: Column) -> Column:
+        thresholds = F.array(*[F.lit(self.thresholds.get(k, math.inf)) for k in range(len(KINDS))])
+        return (span["valid"] == 1) & (self.column(span) >= F.element_at(thresholds, span["kind"] + 1))
 
 
-def _best(cells: list[tuple[dict, float, float]], ridge: float) -> tuple[float, tuple[str, int]]:
+def _best(cells: list[tuple[dict, float, float]], features: tuple, ridge: float) -> tuple[float, tuple[str, int]]:
     """The split with the largest gain of (sum of gradients)² / (sum of curvatures)."""
     g_all, h_all = sum(g for _, g, _ in cells), sum(h for _, _, h in cells)
-    best = (g_all * g_all / (h_all + ridge), (FEATURES[0][0], FEATURES[0][1]))
-    for name, values in FEATURES:
+    best = (g_all * g_all / (h_all + ridge), features[0])
+    for name, values in features:
         by = [[0.0, 0.0] for _ in range(values)]
         for x, g, h in cells:
             by[x[name]][0] += g
@@ -157,21 +175,21 @@ def _best(cells: list[tuple[dict, float, float]], ridge: float) -> tuple[float,
     return best
 
 
-def boost(cells: list[Cell], rounds: int = 12, rate: float = 0.5, ridge: float = 1.0, precision: float = 0.98) -> Boosted | None:
-    """cells: (features, positives, negatives). None without positives."""
+def boost(cells: list[Cell], features: tuple = FEATURES, rounds: int = 12, rate: float = 0.5, ridge: float = 1.0) -> Boosted | None:
+    """cells: (features, positives, negatives); features: those to split on. None without positives."""
     positives, negatives = sum(p for _, p, _ in cells), sum(n for _, _, n in cells)
     if not positives:
         return None
-    model = Boosted(math.log((positives + 1) / (negatives + 1)), [], 0.0)
+    model = Boosted(math.log((positives + 1) / (negatives + 1)), [])
     scores = [model.start] * len(cells)
     for _ in range(rounds):
         data = []
         for (x, p, n), s in zip(cells, scores):
             q = 1 / (1 + math.exp(-max(-30.0, min(30.0, s))))
             data.append((x, p - (p + n) * q, (p + n) * q * (1 - q)))
-        root = _best(data, ridge)[1]
+        root = _best(data, features, ridge)[1]
         halves = [[c for c in data if (c[0][root[0]] > root[1]) == right] for right in (False, True)]
-        sides = tuple(_best(h, ridge)[1] if h else root for h in halves)
+        sides = tuple(_best(h, features, ridge)[1] if h else root for h in halves)
         leaves = []
         for (name, cut), half in zip(sides, halves):
             for right in (False, True):
@@ -180,21 +198,19 @@ def boost(cells: list[Cell], rounds: int = 12, rate: float = 0.5, ridge: float =
         tree = Stump(root, sides, tuple(leaves))
         model.trees.append(tree)
         scores = [s + tree.value(x) for s, (x, _, _) in zip(scores, cells)]
-    ranked, good, bad, model.threshold = sorted(zip(scores, cells), key=lambda c: -c[0]), 0, 0, math.inf
-    for s, (_, p, n) in ranked:
-        good, bad = good + p, bad + n
-        if good >= precision * (good + bad):
-            model.threshold = s - 1e-9
     return model
 
 
 def train(found: DataFrame) -> Boosted | None:
-    """Boosts on the histogram of the base candidates' features."""
-    names = [n for n, _ in FEATURES]
-    base = found.select(F.explode(F.filter("spans", lambda s: s["form"] == 0)).alias("s"))
-    rows = base.groupBy(*[F.col(f"s.{n}").alias(n) for n in names]).count().collect()  # CELLS rows at most
-    cells = [({n: r[n] for n in names}, r["count"] * r["valid"], r["count"] * (1 - r["valid"])) for r in rows]
-    return boost(cells)
+    """Boosts on the histogram of all candidates' features and calibrates on that of the further spellings."""
+    names = [n for n, _ in SPLITS]
+    spans = found.select(F.explode("spans").alias("s"))
+    rows = spans.groupBy(*[F.col(f"s.{n}").alias(n) for n in names]).agg(F.sum("s.valid").alias("good"), F.count("*").alias("n")).collect()  # CELLS rows at most
+    cells = [({n: r[n] for n in names}, r["good"], r["n"] - r["good"]) for r in rows]
+    model = boost(cells, SPLITS)
+    if model:
+        model.calibrate([c for c in cells if c[0]["form"] == 1])
+    return model
 
 
 def select_spans(found: DataFrame, model: Boosted | None) -> DataFrame:
@@ -203,7 +219,7 @@ def select_spans(found: DataFrame, model: Boosted | None) -> DataFrame:
     rows = found.withColumn("base", F.array_sort(base))
     if model is None:
         return rows.withColumn("chosen", F.col("base"))
-    added = F.filter("spans", lambda s: (s["form"] == 1) & (model.column(s) >= model.threshold) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    added = F.filter("spans", lambda s: (s["form"] == 1) & model.selects(s) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     return rows.withColumn("chosen", F.array_sort(F.concat("base", added)))
 
 
