@@ -1,12 +1,14 @@
 """Quality classifier: regularised quadratic discriminant analysis.
 
 Each text becomes a short vector of transformed statistics. Per class the mean and the covariance come from sums that Spark adds
-up over all labelled training rows; the covariance is shrunk towards the pooled one and a scaled identity. A score is the
-logistic of the difference of the two Mahalanobis log densities, computed with Cholesky factors that are made once.
-
-Defined results: a null text counts as empty; a label whose quality is null, and a document without a label, teach nothing. A
-class without training rows borrows the other's covariance and the standard normal mean, so that scores stay defined. Repeated
-doc_ids are scored row by row, and a label teaches each of them.
+up over labelled training rows (all, or a sample by hash where they are more than MOST_LABELS); the covariance is shrunk towards the
+pooled one and a scaled identity. A score is the logistic of the difference of the two Mahalanobis log densities, computed with
+Cholesky factors that are made once. Texts are scored whole, one at a time, in one pass over the table.
+
+Defined results: a null text counts as empty; a label whose quality is null or whose doc_id is null, and a document without a label,
+teach nothing; of several labels of one doc_id the largest counts. A class without training rows borrows the other's covariance and
+the standard normal mean, so that scores stay defined. Repeated doc_ids are scored row by row, and a label teaches each of them; equal
+texts get equal scores. An empty table gives an empty one. Further columns of any name pass through `drop_low_quality` untouched.
 """
 
 from __future__ import annotations
@@ -18,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, raw, slices, texts
+from .common import raw, slices, texts
 from .quality_rules import measure
 
 FEATURES = ("log_words", "word_length", "symbols", "dup_lines", "repeat_words", "upper", "letters", "bars", "distinct", "doubled", "exclamations", "log_longest")
 D = len(FEATURES)
+#: Labelled training rows that teach, about, where there are more: a sample by hash, which bounds what is broadcast. The model has 2 (D + 1)² sums.
+MOST_LABELS = 50_000
 
 
 def features(text: bytes) -> list[float]:
@@ -41,14 +45,15 @@ def _doubled(words: list[bytes]) -> float:
     return float(np.sqrt(sum(a == b for a, b in zip(words, words[1:])) / max(len(words), 1)))
 
 
-def _features(batches):
-    for part in slices(batches):
-        x = np.array([features(t) for t in raw(part.column("text"))], np.float64)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), D).cast(pa.list_(pa.float64()))], names=["doc_id", "x"])
+def _matrix(texts: list[bytes]) -> np.ndarray:
+    return np.array([features(t) for t in texts], np.float64).reshape(-1, D)
 
 
-def document_features(docs: DataFrame) -> DataFrame:
-    return texts(docs).mapInArrow(_features, "doc_id long, x array<double>")
+def _features(batches):
+    """x and label of labelled texts."""
+    for part in slices(batches):
+        x = _matrix(raw(part.column("text")))
+        yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), D).cast(pa.list_(pa.float64())), part.column("label")], names=["x", "label"])
 
 
 def _sums(batches):
@@ -106,22 +111,40 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+def taught_labels(labels: DataFrame, most: int) -> DataFrame:
+    """doc_id and label of the labels that may teach: about `most` of them, chosen by a hash of doc_id, where there are more."""
+    known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("label"))
+    known = known.filter(~held_out(F.col("doc_id")))
+    share = most / max(known.count(), 1)
+    return known if share >= 1 else known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(share * (1 << 32)))
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> Qda:
+    """The labels, of a bounded number, go to the texts, so that no text is shuffled and only taught ones are measured."""
+    taught = texts(docs).join(F.broadcast(taught_labels(labels, most)), "doc_id").select("text", "label")
+    return fit(taught.mapInArrow(_features, "x array<double>, label int"))
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_labels: int = MOST_LABELS) -> DataFrame:
     """doc_id, held_out, score and predicted of each row of docs; labels of held-out rows are never read."""
-    rows = materialize(document_features(docs), "quality-features")
-    known = labels.filter(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("label"))
-    model = fit(rows.filter(~held_out(F.col("doc_id"))).join(known, "doc_id"))
+    model = train(docs, labels, most_labels)
 
     def score(batches):
-        for batch in batches:
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, D)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x))], names=["doc_id", "score"])
+        for part in slices(batches):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.score(_matrix(raw(part.column("text")))))], names=["doc_id", "score"])
 
-    scored = rows.mapInArrow(score, "doc_id long, score double")
+    scored = texts(docs).mapInArrow(score, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs that the classifier accepts, with all their columns."""
-    rejected = score_documents(docs, labels, threshold).filter("predicted = 0").select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["_rejected"]), "left_anti")
+def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_labels: int = MOST_LABELS) -> DataFrame:
+    """The rows of docs that the classifier accepts, with all their columns. Each row is decided by its own text in the pass that
+    carries it, so rows without a doc_id, or with a repeated one, don't decide on each other."""
+    model = train(docs, labels, most_labels)
+
+    def keep(batches):
+        for part in slices(batches):
+            found = raw(part.column("text").fill_null(""))
+            yield part.filter(pa.array(model.score(_matrix(found)) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
