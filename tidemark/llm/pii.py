@@ -2,15 +2,17 @@
 
 High-recall generators mark candidate spans: the base formats (email, ip, card, phone), whose valid matches are always redacted,
 and further spellings (an address with [at] and [dot], a phone number without its country code, a full IPv6 address). A candidate
-has a few small features of format and context. Trees are boosted on the histogram of these features over all candidates of the
-corpus; the histogram has at most CELLS rows whatever the corpus. The labels are the formats' own checks (Luhn, ranges, digit counts,
+has a few small features of format and context. Trees are boosted on the histogram of these features over the candidates of three of
+four documents; it has at most CELLS rows whatever the corpus. The labels are the formats' own checks (Luhn, ranges, digit counts,
 the digits that area and exchange codes may have), and what these checks read is no feature of the trees: numbers of a phone's shape
-that no phone can have show in which contexts the shape means something else. Per kind the lowest score at which the further spellings
-of the histogram reach the wanted precision selects among them; those that fail their own check are never selected.
+that no phone can have show in which contexts the shape means something else. On the fourth document of four, which trained nothing,
+the lowest score at which a kind's further spellings reach the wanted precision becomes its threshold; spellings that fail their own
+check are never selected.
 
 Positions count code points, end exclusive. Defined results: a null text counts as empty and has no span; U+0001 in a text is an
-ordinary character; where spans of two kinds overlap both are reported, and redaction joins them; an added span that overlaps a
-base span is left out; a text without candidates, and an empty table, train nothing, and then no span is added.
+ordinary character; very long texts are read whole, their matches a chunk at a time; where spans of two kinds overlap both are reported,
+and redaction joins them; an added span that overlaps a base span is left out; equal rows get equal spans; a text without candidates, and
+an empty table, train nothing, and then no span is added; a null doc_id trains; further columns of any name pass through `redact`.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import materialize, texts
 
 KINDS = ("email", "ip", "card", "phone")
 SPAN = "array<struct<start:int,kind:int,end:int,form:int,valid:int,digits:int,separators:int,cue:int,alone:int,uniform:int>>"
@@ -30,6 +32,10 @@ FEATURES = (("kind", 4), ("form", 2), ("valid", 2), ("digits", 6), ("separators"
 CELLS = math.prod(n for _, n in FEATURES)
 #: What the trees may split on: not the check that gives the labels.
 SPLITS = tuple(f for f in FEATURES if f[0] != "valid")
+#: Parts of a text that one aggregate goes through; even, so that a chunk starts between matches.
+CHUNK = 256
+#: One doc_id in so many calibrates and doesn't train.
+FOLDS = 4
 #: Words that announce personal data.
 CUES = r"(?i)(?:mail|e-mail|phone|tel|call|fax|mobile|card|visa|account|address|contact|ip|host|reach)[^\n]{0,12}$"
 
@@ -67,8 +73,9 @@ def _valid(kind: int, form: int, match: Column) -> Column:
 
 
 def _spans(text: Column, kind: int, form: int, gate: str, pattern: str) -> Column:
-    """The candidates of one generator: matches are set between U+0001 marks, the text is split there, and lengths add up."""
-    parts = F.split(F.regexp_replace(text, pattern, "\x01$0\x01"), "\x01", -1)
+    """The candidates of one generator: matches are set between U+0001 marks, the text is split there, and lengths add up. The parts
+    are taken CHUNK at a time, as each step of an aggregate copies what it has gathered."""
+    marked = F.split(F.regexp_replace(text, pattern, "\x01$0\x01"), "\x01", -1)
 
     def candidate(state: Column, part: Column, before: Column) -> Column:
         digits = _digits(part)
@@ -86,20 +93,35 @@ def _spans(text: Column, kind: int, form: int, gate: str, pattern: str) -> Colum
             F.when(state["match"], F.concat(state["out"], F.array(candidate(state, part, state["before"])))).otherwise(state["out"]).alias("out"),
         )
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), F.lit("").alias("before"), F.array().cast(SPAN).alias("out"))
-    found = F.when(F.size(parts) > 1, F.aggregate(parts, start, step, lambda s: s["out"]))
+    def of_parts(parts: Column) -> Column:
+        chunk = lambda i: F.slice(parts, i * CHUNK + 1, CHUNK)
+        length = lambda i: F.aggregate(chunk(i), F.lit(0), lambda n, part: n + F.length(part))
+        later = F.transform(F.sequence(F.lit(1), F.greatest(F.floor((F.size(parts) - 1) / CHUNK).cast("int"), F.lit(1))), lambda i: i - 1)
+        starts = F.aggregate(later, F.array(F.lit(0)), lambda at, i: F.concat(at, F.array(F.element_at(at, -1) + length(i))))
+
+        def one(at: Column, i: Column) -> Column:
+            start = F.struct(at.alias("at"), F.lit(False).alias("match"), F.lit("").alias("before"), F.array().cast(SPAN).alias("out"))
+            return F.aggregate(chunk(i), start, step, lambda x: x["out"])
+
+        return F.when(F.size(parts) <= 1, F.array().cast(SPAN)).when(F.size(parts) <= CHUNK, one(F.lit(0), F.lit(0))).otherwise(F.flatten(F.transform(starts, one)))
+
+    # The array of one binds the parts to a name, so that they are made once.
+    found = F.flatten(F.transform(F.array(marked), of_parts))
     if gate:
         found = F.when(F.contains(text, F.lit(gate)), found)
     return F.coalesce(found, F.array().cast(SPAN))
 
 
+def spans_of(text: Column) -> Column:
+    """All candidates of a text with their features, base ones first. U+0001 marks matches; in a text it stands for itself."""
+    plain = F.when(F.contains(text, F.lit("\x01")), F.replace(text, F.lit("\x01"), F.lit("\x02"))).otherwise(text)
+    return F.flatten(F.transform(F.array(plain), lambda t: F.concat(*[_spans(t, *g) for g in GENERATORS]).cast(SPAN)))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, text and `spans`, an array of candidates with their features, base ones first."""
+    """doc_id and `spans`, the candidates of every row of docs, as a table: they are found once and serve training and selection."""
     rows = texts(docs)
-    plain = F.when(F.contains("text", F.lit("\x01")), F.replace("text", F.lit("\x01"), F.lit("\x02"))).otherwise(F.col("text"))
-    rows = rows.withColumn("_plain", plain)
-    per = [_spans(F.col("_plain"), *g) for g in GENERATORS]
-    return rows.select("doc_id", "text", F.concat(*per).cast(SPAN).alias("spans"))
+    return materialize(rows.select("doc_id", spans_of(F.col("text")).alias("spans")), "candidates")
 
 
 @dataclass
@@ -141,12 +163,13 @@ class Boosted:
             total = total + t.column(span)
         return total
 
-    def calibrate(self, cells: list[Cell], precision: float = 0.98) -> None:
-        """Per kind the lowest score at which the cells' candidates with that score or more have this precision."""
+    def calibrate(self, cells: list[Cell], others: list[Cell], precision: float = 0.98) -> None:
+        """Per kind the lowest score at which the cells' candidates with that score or more have this precision; a kind that the cells lack takes the others."""
         for kind in range(len(KINDS)):
             good = bad = 0
             self.thresholds[kind] = math.inf
-            scored = sorted(((self.score(x), p, n) for x, p, n in cells if x["kind"] == kind), reverse=True)
+            own = [c for c in cells if c[0]["kind"] == kind] or [c for c in others if c[0]["kind"] == kind]
+            scored = sorted(((self.score(x), p, n) for x, p, n in own), reverse=True)
             for i, (s, p, n) in enumerate(scored):
                 good, bad = good + p, bad + n
                 if good >= precision * (good + bad) and good and (i + 1 == len(scored) or scored[i + 1][0] < s - 1e-9):
@@ -202,25 +225,36 @@ def boost(cells: list[Cell], features: tuple = FEATURES, rounds: int = 12, rate:
 
 
 def train(found: DataFrame) -> Boosted | None:
-    """Boosts on the histogram of all candidates' features and calibrates on that of the further spellings."""
+    """Boosts on the histogram of the candidates' features in three of four documents and calibrates on the further spellings of the
+    fourth. Where only that fourth has candidates, it trains as well."""
     names = [n for n, _ in SPLITS]
-    spans = found.select(F.explode("spans").alias("s"))
-    rows = spans.groupBy(*[F.col(f"s.{n}").alias(n) for n in names]).agg(F.sum("s.valid").alias("good"), F.count("*").alias("n")).collect()  # CELLS rows at most
-    cells = [({n: r[n] for n in names}, r["good"], r["n"] - r["good"]) for r in rows]
-    model = boost(cells, SPLITS)
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False)).alias("held")
+    spans = found.select(held, F.explode("spans").alias("s"))
+    rows = spans.groupBy("held", *[F.col(f"s.{n}").alias(n) for n in names]).agg(F.sum("s.valid").alias("good"), F.count("*").alias("n")).collect()  # CELLS rows at most
+    cells = [(r["held"], ({n: r[n] for n in names}, r["good"], r["n"] - r["good"])) for r in rows]
+    own = [c for h, c in cells if not h] or [c for _, c in cells]
+    model = boost(own, SPLITS) or boost([c for _, c in cells], SPLITS)
     if model:
-        model.calibrate([c for c in cells if c[0]["form"] == 1])
+        further = lambda x: [c for h, c in cells if h == x and c[0]["form"] == 1]
+        model.calibrate(further(True), further(False))
     return model
 
 
-def select_spans(found: DataFrame, model: Boosted | None) -> DataFrame:
-    """Adds `base`, the valid base spans, and `chosen`, those and the added ones, both sorted by start and kind."""
-    base = F.filter("spans", lambda s: (s["form"] == 0) & (s["valid"] == 1))
-    rows = found.withColumn("base", F.array_sort(base))
+def base_spans(spans: Column) -> Column:
+    """The valid base candidates, sorted by start and kind."""
+    return F.array_sort(F.filter(spans, lambda s: (s["form"] == 0) & (s["valid"] == 1)))
+
+
+def chosen_spans(spans: Column, model: Boosted | None) -> Column:
+    """The base spans and those of the further spellings that the model selects and no base span overlaps, sorted likewise."""
     if model is None:
-        return rows.withColumn("chosen", F.col("base"))
-    added = F.filter("spans", lambda s: (s["form"] == 1) & model.selects(s) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return rows.withColumn("chosen", F.array_sort(F.concat("base", added)))
+        return base_spans(spans)
+
+    def chosen(base: Column) -> Column:
+        added = F.filter(spans, lambda s: (s["form"] == 1) & model.selects(s) & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+        return F.array_sort(F.concat(base, added))
+
+    return F.flatten(F.transform(F.array(base_spans(spans)), chosen))
 
 
 def _listed(spans: str) -> Column:
@@ -231,7 +265,8 @@ def _listed(spans: str) -> Column:
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, the number of base spans of each kind, base_sha256 and spans of every row of docs."""
     found = candidates(docs)
-    rows = select_spans(found, train(found))
+    model = train(found)
+    rows = found.select("doc_id", base_spans(F.col("spans")).alias("base"), chosen_spans(F.col("spans"), model).alias("chosen"))
     of = lambda k: lambda s: s["kind"] == k
     counts = [F.size(F.filter("base", of(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return rows.select("doc_id", *counts, F.sha2(_listed("base").cast("binary"), 256).alias("base_sha256"), _listed("chosen").alias("spans"))
@@ -246,16 +281,12 @@ def redacted(text: Column, spans: Column) -> Column:
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], fresh).otherwise(state["out"]).alias("out"))
 
     joined = F.aggregate(spans, start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, joined).otherwise(text)
+    return F.when(text.isNotNull() & (F.size(spans) > 0), joined).otherwise(text)
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with the spans in their texts replaced; all columns stay, a null text stays null."""
-    found = candidates(docs)
-    model = train(found)
-    plain = F.coalesce("text", F.lit(""))
-    safe = F.when(F.contains(plain, F.lit("\x01")), F.replace(plain, F.lit("\x01"), F.lit("\x02"))).otherwise(plain)
-    names = docs.columns
-    rows = select_spans(docs.withColumn("spans", F.concat(*[_spans(safe, *g) for g in GENERATORS]).cast(SPAN)), model)
-    text = F.when(F.col("text").isNotNull(), redacted(F.col("text"), F.col("chosen"))).alias("text")
-    return rows.select(*[text if n == "text" else F.col(n) for n in names])
+    """docs with the spans in their texts replaced; all columns stay, whatever their names, and a null text stays null."""
+    whole = F.struct(*[F.col(f"`{n}`") for n in docs.columns])
+    found = materialize(docs.select(whole.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), spans_of(F.coalesce("text", F.lit(""))).alias("spans")), "candidates")
+    text = redacted(F.col("row.text"), chosen_spans(F.col("spans"), train(found)))
+    return found.select(*[(text if n == "text" else F.col("row").getField(n)).alias(n) for n in docs.columns])
