@@ -8,10 +8,12 @@ leading word is so common that several splitters share it. A bucket sorts its su
 over 8-byte characters; two windows are equal where both sorts put them in one run at the window's depths. Words that
 splitters part are compared across the buckets: each bucket passes on its smallest doc_id per such window.
 
-Suffixes travel in packed blocks, one per bucket and flush of a task.
+Suffixes travel in packed blocks, one per bucket and flush of a task, and so do the texts that meet their removed windows at the end.
 
 Defined results: a null text counts as empty; a null doc_id counts as larger than all others, and rows with one doc_id never remove
-bytes from each other; texts shorter than the window lose nothing.
+bytes from each other; a doc_id of 2**63 - 1 is a null one; texts shorter than the window lose nothing; very long texts are cut into
+overlapping stretches for the search alone; an empty table gives an empty one; only doc_id and text are read, so further columns of any
+name don't matter.
 """
 
 from __future__ import annotations
@@ -32,6 +34,10 @@ LAST = (1 << 63) - 1
 FLUSH = 400_000
 #: Windows that a task holds before it passes them on, some 100 MB.
 HELD_WINDOWS = 3_000_000
+#: Bytes of text that a task packs at a time per group of documents.
+HELD_TEXT = 24 << 20
+#: Bytes of text whose suffixes make a bucket, and bytes of a group of documents, at most about: numbers of both grow with the input.
+BUCKET_BYTES, PART_BYTES = 16 << 20, 32 << 20
 #: Sampled suffixes and bytes of sampled texts per bucket.
 OVERSAMPLE, SAMPLE_BYTES = 24, 256 << 10
 #: A leading word stays whole, in one bucket, while it has at most so many buckets' share of the suffixes.
@@ -140,19 +146,20 @@ def sample_splitters(rows: DataFrame, total: int, buckets: int, window: int) ->
 
 
 def _packed(right, left, doc, row, at, first, last) -> bytes:
+    """Suffixes in the order of their leads. Both sides stand in one string in the order of the text, so that what precedes one suffix
+    compresses against what follows another; numbers are delta coded and lie byte by byte."""
     order = np.argsort(_lead_key(right, doc), kind="stable")
-    columns = (right[order], left[order], doc[order], row[order], at[order].astype(np.int64), (at - first)[order].astype(np.uint8), (last - first)[order].astype(np.uint8))
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(np.ascontiguousarray(c.T).tobytes() if c.ndim == 1 else c.tobytes() for c in columns))
+    strings = np.concatenate([left[order, ::-1], right[order]], axis=1)
+    numbers = [np.diff(c[order].astype(np.int64), prepend=0).view(np.uint8).reshape(-1, 8).T for c in (doc, row, at)]
+    small = [c[order].astype(np.uint8) for c in (at - first, last - first)]
+    return zstandard.ZstdCompressor(level=4).compress(b"".join(np.ascontiguousarray(c).tobytes() for c in (strings, *numbers, *small)))
 
 
 def _unpacked(blob: bytes, n: int, window: int):
-    data, at, out = zstandard.ZstdDecompressor().decompress(blob), 0, []
-    for kind, width in ((np.uint8, window), (np.uint8, window - LEAD), (np.int64, 1), (np.int64, 1), (np.int64, 1), (np.uint8, 1), (np.uint8, 1)):
-        size = n * width * np.dtype(kind).itemsize
-        column = np.frombuffer(data, kind, n * width, at)
-        out.append(column.reshape(n, width) if width > 1 else column)
-        at += size
-    return out
+    data, reach = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8), window - LEAD
+    strings, rest = data[: n * (reach + window)].reshape(n, reach + window), data[n * (reach + window) :]
+    doc, row, at = (np.cumsum(np.ascontiguousarray(x.T).view(np.int64).ravel()) for x in rest[: 24 * n].reshape(3, 8, n))
+    return [strings[:, reach:], strings[:, :reach][:, ::-1], doc, row, at, rest[24 * n : 25 * n], rest[25 * n :]]
 
 
 def _blocks(splitters: list[bytes], window: int):
@@ -318,7 +325,7 @@ def _flushed(gone: list, open_windows: list, parts: int):
         yield from _by_group(*(np.concatenate(x) for x in zip(*gone)), parts)
     if open_windows:
         found = np.concatenate(open_windows, axis=1)
-        yield from _blocks_of(_part(found[0].copy(), parts), found, True)
+        yield from _blocks_of(np.mod(found[0], parts), found, True)
 
 
 def _blocks_of(part: np.ndarray, columns: np.ndarray, undecided: bool):
@@ -354,13 +361,49 @@ BLOCK = "part int, n long, block binary"
 BLOCK_SCHEMA = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("block", pa.binary())])
 
 
-def _part(doc: np.ndarray, parts: int) -> np.ndarray:
-    x = doc.view(np.uint64)
-    return np.mod((x ^ (x >> np.uint64(15)) ^ (x >> np.uint64(33))).view(np.int64), parts)
+def _part(doc: np.ndarray, row: np.ndarray, parts: int) -> np.ndarray:
+    x = _mix(doc.view(np.uint64) + row.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return (x % np.uint64(parts)).astype(np.int64)
+
+
+def _text_blocks(parts: int):
+    """Packs a task's texts per group of documents: their ids and row keys, whether the id is null, ends and bytes."""
+
+    def flush(held):
+        docs, keys, sizes, bodies = (np.concatenate([x[k] for x in held]) for k in range(4))
+        part, ends = _part(docs, keys, parts), np.cumsum(sizes)
+        order = np.argsort(part, kind="stable")
+        ids, starts = np.unique(part[order], return_index=True)
+        blocks, counts = [], []
+        for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(order)]):
+            i = order[a:z]
+            body = bodies[joined_ranges((ends - sizes)[i], sizes[i])]
+            blocks.append(zstandard.ZstdCompressor(level=3).compress(np.concatenate([docs[i], keys[i], sizes[i]]).tobytes() + body.tobytes()))
+            counts.append(z - a)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(counts, pa.int64()), pa.array(blocks, pa.binary())], names=NAMES)
+
+    def run(batches):
+        held, size = [], 0
+        for data, cuts, docs, keys in _documents(batches):
+            held.append((docs, keys, np.diff(cuts), data))
+            size += len(data)
+            if size > HELD_TEXT:
+                yield flush(held)
+                held, size = [], 0
+        if held:
+            yield flush(held)
+
+    return run
 
 
-def _part_column(doc, parts: int):
-    return F.pmod(doc.bitwiseXOR(F.shiftrightunsigned(doc, 15)).bitwiseXOR(F.shiftrightunsigned(doc, 33)), F.lit(parts)).cast("int")
+def _texts_of(block: bytes, n: int):
+    """(doc id with LAST for null, row key, text) of a block."""
+    data = zstandard.ZstdDecompressor().decompress(block)
+    docs, keys, sizes = np.frombuffer(data, np.int64, 3 * n).reshape(3, n).tolist()
+    at = 24 * n
+    for doc, row, size in zip(docs, keys, sizes):
+        yield doc, row, data[at : at + size]
+        at += size
 
 
 def _by_group(doc: np.ndarray, row: np.ndarray, at: np.ndarray, parts: int):
@@ -372,7 +415,7 @@ def _by_group(doc: np.ndarray, row: np.ndarray, at: np.ndarray, parts: int):
     head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (at[1:] > at[:-1] + 1)]))
     last = at[np.append(head[1:], len(at)) - 1]
     doc, row, at = doc[head], row[head], at[head]
-    yield from _blocks_of(_part(doc, parts), np.stack([doc, row, at, last]), False)
+    yield from _blocks_of(_part(doc, row, parts), np.stack([doc, row, at, last]), False)
 
 
 def _result(text: bytes, first: np.ndarray, last: np.ndarray, window: int) -> tuple[int, int, int, str, bytes]:
@@ -397,12 +440,12 @@ def _apply(window: int, with_text: bool):
             for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), n]):
                 removed.setdefault((int(data[0, a]), int(data[1, a])), []).append(data[2:, a:z])
         rows = []
-        for batch in left.to_batches():
-            for doc, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text"))):
-                found = removed.get((LAST if doc is None else doc, row))
+        for m, block in zip(left.column("n").to_pylist(), left.column("block").to_pylist()):
+            for doc, row, text in _texts_of(block, m):
+                found = removed.get((doc, row))
                 spans = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-                got = _result(text.encode(), spans[0], spans[1], window)
-                rows.append((doc, *got[:4], *([got[4].decode(errors="replace")] if with_text else [])))
+                got = _result(text, spans[0], spans[1], window)
+                rows.append((None if doc == LAST else doc, *got[:4], *([got[4].decode(errors="replace")] if with_text else [])))
         kinds = [pa.int64()] * 4 + [pa.string()] * (1 + with_text)
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: 5 + with_text]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], names=names)
@@ -419,13 +462,13 @@ def remove_repeats(docs: DataFrame, window: int = 50, buckets: int | None = None
     shared_id, total = per_id.agg(F.coalesce(F.max("n") > 1, F.lit(False)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     rows = rows.withColumn("row", F.xxhash64("text") if shared_id else F.lit(0).cast("long"))  # tells rows of one doc_id apart
     n = shuffle_partitions(spark)
-    buckets, parts = buckets or 4 * n, 4 * n + 1
+    buckets, parts = buckets or max(4 * n, -(-total // BUCKET_BYTES)), max(4 * n, -(-total // PART_BYTES)) + 1
     splitters = sample_splitters(rows, total, buckets, window)
     blocks = rows.mapInArrow(_blocks(splitters, window), "bucket int, n long, block binary")
     sorted_blocks = blocks.repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket")
     compared = materialize(sorted_blocks.mapInArrow(_compare(splitters, window, parts), f"undecided boolean, {BLOCK}"), "repeats")
     across = compared.filter("undecided").select(NAMES).groupBy("part").applyInArrow(_compare_across(parts), BLOCK)
     runs = compared.filter("not undecided").select(NAMES).unionAll(across)
-    placed = rows.withColumn("part", _part_column(F.coalesce("doc_id", F.lit(LAST)), parts))
+    placed = rows.mapInArrow(_text_blocks(parts), BLOCK)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else "")
     return placed.groupBy("part").cogroup(runs.groupBy("part")).applyInArrow(_apply(window, with_text), schema)
