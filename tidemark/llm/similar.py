@@ -12,21 +12,26 @@ Near pairs decide nothing alone: they only gather texts into blocks. Within a bl
 wanted similarity, and every pair of texts is compared unless links join the two already. A block larger than CHUNK is cut into chunks:
 first each chunk is linked, then one text of each group found, and last, where a block still has several groups, every two chunks meet.
 
-Defined results: texts of one fingerprint are one node; texts of fewer words than a shingle have one shingle, the whole sequence;
-texts without words (null, empty, white space) are one group; a null doc_id is never a group's smallest unless the group has no
-other; an empty table gives an empty one; further columns pass through.
+Keys with more than KEY_CHUNK fingerprints are cut into chunks in the same way, so that no task holds a hot key whole.
+
+Defined results: texts of one fingerprint are one node, whatever their doc_ids, null ones included, and different texts of one doc_id
+are nodes of their own; texts of fewer words than a shingle have one shingle, the whole sequence; texts without words (null, empty,
+white space) are one group; a null doc_id counts as larger than all others, and of texts of one doc_id the one with the smaller hash
+comes first; a group whose rows all lack a doc_id has a null component_id and still keeps one text; rows equal in doc_id and text stay
+or go together; very long texts are read whole, one at a time; an empty table gives an empty one; further columns of any name pass through.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_ranges, materialize, raw, slices, texts
+from .common import joined_ranges, materialize, raw, slices
 from .components import components
 from .simhash import shingle_hashes
 
@@ -35,8 +40,11 @@ BITS = 64 * WORDS
 #: Segments of a chain: the shared one and those that follow it on the ring.
 CHAIN = 8
 SMALL = 16
-#: Texts of a block that are compared in one go, about.
-CHUNK = 128
+#: Texts of a block that are compared in one go, about, and fingerprints below a key.
+CHUNK, KEY_CHUNK = 128, 50_000
+#: Stands for a doc_id that is null.
+LAST = (1 << 63) - 1
+LinksOf = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def budget(similarity: float) -> int:
@@ -58,17 +66,32 @@ def wide_fingerprint(text: bytes, shingle: int = 5) -> bytes:
     return np.packbits((2 * counts > len(hashes)).astype(np.uint8), axis=1, bitorder="little").tobytes()
 
 
+def _segments(prints) -> np.ndarray:
+    return np.frombuffer(b"".join(raw(prints)), "<u2").reshape(-1, SEGMENTS)
+
+
 def _keys(batches):
-    """Per node and segment: place (segment and its value), print turned so that this segment comes first, node."""
+    """Per node and segment: place (segment and its value), payload (the print turned so that this segment comes first), node."""
     for batch in batches:
         for start in range(0, batch.num_rows, 1024):
             part = batch.slice(start, 1024)
-            prints = np.frombuffer(b"".join(raw(part.column("print"))), "<u2").reshape(-1, SEGMENTS)
+            prints = _segments(part.column("print"))
             for s in range(SEGMENTS):
                 turned = np.ascontiguousarray(np.roll(prints, -s, axis=1))
                 place = (s << SEGMENT_BITS) + turned[:, 0].astype(np.int32)
                 cells = pa.Array.from_buffers(pa.binary(), len(turned), [None, pa.py_buffer(np.arange(len(turned) + 1, dtype=np.int32) * (BITS // 8)), pa.py_buffer(turned)])
-                yield pa.RecordBatch.from_arrays([pa.array(place), cells, part.column("node")], names=["place", "print", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(place), cells, part.column("node")], names=["place", "payload", "node"])
+
+
+def _place_sizes(batches):
+    """A task's number of nodes at each place."""
+    total = np.zeros(SEGMENTS << SEGMENT_BITS, np.int64)
+    for batch in batches:
+        prints = _segments(batch.column("print"))
+        for s in range(SEGMENTS):
+            total[s << SEGMENT_BITS : (s + 1) << SEGMENT_BITS] += np.bincount(prints[:, s], minlength=1 << SEGMENT_BITS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["place", "n"])
 
 
 def _distance(x: np.ndarray, most: int) -> np.ndarray:
@@ -143,7 +166,7 @@ def _pairs(batches, most: int):
 
     held = None
     for batch in batches:
-        prints = np.frombuffer(b"".join(raw(batch.column("print"))), "<u2").reshape(-1, SEGMENTS)
+        prints = _segments(batch.column("payload"))
         rows = [batch.column("place").to_numpy(zero_copy_only=False), prints, batch.column("node").to_numpy(zero_copy_only=False)]
         rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
         last = np.flatnonzero(rows[0] != rows[0][-1])
@@ -156,10 +179,10 @@ def _pairs(batches, most: int):
 
 
 def _sets(batches, shingle: int):
-    """block, node and the node's sorted distinct shingles as 64-bit words."""
+    """block, node and as payload the node's sorted distinct shingles as 64-bit words."""
     for part in slices(batches):
         sets = [np.unique(np.array(shingle_hashes(t, shingle), "<u8")).tobytes() for t in raw(part.column("text"))]
-        yield pa.RecordBatch.from_arrays([part.column("block"), part.column("node"), pa.array(sets, pa.binary())], names=["block", "node", "shingles"])
+        yield pa.RecordBatch.from_arrays([part.column("block"), part.column("node"), pa.array(sets, pa.binary())], names=["block", "node", "payload"])
 
 
 def _forest(sets: list[np.ndarray], group: np.ndarray, similarity: float):
@@ -191,7 +214,7 @@ def _links(batches, similarity: float):
         yield pa.RecordBatch.from_arrays([pa.array([node[x[k]] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     for batch in batches:
-        for at, *row in zip(*(batch.column(c).to_pylist() for c in ("place", "node", "known", "shingles"))):
+        for at, *row in zip(*(batch.column(c).to_pylist() for c in ("place", "node", "known", "payload"))):
             if at != place and rows:
                 yield from out()
                 rows.clear()
@@ -201,70 +224,93 @@ def _links(batches, similarity: float):
         yield from out()
 
 
-def _joined(rows: DataFrame, similarity: float) -> DataFrame:
-    """Links between the rows (place, node, known, shingles) of each place."""
-    dealt = rows.select("place", "node", "known", "shingles").repartition("place").sortWithinPartitions("place")
-    return materialize(dealt.mapInArrow(lambda it: _links(it, similarity), "a long, b long").filter("a <> b"), "verified-links")
-
+def _joined(rows: DataFrame, links_of: LinksOf) -> DataFrame:
+    """Links between the rows (place, node, known, payload) of each place."""
+    dealt = rows.select("place", "node", "known", "payload").repartition("place").sortWithinPartitions("place")
+    return materialize(dealt.mapInArrow(links_of, "a long, b long").filter("a <> b"), "block-links")
 
-def _chunk(n: Column) -> Column:
-    return F.pmod(F.xxhash64("node"), F.ceil(n / CHUNK))
 
-
-def _verified(sets: DataFrame, similarity: float) -> DataFrame:
-    """Links of at least this similarity that join what such links join within each block of (block, node, shingles)."""
+def _spanning_links(members: DataFrame, links_of: LinksOf, chunk: int) -> DataFrame:
+    """Links between the members (block, node, payload) of each block that join whatever links at all join; `links_of` finds those below one place."""
     of_block = lambda df: df.groupBy("block").agg(F.count("*").alias("n"))
-    sizes = of_block(sets)
-    links = _joined(sets.join(sizes, "block").select(F.xxhash64("block", _chunk(F.col("n"))).alias("place"), "node", F.col("node").alias("known"), "shingles"), similarity)
-    large = sets.join(sizes.filter(F.col("n") > CHUNK).select("block"), "block", "left_semi")
+    chunk_of = lambda n: F.pmod(F.xxhash64("node"), F.ceil(n / chunk))
+    sizes = of_block(members)
+    links = _joined(members.join(sizes, "block").select(F.xxhash64("block", chunk_of(F.col("n"))).alias("place"), "node", F.col("node").alias("known"), "payload"), links_of)
+    large = members.join(sizes.filter(F.col("n") > chunk).select("block"), "block", "left_semi")
     if large.isEmpty():
         return links
 
     def grouped() -> DataFrame:
-        return large.join(components(links).withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("block", "node", "shingles", F.coalesce("component", "node").alias("known"))
+        return large.join(components(links).withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("block", "node", "payload", F.coalesce("component", "node").alias("known"))
 
     first = materialize(grouped().filter("node = known"), "first-of-groups")
-    links = links.union(_joined(first.join(of_block(first), "block").withColumn("place", F.xxhash64("block", _chunk(F.col("n")))), similarity))
+    links = links.union(_joined(first.join(of_block(first), "block").withColumn("place", F.xxhash64("block", chunk_of(F.col("n")))), links_of))
 
     # Every two chunks of a block with several groups, but those of one group; groups smaller than a chunk share chunks.
     found = materialize(grouped(), "groups")
     parts = found.groupBy("block", "known").agg(F.count("*").alias("n"))
-    several = parts.groupBy("block").agg(F.count("*").alias("k"), F.sum(F.when(F.col("n") < CHUNK, F.col("n"))).alias("rest")).filter("k > 1")
-    parts = parts.join(several, "block").select("block", F.col("known").alias("_known"), F.when(F.col("n") >= CHUNK, F.col("known")).alias("whole"), F.when(F.col("n") >= CHUNK, F.col("n")).otherwise(F.col("rest")).alias("n"))
+    several = parts.groupBy("block").agg(F.count("*").alias("k"), F.sum(F.when(F.col("n") < chunk, F.col("n"))).alias("rest")).filter("k > 1")
+    parts = parts.join(several, "block").select("block", F.col("known").alias("_known"), F.when(F.col("n") >= chunk, F.col("known")).alias("whole"), F.when(F.col("n") >= chunk, F.col("n")).otherwise(F.col("rest")).alias("n"))
     parts = parts.withColumnRenamed("block", "_block")
     found = found.join(parts, (F.col("block") == F.col("_block")) & (F.col("known") == F.col("_known")))
-    found = materialize(found.select("block", "node", "known", "shingles", "whole", F.xxhash64("whole", F.col("whole").isNull(), _chunk(F.col("n"))).alias("chunk")), "chunks")
+    found = materialize(found.select("block", "node", "known", "payload", "whole", F.xxhash64("whole", F.col("whole").isNull(), chunk_of(F.col("n"))).alias("chunk")), "chunks")
     chunks = materialize(found.select("block", "chunk", "whole").distinct(), "chunk-names")
     x, y = chunks.toDF("block", "x", "u"), chunks.toDF("_block", "y", "v")
     pairs = x.join(y, (F.col("block") == F.col("_block")) & (F.col("x") <= F.col("y")) & ~F.coalesce(F.col("u") == F.col("v"), F.lit(False)))
     sides = pairs.select(F.col("block").alias("_block"), F.xxhash64("block", "x", "y").alias("place"), F.explode(F.array_distinct(F.array("x", "y"))).alias("_chunk"))
-    return links.union(_joined(found.join(sides, (F.col("block") == F.col("_block")) & (F.col("chunk") == F.col("_chunk"))), similarity))
+    return links.union(_joined(found.join(sides, (F.col("block") == F.col("_block")) & (F.col("chunk") == F.col("_chunk"))), links_of))
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row per row of docs: doc_id and component_id, the smallest doc_id reachable over links between similar texts."""
+def _near(nodes: DataFrame, most: int) -> DataFrame:
+    """Near pairs of (print, node): those below each place, and for places with more than KEY_CHUNK nodes those of its chunks and what joins them."""
+    keyed = nodes.select("print", "node").mapInArrow(_keys, "place int, payload binary, node long")
+    links_of = lambda it: _pairs(it, most)
+    crowded = nodes.select("print").mapInArrow(_place_sizes, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).filter(F.col("n") > KEY_CHUNK).select("place")
+    crowded = materialize(crowded, "crowded-places")  # SEGMENTS << SEGMENT_BITS rows at most
+    if crowded.isEmpty():
+        return keyed.repartition("place").sortWithinPartitions("place").mapInArrow(links_of, "a long, b long").filter("a <> b")
+    rest = keyed.join(F.broadcast(crowded), "place", "left_anti").select("place", "payload", "node")
+    hot = materialize(keyed.join(F.broadcast(crowded), "place").select(F.col("place").cast("long").alias("block"), "node", "payload"), "crowded-keys")
+    return rest.repartition("place").sortWithinPartitions("place").mapInArrow(links_of, "a long, b long").filter("a <> b").union(_spanning_links(hot, links_of, KEY_CHUNK))
+
+
+def _identified(docs: DataFrame) -> tuple[Column, Column]:
+    """What tells rows of docs apart: doc_id, LAST for null, and a hash of the text."""
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)), F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
+
+def _placed(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, print), and each print's group by its first row: print, low_id, low_key."""
 
     def run(batches):
         for part in slices(batches):
             found = [wide_fingerprint(t, shingle) for t in raw(part.column("text"))]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "print"])
-
-    most = budget(similarity)
-    docs = texts(docs)
-    prints = materialize(docs.mapInArrow(run, "doc_id long, print binary"), "wide-fingerprints")
-    nodes = materialize(prints.groupBy("print").agg(F.min("doc_id").alias("node")).filter("node is not null"), "wide-nodes")
-    keyed = nodes.mapInArrow(_keys, "place int, print binary, node long").repartition("place").sortWithinPartitions("place")
-    near = keyed.mapInArrow(lambda it: _pairs(it, most), "a long, b long").filter("a <> b")
-    blocks = components(near).withColumnRenamed("component", "block")
-    wanted = docs.join(blocks, docs["doc_id"] == blocks["node"]).select("block", "node", "text")
-    sets = materialize(wanted.mapInArrow(lambda it: _sets(it, shingle), "block long, node long, shingles binary"), "shingle-sets")
-    links = _verified(sets, similarity)
-    named = components(links).withColumnRenamed("node", "_node")
-    placed = nodes.join(named, nodes["node"] == named["_node"], "left").select("print", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(placed, "print", "left").select("doc_id", "component_id")
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_key"), pa.array(found, pa.binary())], names=["id", "text_key", "print"])
+
+    row_id, text_key = _identified(docs)
+    rows = docs.select(row_id.alias("id"), text_key.alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
+    prints = materialize(rows.mapInArrow(run, "id long, text_key long, print binary"), "wide-fingerprints")
+    lowest = F.min(F.struct("id", "text_key")).alias("low")
+    nodes = materialize(prints.groupBy("print").agg(lowest).select("print", "low.*", F.monotonically_increasing_id().alias("node")), "wide-nodes")
+    blocks = components(_near(nodes, budget(similarity))).withColumnRenamed("component", "block")
+    heads = nodes.select("id", "text_key", "node").join(blocks, "node")
+    wanted = rows.join(heads, ["id", "text_key"]).dropDuplicates(["id", "text_key"]).select("block", "node", "text")
+    sets = materialize(wanted.mapInArrow(lambda it: _sets(it, shingle), "block long, node long, payload binary"), "shingle-sets")
+    named = components(_spanning_links(sets, lambda it: _links(it, similarity), CHUNK))
+    grouped = materialize(nodes.join(named, "node", "left").select("print", "id", "text_key", F.coalesce("component", "node").alias("component")), "similar-nodes")
+    first = grouped.groupBy("component").agg(lowest).select("component", F.col("low.id").alias("low_id"), F.col("low.text_key").alias("low_key"))
+    return prints, grouped.select("print", "component").join(first, "component").select("print", "low_id", "low_key")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per row of docs: doc_id and component_id, the smallest doc_id reachable over links between similar texts."""
+    prints, groups = _placed(docs, shingle, similarity)
+    given = lambda c: F.when(F.col(c) < LAST, F.col(c))
+    return prints.join(groups, "print").select(given("id").alias("doc_id"), given("low_id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with the document of the smallest doc_id of each group of similar texts, all columns; of rows that share that doc_id all stay."""
-    kept = similar_groups(docs, shingle, similarity).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """docs with one document of each group of similar texts, that of the smallest doc_id, all columns; rows that are equal in doc_id and text stay together."""
+    kept = _placed(docs, shingle, similarity)[1].select("low_id", "low_key").distinct()
+    row_id, text_key = _identified(docs)
+    return docs.join(kept, (row_id == kept["low_id"]) & (text_key == kept["low_key"]), "left_semi")
