@@ -3,11 +3,13 @@
 Pieces of at most `capacity` tokens differ, for packing, only in length, so the whole corpus reduces to a histogram of at most
 `capacity` counts. A configuration is a multiset of lengths that fits one sequence. Multiplicative weights solve the covering
 program over configurations: each round prices all lengths' best configurations by one knapsack dynamic program, and lengths that
-got more than their share lose weight. The fractional answer is rounded down, and what is left is filled by best fit, largest
-piece first, with the fullest completion that subset sums allow. Spark then ranks the pieces of each length by doc_id, in
-parallel, and deals rank r of a length to the configuration slot with that number.
+got more than their share lose weight. The fractional answer is rounded, what rounding leaves is solved again a few times, and the rest
+is filled by best fit, largest piece first, with the fullest completion that subset sums allow. Spark then ranks the pieces of each length
+by doc_id, in parallel, and deals rank r of a length to the configuration slot with that number.
 
-Defined results: a null text counts as empty and packs its end id alone; rows with equal doc_id are separate documents.
+Defined results: a null text counts as empty and packs its end id alone; rows with equal doc_id are separate documents, and equal
+rows equal pieces whose order doesn't matter; a null doc_id sorts first and passes through; very long texts give many full pieces;
+an empty table gives an empty one; only doc_id and text are read, so further columns of any name don't matter.
 """
 
 from __future__ import annotations
@@ -150,30 +152,56 @@ def _fill(left: np.ndarray, lengths: list[int], first: int, capacity: int) -> tu
     return tuple(sorted(got.items()))
 
 
-def plan(histogram: dict[int, int], capacity: int = 2048) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """(configuration as (length, count) pairs, number of sequences that use it); all pieces of the histogram are placed."""
+Plan = list[tuple[tuple[tuple[int, int], ...], int]]
+
+
+def solved(histogram: dict[int, int], capacity: int = 2048, solves: int = 4) -> tuple[Plan, Plan]:
+    """The sequences that the linear program gives, and those of best fit for what rounding leaves; each a list of (configuration as
+    (length, count) pairs, number of sequences that use it). All pieces of the histogram are placed.
+
+    A solution is rounded by carrying fractions on from configuration to configuration, as far as pieces are left; then the program is
+    solved for the pieces left. Configurations that waste tokens are left to best fit."""
     lengths = np.array(sorted(n for n, k in histogram.items() if k), np.int64)
     if not len(lengths):
-        return []
-    left = np.array([histogram[n] for n in lengths.tolist()], np.int64)
-    chosen: list[tuple[tuple, int]] = []
+        return [], []
+    sizes = lengths.tolist()
+    left = np.array([histogram[n] for n in sizes], np.int64)
+    by_program: dict[tuple, int] = {}
+    by_fit: dict[tuple, int] = {}
 
-    def use(c: tuple, times: int) -> None:
+    def use(into: dict, c: tuple, times: int) -> int:
+        times = min(times, *(int(left[j]) // a for j, a in c))
         if times > 0:
-            chosen.append((c, times))
+            into[c] = into.get(c, 0) + times
             for j, a in c:
                 left[j] -= a * times
+        return max(times, 0)
 
-    sizes = lengths.tolist()
-    full = lambda c: sum(a * sizes[j] for j, a in c)
-    for c, t in sorted(fractional(lengths, left.astype(float), capacity).items(), key=lambda x: (-full(x[0]), -x[1])):
-        if full(c) == capacity:
-            use(c, min(int(t), *(int(left[j]) // a for j, a in c)))
+    for turn in range(solves):
+        have, before = np.flatnonzero(left), int(left.sum())
+        if not before:
+            break
+        found = fractional(lengths[have], left[have].astype(float), capacity, 30 if not turn else 12)
+        carry = 0.0
+        for c, t in sorted(found.items(), key=lambda x: -x[1]):
+            c = tuple((int(have[j]), a) for j, a in c)
+            if sum(a * sizes[j] for j, a in c) == capacity:
+                carry += t
+                carry -= use(by_program, c, int(carry + 1e-9))
+        if before - left.sum() < 0.02 * before:
+            break
     for first in range(len(sizes) - 1, -1, -1):
         while left[first] > 0:
             c = _fill(left, sizes, first, capacity)
-            use(c, min(int(left[j]) // a for j, a in c))
-    return [(tuple((sizes[j], a) for j, a in c), n) for c, n in chosen]
+            use(by_fit, c, int(left[first]))
+    named = lambda plan: [(tuple((sizes[j], a) for j, a in c), n) for c, n in plan.items()]
+    return named(by_program), named(by_fit)
+
+
+def plan(histogram: dict[int, int], capacity: int = 2048) -> Plan:
+    """(configuration, number of sequences that use it): the program's, then those of best fit."""
+    by_program, by_fit = solved(histogram, capacity)
+    return by_program + by_fit
 
 
 def _slots(chosen) -> dict[int, tuple[np.ndarray, ...]]:
