@@ -1,32 +1,46 @@
 """Language-model scoring: a log-bilinear neural model trained in numpy with noise-contrastive estimation.
 
-The model predicts a token's class from the token before it: r = q[previous] C, score = r . q[next] + b[next]. Its classes are the
-most frequent words and one for all others; within that last class a word has the share of its smoothed count. Spark counts words
-and pairs of classes over all training documents; on the driver only the classes^2 pair counts remain, a bounded table, on which
-noise-contrastive estimation takes its expectations exactly. One batched matrix product then gives the normalised log
-probabilities of all classes after all classes.
+The model predicts a token from the two before it: r = C1 q[w-1] + C2 q[w-2], score = r . q[w] + b[w]. Its units are the most
+frequent words, each on its own, and buckets of all other words by their last three bytes; the numbers of both grow with the square
+root of the vocabulary. Units lie in classes of about equal root frequency: a class is predicted first (r . u[c] + a[c]), then the unit
+within it, both by the same r. A word of a bucket has the share of its smoothed count there. Batched matrix products normalise classes
+and units of a class exactly, so that a context's probabilities over all words, and one unseen word per bucket, sum to one.
+
+Training runs where the texts are: each task makes gradient steps over all its tokens, with noise drawn anew for every batch from the
+units' shares, and gives its parameters; those are averaged, each row by how often the task met it. ROUNDS passes take disjoint parts of
+the training documents, so that together they see each token once. Noise follows a seed and the task's number.
 
 Counts of words beyond the frequent ones never leave the executors: documents meet them in a join on the word.
 
 Defined results: a null text counts as empty and is its end token alone; a null doc_id has no remainder and trains; repeated
-rows are scored one by one. Without training rows all counts are zero and the model is uniform over its classes.
+rows are scored one by one, and equal texts get equal scores; very long texts are read whole. Without training rows all counts are zero
+and the model is uniform over its units. An empty table gives an empty one; only doc_id and text are read, so further columns don't matter.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import dataclass
+from math import isqrt
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, raw, slices, texts
+from .common import materialize, raw, shuffle_partitions, slices, texts
 from .simhash import LOWER
 
 END = b""
 #: Distinct words that a task holds before it passes on its counts.
 HELD_WORDS = 250_000
+#: Length of a word's vector, noise draws a batch, tokens a batch, passes.
+SIZE, NOISE, BATCH, ROUNDS = 24, 24, 4096, 2
+#: Tokens that a task holds at a time while it trains, and steps that it makes at least by going over them again, PASSES times at most.
+HELD_TOKENS, LEAST_STEPS, PASSES = 4_000_000, 150, 12
+#: Tokens scored at a time, and rows of parameters that travel together.
+SCORED_TOKENS, ROWS = 1 << 16, 256
 
 
 def words(text: bytes) -> list[bytes]:
@@ -51,115 +65,323 @@ def _count(batches):
         yield from out()
 
 
+def bucket(word: bytes, buckets: int) -> int:
+    return crc32(word[-3:]) % buckets
+
+
 class Codes(dict):
-    """Word to class; all other words share the last class."""
+    """Word to its place among the known ones; any other to len(known) + its bucket."""
 
-    def __init__(self, known: list[bytes], n: int):
-        super().__init__(zip(known[:n], range(n)))
-        self.other = min(n, len(known))
+    def __init__(self, known: list[bytes], buckets: int):
+        super().__init__(zip(known, range(len(known))))
+        self.n, self.buckets = len(known), buckets
 
     def __missing__(self, word):
-        return self.other
+        return self.n + crc32(word[-3:]) % self.buckets
+
+
+@dataclass
+class Units:
+    """unit_of: unit of each code; units lie by descending share, class c has those from first[c] to first[c + 1]."""
+
+    unit_of: np.ndarray
+    share: np.ndarray
+    first: np.ndarray
+
+    @property
+    def class_of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+
+
+def arrange(own_counts: list[int], bucket_sizes: np.ndarray, bucket_of_known: list[int]) -> Units:
+    """own_counts: of the known words that are units; bucket_sizes: smoothed counts of the buckets; bucket_of_known: of the known words that are none."""
+    sizes = np.concatenate([np.array(own_counts, float) + 1, bucket_sizes])
+    order = np.argsort(-sizes, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    n = len(own_counts)
+    share = sizes[order] / sizes.sum()
+    root = np.cumsum(np.sqrt(share))
+    cls = np.unique(((root - np.sqrt(share) / 2) / root[-1] * max(1, isqrt(len(share)))).astype(np.int64), return_inverse=True)[1]
+    first = np.append(np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]]), len(share))
+    return Units(np.concatenate([place[:n], place[n + np.array(bucket_of_known, np.int64)], place[n:]]), share, first)
+
+
+def _added(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """total[at] += rows, where at has repeats."""
+    order = np.argsort(at, kind="stable")
+    i = at[order]
+    head = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+    total[i[head]] += np.add.reduceat(rows[order], head, axis=0)
+
+
+class LogBilinear:
+    """All parameters are rows of one matrix: units (vector, bias), classes (vector, bias), and the two context matrices."""
+
+    def __init__(self, units: Units, seed: int = 7):
+        self.units, self.class_of = units, units.class_of
+        k, c = len(units.share), len(units.first) - 1
+        self.k, self.c = k, c
+        self.class_share = np.add.reduceat(units.share, units.first[:-1])
+        rng = np.random.default_rng(seed)
+        p = rng.normal(0, 0.1, (k + c + 2 * SIZE, SIZE + 1)).astype(np.float32)
+        p[:k, SIZE] = np.log(units.share / self.class_share[self.class_of])
+        p[k : k + c, SIZE] = np.log(self.class_share)
+        p[k + c :, :SIZE] = np.concatenate([np.eye(SIZE), 0.5 * np.eye(SIZE)])
+        p[k + c :, SIZE] = 0
+        self.p = p
+
+    def _context(self, before: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+        at, q = self.k + self.c, self.p[: self.k, :SIZE]
+        r = np.ones((len(before), SIZE + 1), np.float32)
+        r[:, :SIZE] = q[before] @ self.p[at : at + SIZE, :SIZE].T + q[earlier] @ self.p[at + SIZE :, :SIZE].T
+        return r
+
+    @staticmethod
+    def _contrast(r, target, noise, log_target, log_noise):
+        """Gradient of the noise-contrastive loss in the scores of the targets and of the noise that a batch shares."""
+        true = 1 / (1 + np.exp(np.clip(log_target - (r * target).sum(1), -30, 30))) - 1
+        false = 1 / (1 + np.exp(np.clip(log_noise - r @ noise.T, -30, 30)))
+        return true.astype(np.float32), false.astype(np.float32)
+
+    def step(self, state: np.ndarray, met: np.ndarray, rng, before, earlier, unit, rate: float) -> None:
+        """One step of Adagrad over a batch; state: sums of squared gradients; met: how often each row was met."""
+        p, k, first = self.p, self.k, self.units.first
+        cls = self.class_of[unit]
+        r = self._context(before, earlier)
+        grad = np.zeros_like(p)
+
+        drawn = rng.choice(self.c, NOISE, p=self.class_share)
+        true, false = self._contrast(r, p[k + cls], p[k + drawn], np.log(NOISE * self.class_share[cls]), np.log(NOISE * self.class_share[drawn]))
+        back = true[:, None] * p[k + cls] + false @ p[k + drawn]
+        _added(grad, k + cls, true[:, None] * r)
+        np.add.at(grad, k + drawn, false.T @ r)
+
+        order = np.argsort(cls, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, np.diff(cls[order]) != 0, True])
+        of_target = np.zeros(len(r), np.float32)
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            i = order[a:z]
+            lo, hi = first[cls[i[0]]], first[cls[i[0]] + 1]
+            if hi - lo < 2:
+                continue
+            own = self.units.share[lo:hi] / self.class_share[cls[i[0]]]
+            drawn = lo + np.searchsorted(np.cumsum(own), rng.random(NOISE) * (1 - 1e-9))
+            drawn = np.minimum(drawn, hi - 1)
+            rows = r[i]
+            true, false = self._contrast(rows, p[unit[i]], p[drawn], np.log(NOISE * own[unit[i] - lo]), np.log(NOISE * own[drawn - lo]))
+            of_target[i] = true
+            back[i] += true[:, None] * p[unit[i]] + false @ p[drawn]
+            np.add.at(grad, drawn, false.T @ rows)
+        _added(grad, unit, of_target[:, None] * r)
+
+        back = back[:, :SIZE]
+        at = k + self.c
+        for start, context in ((at, before), (at + SIZE, earlier)):
+            matrix, q = p[start : start + SIZE, :SIZE], p[context, :SIZE]
+            grad[start : start + SIZE, :SIZE] += back.T @ q / 16
+            own = np.zeros((len(context), SIZE + 1), np.float32)
+            own[:, :SIZE] = back @ matrix
+            _added(grad, context, own)
+        met[:k] += np.bincount(before, minlength=k) + np.bincount(earlier, minlength=k) + np.bincount(unit, minlength=k)
+        met[k:] += len(unit)
+        state += grad * grad
+        p -= rate * grad / np.sqrt(state)
+
+    def train(self, before, earlier, unit, seed: int, rate: float = 0.2) -> np.ndarray:
+        """Steps over all tokens, in order of the texts; short runs go over theirs again. Returns how often each row was met."""
+        rng, state, met = np.random.default_rng(seed), np.ones_like(self.p), np.zeros(len(self.p))
+        steps = -(-len(unit) // BATCH)
+        for _ in range(min(PASSES, -(-LEAST_STEPS // max(steps, 1)))):
+            for i in range(0, len(unit), BATCH):
+                j = slice(i, i + BATCH)
+                self.step(state, met, rng, before[j], earlier[j], unit[j], rate)
+        return met
+
+    def log_probabilities(self, before, earlier, unit) -> np.ndarray:
+        """Natural logarithms of each unit's probability after its context."""
+        p, k, first = self.p, self.k, self.units.first
+        r, cls = self._context(before, earlier), self.class_of[unit]
+        out = _log_softmax(r @ p[k : k + self.c].T, cls)
+        order = np.argsort(cls, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, np.diff(cls[order]) != 0, True])
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            i = order[a:z]
+            lo, hi = first[cls[i[0]]], first[cls[i[0]] + 1]
+            if hi - lo > 1:
+                out[i] += _log_softmax(r[i] @ p[lo:hi].T, unit[i] - lo)
+        return out
+
+
+def _log_softmax(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
+    scores = scores - scores.max(1, keepdims=True)
+    return scores[np.arange(len(at)), at] - np.log(np.exp(scores).sum(1))
+
+
+def _coded(found: list[bytes], code: Codes, units: Units):
+    """Of texts: all tokens, their codes and units, the units one and two before each (the end token before a text), and the texts' lengths."""
+    tokens = [words(t) for t in found]
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    flat = [w for ws in tokens for w in ws]
+    at = np.fromiter(map(code.__getitem__, flat), np.int64, len(flat))
+    unit, end = units.unit_of[at], units.unit_of[code[END]]
+    before, earlier = np.roll(unit, 1), np.roll(unit, 2)
+    starts = np.cumsum(sizes) - sizes
+    before[starts], earlier[starts] = end, end
+    second = starts[sizes > 1] + 1
+    earlier[second] = end
+    return flat, at, unit, before, earlier, sizes
+
+
+def _trainer(model: LogBilinear, known: list[bytes], buckets: int, seed: int):
+    """A task's parameters after its texts, in blocks of rows, with how often each row was met."""
 
-
-def _pairs(known: list[bytes], classes: int):
     def run(batches):
-        code = Codes(known, classes)
-        k = code.other + 1
-        total = np.zeros(k * k, np.int64)
+        from pyspark import TaskContext
+
+        code, start = Codes(known, buckets), model.p.copy()
+        own = LogBilinear(model.units)
+        own.p, met, held, size, turn = start.copy(), np.zeros(len(start)), [], 0, 0
+
+        def learn():
+            nonlocal met
+            met += own.train(*(np.concatenate(x) for x in zip(*held)), seed=[seed, TaskContext.get().partitionId(), turn])
+
         for part in slices(batches):
-            for text in raw(part.column("text")):
-                at = np.fromiter(map(code.__getitem__, words(text)), np.int64)
-                before = np.concatenate([at[-1:], at[:-1]])
-                np.add.at(total, before * k + at, 1)
-        i = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(total[i])], names=["pair", "n"])
+            _, _, unit, before, earlier, _ = _coded(raw(part.column("text")), code, model.units)
+            held.append((before, earlier, unit))
+            size += len(unit)
+            if size > HELD_TOKENS:
+                learn()
+                held, size, turn = [], 0, turn + 1
+        if held:
+            learn()
+        if not met.any():
+            return
+        for i in range(0, len(start), ROWS):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([i // ROWS], pa.int32()), pa.array([met[i : i + ROWS]], pa.list_(pa.float64())), pa.array([own.p[i : i + ROWS].ravel()], pa.list_(pa.float32()))], names=["block", "met", "p"]
+            )
 
     return run
 
 
-def train(pairs: np.ndarray, size: int = 24, noise: int = 10, steps: int = 80, rate: float = 0.05, seed: int = 7) -> np.ndarray:
-    """pairs[i, j]: how often class j followed class i. Returns the table of natural log probabilities of j after i."""
-    k = len(pairs)
-    rng = np.random.default_rng(seed)
-    n = pairs.sum()
-    unigram = (pairs.sum(0) + 0.5) / (n + 0.5 * k)
-    weight = pairs / max(n, 1)
-    context = weight.sum(1, keepdims=True)
-    p = {"q": rng.normal(0, 0.1, (k, size)), "c": np.eye(size) * 0.1, "b": np.log(unigram)}
-    m, v = ({x: np.zeros_like(y) for x, y in p.items()} for _ in range(2))
-    shift, negatives = np.log(noise * unigram), noise * context * unigram
-    for t in range(1, steps + 1):
-        r = p["q"] @ p["c"]
-        s = r @ p["q"].T + p["b"]
-        true = 1 / (1 + np.exp(-np.clip(s - shift, -40, 40)))
-        g = (weight + negatives) * true - weight
-        grad = {"b": g.sum(0), "c": p["q"].T @ (g @ p["q"]), "q": g.T @ r + (g @ p["q"]) @ p["c"].T}
-        for x in p:
-            m[x] = 0.9 * m[x] + 0.1 * grad[x]
-            v[x] = 0.99 * v[x] + 0.01 * grad[x] ** 2
-            p[x] = p[x] - rate * (m[x] / (1 - 0.9**t)) / (np.sqrt(v[x] / (1 - 0.99**t)) + 1e-10)
-        rate *= 0.98
-    s = (p["q"] @ p["c"]) @ p["q"].T + p["b"]
-    top = s.max(1, keepdims=True)
-    return s - top - np.log(np.exp(s - top).sum(1, keepdims=True))
-
-
-def _score(known: list[bytes], counts: list[int], table: np.ndarray):
-    """Per document what the frequent words decide, and the rare words with how often it has them."""
-    k = len(table) - 1
-    table = (table / np.log(10)).astype(np.float32)
+def _averaged(table: pa.Table) -> pa.Table:
+    """One block of parameters: each row the tasks' mean, weighted by how often they met it."""
+    total, weight = None, None
+    for met, p in zip(table.column("met").to_pylist(), table.column("p").to_pylist()):
+        met = np.array(met)
+        p = np.array(p).reshape(len(met), -1) * met[:, None]
+        total, weight = (p, met) if total is None else (total + p, weight + met)
+    mean = total / np.maximum(weight, 1e-9)[:, None]
+    return pa.table([pa.array([table.column("block")[0].as_py()], pa.int32()), pa.array([weight], pa.list_(pa.float64())), pa.array([mean.ravel().astype(np.float32)], pa.list_(pa.float32()))], names=["block", "met", "p"])
+
+
+def fit(training: DataFrame, known: list[bytes], buckets: int, units: Units, rounds: int = ROUNDS) -> LogBilinear:
+    """Rounds of training in the partitions of `training` (as many tasks as there are shuffle partitions at most, each of which gives one set
+    of parameters) and averaging of their parameters, a block of ROWS rows in one task."""
+    model, schema = LogBilinear(units), "block int, met array<double>, p array<float>"
+    for turn in range(rounds):
+        part = training.filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == turn).coalesce(shuffle_partitions(training.sparkSession))
+        blocks = part.mapInArrow(_trainer(model, known, buckets, turn), schema).groupBy("block").applyInArrow(_averaged, schema)
+        for block, met, p in zip(*blocks.toArrow().to_pydict().values()):  # as many rows as the model has, over ROWS
+            at = slice(block * ROWS, block * ROWS + len(met))
+            hit = np.array(met) > 0
+            model.p[at][hit] = np.array(p, np.float32).reshape(len(met), -1)[hit]
+    return model
+
+
+def _score(model: LogBilinear, known: list[bytes], counts: list[int], buckets: int, bucket_sizes: np.ndarray, is_unit: int):
+    """Per document what the known words decide, and the other words with how often it has them. The first is_unit known words are units."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        code = Codes(known, len(known))
-        log_c = np.append(np.log10(np.array(counts, float) + 1), 0.0)
+        code = Codes(known, buckets)
+        log_c = np.append(np.log10(np.array(counts, float) + 1), np.zeros(buckets))
+        # A word of a bucket has its smoothed count's share there.
+        of_bucket = np.array([*(bucket(w, buckets) for w in known), *range(buckets)], np.int64)
+        within = np.where(np.arange(len(log_c)) < is_unit, 0.0, log_c - np.log10(bucket_sizes)[of_bucket])
         row = TaskContext.get().partitionId() << 34
         for part in slices(batches):
-            out: list[list] = [[] for _ in range(8)]
-            for text in raw(part.column("text")):
-                tokens = words(text)
-                at = np.fromiter(map(code.__getitem__, tokens), np.int64, len(tokens))
-                rare = Counter(tokens[i] for i in np.flatnonzero(at == code.other).tolist())
-                classes = np.minimum(at, k)
-                lm = table[np.concatenate([classes[-1:], classes[:-1]]), classes].sum(dtype=float)
-                others = classes == k
-                for x, y in zip(out, (row, len(tokens), int((at < code.other).sum()), int(others.sum()), float(log_c[at].sum()), float(lm + log_c[at[others]].sum()), list(rare), list(rare.values()))):
-                    x.append(y)
-                row += 1
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, t) for x, t in zip(out, kinds))], names=["doc_id", *COLUMNS])
+            flat, at, unit, before, earlier, sizes = _coded(raw(part.column("text")), code, model.units)
+            lm = np.concatenate([np.zeros(0)] + [model.log_probabilities(before[i : i + SCORED_TOKENS], earlier[i : i + SCORED_TOKENS], unit[i : i + SCORED_TOKENS]) for i in range(0, len(unit), SCORED_TOKENS)]) / np.log(10)
+            starts = np.cumsum(sizes) - sizes
+            sums = [np.add.reduceat(x, starts) for x in ((at < len(known)).astype(np.int64), log_c[at], lm + within[at])]
+            rare, times = [], []
+            other = np.flatnonzero(at >= len(known))
+            cuts = np.searchsorted(other, np.append(starts, len(at)))
+            for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                c = Counter(flat[i] for i in other[a:z].tolist())
+                rare.append(list(c))
+                times.append(list(c.values()))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(row + np.arange(len(sizes))), pa.array(sizes), *(pa.array(x) for x in sums), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
+                names=["doc_id", "row", "n_tokens", "known", "log_c", "lm", "rare", "times"],
+            )
+            row += len(sizes)
 
     return run
 
 
-COLUMNS = ("row", "n_tokens", "known", "others", "log_c", "lm", "rare", "times")
-SCORED = "doc_id long, row long, n_tokens long, known long, others long, log_c double, lm double, rare array<binary>, times array<long>"
+SCORED = "doc_id long, row long, n_tokens long, known long, log_c double, lm double, rare array<binary>, times array<long>"
+
+
+def _bucket_sizes(own: list[bytes], buckets: int):
+    """Counts, and numbers of distinct words, of the words that are no units, per bucket."""
+
+    def run(batches):
+        skip, total = set(own), np.zeros(buckets, np.int64)
+        for batch in batches:
+            for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
+                if word not in skip:
+                    total[crc32(word[-3:]) % buckets] += c + 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["bucket", "n"])
+
+    return run
+
+
+@dataclass
+class Vocabulary:
+    """known: words whose counts a worker holds, the first n_units of them units of the model; bucket_sizes: smoothed counts of the buckets, the unseen word's 1 with them."""
+
+    known: list[bytes]
+    counts: list[int]
+    n_units: int
+    buckets: int
+    bucket_sizes: np.ndarray
+
+    def units(self) -> Units:
+        return arrange(self.counts[: self.n_units], self.bucket_sizes, [bucket(w, self.buckets) for w in self.known[self.n_units :]])
+
+
+def vocabulary(counts: DataFrame, v: int, per_root: float, frequent: int) -> Vocabulary:
+    """Of a table of v counted words. Units: per_root times the square root of v words and half the root of v buckets."""
+    n_units, buckets = int(per_root * v**0.5) + 1, isqrt(v) // 2 + 8
+    top = counts.orderBy(F.desc("c"), "word").limit(max(frequent, n_units)).collect()  # `frequent` rows, or the root of v times per_root
+    known = [bytes(r["word"]) for r in top]
+    n_units = min(n_units, len(known))
+    sizes = np.ones(buckets)
+    for b, n in counts.mapInArrow(_bucket_sizes(known[:n_units], buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():  # the root of v rows
+        sizes[b] += n
+    return Vocabulary(known, [r["c"] for r in top], n_units, buckets, sizes)
 
 
-def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, classes: int = 1024, frequent: int = 32768) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, per_root: float = 6.0, frequent: int = 32768) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held, F.lit(False))
     rows = texts(docs)
     training = rows.filter(~out)
     counts = materialize(training.mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(frequent).collect()  # `frequent` rows at most
-    known, known_counts = [bytes(r["word"]) for r in top], [r["c"] for r in top]
-    k = min(classes, len(known))
-    pairs = np.zeros((k + 1) ** 2)
-    found = training.mapInArrow(_pairs(known, k), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # (classes + 1)² rows at most
-    pairs[found.column("pair").to_numpy()] = found.column("n").to_numpy()
-    table = train(pairs.reshape(k + 1, k + 1))
-    other_mass = float(np.log10(n - sum(known_counts[:k]) + v - k + 1))
-    scored = materialize(rows.mapInArrow(_score(known, known_counts, table), SCORED), "scored")
+    found = vocabulary(counts, v, per_root, frequent)
+    model = fit(training, found.known, found.buckets, found.units())
+    scored = materialize(rows.mapInArrow(_score(model, found.known, found.counts, found.buckets, found.bucket_sizes, found.n_units), SCORED), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     met = rare.join(counts, "word").groupBy("row").agg(F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("rare_log_c"))
     met = met.withColumnRenamed("row", "_row")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return scored.join(met, scored["row"] == met["_row"], "left").select(
         "doc_id", out.alias("held_out"), "n_tokens", (F.col("known") + zero("rare_known")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("log_c") + zero("rare_log_c") - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"),
-        (F.col("lm") + zero("rare_log_c") - F.col("others") * other_mass).alias("score"),
+        (F.col("log_c") + zero("rare_log_c") - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"), (F.col("lm") + zero("rare_log_c")).alias("score"),
     )
