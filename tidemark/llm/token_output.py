@@ -6,12 +6,13 @@ encoded, and delta encoded where a column chunk outgrows its dictionary; row gro
 page indexes let a reader that asks for some doc_ids or for the metadata alone skip all other pages.
 
 Defined results: a null text counts as empty and gives the end id alone; rows with equal doc_id stand next to each other,
-ordered by text; a null doc_id comes first.
+ordered by a hash of the text; a null doc_id comes first; very long texts are encoded whole, one at a time; an empty table gives an empty one; only
+doc_id and text are read, so further columns of any name don't matter. Ranges are cut by doc_id and text, so that many rows of one
+doc_id, or without one, are still several ranges; only equal rows share a range whatever their number.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import offsets, shared_dir, shuffle_partitions, slices, texts
+from .common import new_path, offsets, shuffle_partitions, slices, texts
 from .tokens import RUN_BYTES, encoder
 
 FILE = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
@@ -51,7 +52,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2) -> No
     """Encodes every text, appends end and writes the files at path."""
     rows = texts(docs)
     n = shuffle_partitions(docs.sparkSession)
-    ranged = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    key = F.xxhash64("text")
+    ranged = rows.repartitionByRange(n, "doc_id", key).sortWithinPartitions("doc_id", key, "text")
     ranged.mapInArrow(_encoder(tokenizer, end), FILE).write.options(**WRITER).parquet(path)
 
 
@@ -79,6 +81,6 @@ def token_index(tokens: DataFrame) -> DataFrame:
 
 def encode_and_index(docs: DataFrame, tokenizer: str, end: int = 2) -> DataFrame:
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = new_path(spark, "tokens")
     write_tokens(docs, path, tokenizer, end)
     return token_index(read_tokens(spark, path))
