@@ -115,6 +115,29 @@ def test_token_output(data):
     same(token_output.encode_and_index(docs, BYTE), brute.op3(rows, t))
 
 
+def test_token_files_allow_selective_reads(spark, tmp_path):
+    """Row groups and pages of set sizes with page indexes, dictionary and delta encodings, columns of their own."""
+    import pyarrow.parquet as pq
+
+    r = random.Random(1)
+    docs = spark.createDataFrame([(i, " ".join(f"{r.choice(['the', 'of', 'x'])}{r.randint(0, 40000)}" for _ in range(120))) for i in range(6000)], "doc_id long, text string")
+    path = str(tmp_path / "tokens")
+    token_output.write_tokens(docs, path, BYTE)
+    tokens = token_output.read_tokens(spark, path)
+    assert tokens.count() == 6000 and [x["doc_id"] for x in tokens.filter("doc_id between 100 and 102").orderBy("doc_id").collect()] == [100, 101, 102]
+    assert "ids" not in tokens.select("doc_id", "n_tokens")._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+    encodings = set()
+    for file in sorted((tmp_path / "tokens").glob("*.parquet")):
+        meta = pq.ParquetFile(file).metadata
+        for g in range(meta.num_row_groups):
+            assert meta.row_group(g).total_byte_size <= 40 << 20
+            for c in range(meta.num_columns):
+                column = meta.row_group(g).column(c)
+                encodings |= set(column.encodings)
+                assert column.has_column_index and column.has_offset_index
+    assert any("DICTIONARY" in e for e in encodings) and any("DELTA" in e for e in encodings)
+
+
 def test_personal_data(data):
     docs, rows = data
     got = pii.personal_data(docs)
@@ -145,11 +168,29 @@ def test_redaction(spark):
     assert got == {1: "<email> and <ip> end", 2: None, 3: "clean", 4: "<phone>"}
 
 
-def test_boosting_separates():
-    cells = [({n: 0 for n, _ in pii.FEATURES} | {"kind": k, "valid": v, "cue": c}, 10 * v + k, 10 * (1 - v)) for k, v, c in itertools.product(range(4), range(2), range(2))]
-    model = pii.boost(cells)
-    assert min(model.score(x) for x, _, _ in cells if x["valid"]) > max(model.score(x) for x, _, _ in cells if not x["valid"])
+def test_redaction_passes_columns_of_any_name_through(spark):
+    rows = [(1, "a@b.co", "s", ["x"], 0.5, "p"), (2, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, base string, spans array<string>, chosen double, row string")
+    got = pii.redact(docs)
+    assert got.schema == docs.schema
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "<email>", "s", ["x"], 0.5, "p"), rows[1]]
+
+
+def test_personal_data_of_a_text_with_thousands_of_addresses(spark):
+    text = " ".join(f"u{i}@example.com, call 212-555-{i % 9000 + 1000:04d}" for i in range(3000))
+    rows = [(1, text), (2, "u@example.com"), (3, text[:9000])]
+    got = pii.personal_data(frame(spark, rows))
+    same(got, [x[:6] for x in brute.op4(rows)], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"])
+
+
+def test_boosting_learns_from_format_and_context_alone():
+    cells = [({n: 0 for n, _ in pii.FEATURES} | {"kind": k, "alone": a, "cue": c}, 10 * c + a, 10 * (1 - c)) for k, a, c in itertools.product(range(4), range(2), range(2))]
+    model = pii.boost(cells, pii.SPLITS)
+    assert all("valid" not in (t.root[0], *(n for n, _ in t.sides)) for t in model.trees)
+    assert min(model.score(x) for x, _, _ in cells if x["cue"]) > max(model.score(x) for x, _, _ in cells if not x["cue"])
     assert pii.boost([]) is None
+    model.calibrate(cells, [], 0.98)
+    assert all(min(model.score(x) for x, _, _ in cells if x["cue"]) >= model.thresholds[k] > max(model.score(x) for x, _, _ in cells if not x["cue"]) for k in range(4))
 
 
 def test_quality_rules(data):
@@ -243,13 +284,23 @@ def test_packing_plan_places_all_and_nears_the_bound():
     assert sum(n for _, n in packing.plan({1500: 10, 600: 7})) == 13
 
 
+def test_packing_takes_most_sequences_from_the_program():
+    rng = np.random.default_rng(9)
+    lengths = np.minimum(rng.lognormal(5.5, 1.2, 30_000).astype(int) + 1, 2048)
+    by_program, by_fit = packing.solved(dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)))))
+    program = sum(n for c, n in by_program if c != ((2048, 1),))
+    assert program > 0.6 * (program + sum(n for _, n in by_fit))
+    assert all(sum(k * a for k, a in c) == 2048 for c, _ in by_program)
+
+
 def test_lm_base(data):
     docs, rows = data
-    got = lm.score_documents(docs, classes=64, frequent=500)
+    got = lm.score_documents(docs, per_root=1.0, frequent=100)
     key = lambda r: repr(tuple(r)[:5])
     for a, b in zip(sorted(got.collect(), key=key), sorted(brute.op8(rows), key=key), strict=True):
         assert tuple(a)[:5] == b[:5]
         assert a["base_score"] == pytest.approx(b[5], abs=1e-6)
+        assert a["score"] < 0
 
 
 def test_lm_beats_the_base_on_held_out_texts(spark, sf_dir):
@@ -257,13 +308,66 @@ def test_lm_beats_the_base_on_held_out_texts(spark, sf_dir):
     assert got["sum(score)"] > got["sum(base_score)"]
 
 
-def test_lm_table_is_normalised():
+def words_model(counts: dict, n_units: int, buckets: int):
+    """A model over these counts, and its words' codes and shares within their units by the definition."""
+    known = sorted(counts, key=lambda w: (-counts[w], w))
+    rare = known[n_units:]
+    sizes = np.ones(buckets)
+    for w in rare:
+        sizes[lm.bucket(w, buckets)] += counts[w] + 1
+    units = lm.arrange([counts[w] for w in known[:n_units]], sizes, [lm.bucket(w, buckets) for w in rare])
+    within = {w: (counts[w] + 1) / sizes[lm.bucket(w, buckets)] if w in rare else 1.0 for w in known}
+    return lm.LogBilinear(units), lm.Codes(known, buckets), within, sizes
+
+
+def test_lm_is_normalised_over_the_vocabulary():
+    r = random.Random(2)
+    counts = {f"w{i}{r.choice('abcdef')}".encode(): 1 + 3000 // (i + 1) for i in range(400)} | {lm.END: 50}
+    model, code, within, sizes = words_model(counts, 60, 9)
     rng = np.random.default_rng(0)
-    table = lm.train(rng.integers(0, 50, (20, 20)).astype(float))
-    assert np.exp(table).sum(1) == pytest.approx(np.ones(20))
-    own = np.zeros((20, 20))
-    own[np.arange(20), (np.arange(20) + 1) % 20] = 100
-    assert (lm.train(own, size=20, steps=200).argmax(1) == (np.arange(20) + 1) % 20).all()
+    tokens = rng.integers(0, model.k, 3000)
+    model.train(tokens[:-2], tokens[1:-1], tokens[2:], seed=1)
+    all_units = np.arange(model.k)
+    for before, earlier in rng.integers(0, model.k, (5, 2)):
+        unit = np.exp(model.log_probabilities(np.full(model.k, before), np.full(model.k, earlier), all_units))
+        assert unit.sum() == pytest.approx(1, abs=1e-5)
+        p = sum(unit[model.units.unit_of[code[w]]] * within[w] for w in counts)
+        unseen = sum(unit[model.units.unit_of[code.n + b]] / sizes[b] for b in range(9))
+        assert p + unseen == pytest.approx(1, abs=1e-5)
+
+
+def test_lm_learns_which_word_follows():
+    counts = {f"w{i:02d}".encode(): 100 for i in range(30)}
+    model, *_ = words_model(counts, 30, 1)
+    tokens = np.tile(np.arange(30), 400)
+    before, earlier, unit = tokens[1:-1], tokens[:-2], tokens[2:]
+    start = model.log_probabilities(before, earlier, unit).mean()
+    for turn in range(3):
+        model.train(before, earlier, unit, seed=turn)
+    assert model.log_probabilities(before, earlier, unit).mean() > 0.2 * start
+
+
+def test_lm_score_equals_the_sum_over_tokens(spark):
+    """Every document's score, put together from the model's parts, with words that documents meet in a join."""
+    r = random.Random(4)
+    vocabulary = [f"x{i}{r.choice('abc')}" for i in range(300)]
+    rows = [(i, " ".join(r.choices(vocabulary, [1 / (k + 1) for k in range(300)], k=r.randint(0, 40)))) for i in range(120)] + [(500, "never seen words"), (501, None)]
+    docs = frame(spark, rows)
+    out = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    c = brute.Counter(w.encode() for d, t in rows if not out(d) for w in brute.WORD.findall(t or "")) + brute.Counter({lm.END: sum(not out(d) for d, _ in rows)})
+    counts = spark.createDataFrame(list(c.items()), "word binary, c long")
+    v = lm.vocabulary(counts, len(c), 2.0, 40)
+    model = lm.fit(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(~(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)), v.known, v.buckets, v.units())
+    code, expected = lm.Codes(v.known, v.buckets), {}
+    for d, t in rows:
+        tokens = [w.encode() for w in brute.WORD.findall(t or "")] + [lm.END]
+        unit = model.units.unit_of[[code[w] for w in tokens]]
+        end = model.units.unit_of[code[lm.END]]
+        context = np.concatenate([[end, end], unit])
+        total = model.log_probabilities(context[1:-1], context[:-2], unit).sum() / np.log(10)
+        expected[d] = total + sum(np.log10((c[w] + 1) / v.bucket_sizes[lm.bucket(w, v.buckets)]) for w in tokens if w not in v.known[: v.n_units])
+    got = {x["doc_id"]: x["score"] for x in lm.score_documents(docs, per_root=2.0, frequent=40).collect()}
+    assert got == {d: pytest.approx(x, abs=0.02) for d, x in expected.items()}
 
 
 def test_quality_classifier(spark, sf_dir):
@@ -282,6 +386,47 @@ def test_quality_classifier_on_awkward_rows(data, spark):
         assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
 
 
+def sf001(spark, sf_dir):
+    return [spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/{t}.parquet") for t in ("documents", "labels")]
+
+
+def test_quality_scores_equal_plain_quadratic_discriminants(spark, sf_dir):
+    docs, labels = sf001(spark, sf_dir)
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    x = {d: np.array(quality_classifier.features(t)) for d, t in texts.items()}
+    taught = [(r["doc_id"], r["quality"]) for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["doc_id"] in x]
+    own = [np.array([x[d] for d, q in taught if q == c]) for c in (0, 1)]
+    centred = [a - a.mean(0) for a in own]
+    pooled = sum(a.T @ a for a in centred) / (len(taught) - 2)
+    density = []
+    for a, b in zip(own, centred):
+        cov = 0.98 * (0.8 * b.T @ b / (len(a) - 1) + 0.2 * pooled) + 0.02 * np.diag(np.diag(pooled)) + 1e-6 * np.eye(len(pooled))
+        inverse, half = np.linalg.inv(cov), np.linalg.slogdet(cov)[1] / 2
+        density.append({d: -0.5 * (v - a.mean(0)) @ inverse @ (v - a.mean(0)) - half + np.log((len(a) + 1) / (len(taught) + 2)) for d, v in x.items()})
+    for r in quality_classifier.score_documents(docs, labels).collect():
+        d = np.clip(density[0][r["doc_id"]] - density[1][r["doc_id"]], -60, 60)
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(d)), abs=1e-6)
+
+
+def test_quality_stage_decides_row_by_row(spark, sf_dir):
+    docs, labels = sf001(spark, sf_dir)
+    scores = {r["doc_id"]: r["predicted"] for r in quality_classifier.score_documents(docs, labels).collect()}
+    lost = docs.withColumn("true_id", F.col("doc_id")).withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("doc_id")).when(F.col("doc_id") % 3 == 1, 0)).withColumn("_rejected", F.lit(1))
+    taught = {r["doc_id"] for r in labels.filter("doc_id % 3 = 0 and doc_id > 0").collect()}
+    model_labels = labels.filter(F.col("doc_id").isin(sorted(taught)))
+    kept = quality_classifier.drop_low_quality(lost, model_labels)
+    assert kept.columns == lost.columns
+    expected = {r["doc_id"]: r["predicted"] for r in quality_classifier.score_documents(docs, model_labels).collect()}
+    assert sorted(r["true_id"] for r in kept.collect()) == sorted(d for d, p in expected.items() if p)
+    assert scores and any(d % 3 == 2 and p for d, p in expected.items())
+
+
+def test_taught_labels_are_bounded(spark):
+    labels = spark.range(20_000).selectExpr("id as doc_id", "id % 2 as quality")
+    assert 300 < quality_classifier.taught_labels(labels, 400).count() < 500
+    assert quality_classifier.taught_labels(labels, 20_000).filter(quality_classifier.held_out(F.col("doc_id"))).isEmpty()
+
+
 def test_sentencepiece(data):
     docs, rows = data
     library = sentencepiece.SentencePieceProcessor(model_file=PIECE)
@@ -319,6 +464,12 @@ def test_sentencepiece_memory_grows_with_the_word_not_its_square():
     assert peak < 20 << 20
 
 
+def test_sentencepiece_of_a_very_long_word():
+    library, encoder = sentencepiece.SentencePieceProcessor(model_file=PIECE), sentencepieces.Encoder(sentencepieces.load(PIECE))
+    word = "".join(random.Random(10).choices("ABCDEFGHabcdefgh0123456789+/日本語", k=150_000))
+    assert encoder.encode([word])[0].tolist() == library.encode(word)
+
+
 def test_unigram_model_takes_the_best_path():
     model = sentencepieces.load(PIECE)
     kind, model.kind = model.kind, sentencepieces.UNIGRAM
@@ -418,3 +569,77 @@ def test_similar_links_are_checked_however_few_bits_differ(spark):
     assert (np.frombuffer(similar.wide_fingerprint(a.encode()), "<u2") == np.frombuffer(similar.wide_fingerprint(b.encode()), "<u2")).any()
     got = similar.similar_groups(spark.createDataFrame([(0, a), (1, b)], "doc_id long, text string"))
     assert dict(map(tuple, got.collect())) == {0: 0, 1: 1}
+
+
+@pytest.mark.parametrize("chunk", [50_000, 3])
+def test_similar_groups_with_crowded_keys(spark, monkeypatch, chunk):
+    monkeypatch.setattr(similar, "KEY_CHUNK", chunk)
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in rng.integers(0, 5000, 400)]
+    rows = []
+    for i in range(60):
+        changed = list(words)
+        changed[i * 6] = f"v{i}"
+        rows.append((i, " ".join(changed)))
+    rows += [(100 + i, " ".join(f"u{k}" for k in rng.integers(0, 5000, 300))) for i in range(10)]
+    found = dict(map(tuple, similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert found == {i: 0 for i in range(60)} | {100 + i: 100 + i for i in range(10)}
+
+
+def test_similar_texts_without_or_with_one_doc_id(spark):
+    x, y = (" ".join(f"{k}{i}" for i in range(200)) for k in "xy")
+    rows = [(1, x, 0), (None, x + " z", 1), (None, y, 2), (None, y + " z", 3), (5, y.upper().lower() + " q", 4), (7, "one two", 5), (7, "three four", 6)]
+    kept = similar.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, low_id int"))
+    assert sorted(r["low_id"] for r in kept.collect()) == [0, 4, 5, 6]
+    alone = spark.createDataFrame([(None, y, 2), (None, y + " z", 3)], "doc_id long, text string, low_id int")
+    assert similar.drop_near_duplicates(alone).count() == 1
+
+
+def run_pipeline(spark, folder, docs, labels):
+    import corpus_pipeline
+
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    kept, stages = {}, docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stages = stage(spark, stages, folder)
+        assert stages.columns == docs.columns
+        kept[name] = [(r["doc_id"], r["text"]) for r in stages.select("doc_id", "text").collect()]
+    return kept, corpus_pipeline.run(spark, folder).collect()
+
+
+@pytest.mark.parametrize("kind", ["empty", "awkward"])
+def test_pipeline_on_awkward_tables(spark, tmp_path, kind):
+    rows = awkward() if kind == "awkward" else []
+    docs = spark.createDataFrame([(d, t, "en", "s", 1, ["x"], "b", None) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, spans array<string>, base string, chosen int")
+    kept, packed = run_pipeline(spark, tmp_path, docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert sorted(repr(r["doc_id"]) for r in packed if r["piece"] == 0) == sorted(repr(d) for d, _ in kept["personal_data"])
+    assert len(kept["quality_classifier"]) == len(rows) and (not rows) == (not packed)
+
+
+def test_pipeline_equals_plain_stages(spark, sf_dir, tmp_path):
+    docs, labels = sf001(spark, sf_dir)
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") % 5 > 0, F.col("doc_id")))
+    kept, packed = run_pipeline(spark, tmp_path, docs, labels)
+    accepted = kept["quality_classifier"]
+    assert any(d is None for d, _ in accepted)
+    groups = brute.op2(accepted)
+    keep = {(x[4], x[1]) for x in groups}
+    digest = lambda t: brute.sha256(brute.SPACE.sub(" ", t or "").encode()).hexdigest()
+    assert sorted(map(repr, kept["exact_dedup"])) == sorted(repr(x) for x in accepted if (digest(x[1]), x[0]) in keep)
+    sets = []
+    for d, t in kept["exact_dedup"]:
+        w = brute.WORD.findall(brute.lower(t or ""))
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)})
+    near, stay = {}, {repr(x) for x in kept["simhash_near_dedup"]}
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if min(len(sets[i]), len(sets[j])) >= 0.8 * max(len(sets[i]), len(sets[j])) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            near.setdefault(i, set()).add(j)
+            near.setdefault(j, set()).add(i)
+    for i, x in enumerate(kept["exact_dedup"]):
+        if repr(x) not in stay:
+            assert i in near, "a text without a similar one was dropped"
+    both = sum(repr(kept["exact_dedup"][i]) in stay and repr(kept["exact_dedup"][j]) in stay for i in near for j in near[i] if i < j)
+    assert both <= 0.1 * max(1, sum(map(len, near.values())) / 2)
+    assert len(kept["personal_data"]) == len(kept["simhash_near_dedup"])
+    assert sorted(repr(r["doc_id"]) for r in packed if r["piece"] == 0) == sorted(repr(d) for d, _ in kept["personal_data"])
