@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import ranged
 from .tables import first_per_key
 
 
@@ -38,19 +39,42 @@ def robust_scores(profiles: DataFrame, period: str, metrics: list[str]) -> DataF
     return at.withColumns({m: (F.coalesce(F.col(m), F.col(f"_{m}")[1]) - F.col(f"_{m}")[1]) / width(m) for m in metrics}).drop(*[f"_{m}" for m in metrics])
 
 
-def lookup(rows: DataFrame, profiles: DataFrame, entity: str, period: str, label: str, counter: str, metrics: list[str], size: str, order: str, config: ColdStart = ColdStart()) -> DataFrame:
-    """(entity, next period, prior, distance) from the nearest entities of the same period.
+def nearest(points: DataFrame, entity: str, period: str, metrics: list[str], value: str, k: int, parts: int = 64) -> DataFrame:
+    """(period, entity, _other, d, _value): each point's k nearest of those of its period that have a value, itself excluded, by root mean square; ties by the other's id.
+
+    Exact without all pairs: points lie in blocks of the first metric. A point first meets its own block and the two beside it; the k-th
+    distance there bounds where nearer ones can be, and it then meets just the blocks within that bound (all, where it met fewer than k)."""
+    known = points.select(period, entity, *metrics, F.col(value).alias("_v"))
+    for m in metrics:
+        known = known.filter(F.col(m).isNotNull() & ~F.isnan(m))
+    blocked = ranged(known, [period], metrics[0], parts)
+    other = blocked.filter("_v is not null").select(F.col(period).alias("_period"), F.col("_range").alias("_block"), F.col(entity).alias("_other"), F.col("_v").alias("_value"), *[F.col(m).alias(f"_{m}") for m in metrics])
+    blocked = blocked.drop("_v")
+    square = sum(((F.col(m) - F.col(f"_{m}")) ** 2 for m in metrics[1:]), (F.col(metrics[0]) - F.col(f"_{metrics[0]}")) ** 2)
+
+    def met(left: DataFrame, blocks: Column) -> DataFrame:
+        pairs = left.withColumn("_at", F.explode(blocks)).join(other, (F.col(period) == F.col("_period")) & (F.col("_at") == F.col("_block")) & (F.col(entity) != F.col("_other")))
+        return pairs.withColumn("d", F.sqrt(square / len(metrics)))
 
-    The join of a period's entities with each other is quadratic in their number, a roster that doesn't grow with the log."""
+    first = met(blocked, F.array(F.col("_range") - 1, F.col("_range"), F.col("_range") + 1)).select(period, entity, "d")
+    first = first.withColumn("_rn", F.row_number().over(Window.partitionBy(period, entity).orderBy("d"))).filter(F.col("_rn") == k)
+    bound = first.select(F.col(period).alias("_p"), F.col(entity).alias("_e"), (F.col("d") * F.lit(len(metrics) ** 0.5) * (1 + 1e-9)).alias("_reach"))
+    edges = blocked.groupBy(period, "_range").agg(F.min(metrics[0]).alias("low"), F.max(metrics[0]).alias("high")).groupBy(F.col(period).alias("_q")).agg(F.array_sort(F.collect_list(F.struct("_range", "low", "high"))).alias("_edges"))  # parts a period
+    at = blocked.join(bound, (F.col(period) == F.col("_p")) & (F.col(entity) == F.col("_e")), "left").join(edges, F.col(period) == F.col("_q"))
+    x, reach = F.col(metrics[0]), F.coalesce("_reach", F.lit(float("inf")))
+    near = F.transform(F.filter("_edges", lambda e: (e["high"] >= x - reach) & (e["low"] <= x + reach)), lambda e: e["_range"])
+    pairs = met(at, near).select(period, entity, "_other", "d", "_value")
+    return pairs.withColumn("_rn", F.row_number().over(Window.partitionBy(period, entity).orderBy("d", "_other"))).filter(F.col("_rn") <= k).drop("_rn")
+
+
+def lookup(rows: DataFrame, profiles: DataFrame, entity: str, period: str, label: str, counter: str, metrics: list[str], size: str, order: str, config: ColdStart = ColdStart()) -> DataFrame:
+    """(entity, next period, prior, distance, neighbours) from the nearest entities of the same period that have a rate."""
     kept = first_per_key(profiles.filter(F.col(size) >= config.min_rows), [entity, period], F.col(order).desc())
     scored = robust_scores(kept.join(outcomes(rows, entity, period, label, counter), [entity, period]), period, metrics)
-    other = scored.select(period, F.col(entity).alias("_other"), F.col("rate").alias("_rate"), *[F.col(m).alias(f"_{m}") for m in metrics])
-    pairs = scored.select(period, entity, *metrics).join(other, period).filter(F.col(entity) != F.col("_other"))
-    square = sum(((F.col(m) - F.col(f"_{m}")) ** 2 for m in metrics[1:]), (F.col(metrics[0]) - F.col(f"_{metrics[0]}")) ** 2)
-    near = pairs.withColumn("d", F.sqrt(square / len(metrics))).filter("d is not null")
-    near = near.withColumn("_rn", F.row_number().over(Window.partitionBy(period, entity).orderBy("d", "_other"))).filter(F.col("_rn") <= config.neighbours)
+    near = nearest(scored, entity, period, metrics, "rate", config.neighbours)
     w = 1 / F.greatest("d", F.lit(config.floor))
-    return near.groupBy(entity, period).agg((F.sum(w * F.col("_rate")) / F.sum(w)).alias("prior"), (F.sum(w * F.col("d")) / F.sum(w)).alias("distance")).withColumn(period, F.col(period) + 1)
+    found = near.groupBy(entity, period).agg((F.sum(w * F.col("_value")) / F.sum(w)).alias("prior"), (F.sum(w * F.col("d")) / F.sum(w)).alias("distance"), F.count("*").alias("neighbours"))
+    return found.withColumn(period, F.col(period) + 1)
 
 
 def attach(rows: DataFrame, found: DataFrame, back: DataFrame, entity: str, period: str, counter: str, rate: str, config: ColdStart = ColdStart(), replace: bool = True) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip
+from .ranges import running
 
 #: Edges of ten bins as IEEE sums give them, so that 0.3 lies in the third bin.
 EDGES = [i * 0.1 for i in range(1, 10)]
@@ -25,10 +26,9 @@ def metrics(df: DataFrame, label: str, p: str, by: list[str] = (), eps: float =
 
 
 def auc(df: DataFrame, label: str, p: str, by: list[str]) -> DataFrame:
-    """Area under the ROC curve by mid-ranks; NULL with one class. Rows reduce to one per distinct forecast before the ordered window."""
+    """Area under the ROC curve by mid-ranks; NULL with one class. Rows reduce to one per distinct forecast, and these are ordered in ranges of the forecast."""
     points = df.groupBy(*by, p).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
-    below = F.sum("neg").over(Window.partitionBy(*by).orderBy(p).rowsBetween(Window.unboundedPreceding, 0)) - F.col("neg")
-    scored = points.withColumn("wins", F.col("pos") * (below + F.col("neg") / 2.0))
+    scored = running(points, by, p, {"below": F.col("neg")}).withColumn("wins", F.col("pos") * (F.col("below") + F.col("neg") / 2.0))
     return scored.groupBy(*by).agg(F.try_divide(F.sum("wins"), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
 
 
@@ -63,9 +63,9 @@ def compare_tables(candidate: DataFrame, baseline: DataFrame, key: str, values:
     return rows.unionByName(rows.agg(F.lit("mean").alias(key), *[F.avg(v).alias(v) for v in values]))
 
 
-def latest(history: DataFrame, keys: list[str], finished: str) -> DataFrame:
-    """The latest row of each key."""
-    w = Window.partitionBy(*keys).orderBy(F.col(finished).desc())
+def latest(history: DataFrame, keys: list[str], finished: str, *ties: str) -> DataFrame:
+    """The latest row of each key; of rows that finish together the one with the largest `ties`."""
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in (finished, *ties)])
     return history.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 

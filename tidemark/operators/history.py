@@ -28,15 +28,15 @@ def spine_of(rows: DataFrame, keys: list[str], period: str, periods: list) -> Da
     return (rows.select(*keys).distinct() if keys else rows.sparkSession.range(1)).select(*keys, each)
 
 
-def past_sums(rows: DataFrame, keys: list[str], period: str, values: dict[str, Column], frame=BEFORE, periods: list | None = None) -> DataFrame:
+def past_sums(rows: DataFrame, keys: list[str], period: str, values: dict[str, Column], frame=BEFORE, periods: list | None = None, frames: dict[str, tuple] | None = None) -> DataFrame:
     """(keys, period, sums of values over the frame's periods) for each key at each of `periods` (those of rows, where not given).
 
-    A value over no rows is NULL. NULL keys form a key."""
+    A value over no rows is NULL. NULL keys form a key. frames: the frames of values that have another one; all share one aggregate and window."""
     per = rows.groupBy(*keys, period).agg(*[F.sum(v).alias(n) for n, v in values.items()])
     spine = spine_of(per, keys, period, period_values(rows, period) if periods is None else periods)
     at = null_safe_join(spine, per, [*keys, period])
-    w = Window.partitionBy(*keys).orderBy(period).rangeBetween(*frame)
-    return at.select(*keys, period, *[F.sum(n).over(w).alias(n) for n in values])
+    w = Window.partitionBy(*keys).orderBy(period)
+    return at.select(*keys, period, *[F.sum(n).over(w.rangeBetween(*(frames or {}).get(n, frame))).alias(n) for n in values])
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -48,16 +48,20 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(right, condition, how).drop(*[f"_{k}" for k in keys])
 
 
-def smoothed_rates(rows: DataFrame, keys: list[str], period: str, label: str, m: float = 50.0, prior_keys: list[str] = (), frame=BEFORE) -> DataFrame:
-    """(keys, period, rate, n): the label's mean over the visible past, drawn by m towards the mean of the prior keys' past, or of all."""
-    value = {"total": F.col(label).cast("double"), "n": F.col(label).isNotNull().cast("long")}
-    own = past_sums(rows, keys, period, value, frame).filter("n > 0")
-    world = past_sums(rows, [], period, {"g_total": value["total"], "g_n": value["n"]}, frame)
-    at = own.join(F.broadcast(world), period, "left")
+def smoothed_rates(rows: DataFrame, keys: list[str], period: str, label: str, m: float = 50.0, prior_keys: list[str] = (), frame=BEFORE, periods: list | None = None) -> DataFrame:
+    """(keys, period, rate, n): the label's mean over the visible past, drawn by m towards the mean of the prior keys' past, or of all.
+
+    The log is aggregated once, by all keys; the prior's and the whole log's sums are rolled up from that."""
+    every = list(dict.fromkeys([*keys, *prior_keys]))
+    per = rows.groupBy(*every, period).agg(F.sum(F.col(label).cast("double")).alias("total"), F.count(label).alias("n"))
+    periods = period_values(per, period) if periods is None else periods
+    sums = lambda prefix: {f"{prefix}total": F.col("total"), f"{prefix}n": F.col("n")}
+    own = past_sums(per, list(keys), period, sums(""), frame, periods).filter("n > 0")
+    world = past_sums(per, [], period, sums("g_"), frame, periods)
+    at = own.join(F.broadcast(world), period, "left")  # a row a period
     prior = F.try_divide(F.col("g_total"), F.col("g_n"))
     if prior_keys:
-        state = past_sums(rows, list(prior_keys), period, {"s_total": value["total"], "s_n": value["n"]}, frame)
-        at = null_safe_join(at, state, [*prior_keys, period])
+        at = null_safe_join(at, past_sums(per, list(prior_keys), period, sums("s_"), frame, periods), [*prior_keys, period])
         prior = F.coalesce(F.try_divide(F.col("s_total"), F.col("s_n")), prior)
     return at.select(*keys, period, smoothed(F.col("total"), F.col("n"), prior, m).alias("rate"), "n")
 
@@ -103,12 +107,10 @@ def sensor_summary(readings: DataFrame, key: str, period: str, metrics: list[str
 
 
 def sensor_history(summary: DataFrame, key: str, period: str, metric: str) -> DataFrame:
-    """(key, period, career and previous mean, previous less earlier mean): three frames over one additive summary."""
-    value = {f"{f}_{x}": F.col(f"{metric}_{x}") for f in ("c",) for x in ("n", "sum", "squares")}
-    career = past_sums(summary, [key], period, value)
-    previous = past_sums(summary, [key], period, {"p_n": F.col(f"{metric}_n"), "p_sum": F.col(f"{metric}_sum")}, LAST)
-    earlier = past_sums(summary, [key], period, {"e_n": F.col(f"{metric}_n"), "e_sum": F.col(f"{metric}_sum")}, EARLIER)
-    at = career.join(previous, [key, period]).join(earlier, [key, period])
+    """(key, period, career and previous mean, previous less earlier mean): three frames of one window over one additive summary."""
+    n, total = F.col(f"{metric}_n"), F.col(f"{metric}_sum")
+    value = {"c_n": n, "c_sum": total, "c_squares": F.col(f"{metric}_squares"), "p_n": n, "p_sum": total, "e_n": n, "e_sum": total}
+    at = past_sums(summary, [key], period, value, frames={"p_n": LAST, "p_sum": LAST, "e_n": EARLIER, "e_sum": EARLIER})
     mean, std = moments(F.col("c_n"), F.col("c_sum"), F.col("c_squares"))
     before = F.try_divide(F.col("p_sum"), F.col("p_n"))
     return at.filter("c_n > 0").select(key, period, mean.alias("career_mean"), std.alias("career_std"), before.alias("prev_mean"), (before - F.try_divide(F.col("e_sum"), F.col("e_n"))).alias("delta_mean"))

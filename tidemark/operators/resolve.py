@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .history import null_safe_join
+from .ranges import EARLIER_RANGES, UP_TO_HERE, over_ranges, ranged, within
+from .tables import one_to_one, only_unique
+
 
 def differs(a: Column, b: Column) -> Column:
     """Inequality to which a missing side counts as different."""
@@ -16,25 +20,46 @@ def falls(a: Column, b: Column) -> Column:
     return F.coalesce(a < b, F.lit(False))
 
 
-def sessions(log: DataFrame, period: str, order: str, change: list[str], fall: list[str]) -> DataFrame:
+def sessions(log: DataFrame, period: str, order: str, change: list[str], fall: list[str], parts: int = 64) -> DataFrame:
     """Adds `session` (counted from 1 within the period) and `place` (from 1 within the session).
 
-    A session starts with a period, where a `change` column differs from the row before, or where a `fall` column gets smaller.
-    The window is per period, so that no single task sees the whole log."""
-    w = Window.partitionBy(period).orderBy(order)
-    starts = F.row_number().over(w) == 1
-    for c in change:
-        starts = starts | differs(F.col(c), F.lag(c).over(w))
-    for c in fall:
-        starts = starts | falls(F.col(c), F.lag(c).over(w))
-    marked = log.withColumn("_start", starts.cast("int"))
-    numbered = marked.withColumn("session", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_start")
-    return numbered.withColumn("place", F.row_number().over(Window.partitionBy(period, "session").orderBy(order)))
+    A session starts with a period, where a `change` column differs from the row before, or where a `fall` column gets smaller. A period
+    is cut into ranges of its order, which is numeric; a row per range then tells whether the next one opens a session, how many came
+    before it and where the last one began."""
+    state = list(dict.fromkeys([*change, *fall]))
+
+    def starts(now, before) -> Column:
+        out = F.lit(False)
+        for c in change:
+            out = out | differs(now(c), before(c))
+        for c in fall:
+            out = out | falls(now(c), before(c))
+        return out
+
+    w = within([period], order)
+    local = ranged(log, [period], order, parts).withColumn("_rn", F.row_number().over(w))
+    local = local.withColumn("_start", F.when(F.col("_rn") > 1, starts(F.col, lambda c: F.lag(c).over(w))).otherwise(F.lit(False)).cast("int"))
+    row = F.struct(*state)
+    each = local.groupBy(period, "_range").agg(
+        F.count("*").alias("_n"), F.sum("_start").alias("_inside"), F.max(F.when(F.col("_start") == 1, F.col("_rn"))).alias("_last"), F.min_by(row, order).alias("_head"), F.max_by(row, order).alias("_tail")
+    )
+    o = over_ranges([period])
+    each = each.withColumn("_tail_before", F.lag("_tail").over(o))
+    opens = F.when(F.row_number().over(o) == 1, F.lit(True)).otherwise(starts(lambda c: F.col("_head")[c], lambda c: F.col("_tail_before")[c]))
+    each = each.withColumn("_opens", opens.cast("int")).withColumn("_rows", F.coalesce(F.sum("_n").over(o.rowsBetween(*EARLIER_RANGES)), F.lit(0)))
+    each = each.withColumn("_before", F.coalesce(F.sum(F.col("_inside") + F.col("_opens")).over(o.rowsBetween(*EARLIER_RANGES)), F.lit(0)) + F.col("_opens"))
+    latest = F.greatest(F.col("_rows") + F.col("_last"), F.when(F.col("_opens") == 1, F.col("_rows") + 1))
+    each = each.withColumn("_since", F.greatest(F.max(latest).over(o.rowsBetween(*EARLIER_RANGES)), F.when(F.col("_opens") == 1, F.col("_rows") + 1)))
+    at = null_safe_join(local, each.select(period, "_range", "_rows", "_before", "_since"), [period, "_range"])
+    here = F.max(F.when(F.col("_start") == 1, F.col("_rows") + F.col("_rn"))).over(w.rowsBetween(*UP_TO_HERE))
+    found = at.withColumn("session", F.col("_before") + F.sum("_start").over(w.rowsBetween(*UP_TO_HERE)))
+    found = found.withColumn("place", (F.col("_rows") + F.col("_rn") - F.greatest("_since", here) + 1).cast("int"))
+    return found.drop("_range", "_rn", "_start", "_rows", "_before", "_since")
 
 
 def sequence_text(states: list[str], order: str) -> Column:
-    """An aggregate: the group's rows in order, their states joined by '|' and ';'. Missing states are empty."""
-    state = F.concat_ws("|", *[F.coalesce(F.col(s).cast("string"), F.lit("")) for s in states])
+    """An aggregate: the group's rows in order, their states joined by '|' and ';'. A missing state is 'nan', which no empty one equals."""
+    state = F.concat_ws("|", *[F.coalesce(F.col(s).cast("string"), F.lit("nan")) for s in states])
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), state.alias("s"))))
     return F.array_join(F.transform(rows, lambda r: r["s"]), ";")
 

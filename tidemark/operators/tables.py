@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .history import null_safe_join
+from .ranges import running
+
 
 def assert_unique(df: DataFrame, keys: list[str], what: str) -> None:
     if not df.groupBy(*keys).count().filter("count > 1").isEmpty():
@@ -54,8 +57,11 @@ def sample_per_group(df: DataFrame, group: str, key: str, limit: int, seed: int)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit).drop("_rn")
 
 
-def percent_rank_average(value: Column, partition: list[Column]) -> Column:
-    """Rank with ties averaged, over the number of values; NULL for NULL."""
-    peers, part = Window.partitionBy(*partition, value), Window.partitionBy(*partition)
-    rank = F.rank().over(part.orderBy(value.asc_nulls_last())) + (F.count(value).over(peers) - 1) / 2
-    return F.when(value.isNotNull(), rank / F.count(value).over(part))
+def percent_ranks(df: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
+    """Adds the rank of the value in its group with ties averaged, over the group's number of values; NULL for NULL. Groups are ranked in ranges of the value."""
+    w = Window.partitionBy(*by, value)
+    known = df.filter(F.col(value).isNotNull())
+    totals = known.groupBy(*by).agg(F.count(value).alias("_total"))
+    below = running(known, by, value, {"_below": F.lit(1)}).withColumn("_peers", F.count(value).over(w))
+    ranked = null_safe_join(below, totals, by).withColumn(name, (F.col("_below") + (F.col("_peers") + 1) / 2) / F.col("_total")).drop("_below", "_peers", "_total")
+    return ranked.unionByName(df.filter(F.col(value).isNull()).withColumn(name, F.lit(None).cast("double")))

@@ -392,7 +392,7 @@ def _lookup(spark, d):
 
 @query(f"{KNN} SELECT entity, period, round(prior, 5) AS prior, round(distance, 5) AS distance FROM knn")
 def J09_knn(spark, d):
-    return rounded(_lookup(spark, d), 5)
+    return rounded(_lookup(spark, d).drop("neighbours"), 5)
 
 
 @query(f"""{KNN}, q AS (SELECT event_id, entity, period, event_id % 3 AS n, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value / 1000 END AS rate FROM ev),
@@ -464,7 +464,7 @@ SCORED = f"{RANKED}, sc AS (SELECT *, 50 + ((1 - pct) * 100 - 50) * n / (n + 100
 
 def _ranked(spark, d):
     per = events(spark, d).groupBy("entity", "period", "kind").agg(F.count("*").alias("n"), F.stddev_samp("reading").alias("s")).withColumn("s", F.when(C("n") >= 3, C("s")))
-    return per.withColumn("pct", tables.percent_rank_average(C("s"), [C("period"), C("kind")]))
+    return tables.percent_ranks(per, "s", ["period", "kind"], "pct")
 
 
 @query(f"{RANKED} SELECT entity, period, kind, round(pct, 6) AS pct FROM r")

@@ -7,9 +7,11 @@ import json
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranges import numbered
+
 
 def read_csv(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None) -> DataFrame:
     """All columns of the schema, or those asked for; only these are parsed. A byte order mark is dropped."""
@@ -64,6 +66,5 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_row_order(df: DataFrame, *order: str) -> DataFrame:
-    """Numbers rows by a total order, which a log without a sequence column needs once. Ranks within range partitions would do for
-    larger logs; here the caller's log has such a column already or is small."""
-    return df.withColumn("_row_order", F.row_number().over(Window.orderBy(*order)))
+    """Numbers rows by a total order, which a log without a sequence column needs once. The first column is numeric and cuts the log into ranges."""
+    return numbered(df, [], list(order), "_row_order")
