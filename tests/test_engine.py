@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
-from tidemark.operators import blocks, coldstart, evaluate, history, models, resolve, tables
+from tidemark.operators import blocks, coldstart, evaluate, export, history, lab, models, ranges, report, resolve, tables, validate
 from tidemark.sources import files
 
 C = F.col
@@ -61,7 +61,7 @@ def test_feature_sets(spark):
     out, kinds, report = blocks.apply_feature_set(df, ["mix"], drop=["mix_*_*", "fastball"])
     assert "mix_fastball_breaking" not in out.columns and "fastball" not in out.columns and "mix_entropy" in out.columns and kinds == []
     assert report["columns"] == len(out.columns)
-    for bad in (lambda: blocks.apply_feature_set(df, ["nothing"]), lambda: blocks.apply_feature_set(out.withColumn("fastball", F.lit(1.0)), ["mix"]), lambda: blocks.apply_feature_set(df, ["threat"])):
+    for bad in (lambda: blocks.apply_feature_set(df, ["mix"], drop=["tm_*"]), lambda: blocks.apply_feature_set(df, ["nothing"]), lambda: blocks.apply_feature_set(out.withColumn("fastball", F.lit(1.0)), ["mix"]), lambda: blocks.apply_feature_set(df, ["threat"])):
         with pytest.raises(ValueError):
             bad()
     assert blocks.feature_catalog(spark).count() == 45
@@ -141,10 +141,74 @@ def test_neighbours_exclude_oneself(spark):
     log = spark.createDataFrame([(e, 2020, y, 0) for e, ys in ((1, (1, 1)), (2, (0, 0)), (3, (1, 0))) for y in ys], "e int, p int, y int, c int")
     profiles = spark.createDataFrame([(1, 2020, 60, 1.0, None), (2, 2020, 60, 2.0, None), (3, 2020, 10, 9.0, None), (1, 2020, 55, 7.0, None)], "e int, p int, n int, m double, void_metric double")
     got = rows(coldstart.lookup(log, profiles, "e", "p", "y", "c", ["m"], "n", "n"))
-    assert sorted((e, p, prior) for e, p, prior, _ in got) == [(1, 2021, 0.0), (2, 2021, 1.0)]
+    assert sorted((e, p, prior, n) for e, p, prior, _, n in got) == [(1, 2021, 0.0, 1), (2, 2021, 1.0, 1)]
     assert rows(coldstart.lookup(log, profiles, "e", "p", "y", "c", ["void_metric"], "n", "n")) == []
 
 
+def test_a_neighbour_without_a_rate_takes_no_place(spark):
+    log = spark.createDataFrame([(1, 2020, 1, 0), (2, 2020, None, 0), (3, 2020, 0, 0), (4, 2020, 1, 0)], "e int, p int, y int, c int")
+    profiles = spark.createDataFrame([(e, 2020, 60, m) for e, m in ((1, 1.0), (2, 1.1), (3, 1.3), (4, 9.0))], "e int, p int, n int, m double")
+    got = {r["e"]: (r["prior"], r["neighbours"]) for r in coldstart.lookup(log, profiles, "e", "p", "y", "c", ["m"], "n", "n", coldstart.ColdStart(neighbours=1)).collect()}
+    assert got == {1: (0.0, 1), 2: (1.0, 1), 3: (1.0, 1), 4: (0.0, 1)}
+
+
+def test_nearest_equals_all_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    points = [(p, e, float(x), float(round(y, 1)), None if e % 7 == 0 else float(e)) for p in (1, 2) for e, (x, y) in enumerate(rng.normal(size=(90, 2)) ** 3)]
+    points += [(1, 1000, 5.0, None, 1.0), (3, 1, 0.0, 0.0, 1.0), (3, 2, 0.0, 0.0, 2.0)]
+    got = {}
+    for r in coldstart.nearest(spark.createDataFrame(points, "p int, e int, x double, y double, v double"), "e", "p", ["x", "y"], "v", 6, parts=9).collect():
+        got.setdefault((r["p"], r["e"]), []).append((round(r["d"], 9), r["_other"]))
+    want = {}
+    for p, e, x, y, _ in points:
+        near = sorted((round((((x - a) ** 2 + (y - b) ** 2) / 2) ** 0.5, 9), o) for q, o, a, b, v in points if q == p and o != e and v is not None and y is not None and b is not None)[:6]
+        if near:
+            want[p, e] = near
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_sums_and_numbers_over_ranges(spark):
+    import random
+
+    r = random.Random(3)
+    data = [(r.choice(["a", "b", None]), r.choice([None, *range(40)]), r.randint(0, 9), i) for i in range(400)]
+    df = spark.createDataFrame(data, "g string, o int, v int, n int")
+    for parts in (1, 7):
+        got = {x["n"]: x["s"] or 0 for x in ranges.running(df.filter("o is not null"), ["g"], "o", {"s": C("v")}, parts).collect()}
+        assert got == {n: sum(w for h, p, w, _ in data if h == g and p is not None and p < o) for g, o, _, n in data if o is not None}
+        numbers = {x["n"]: x["k"] for x in ranges.numbered(df, ["g"], ["o", "n"], "k", parts).collect()}
+        for g in ("a", "b", None):
+            own = sorted((x for x in data if x[0] == g), key=lambda x: (x[1] is not None, x[1] or 0, x[3]))
+            assert [numbers[x[3]] for x in own] == list(range(1, len(own) + 1))
+
+
+def test_sessions_over_many_ranges(spark):
+    import random
+
+    r = random.Random(4)
+    data = [(p, i, r.choice(["x", "x", "x", "x", None]), r.choice([1, 2, 2, 3, None])) for p in (1, 2) for i in range(300)] + [(3, i, "x", 1) for i in range(60)]
+    want, last, session, place = {}, None, 0, 0
+    for p, n, c, f in data:
+        new = last is None or last[0] != p
+        session = 0 if new else session
+        opens = new or c is None or last[2] is None or c != last[2] or (f is not None and last[3] is not None and f < last[3])
+        session, place = (session + 1, 1) if opens else (session, place + 1)
+        want[p, n], last = (session, place), (p, n, c, f)
+    df = spark.createDataFrame(data, "p int, n int, c string, f int")
+    for parts in (1, 13):
+        assert {(x["p"], x["n"]): (x["session"], x["place"]) for x in resolve.sessions(df, "p", "n", ["c"], ["f"], parts).collect()} == want
+
+
+def test_no_task_takes_a_whole_period(spark):
+    """No window or sort is dealt out by the period alone; what is has a row per range."""
+    df = spark.range(1000).selectExpr("id % 2 as p", "id as n", "cast(id % 3 as string) as c", "id % 5 as f", "id % 2 as y", "id / 1000.0D as q")
+    for out in (resolve.sessions(df, "p", "n", ["c"], ["f"]), evaluate.auc(df, "y", "q", ["p"]), tables.percent_ranks(df, "q", ["p"], "k")):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "_range" in plan
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(0, 0.1), (0, 0.4), (1, 0.6), (1, 0.9)], "y int, p double")
     m = evaluate.metrics(df, "y", "p").first()
@@ -170,7 +234,7 @@ def test_deltas_and_comparisons(spark):
 
 
 def test_leaderboard_takes_comparable_latest_runs(spark):
-    history_rows = spark.createDataFrame([("a", "completed", "s", "1", 0.3), ("a", "completed", "s", "2", 0.2), ("b", "failed", "s", "3", None), ("c", "completed", "t", "1", 0.1), ("d", "completed", "s", "1", 0.1)], "experiment string, status string, data_signature string, finished_at string, brier double")
+    history_rows = spark.createDataFrame([("a", "success", "s", "1", 0.3), ("a", "success", "s", "2", 0.2), ("b", "failed", "s", "3", None), ("c", "success", "t", "1", 0.1), ("d", "success", "s", "1", 0.1)], "experiment string, status string, data_signature string, finished_at string, brier double")
     assert [(r["experiment"], r["brier"]) for r in evaluate.leaderboard(history_rows, {"data_signature": "s"}).collect()] == [("d", 0.1), ("a", 0.2)]
 
 
@@ -186,6 +250,159 @@ def test_ridge_equals_the_closed_form(spark):
     assert got.coefficients == pytest.approx(want.tolist(), abs=1e-9) and got.intercept == pytest.approx(y.mean() - x.mean(0) @ want)
 
 
+def test_residual_design_equals_plain_arrays(spark):
+    import numpy as np
+
+    train = [(1.0, None, "a", 0.2, 1), (None, None, "b", 0.5, 0), (4.0, None, None, 1.0, 1), (9.0, None, "a", 0.0, 0), (2.0, None, "a", 0.7, 1)]
+    test = [(None, 3.0, "new", 0.3, 1), (1.0, None, "b", 0.3, 0)]
+    schema = "x double, void double, c string, p double, y int"
+    rows, other = spark.createDataFrame(train, schema), spark.createDataFrame(test, schema)
+    design = models.residual_design(rows, ["x", "void"], ["c"])
+    assert design.names == ["x", "void", "c___MISSING__", "c_a", "c_b"]
+    plain = lambda data: np.array([[3.0 if x is None else x, 0.0 if v is None else v, c is None, c == "a", c == "b"] for x, v, c, _, _ in data], float)
+    mean, std = plain(train).mean(0), plain(train).std(0)
+    std[std < 1e-6] = 1
+    p = np.clip([r[3] for r in test], 1e-5, 1 - 1e-5)
+    want = np.column_stack([(plain(test) - mean) / std, p, np.log(p / (1 - p))])
+    got = np.array([list(r) for r in other.select(*[x.alias(n) for n, x in design.columns("p").items()]).collect()])
+    assert got == pytest.approx(want)
+    model = models.residual_model(rows, ["x"], ["c"], "p", "y", 2.0)
+    design = model.design
+    a = np.array([list(r) for r in rows.select(*[x.alias(n) for n, x in design.columns("p").items()]).collect()])
+    r = np.array([y - q for *_, q, y in train])
+    ac, rc = a - a.mean(0), r - r.mean()
+    coef = np.linalg.solve(ac.T @ ac + 2.0 * np.eye(a.shape[1]), ac.T @ rc)
+    b = np.array([list(x) for x in other.select(*[x.alias(n) for n, x in design.columns("p").items()]).collect()])
+    assert [x[0] for x in other.select(model.correction("p")).collect()] == pytest.approx(((b - a.mean(0)) @ coef + r.mean()).tolist(), abs=1e-8)
+
+
+def seasons(spark):
+    return spark.createDataFrame([(f"r{i}", 2019 + i // 80, float(i % 20 - 10), "ab"[i % 2], int(i % 20 > 10) if i < 320 else None) for i in range(340)], "row_id string, period int, x double, c string, y int")
+
+
+def test_splits_raise_for_an_empty_side(spark):
+    rows = seasons(spark)
+    at = validate.split(rows, "period", 2021, "y")
+    assert (at.train_n, at.valid_n, at.train.count(), at.valid.count()) == (160, 80, 160, 80)
+    for valid in (2019, 2023):
+        with pytest.raises(ValueError):
+            validate.split(rows, "period", valid, "y")
+
+
+def test_tune_then_refit(spark):
+    rows = seasons(spark)
+    boosted = {"type": "boosted", "refit_after_tuning": True, "params": {"maxIter": 5, "seed": 1}}
+    model, forecast, found = validate.tune_refit_evaluate(rows, boosted, ["x", "c"], ["c"], "period", 2021, "y")
+    assert 1 <= model.rounds <= 5 and found["brier"] < 0.1 and found["tuning_period"] == 2020 and (found["tuning_train_n"], found["train_n"], found["valid_n"]) == (80, 160, 80)
+    assert forecast.filter("p between 0 and 1").count() == 80 and "c_freq" not in forecast.columns
+    forecasts, folds = validate.forward_folds(rows, {"type": "boosted", "params": {"maxIter": 3, "seed": 1}}, ["x", "c"], ["c"], "period", [2018, 2020, 2021], "y")
+    assert [f["period"] for f in folds] == [2020, 2021] and forecasts.count() == 160
+    assert validate.final_fit(rows, {"type": "boosted", "params": {"maxIter": 3, "seed": 1}}, ["x"], [], "y", folds, least=4).rounds == 4
+    with pytest.raises(ValueError):
+        validate.forward_folds(rows, {"type": "constant"}, [], [], "period", [1990], "y")
+    out = validate.submission(rows.withColumn("p", F.lit(1.0)), "row_id")
+    assert out.columns == ["row_id", "p"] and out.first()["p"] == 1 - 1e-5
+
+
+def test_staged_brier_is_that_of_shorter_models(spark):
+    df = spark.createDataFrame([(float(i % 20 - 10), int(i % 20 > 10 or i % 7 == 0)) for i in range(200)], "x double, y int")
+    whole = models.staged_brier(models.fit(df, ["x"], "y", "boosted", maxIter=4, seed=3), df, "y")
+    for k in (1, 2, 4):
+        p = models.predict(models.fit(df, ["x"], "y", "boosted", maxIter=k, seed=3), df)
+        assert whole[k - 1] == pytest.approx(p.agg(F.avg((C("p") - C("y")) ** 2)).first()[0], abs=1e-6)
+
+
+def test_models_take_missing_features(spark):
+    df = spark.createDataFrame([(float(i % 20 - 10) if i % 3 else None, None, int(i % 20 > 10)) for i in range(120)], "x double, void double, y int")
+    model = models.fit(df, ["x", "void"], "y", "forest", numTrees=3, seed=1)
+    assert models.predict(model, df).filter("p is null").isEmpty()
+    assert [f for f, _ in models.importances(model, ["x", "void"])] == ["x", "void"]
+
+
+CONFIG = {
+    "feature_sets": {"plain": {}, "broken": {"blocks": ["nothing"]}},
+    "models": {"rate": {"type": "constant"}, "line": {"type": "logistic", "family": "linear"}},
+    "baseline_experiment": "a",
+    "experiments": [
+        {"name": "a", "feature_set": "plain", "model": "rate", "presets": ["starter", "extended"]}, {"name": "b", "feature_set": "plain", "model": "line", "comparison_experiment": "a", "presets": ["extended"]},
+        {"name": "c", "feature_set": "broken", "model": "rate", "presets": ["extended"]}, {"name": "off", "feature_set": "plain", "model": "rate", "enabled": False},
+    ],
+}
+
+
+def test_presets_and_unknown_names():
+    names = lambda *a: [e["name"] for e in lab.select_experiments(CONFIG, *a)]
+    assert (names("starter"), names("extended"), names("all"), names("starter", ["b", "a"])) == (["a"], ["a", "b", "c"], ["a", "b", "c"], ["b", "a"])
+    for bad in (lambda: names("starter", ["unknown"]), lambda: names("none"), lambda: lab.load_config("{}")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_matrix_skips_what_is_done_and_records_failures(spark, tmp_path):
+    rows, folder = seasons(spark), str(tmp_path)
+    views = {"v1": lab.View(rows, ["x", "c"], ["c"])}
+    run = lambda **k: lab.run_matrix(spark, CONFIG, views, folder, 2021, preset="extended", data_signature="d", **k)
+    board = [(r["experiment"], r["brier_delta_vs_baseline"]) for r in run(save_models=True).collect()]
+    assert [b[0] for b in board] == ["b", "a"] and board[0][1] < 0 == board[1][1]
+    history = lab.history_of(spark, folder)
+    assert sorted(r["status"] for r in history.collect()) == ["failed", "success", "success"] and history.filter("error like '%nothing%'").count() == 1
+    assert run().count() == 2 and lab.history_of(spark, folder).count() == 4  # the failed one alone ran again
+    assert run(rerun=True).count() == 2 and lab.history_of(spark, folder).count() == 7
+    text = files.read_text(spark, f"{folder}/report")
+    assert "Best: `b`" in text and "| b |" in text and "Baseline: `a`" in text
+    assert lab.already_completed(history, "d", history.filter("experiment = 'a'").first()["config_hash"], "full") and not lab.already_completed(history, "e", "x", "full")
+    with pytest.raises(ValueError):
+        lab.check_views({"v1": views["v1"], "v2": lab.View(rows.filter("x > 0"), ["x"])}, "row_id", "period", 2021, "y")
+
+
+def test_report_tables(spark):
+    board = spark.createDataFrame([("v1", None, 0.2500, "boosted", "s1", 3.0), ("threat", "v1", 0.2475, "boosted", "s2", 5.0), ("other", "gone", 0.3, "x", "s2", None)], "experiment string, preprocessing_comparison_experiment string, brier double, model_family string, preprocessing_stage string, elapsed_seconds double")
+    got = {r["experiment"]: (r["brier_delta_vs_preprocessing"], r["brier_delta_vs_comparison"], r["brier_delta_vs_baseline"]) for r in report.with_deltas(board, "v1").collect()}
+    assert got == {"v1": (None, None, 0.0), "threat": (pytest.approx(-0.0025), None, pytest.approx(-0.0025)), "other": (None, None, pytest.approx(0.05))}
+    assert [r["experiment"] for r in report.stage_comparison(board, ["boosted"]).collect()] == ["v1", "threat"] and report.final_stage(board, ["boosted"], "s2").first()["experiment"] == "threat"
+    assert [r["experiment"] for r in report.score_against_time(board).collect()] == ["v1", "threat"]
+    assert report.baseline_deltas(board, "none").filter("brier_delta_vs_baseline is not null").isEmpty()
+    assert "a\\|b" in report.markdown(board.withColumn("experiment", F.lit("a|b")), "x", 2024) and "None" in report.markdown(board.limit(0), "x", 2024)
+
+
+def test_export(spark, tmp_path):
+    rows = spark.createDataFrame([("t0", 2020, 1, True, 1.0, "a"), ("t1", 2020, 0, True, None, "__MISSING__"), ("s0", 2021, None, False, 3.0, "b")], "row_id string, period int, y int, is_train boolean, number double, kind string")
+    bundle = export.Bundle(rows, ["number", "kind"], ["kind"])
+    assert export.export_matrix(bundle, True).columns == ["row_id", "y", "number", "kind"] and export.export_matrix(bundle, False).columns == ["row_id", "number", "kind"]
+    schema = export.feature_schema(bundle).orderBy("position").collect()
+    assert [(r["feature"], r["is_categorical"], r["train_missing_n"], r["train_missing_rate"], r["test_missing_n"], r["test_missing_rate"]) for r in schema] == [("number", False, 1, 0.5, 0, 0.0), ("kind", True, 1, 0.5, 0, 0.0)]
+    folder = str(tmp_path / "out")
+    summary = export.export(bundle, folder, 1, {"smoothing": 50})
+    assert (summary["train_rows"], summary["test_rows"], files.read_json(spark, f"{folder}/preprocessing_summary")["smoothing"]) == (2, 1, 50)
+    assert spark.read.parquet(f"{folder}/train_features").count() == 2 and spark.read.csv(f"{folder}/train_features_preview", header=True).count() == 1
+    with pytest.raises(ValueError):
+        export.export_matrix(export.Bundle(rows.withColumn("y", F.lit(None).cast("int")), ["number"], []), True)
+
+
+def test_raw_view(spark):
+    columns = [*blocks.RAW_NUMERIC, *blocks.RAW_CATEGORICAL]
+    assert (len(set(columns)), len(blocks.RAW_CATEGORICAL)) == (47, 9)
+    df = spark.createDataFrame([tuple([float("inf")] + [1.0] * 37 + ["12.0"] * 8 + [None])], ", ".join(f"{c} {'double' if c in blocks.RAW_NUMERIC else 'string'}" for c in columns))
+    row = blocks.raw_view(df).first()
+    assert (row[columns[0]], row["pitcher_id"], row["batter_hand"], len(row)) == (None, "12", "__MISSING__", 47)
+    with pytest.raises(ValueError):
+        blocks.raw_view(df.drop("li"))
+
+
+def test_joins_with_other_names_and_seeds(spark):
+    a, b = spark.createDataFrame([(1, 2, "x"), (1, 3, "y")], "g int, n int, v string"), spark.createDataFrame([(1, 3, "z"), (1, 3, "w")], "h int, m int, v2 string")
+    with pytest.raises(ValueError):
+        tables.matched(a, b, {"g": "h", "n": "m"})
+    assert sorted(rows(tables.matched(a, b, {"g": "h", "n": "m"}, unique=False))) == [(1, 3, "y", "w"), (1, 3, "y", "z")]
+    left, right = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k int, l string"), spark.createDataFrame([(1, "e"), (2, "f"), (None, "g")], "k int, r string")
+    assert rows(resolve.seed_join(left, right, ["k"])) == [(2, "c", "f")]
+
+
+def test_empty_and_missing_states_have_other_fingerprints(spark):
+    df = spark.createDataFrame([(1, "", 1), (2, None, 1)], "g int, s string, o int")
+    assert df.groupBy("g").agg(resolve.fingerprint(["s"], "o").alias("f")).select("f").distinct().count() == 2
+
+
 def test_learners(spark):
     df = spark.createDataFrame([(float(i % 20 - 10), int(i % 20 > 10)) for i in range(120)], "x double, y int")
     for kind, params in (("logistic", {}), ("boosted", {"maxIter": 5, "seed": 1}), ("forest", {"numTrees": 5, "seed": 1})):
@@ -211,10 +428,26 @@ def test_files(spark, tmp_path):
     for _ in range(2):
         assert files.cached(spark, str(tmp_path / "cache"), {"a": 1, "b": 2}, make).count() == 3
     assert len(calls) == 1 and files.signature({"a": 1, "b": 2}) == files.signature({"b": 2, "a": 1})
+    files.cached(spark, str(tmp_path / "cache"), {"a": 1, "b": 2}, make, str(csv))
+    files.cached(spark, str(tmp_path / "cache"), {"a": 1, "b": 2}, make, str(csv))
+    csv.write_bytes(csv.read_bytes() + b"4,y\n")
+    files.cached(spark, str(tmp_path / "cache"), {"a": 1, "b": 2}, make, str(csv))
+    assert len(calls) == 3
     files.append_history(spark.createDataFrame([(1,)], "a int"), str(tmp_path / "h"))
     files.append_history(spark.createDataFrame([(2, "x")], "a int, b string"), str(tmp_path / "h"))
     assert sorted(rows(files.read_history(spark, str(tmp_path / "h")))) == [(1, None), (2, "x")]
     files.write_features(spark.range(5), str(tmp_path / "f"))
+    files.write_features(spark.range(400_000).withColumn("r", F.rand(1)).repartition(1), str(tmp_path / "g"), 1 << 20)
+    import pyarrow.parquet as pq
+
+    (file,) = (tmp_path / "g").glob("*.parquet")
+    meta = pq.ParquetFile(file).metadata
+    assert meta.num_row_groups > 1 and meta.row_group(0).column(0).compression == "ZSTD"
+    files.write_json(spark, {"b": [1, "ü"]}, str(tmp_path / "j"))
+    assert files.read_json(spark, str(tmp_path / "j")) == {"b": [1, "ü"]}
+    assert [tuple(r) for r in files.first_rows(spark.range(9), "id", 2).collect()] == [(0,), (1,)]
+    plan = files.read_csv(spark, str(csv), "id string, grade string", ["grade"])._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<grade:string>" in plan
     files.write_csv(spark.range(5), str(tmp_path / "c"), 2, "id")
     assert spark.read.parquet(str(tmp_path / "f")).count() == 5 and spark.read.csv(str(tmp_path / "c"), header=True).count() == 2
 

@@ -27,6 +27,11 @@ def identifier(c: Column) -> Column:
     return F.regexp_replace(c.cast("string"), r"\.0$", "")
 
 
+def composite_key(*columns: Column) -> Column:
+    """One text of several columns, joined by '|'; a missing part is 'nan'."""
+    return F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("nan")) for c in columns])
+
+
 def flag(predicate: Column) -> Column:
     return F.coalesce(predicate, F.lit(False)).cast("int")
 

@@ -12,7 +12,7 @@ from fnmatch import fnmatch
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import MISSING, clip, flag, probability, require, share
+from ..functions.scalars import MISSING, clip, finalize, flag, identifier, probability, require, share
 
 Columns = dict[str, Column]
 C = F.col
@@ -107,10 +107,15 @@ def reliability(sensor: bool = True) -> Columns:
     return {"pitcher_share": p, "batter_share": b, "mix_share": m, "history_share": h, "sensor_share": s, "weighted_gap": p * C("pitcher_success") - b * C("batter_success"), "information_sources": sources}
 
 
+def known_hand(c: Column) -> Column:
+    """NULL for the missing literal too."""
+    return F.when(c != MISSING, c)
+
+
 def threat() -> Columns:
     """Products of probabilities; values outside [0, 1] count as missing, and so does a missing hand."""
-    a, b = C("pitcher_hand"), C("batter_hand")
-    known = a.isNotNull() & b.isNotNull() & (a != MISSING) & (b != MISSING)
+    a, b = known_hand(C("pitcher_hand")), known_hand(C("batter_hand"))
+    known = a.isNotNull() & b.isNotNull()
     success, other, reverse, middle, ball = (probability(C(n)) for n in ("pitcher_success", "batter_success", "pitcher_reverse", "pitcher_middle", "pitcher_ball"))
     return {
         "hand_match": F.when(known, (a == b).cast("double")), "success_interact": success * other, "reverse_x_middle": reverse * middle,
@@ -142,11 +147,30 @@ def apply_feature_set(df: DataFrame, blocks: list[str], drop: list[str] = (), ca
             raise ValueError(f"{b} adds columns that are there already: {sorted(twice)}")
         added |= new
     names = [*df.columns, *added]
+    if idle := [p for p in drop if not any(fnmatch(n, p) for n in names)]:
+        raise ValueError(f"patterns without a column {idle}")
     gone = [n for n in names if any(fnmatch(n, p) for p in drop)]
     kinds = [n for n in [*categorical, *(c for b in blocks for c in CATEGORICAL.get(b, []))] if n not in gone]
     return df.withColumns(added).drop(*gone), kinds, {"added": list(added), "dropped": gone, "columns": len(names) - len(gone)}
 
 
+#: The columns of a raw log that go into a model as they are.
+RAW_NUMERIC = [
+    "season", "game_month", "game_dayofweek", "inning", "balls_before", "strikes_before", "outs_before", "run_top_before", "run_bot_before", "run_total_before", "score_diff_home", "score_diff_pitcher_team",
+    "runner_on_1b", "runner_on_2b", "runner_on_3b", "num_runners_on", "home_win_expectancy", "away_win_expectancy", "li", "asof_pitcher_n", "asof_batter_n", "asof_pitcher_pitchmix_n",
+    *(f"asof_pitcher_{k}_rate" for k in ("success", "reverse", "middle", "ball", "strike")), *(f"asof_pitcher_prev{n}_game_{k}_rate" for n in SPANS for k in ("success", "middle")),
+    "asof_batter_success_rate", "asof_batter_middle_rate", *(f"asof_pitcher_{k}_rate" for k in ("fastball", "breaking", "offspeed")),
+]
+RAW_CATEGORICAL = ["top_bottom", "game_type", "base_state", "pitcher_id", "batter_id", "pitcher_team_id", "batter_team_id", "pitcher_hand", "batter_hand"]
+
+
+def raw_view(rows: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """The 47 raw columns, finished for a model, and nothing engineered; `keep` passes through."""
+    require(rows, [*RAW_NUMERIC, *RAW_CATEGORICAL], "raw view")
+    ids = {c: identifier(C(c)) for c in RAW_CATEGORICAL if c.endswith("_id")}
+    return finalize(rows.select(*keep, *RAW_NUMERIC, *RAW_CATEGORICAL).withColumns(ids), RAW_CATEGORICAL, keep)
+
+
 def feature_catalog(spark) -> DataFrame:
     """(block, feature) of every block."""
     return spark.createDataFrame([(b, n) for b, make in BLOCKS.items() for n in make()], "block string, feature string")

@@ -69,9 +69,9 @@ def latest(history: DataFrame, keys: list[str], finished: str, *ties: str) -> Da
     return history.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def leaderboard(history: DataFrame, same: dict[str, str]) -> DataFrame:
-    """Completed experiments that are comparable in all of `same`, the latest run of each, best first."""
-    rows = history.filter(F.col("status") == "completed")
+def leaderboard(history: DataFrame, same: dict[str, object]) -> DataFrame:
+    """Successful runs that are comparable in all of `same`, the latest of each experiment, best first."""
+    rows = history.filter(F.col("status") == "success")
     for c, v in same.items():
         rows = rows.filter(F.col(c) == v)
-    return latest(rows, ["experiment"], "finished_at").orderBy("brier", "experiment")
+    return latest(rows, ["experiment"], "finished_at", "brier").orderBy("brier", "experiment")

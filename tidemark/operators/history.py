@@ -116,6 +116,24 @@ def sensor_history(summary: DataFrame, key: str, period: str, metric: str) -> Da
     return at.filter("c_n > 0").select(key, period, mean.alias("career_mean"), std.alias("career_std"), before.alias("prev_mean"), (before - F.try_divide(F.col("e_sum"), F.col("e_n"))).alias("delta_mean"))
 
 
+def sensor_profiles(readings: DataFrame, key: str, period: str, metrics: list[str], first: str, order: str) -> DataFrame:
+    """Per key and period: rows, mean and sample deviation of each metric (one reading has none), and the first value of `first` in the order given."""
+    cols = [c for m in metrics for c in (F.avg(m).alias(f"{m}_mean"), F.stddev_samp(m).alias(f"{m}_std"))]
+    known = F.when(F.col(first).isNotNull(), F.col(order))
+    return readings.groupBy(key, period).agg(F.count("*").alias("n"), *cols, F.min_by(first, known).alias(f"first_{first}"))
+
+
+def mix_shares(readings: DataFrame, keys: list[str], kind: str, kinds: list[str]) -> DataFrame:
+    """Per key the share of each of the kinds among its readings of these kinds, 0 for those it lacks; keys without any are absent."""
+    known = readings.filter(F.col(kind).isin(kinds))
+    return known.groupBy(*keys).agg(*[(F.count_if(F.col(kind) == k) / F.count("*")).alias(f"mix_{k}") for k in kinds])
+
+
+def coverage(rows: DataFrame, period: str, column: str) -> DataFrame:
+    """Per period the share of rows that have a value."""
+    return rows.groupBy(period).agg(F.avg(F.col(column).isNotNull().cast("int")).alias("coverage"))
+
+
 def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str], tie: str) -> DataFrame:
     """Adds to left the values of the latest right row of its key with a strictly smaller time; of equal times, the row with the largest tie.
 

@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.pipeline import Pipeline
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import MISSING, logit
+
+C = F.col
+
 
 def frequency_encode(train: DataFrame, other: DataFrame, column: str) -> DataFrame:
     """Adds the share of the training rows with the value, 0 for unseen ones."""
     n = train.count()
-    shares = train.groupBy(F.col(column).alias("_v")).agg((F.count("*") / F.lit(float(n))).alias(f"{column}_freq"))
-    return other.join(shares, F.col(column).eqNullSafe(F.col("_v")), "left").drop("_v").fillna(0.0, [f"{column}_freq"])
+    shares = train.groupBy(C(column).alias("_v")).agg((F.count("*") / F.lit(float(n))).alias(f"{column}_freq"))
+    return other.join(shares, C(column).eqNullSafe(C("_v")), "left").drop("_v").fillna(0.0, [f"{column}_freq"])
 
 
 def medians(train: DataFrame, columns: list[str]) -> dict[str, float]:
@@ -32,19 +37,99 @@ def constant_rate(train: DataFrame, label: str) -> float:
 
 
 def fit(train: DataFrame, features: list[str], label: str, kind: str = "logistic", **params) -> PipelineModel:
-    """kind: logistic, boosted or forest. A missing feature takes the training median beforehand."""
-    assembled = VectorAssembler(inputCols=features, outputCol="_x")
+    """kind: logistic, boosted or forest. A missing feature takes the training median; a feature without any value is 0."""
+    empty = train.agg(*[F.count(f).alias(f) for f in features]).first()
+    known = [f for f in features if empty[f]]
+    rows = train.withColumns({f: C(f).cast("double") for f in features})
+    stages = [Imputer(inputCols=known, outputCols=[f"_known_{f}" for f in known], strategy="median")] if known else []
+    stages.append(VectorAssembler(inputCols=[f"_known_{f}" for f in known], outputCol="_features"))
     if kind == "logistic":
         c = params.pop("C", 1.0)
-        learner = LogisticRegression(featuresCol="_z", labelCol=label, regParam=1.0 / (c * max(train.count(), 1)), elasticNetParam=0.0, standardization=False, **params)
-        return Pipeline(stages=[assembled, StandardScaler(inputCol="_x", outputCol="_z", withMean=True), learner]).fit(train)
-    learner = (GBTClassifier if kind == "boosted" else RandomForestClassifier)(featuresCol="_x", labelCol=label, **params)
-    return Pipeline(stages=[assembled, learner]).fit(train)
+        learner = LogisticRegression(featuresCol="_scaled", labelCol=label, regParam=1.0 / (c * max(train.count(), 1)), elasticNetParam=0.0, standardization=False, **params)
+        stages += [StandardScaler(inputCol="_features", outputCol="_scaled", withMean=True), learner]
+    else:
+        stages.append((GBTClassifier if kind == "boosted" else RandomForestClassifier)(featuresCol="_features", labelCol=label, **params))
+    return Pipeline(stages=stages).fit(rows)
+
+
+def _prepared(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """The rows with their features as doubles."""
+    used = next((s.getInputCols() for s in model.stages if s.hasParam("missingValue")), [])
+    return rows.withColumns({f: C(f).cast("double") for f in used}) if used else rows
 
 
 def predict(model: PipelineModel, rows: DataFrame, name: str = "p") -> DataFrame:
     keep = rows.columns
-    return model.transform(rows).withColumn(name, vector_to_array("probability")[1]).select(*keep, name)
+    return model.transform(_prepared(model, rows)).withColumn(name, vector_to_array("probability")[1]).select(*keep, name)
+
+
+def importances(model: PipelineModel, features: list[str], top: int | None = None) -> list[tuple[str, float]]:
+    """(feature, weight), the largest first: impurity gains of trees, absolute coefficients of linear models."""
+    learner = model.stages[-1]
+    weights = learner.featureImportances if hasattr(learner, "featureImportances") else learner.coefficients
+    used = next((s.getInputCols() for s in model.stages if s.hasParam("missingValue")), features)
+    found = dict.fromkeys(features, 0.0) | {f: abs(float(w)) for f, w in zip(used, weights.toArray())}
+    return sorted(found.items(), key=lambda x: (-x[1], x[0]))[:top]
+
+
+def staged_brier(model: PipelineModel, rows: DataFrame, label: str) -> list[float]:
+    """Brier score of each prefix of the boosted trees, in one pass over the rows."""
+    learner = model.stages[-1]
+    at = _prepared(model, rows)
+    for stage in model.stages[:-1]:
+        at = stage.transform(at)
+    margins, total = [], F.lit(0.0)
+    for i, (tree, weight) in enumerate(zip(learner.trees, learner.treeWeights)):
+        at = tree.setPredictionCol(f"_t{i}").transform(at)
+        total = total + C(f"_t{i}") * F.lit(float(weight))
+        margins.append(total)
+    score = lambda m: F.avg((1 / (1 + F.exp(-2 * m)) - C(label)) ** 2)
+    return list(at.agg(*[score(m).alias(f"b{i}") for i, m in enumerate(margins)]).first())
+
+
+def tuned_rounds(train: DataFrame, tuning: DataFrame, features: list[str], label: str, rounds: int, **params) -> int:
+    """How many boosted trees give the least Brier score on the tuning rows, from the prefixes of one fit; the fewest of equals."""
+    found = staged_brier(fit(train, features, label, "boosted", maxIter=rounds, **params), tuning, label)
+    return found.index(min(found)) + 1
+
+
+@dataclass
+class Fitted:
+    """A model of one configuration: how it predicts, its trees where it has any, and what it was made of."""
+
+    predict: Callable[[DataFrame], DataFrame]
+    rounds: int | None
+    model: PipelineModel | None
+
+
+def fit_configured(config: dict, train: DataFrame, features: list[str], categorical: list[str], label: str, tuning: tuple[DataFrame, DataFrame] | None = None) -> Fitted:
+    """config: `type` (constant, logistic, boosted, forest) and `params`. Categoricals are frequency encoded by the training rows. A
+    boosted model with tuning rows (train, valid) takes as many trees as are best there and is then fitted to `train`."""
+    kind, params = config["type"], dict(config.get("params", {}))
+    if kind == "constant":
+        rate = constant_rate(train, label)
+        return Fitted(lambda rows: rows.withColumn("p", F.lit(rate)), None, None)
+    if kind not in ("logistic", "boosted", "forest"):
+        raise ValueError(f"unknown model type {kind}")
+    names = [*(f for f in features if f not in categorical), *(f"{c}_freq" for c in categorical)]
+
+    def encoded(by: DataFrame, rows: DataFrame) -> DataFrame:
+        for c in categorical:
+            rows = frequency_encode(by, rows, c)
+        return rows
+
+    rounds = None
+    if kind == "boosted":
+        rounds = params.pop("maxIter", 20)
+        if tuning:
+            rounds = tuned_rounds(encoded(tuning[0], tuning[0]), encoded(*tuning), names, label, rounds, **params)
+        params["maxIter"] = rounds
+    model = fit(encoded(train, train), names, label, kind, **params)
+
+    def forecast(rows: DataFrame) -> DataFrame:
+        return predict(model, encoded(train, rows)).drop(*[f"{c}_freq" for c in categorical])
+
+    return Fitted(forecast, rounds, model)
 
 
 @dataclass
@@ -56,7 +141,7 @@ class Ridge:
     def correction(self) -> Column:
         out = F.lit(self.intercept)
         for f, c in zip(self.features, self.coefficients):
-            out = out + F.col(f) * F.lit(c)
+            out = out + C(f) * F.lit(c)
         return out
 
 
@@ -71,8 +156,62 @@ def ridge(train: DataFrame, features: list[str], residual: str, alpha: float) ->
     return Ridge(features, [float(c) for c in model.coefficients], float(model.intercept))
 
 
-def tuned_rounds(train: DataFrame, tuning: DataFrame, features: list[str], label: str, rounds: int, **params) -> int:
-    """How many boosted trees give the least log loss on the tuning rows, from the prefixes of one fit."""
-    model = fit(train, features, label, "boosted", maxIter=rounds, **params).stages[-1]
-    losses = model.evaluateEachIteration(VectorAssembler(inputCols=features, outputCol="_x").transform(tuning))
-    return losses.index(min(losses)) + 1
+@dataclass
+class ResidualDesign:
+    """What the design of a residual model takes from its training rows: medians, the values of each categorical, and each column's mean and deviation."""
+
+    numeric: list[str]
+    categorical: list[str]
+    medians: dict[str, float]
+    values: dict[str, list[str]]
+    scale: dict[str, tuple[float, float]]
+
+    @property
+    def names(self) -> list[str]:
+        return [*self.numeric, *(f"{c}_{v}" for c in self.categorical for v in self.values[c])]
+
+    def raw(self) -> dict[str, Column]:
+        """Columns before scaling: numbers with the median for a missing one, and an indicator per value; an unseen value has none."""
+        out = {c: F.coalesce(C(c).cast("double"), F.lit(self.medians[c])) for c in self.numeric}
+        text = lambda c: F.coalesce(C(c).cast("string"), F.lit(MISSING))
+        return out | {f"{c}_{v}": (text(c) == v).cast("double") for c in self.categorical for v in self.values[c]}
+
+    def columns(self, p: str) -> dict[str, Column]:
+        """The scaled columns, the base forecast and its logit."""
+        scaled = {f"z_{n}": (x - F.lit(self.scale[n][0])) / F.lit(self.scale[n][1]) for n, x in self.raw().items()}
+        return scaled | {"z_p": F.least(F.greatest(C(p), F.lit(1e-5)), F.lit(1 - 1e-5)), "z_logit": logit(C(p))}
+
+
+def residual_design(train: DataFrame, numeric: list[str], categorical: list[str]) -> ResidualDesign:
+    """Categoricals have few values by nature; their lists, and two numbers a column, are all that leaves the executors. A column that hardly varies is not scaled."""
+    text = lambda c: F.coalesce(C(c).cast("string"), F.lit(MISSING))
+    found = train.agg(*[F.array_sort(F.collect_set(text(c))).alias(c) for c in categorical]).first() if categorical else {}
+    out = ResidualDesign(numeric, categorical, medians(train, numeric) if numeric else {}, {c: list(found[c]) for c in categorical}, {})
+    raw = out.raw()
+    if raw:
+        row = train.agg(*[f(x).alias(f"{k}{i}") for i, x in enumerate(raw.values()) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+        for i, n in enumerate(raw):
+            out.scale[n] = (row[f"m{i}"] or 0.0, row[f"s{i}"] if row[f"s{i}"] and row[f"s{i}"] >= 1e-6 else 1.0)
+    return out
+
+
+@dataclass
+class ResidualModel:
+    design: ResidualDesign
+    ridge: Ridge
+    alpha: float
+    weight: float
+
+    def correction(self, p: str) -> Column:
+        """The ridge's value for a row; `weight` goes with the model and is applied by its caller."""
+        out, columns = F.lit(self.ridge.intercept), self.design.columns(p)
+        for n, c in zip(self.ridge.features, self.ridge.coefficients):
+            out = out + columns[n] * F.lit(c)
+        return out
+
+
+def residual_model(train: DataFrame, numeric: list[str], categorical: list[str], p: str, label: str, alpha: float, weight: float = 1.0) -> ResidualModel:
+    design = residual_design(train, numeric, categorical)
+    columns = design.columns(p)
+    rows = train.select((C(label) - C(p)).alias("_residual"), *[x.alias(n) for n, x in columns.items()])
+    return ResidualModel(design, ridge(rows, list(columns), "_residual", alpha), alpha, weight)

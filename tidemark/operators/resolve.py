@@ -76,6 +76,21 @@ def with_both(df: DataFrame, group: list[str], column: str, values: list) -> Dat
     return df.join(full.select(*group), group, "left_semi")
 
 
+def most_common(rows: DataFrame, group: list[str], column: str) -> DataFrame:
+    """The group's most frequent value, the smallest of equals."""
+    return rows.groupBy(*group).agg(F.mode(column, True).alias(column))
+
+
+def seed_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of the rows whose key occurs once on each side and has no missing part."""
+    return only_unique(left, keys).join(only_unique(right, keys), keys)
+
+
+def matched_groups(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str) -> DataFrame:
+    """(left_id, right_id) of groups whose keys, a sequence fingerprint among them, occur once on each side."""
+    return one_to_one(only_unique(left, keys), only_unique(right, keys), keys).select(left_id, right_id)
+
+
 def votes(pairs: DataFrame, source: str, target: str) -> DataFrame:
     """(source, target, votes, total, purity) per pair of ids that rows put together."""
     counted = pairs.groupBy(source, target).agg(F.count("*").alias("votes"))

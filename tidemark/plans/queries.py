@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import blocks, coldstart, evaluate, history, models, resolve, tables
-from ..sources.views import EVENTS_SQL, LOG_SQL, events, log, table
+from ..operators import blocks, coldstart, evaluate, export, history, lab, models, report, resolve, stability, tables, validate
+from ..sources.files import with_row_order, work_folder
+from ..sources.views import EVENTS_SQL, LOG_SQL, RAW_SQL, events, log, raw, table
 from .catalog import query
 
 C = F.col
@@ -139,9 +140,33 @@ def P16_threat(spark, d):
     return projected(spark, d, blocks.threat())
 
 
-@query(f"{W} SELECT {KEYS}, CAST(li AS FLOAT) AS li, CAST(score_diff AS FLOAT) AS score_diff, coalesce(batter_hand, '__MISSING__') AS batter_hand FROM log")
+@query(f"WITH {RAW_SQL} SELECT {KEYS}, {', '.join([f'CAST({c} AS FLOAT) AS {c}' for c in blocks.RAW_NUMERIC] + [f'''coalesce({c}, '__MISSING__') AS {c}''' for c in blocks.RAW_CATEGORICAL])} FROM raw")
 def P21_raw_view(spark, d):
-    return scalars.finalize(log(spark, d).select(*KEY_COLUMNS, "li", "score_diff", "batter_hand"), ["batter_hand"], KEY_COLUMNS)
+    return blocks.raw_view(raw(spark, d), KEY_COLUMNS)
+
+
+@query(f"""{W}, {", ".join(["r AS (SELECT *, " + ", ".join(f"CASE WHEN {n} IS NOT NULL THEN least(greatest({n}, 0), 1) END AS {a}" for n, a in (("fastball", "f"), ("breaking", "b"), ("offspeed", "o"))) + " FROM log)"])},
+    t AS (SELECT *, CASE WHEN f IS NULL AND b IS NULL AND o IS NULL THEN NULL ELSE coalesce(f, 0) + coalesce(b, 0) + coalesce(o, 0) END AS s FROM r)
+    SELECT {KEYS}, round(greatest(f, b, o), 6) AS mix_dominant, round(least(f, b, o), 6) AS mix_balance, round(s, 6) AS mix_sum, {flag_sql('mix_n > 0', 'mix_available')},
+    CASE WHEN pitcher_hand IS NOT NULL AND batter_hand IS NOT NULL THEN CAST(pitcher_hand = batter_hand AS DOUBLE) END AS hand_match FROM t""")
+def P18_glob_drop(spark, d):
+    out, _, found = blocks.apply_feature_set(log(spark, d), ["mix", "threat"], ["mix_*_*", "mix_entropy", "threat_x_*", "*_interact", "reverse_*"])
+    return rounded(out.select(*KEY_COLUMNS, *[n for n in found["added"] if n not in found["dropped"]]))
+
+
+@query("SELECT * FROM (VALUES ('trends', CAST(13 AS BIGINT)), ('situation', 11), ('mix', 8), ('reliability', 7), ('threat', 6)) AS t(block, n)")
+def P19_catalog(spark, d):
+    return blocks.feature_catalog(spark).groupBy("block").agg(F.count("*").alias("n"))
+
+
+@query(f"{W} SELECT {KEYS}, coalesce(state, 'nan') || '|' || CAST(period AS VARCHAR) || '|' || coalesce(CAST(balls AS VARCHAR), 'nan') AS key FROM log")
+def P23_composite_key(spark, d):
+    return projected(spark, d, {"key": scalars.composite_key(C("state"), C("period"), C("balls"))})
+
+
+@query(f"{W} SELECT {KEYS}, NULLIF(base_state, '__MISSING__') AS hand FROM log")
+def P24_known_hand(spark, d):
+    return projected(spark, d, {"hand": blocks.known_hand(C("base_state"))})
 
 
 @query(f"{W} SELECT {KEYS}, CASE state WHEN 'F' THEN '1' WHEN 'O' THEN '2' END AS code FROM log")
@@ -154,13 +179,60 @@ def P25_logit(spark, d):
     return projected(spark, d, {"logit": scalars.logit(C("p"))})
 
 
+BOARD = f"{W}, board AS (SELECT entity, period, avg((p - y) * (p - y)) AS brier FROM log GROUP BY 1, 2)"
+#: The board as a history of runs.
+RUN = {
+    "experiment": "CAST(entity % 20 AS VARCHAR(9))", "status": "CASE WHEN entity % 3 = 0 THEN 'failed' ELSE 'success' END", "data_signature": "'s' || CAST(period % 2 AS VARCHAR(9))",
+    "config_hash": "'c' || CAST(entity % 4 AS VARCHAR(9))", "mode": "CASE WHEN entity % 7 = 1 THEN 'quick' ELSE 'full' END", "finished_at": "CAST(period * 100000 + entity AS VARCHAR(9))",
+    "model_family": "CASE WHEN entity % 5 = 0 THEN 'other' ELSE 'boosted' END", "preprocessing_stage": "'stage' || CAST(period % 3 AS VARCHAR(9))", "elapsed_seconds": "CAST(entity % 11 AS DOUBLE)", "brier": "brier",
+}
+RUNS = f"{BOARD}, runs AS (SELECT {', '.join(f'{e} AS {n}' for n, e in RUN.items())} FROM board)"
+MIX = ", ".join(f"round(count(*) FILTER (kind = '{k}') / count(*)::DOUBLE, 6) AS mix_{k}" for k in ("click", "view", "purchase"))
+
+
+def _board(spark, d):
+    return log(spark, d).groupBy("entity", "period").agg(F.avg((C("p") - C("y")) ** 2).alias("brier"))
+
+
+def _runs(spark, d):
+    return _board(spark, d).selectExpr(*[f"{e} AS {n}" for n, e in RUN.items()])
+
+
 # --- filters, joins, set operations -----------------------------------------------------------------------------------------------
 
 
-@query(f"{W} SELECT CASE WHEN period < 2000 THEN 'train' WHEN period = 2000 THEN 'tune' ELSE 'valid' END AS part, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives FROM log GROUP BY 1")
+@query(f"""{W}, p AS (SELECT 'train' AS part, * FROM log WHERE period < 2000 UNION ALL SELECT 'valid', * FROM log WHERE period = 2000 UNION ALL SELECT 'tuning_train', * FROM log WHERE period < 1999 UNION ALL SELECT 'tuning_valid', * FROM log WHERE period = 1999)
+    SELECT part, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives FROM p GROUP BY 1""")
 def F01_splits(spark, d):
-    part = F.when(C("period") < 2000, "train").when(C("period") == 2000, "tune").otherwise("valid").alias("part")
-    return log(spark, d).groupBy(part).agg(F.count("*").alias("n"), F.sum("y").cast("bigint").alias("positives"))
+    rows = log(spark, d).select("period", "y")
+    at, before = validate.split(rows, "period", 2000, "y"), validate.split(rows, "period", 1999, "y")
+    parts = {"train": at.train, "valid": at.valid, "tuning_train": before.train, "tuning_valid": before.valid}
+    counts = [x.agg(F.lit(n).alias("part"), F.count("*").alias("n"), F.sum("y").cast("bigint").alias("positives")) for n, x in parts.items()]
+    return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
+
+
+@query(f"{E} SELECT event_id, kind FROM ev WHERE kind IN ('click', 'view')")
+def F04_members(spark, d):
+    return tables.members(events(spark, d), "kind", ["click", "view"]).select("event_id", "kind")
+
+
+@query(f"{RUNS}, c AS (SELECT * FROM runs WHERE status = 'success' AND data_signature = 's0' AND mode = 'full') SELECT experiment, round(brier, 6) AS brier FROM c QUALIFY row_number() OVER (PARTITION BY experiment ORDER BY finished_at DESC) = 1")
+def F08_comparable(spark, d):
+    return rounded(evaluate.leaderboard(_runs(spark, d), {"data_signature": "s0", "mode": "full"}).select("experiment", "brier"))
+
+
+@query(f"{RUNS}, h AS (SELECT unnest(['c0', 'c1', 'c2', 'c3', 'c9']) AS config_hash) SELECT config_hash, config_hash IN (SELECT config_hash FROM runs WHERE status = 'success' AND data_signature = 's0' AND mode = 'quick') AS done FROM h")
+def F08_completed(spark, d):
+    runs = _runs(spark, d)
+    done = [(h, lab.already_completed(runs, "s0", h, "quick")) for h in ("c0", "c1", "c2", "c3", "c9")]
+    return spark.createDataFrame(done, "config_hash string, done boolean")
+
+
+@query("SELECT * FROM (VALUES ('starter', 'a'), ('starter', 'c'), ('extended', 'b'), ('all', 'a'), ('all', 'b'), ('all', 'c')) AS t(preset, name)")
+def F09_select(spark, d):
+    config = {"experiments": [{"name": "a"}, {"name": "b", "presets": ["extended"]}, {"name": "c", "presets": ["starter"]}, {"name": "d", "enabled": False}]}
+    found = [(p, e["name"]) for p in ("starter", "extended", "all") for e in lab.select_experiments(config, p)]
+    return spark.createDataFrame(found, "preset string, name string")
 
 
 @query(f"{E}, g AS (SELECT entity, day FROM ev GROUP BY 1, 2 HAVING bool_or(kind = 'click') AND bool_or(kind = 'view')) SELECT event_id FROM ev JOIN g USING (entity, day)")
@@ -195,19 +267,42 @@ def J08_asof_strict(spark, d):
 
 
 @query(f"""{E}, a AS (SELECT entity, day, string_agg(kind || '|' || CAST(event_id % 7 AS VARCHAR), ';' ORDER BY event_id) AS s FROM ev GROUP BY 1, 2),
-    b AS (SELECT entity, day, string_agg(kind || '|' || CAST(event_id % 7 AS VARCHAR), ';' ORDER BY event_id) AS s FROM ev WHERE event_id % 13 <> 0 GROUP BY 1, 2)
-    SELECT a.entity, a.day FROM a JOIN b ON a.entity = b.entity AND a.day = b.day AND a.s = b.s""")
+    b AS (SELECT entity, day, string_agg(kind || '|' || CAST(event_id % 7 AS VARCHAR), ';' ORDER BY event_id) AS s FROM ev WHERE event_id % 13 <> 0 GROUP BY 1, 2),
+    u AS (SELECT * FROM a QUALIFY count(*) OVER (PARTITION BY day, s) = 1), v AS (SELECT * FROM b QUALIFY count(*) OVER (PARTITION BY day, s) = 1)
+    SELECT u.entity AS entity, v.entity AS other FROM u JOIN v ON u.day = v.day AND u.s = v.s""")
 def J11_fingerprint_join(spark, d):
     rows = events(spark, d).withColumn("m", C("event_id") % 7)
-    prints = lambda x: x.groupBy("entity", "day").agg(resolve.fingerprint(["kind", "m"], "event_id").alias("s"))
-    return prints(rows).join(prints(rows.filter("event_id % 13 <> 0")), ["entity", "day", "s"]).select("entity", "day")
+    prints = lambda x, name: x.groupBy(C("entity").alias(name), "day").agg(resolve.fingerprint(["kind", "m"], "event_id").alias("s"))
+    return resolve.matched_groups(prints(rows, "entity"), prints(rows.filter("event_id % 13 <> 0"), "other"), ["day", "s"], "entity", "other")
 
 
-def _board(spark, d):
-    return log(spark, d).groupBy("entity", "period").agg(F.avg((C("p") - C("y")) ** 2).alias("brier"))
+@query(f"{E}, g AS (SELECT entity AS who, day AS that_day, count(*) AS n FROM ev GROUP BY 1, 2) SELECT event_id, n FROM ev JOIN g ON entity = who AND day = that_day")
+def J05_many_to_one(spark, d):
+    rows = events(spark, d)
+    games = rows.groupBy(C("entity").alias("who"), C("day").alias("that_day")).agg(F.count("*").alias("n"))
+    return tables.matched(rows, games, {"entity": "who", "day": "that_day"}, unique=False).select("event_id", "n")
 
 
-BOARD = f"{W}, board AS (SELECT entity, period, avg((p - y) * (p - y)) AS brier FROM log GROUP BY 1, 2)"
+@query(f"{E}, b AS (SELECT entity AS who, event_id AS number, kind AS seen FROM ev WHERE event_id % 3 <> 0) SELECT event_id, kind, seen FROM ev JOIN b ON entity = who AND event_id = number")
+def J06_composite_join(spark, d):
+    rows = events(spark, d)
+    other = rows.filter("event_id % 3 <> 0").select(C("entity").alias("who"), C("event_id").alias("number"), C("kind").alias("seen"))
+    return tables.matched(rows.select("entity", "event_id", "kind"), other, {"entity": "who", "event_id": "number"}).select("event_id", "kind", "seen")
+
+
+@query(f"""{E}, a AS (SELECT * FROM ev QUALIFY count(*) OVER (PARTITION BY entity, day, kind) = 1), b AS (SELECT * FROM ev WHERE event_id % 13 <> 0 QUALIFY count(*) OVER (PARTITION BY entity, day, kind) = 1)
+    SELECT a.event_id AS event_id, b.event_id AS other FROM a JOIN b ON a.entity = b.entity AND a.day = b.day AND a.kind = b.kind""")
+def J10_seed_join(spark, d):
+    rows = events(spark, d).select("entity", "day", "kind", "event_id")
+    return resolve.seed_join(rows, rows.filter("event_id % 13 <> 0").withColumnRenamed("event_id", "other"), ["entity", "day", "kind"]).select("event_id", "other")
+
+
+@query(f"""{E}, w AS (SELECT entity, period, count(*) AS n FROM ev GROUP BY 1, 2), m AS (SELECT entity, period, {MIX} FROM ev WHERE kind IN ('click', 'view', 'purchase') AND event_id % 4 = 0 GROUP BY 1, 2)
+    SELECT w.entity, w.period, n, mix_click, mix_view, mix_purchase FROM w LEFT JOIN m ON w.entity = m.entity AND w.period = m.period""")
+def J12_pivot_join(spark, d):
+    rows = events(spark, d)
+    wide = history.sensor_profiles(rows, "entity", "period", [], "kind", "event_id").select("entity", "period", "n")
+    return rounded(wide.join(history.mix_shares(rows.filter("event_id % 4 = 0"), ["entity", "period"], "kind", ["click", "view", "purchase"]), ["entity", "period"], "left"))
 
 
 @query(f"""{BOARD}, b AS (SELECT CAST(entity AS VARCHAR) || '/' || CAST(period AS VARCHAR) AS name, CAST(entity AS VARCHAR) || '/' || CAST(period - 1 AS VARCHAR) AS ref, brier FROM board)
@@ -300,17 +395,14 @@ def W03_prev_vs_earlier(spark, d):
     return rounded(history.sensor_history(_summary(spark, d), "entity", "period", "reading").withColumn("career_std", F.round("career_std", 5)))
 
 
-@query(f"{E} SELECT entity, period, count(*) AS n, round(avg(reading), 6) AS mean, round(stddev_samp(reading), 6) AS std, arg_min(kind, event_id) AS first_kind FROM ev GROUP BY 1, 2")
+@query(f"{E} SELECT entity, period, count(*) AS n, round(avg(reading), 6) AS reading_mean, round(stddev_samp(reading), 6) AS reading_std, arg_min(kind, event_id) FILTER (kind <> 'view') AS first_kind FROM ev GROUP BY 1, 2")
 def A08_sample_std(spark, d):
-    return rounded(events(spark, d).groupBy("entity", "period").agg(F.count("*").alias("n"), F.avg("reading").alias("mean"), F.stddev_samp("reading").alias("std"), F.min_by("kind", "event_id").alias("first_kind")))
+    return rounded(history.sensor_profiles(events(spark, d).withColumn("kind", F.when(C("kind") != "view", C("kind"))), "entity", "period", ["reading"], "kind", "event_id"))
 
 
-@query(f"{E} SELECT entity, {', '.join(f'''round(count(*) FILTER (kind = '{k}') / count(*)::DOUBLE, 6) AS {k}''' for k in ('click', 'view', 'purchase'))} FROM ev GROUP BY 1")
+@query(f"{E} SELECT entity, {MIX} FROM ev WHERE kind IN ('click', 'view', 'purchase') GROUP BY 1")
 def A09_mix_pivot(spark, d):
-    kinds = ["click", "view", "purchase"]
-    counts = events(spark, d).groupBy("entity").pivot("kind", ["click", "error", "purchase", "signup", "view"]).count().fillna(0)
-    total = C("click") + C("error") + C("purchase") + C("signup") + C("view")
-    return rounded(counts.select("entity", *[(C(k) / total).alias(k) for k in kinds]))
+    return rounded(history.mix_shares(events(spark, d), ["entity"], "kind", ["click", "view", "purchase"]))
 
 
 # --- resolution -------------------------------------------------------------------------------------------------------------------
@@ -330,7 +422,14 @@ def A11_argmax(spark, d):
 
 @query(f"{VOTES} SELECT entity, kind FROM t QUALIFY row_number() OVER (PARTITION BY entity ORDER BY votes DESC, kind) = 1")
 def A12_mode(spark, d):
-    return events(spark, d).groupBy("entity").agg(F.mode("kind", True).alias("kind"))
+    return resolve.most_common(events(spark, d), ["entity"], "kind")
+
+
+@query(f"""{VOTES}, w AS (SELECT votes / total::DOUBLE AS p FROM t QUALIFY row_number() OVER (PARTITION BY entity ORDER BY votes DESC, kind DESC) = 1),
+    a AS (SELECT count(p)::DOUBLE AS c, avg(p) AS m, stddev_samp(p) AS s, min(p) AS lo, max(p) AS hi, quantile_cont(p, 0.25) AS q1, quantile_cont(p, 0.5) AS q2, quantile_cont(p, 0.75) AS q3 FROM w)
+    SELECT unnest(['count', 'mean', 'std', 'min', '25%', '50%', '75%', 'max']) AS statistic, round(unnest([c, m, s, lo, q1, q2, q3, hi]), 6) AS value FROM a""")
+def A27_describe(spark, d):
+    return rounded(tables.described(resolve.winners(resolve.votes(events(spark, d), "entity", "kind"), "entity", "kind"), "purity"))
 
 
 @query(f"{E} SELECT entity, day, string_agg(kind || '|' || CAST(event_id % 7 AS VARCHAR), ';' ORDER BY event_id) AS s FROM ev GROUP BY 1, 2")
@@ -352,6 +451,11 @@ def W07_position(spark, d):
     return resolve.sessions(events(spark, d), "period", "event_id", ["day"], ["kind"]).select("event_id", "place")
 
 
+@query(f"{E} SELECT event_id, row_number() OVER (ORDER BY event_id) AS _row_order FROM ev WHERE event_id % 3 <> 0")
+def W13_row_order(spark, d):
+    return with_row_order(events(spark, d).filter("event_id % 3 <> 0").select("event_id"), "event_id")
+
+
 # --- cold start -------------------------------------------------------------------------------------------------------------------
 
 OUTCOMES = f"{E}, o AS (SELECT entity, period, avg(y) AS rate, count(*) AS n, min(event_id % 40) = 0 AS rookie FROM ev GROUP BY 1, 2)"
@@ -455,7 +559,7 @@ def M12_compare(spark, d):
 
 @query(f"{W} SELECT period, round(avg(CASE WHEN batter_hand IS NOT NULL THEN 1 ELSE 0 END), 6) AS coverage FROM log GROUP BY 1")
 def A23_coverage(spark, d):
-    return rounded(log(spark, d).groupBy("period").agg(F.avg(C("batter_hand").isNotNull().cast("int")).alias("coverage")))
+    return rounded(history.coverage(log(spark, d), "period", "batter_hand"))
 
 
 RANKED = f"{E}, g AS (SELECT entity, period, kind, count(*) AS n, stddev_samp(reading) AS s FROM ev GROUP BY 1, 2, 3), h AS (SELECT entity, period, kind, n, CASE WHEN n >= 3 THEN s END AS s FROM g), r AS (SELECT *, CASE WHEN s IS NOT NULL THEN (rank() OVER (PARTITION BY period, kind ORDER BY s NULLS LAST) + (count(s) OVER (PARTITION BY period, kind, s) - 1) / 2.0) / count(s) OVER (PARTITION BY period, kind) END AS pct FROM h)"
@@ -463,8 +567,7 @@ SCORED = f"{RANKED}, sc AS (SELECT *, 50 + ((1 - pct) * 100 - 50) * n / (n + 100
 
 
 def _ranked(spark, d):
-    per = events(spark, d).groupBy("entity", "period", "kind").agg(F.count("*").alias("n"), F.stddev_samp("reading").alias("s")).withColumn("s", F.when(C("n") >= 3, C("s")))
-    return tables.percent_ranks(per, "s", ["period", "kind"], "pct")
+    return stability.ranked_deviations(events(spark, d), "entity", "period", "kind", "reading", 3)
 
 
 @query(f"{RANKED} SELECT entity, period, kind, round(pct, 6) AS pct FROM r")
@@ -472,10 +575,13 @@ def W09_pct_rank(spark, d):
     return rounded(_ranked(spark, d).select("entity", "period", "kind", "pct"))
 
 
+@query(f"{SCORED} SELECT entity, period, kind, round(score, 5) AS score FROM sc")
+def W10_shrinkage(spark, d):
+    return rounded(_ranked(spark, d).select("entity", "period", "kind", stability.shrunk_score(C("pct"), C("n")).alias("score")), 5)
+
+
 def _scores(spark, d):
-    scored = _ranked(spark, d).withColumn("score", 50 + ((1 - C("pct")) * 100 - 50) * C("n") / (C("n") + 100.0))
-    weight = C("n") / F.sum("n").over(Window.partitionBy("entity", "period"))
-    return scored.withColumn("w", weight).groupBy("entity", "period").agg(F.coalesce(F.sum(C("w") * C("score")), F.lit(0.0)).alias("score"), F.sum("n").alias("n"))
+    return stability.weighted_scores(_ranked(spark, d), "entity", "period")
 
 
 SPIN = f"{SCORED}, wt AS (SELECT *, n / sum(n) OVER (PARTITION BY entity, period) AS w FROM sc), fin AS (SELECT entity, period, coalesce(sum(w * score), 0) AS score, CAST(sum(n) AS BIGINT) AS n FROM wt GROUP BY 1, 2)"
@@ -490,9 +596,7 @@ def A24_weighted_score(spark, d):
     SELECT event_id, round(coalesce(score, -1), 5) AS score, CASE WHEN score IS NULL THEN 'D' WHEN n >= 10 THEN 'A' ELSE 'B' END AS grade FROM q ASOF LEFT JOIN fin ON q.entity = fin.entity AND q.period > fin.period""")
 def M18_spin_score(spark, d):
     rows = events(spark, d).filter("kind = 'purchase'").select("entity", "period", "event_id")
-    at = history.asof_join(rows, _scores(spark, d), "entity", "period", ["score", "n"], "n")
-    grade = F.when(C("score").isNull(), "D").when(C("n") >= 10, "A").otherwise("B")
-    return rounded(at.select("event_id", F.coalesce("score", F.lit(-1.0)).alias("score"), grade.alias("grade")), 5)
+    return rounded(stability.attach_scores(rows, _scores(spark, d), "entity", "period", "n", 10).select("event_id", "score", "grade"), 5)
 
 
 @query(f"{W}, t AS (SELECT state, count(*) / (SELECT count(*) FROM log WHERE period < 2000)::DOUBLE AS f FROM log WHERE period < 2000 GROUP BY 1) SELECT {KEYS}, round(coalesce(f, 0), 6) AS freq FROM log LEFT JOIN t ON log.state IS NOT DISTINCT FROM t.state WHERE period >= 2000")
@@ -523,13 +627,41 @@ def W12_dedup(spark, d):
 
 @query(f"{BOARD} SELECT entity, period, round(brier, 6) AS brier FROM board ORDER BY board.brier, entity, period LIMIT 30")
 def O03_topn(spark, d):
-    return rounded(_board(spark, d).orderBy("brier", "entity", "period").limit(30))
+    return rounded(tables.top(_board(spark, d), 30, "brier", "entity", "period"))
+
+
+@query(f"{E} SELECT entity, kind, event_id FROM ev ORDER BY kind DESC, entity, event_id LIMIT 200")
+def O01_stable_sort(spark, d):
+    return tables.ordered(events(spark, d).select("kind", "entity", "event_id"), C("kind").desc(), "entity").limit(200)
+
+
+@query(f"""{RUNS}, c AS (SELECT * FROM runs WHERE status = 'success' AND data_signature = 's1' QUALIFY row_number() OVER (PARTITION BY experiment ORDER BY finished_at DESC) = 1)
+    SELECT experiment, round(brier, 6) AS brier FROM c ORDER BY c.brier, experiment LIMIT 5""")
+def O02_leaderboard(spark, d):
+    return rounded(evaluate.leaderboard(_runs(spark, d), {"data_signature": "s1"}).limit(5).select("experiment", "brier"))
+
+
+@query(f"{RUNS} SELECT preprocessing_stage, finished_at, round(brier, 6) AS brier FROM runs WHERE model_family = 'boosted' ORDER BY preprocessing_stage, runs.brier, experiment LIMIT 40")
+def O05_stages(spark, d):
+    return rounded(report.stage_comparison(_runs(spark, d), ["boosted"]).limit(40).select("preprocessing_stage", "finished_at", "brier"))
+
+
+@query(f"{RUNS} SELECT finished_at, round(brier, 6) AS brier FROM runs WHERE model_family = 'boosted' AND preprocessing_stage = 'stage2' ORDER BY runs.brier, experiment LIMIT 20")
+def O05_final_stage(spark, d):
+    return rounded(report.final_stage(_runs(spark, d), ["boosted"], "stage2").limit(20).select("finished_at", "brier"))
+
+
+@query(f"""{RUNS}, c AS (SELECT * FROM runs WHERE status = 'success' AND data_signature = 's0' QUALIFY row_number() OVER (PARTITION BY experiment ORDER BY finished_at DESC) = 1),
+    b AS (SELECT min(brier) AS base FROM c WHERE experiment = '1')
+    SELECT experiment, round(brier - base, 6) AS brier_delta_vs_baseline, round((base - brier) * 100 / base, 4) AS brier_improvement_pct FROM c, b""")
+def M11_baseline_deltas(spark, d):
+    board = report.baseline_deltas(evaluate.leaderboard(_runs(spark, d), {"data_signature": "s0"}), "1")
+    return rounded(board.select("experiment", "brier_delta_vs_baseline", F.round("brier_improvement_pct", 4).alias("brier_improvement_pct")))
 
 
 @query(f"{BOARD} SELECT entity, period, round(brier, 6) AS brier FROM board QUALIFY row_number() OVER (PARTITION BY period ORDER BY board.brier, entity) <= 3")
 def O04_group_topk(spark, d):
-    w = Window.partitionBy("period").orderBy("brier", "entity")
-    return rounded(_board(spark, d).withColumn("rn", F.row_number().over(w)).filter("rn <= 3").drop("rn"))
+    return rounded(tables.top_per_group(_board(spark, d), ["period"], 3, "brier", "entity"))
 
 
 @query(f"{E} SELECT entity, kind, count(*) AS n, round(avg(value), 8) AS mean FROM ev GROUP BY 1, 2 UNION ALL SELECT entity, 'mean', count(*), round(avg(value), 8) FROM ev GROUP BY 1")
@@ -539,23 +671,126 @@ def A22_mean_row(spark, d):
     return rounded(totals.select("entity", F.when(C("g") == 1, "mean").otherwise(C("kind")).alias("kind"), "n", "mean"), 8)
 
 
-# --- models and samples: rows only --------------------------------------------------------------------------------------------------
+# --- models, exports, samples ---------------------------------------------------------------------------------------------------------
 
+RESIDUAL = f"{W}, r AS (SELECT *, CAST(runners AS DOUBLE) AS a, CAST(strikes AS DOUBLE) AS b, y - p AS res FROM log)"
 
-@query()
+
+@query(f"""{RESIDUAL}, m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(res) AS mr FROM r WHERE period < 2000),
+    s AS (SELECT sum((a - ma) * (a - ma)) + 10 AS aa, sum((b - mb) * (b - mb)) + 10 AS bb, sum((a - ma) * (b - mb)) AS ab, sum((a - ma) * (res - mr)) AS ar, sum((b - mb) * (res - mr)) AS br FROM r, m WHERE period < 2000),
+    c AS (SELECT (bb * ar - ab * br) / (aa * bb - ab * ab) AS ca, (aa * br - ab * ar) / (aa * bb - ab * ab) AS cb FROM s)
+    SELECT {KEYS}, round(ca * (a - ma) + cb * (b - mb) + mr, 6) AS correction FROM r, m, c WHERE period >= 2000""")
 def M15_ridge(spark, d):
     rows = log(spark, d).select(*KEY_COLUMNS, "period", C("runners").cast("double").alias("a"), C("strikes").cast("double").alias("b"), (C("y") - C("p")).alias("residual"))
     model = models.ridge(rows.filter("period < 2000"), ["a", "b"], "residual", 10.0)
-    return rows.filter("period >= 2000").select(*KEY_COLUMNS, model.correction().alias("correction"))
+    return rounded(rows.filter("period >= 2000").select(*KEY_COLUMNS, model.correction().alias("correction")))
+
+
+DESIGN = f"""{W}, t AS (SELECT median(li) AS med FROM log WHERE period < 2000), f AS (SELECT *, coalesce(li, med) AS x, coalesce(state, '__MISSING__') AS v FROM log, t),
+    w AS (SELECT *, {", ".join(f"CAST(v = '{v}' AS INT)::DOUBLE AS i_{k}" for v, k in (("F", "f"), ("O", "o"), ("__MISSING__", "m")))} FROM f),
+    g AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in ("x", "i_f", "i_o", "i_m"))} FROM w WHERE period < 2000)"""
+
+
+@query(f"""{DESIGN} SELECT {KEYS}, {", ".join(f"round(({c} - m_{c}) / CASE WHEN s_{c} < 1e-6 THEN 1 ELSE s_{c} END, 5) AS {n}" for c, n in (("x", "z_li"), ("i_f", "z_state_F"), ("i_o", "z_state_O"), ("i_m", "z_state___MISSING__")))},
+    round(least(greatest(p, 1e-5), 1 - 1e-5), 6) AS z_p, round(ln(least(greatest(p, 1e-5), 1 - 1e-5) / (1 - least(greatest(p, 1e-5), 1 - 1e-5))), 5) AS z_logit FROM w, g WHERE period >= 2000""")
+def M13_residual_design(spark, d):
+    rows = log(spark, d)
+    design = models.residual_design(rows.filter("period < 2000"), ["li"], ["state"])
+    return rounded(rows.filter("period >= 2000").select(*KEY_COLUMNS, *[x.alias(n) for n, x in design.columns("p").items()]), 5).withColumn("z_p", F.round("z_p", 6))
 
 
 @query()
-def M03_logistic(spark, d):
-    rows = log(spark, d).select(*KEY_COLUMNS, "period", "y", "p", C("runners").cast("double").alias("a"))
-    model = models.fit(rows.filter("period < 2000"), ["a", "p"], "y")
-    return models.predict(model, rows.filter("period >= 2000"), "forecast").select(*KEY_COLUMNS, "forecast")
+def M14_residual_correction(spark, d):
+    rows = log(spark, d)
+    model = models.residual_model(rows.filter("period < 2000"), ["li", "runners"], ["state"], "p", "y", 10.0)
+    return rows.filter("period >= 2000").select(*KEY_COLUMNS, model.correction("p").alias("correction"))
+
+
+@query(f"{W}, c AS (SELECT avg(y) AS c FROM log WHERE period < 2000) SELECT {KEYS}, round(c, 6) AS p FROM log, c WHERE period = 2000")
+def M01_constant_rate(spark, d):
+    rows = log(spark, d)
+    return rounded(models.fit_configured({"type": "constant"}, rows.filter("period < 2000"), [], [], "y").predict(rows.filter("period = 2000")).select(*KEY_COLUMNS, "p"))
+
+
+def _fold_sql(periods: list[int]) -> str:
+    """Brier score of a constant forecast by the earlier periods' rate."""
+    one = "SELECT {v} AS period, count(*) AS n, round(avg((y - c) * (y - c)), 6) AS brier, CAST((SELECT count(*) FROM log WHERE period < {v}) AS BIGINT) AS train_n FROM log, (SELECT avg(y) AS c FROM log WHERE period < {v}) WHERE period = {v}"
+    return f"{W} " + " UNION ALL ".join(one.format(v=v) for v in periods)
+
+
+def _fold_rows(spark, folds: list[dict]):
+    return spark.createDataFrame([(f["period"], f["n"], round(f["brier"], 6), f["train_n"]) for f in folds], "period int, n long, brier double, train_n long")
+
+
+@query(_fold_sql([1998, 1999, 2000]))
+def M08_forward_folds(spark, d):
+    rows = log(spark, d).select("period", "y")
+    _, folds = validate.forward_folds(rows, {"type": "constant"}, [], [], "period", [1900, 1998, 1999, 2000], "y")
+    return _fold_rows(spark, folds)
+
+
+@query(_fold_sql([2000]))
+def M09_tune_refit(spark, d):
+    rows = log(spark, d).select("period", "y")
+    _, _, found = validate.tune_refit_evaluate(rows, {"type": "constant", "refit_after_tuning": True}, [], [], "period", 2000, "y")
+    return _fold_rows(spark, [found | {"period": 2000}])
+
+
+@query()
+def M02_boosted(spark, d):
+    """Trees chosen on the period before, fitted to all earlier ones, forecasts of the last."""
+    rows = log(spark, d).select(*KEY_COLUMNS, "period", "y", "p", "li", "state", C("runners").cast("double").alias("a"))
+    config = {"type": "boosted", "refit_after_tuning": True, "params": {"maxIter": 6, "maxDepth": 3, "seed": 1}}
+    return validate.tune_refit_evaluate(rows, config, ["a", "p", "li", "state"], ["state"], "period", 2000, "y")[1].select(*KEY_COLUMNS, C("p").alias("forecast"))
 
 
 @query()
+def M03_logistic(spark, d):
+    rows = log(spark, d).select(*KEY_COLUMNS, "period", "y", "p", "li", "state", C("runners").cast("double").alias("a"))
+    model = models.fit_configured({"type": "logistic"}, rows.filter("period < 2000").withColumnRenamed("p", "q"), ["a", "q", "li", "state"], ["state"], "y")
+    return model.predict(rows.filter("period >= 2000").withColumnRenamed("p", "q")).select(*KEY_COLUMNS, C("p").alias("forecast"))
+
+
+MATRIX = {
+    "feature_sets": {"plain": {}, "mixed": {"blocks": ["mix"], "preprocessing_stage": "rowwise"}, "broken": {"blocks": ["nothing"]}},
+    "models": {"rate": {"type": "constant"}},
+    "baseline_experiment": "first",
+    "experiments": [{"name": "first", "feature_set": "plain", "model": "rate"}, {"name": "second", "feature_set": "mixed", "model": "rate", "comparison_experiment": "first"}, {"name": "third", "feature_set": "broken", "model": "rate"}],
+}
+
+
+@query(f"{W}, b AS (SELECT round(avg((y - c) * (y - c)), 6) AS brier, count(*) AS n FROM log, (SELECT avg(y) AS c FROM log WHERE period < 2000) WHERE period = 2000) SELECT experiment, brier, n AS valid_n, 0.0::DOUBLE AS brier_delta_vs_baseline, comparison FROM b, (VALUES ('first', NULL), ('second', 0.0::DOUBLE)) AS t(experiment, comparison)")
+def M10_matrix(spark, d):
+    rows = log(spark, d).withColumn("row_id", scalars.composite_key(*map(C, KEY_COLUMNS)))
+    board = lab.run_matrix(spark, MATRIX, {"v1": lab.View(rows, ["li", "p0"])}, work_folder(spark), 2000)
+    return rounded(board.select("experiment", "brier", "valid_n", "brier_delta_vs_baseline", C("brier_delta_vs_comparison").alias("comparison")))
+
+
+@query(f"{W} SELECT {KEYS}, round(least(greatest(p - 0.3, 1e-5), 1 - 1e-5), 6) AS p FROM log WHERE period = 2000")
+def M17_submission(spark, d):
+    rows = log(spark, d).filter("period = 2000").select(F.struct(*KEY_COLUMNS).alias("row_id"), (C("p") - 0.3).alias("p"))
+    return rounded(validate.submission(rows, "row_id").select("row_id.*", "p"))
+
+
+EXPORTED = ["li", "state", "balls", "sensor_n"]
+
+
+def _bundle(spark, d):
+    rows = scalars.finalize(log(spark, d).select(*KEY_COLUMNS, "period", "y", *EXPORTED), ["state"], [*KEY_COLUMNS, "period", "y"])
+    rows = rows.withColumn("row_id", scalars.composite_key(*map(C, KEY_COLUMNS))).withColumn("is_train", C("period") < 2000)
+    return export.Bundle(rows.withColumn("y", F.when(C("is_train"), C("y"))), EXPORTED, ["state"])
+
+
+@query(f"{W} SELECT {' || chr(124) || '.join(f'CAST({k} AS VARCHAR)' for k in KEY_COLUMNS)} AS row_id, y, CAST(li AS FLOAT) AS li, coalesce(state, '__MISSING__') AS state, CAST(balls AS FLOAT) AS balls, CAST(sensor_n AS FLOAT) AS sensor_n FROM log WHERE period < 2000")
+def M19_export_matrix(spark, d):
+    return export.export_matrix(_bundle(spark, d), True)
+
+
+@query(f"{W} " + " UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS feature, count(*) FILTER ({c} IS NULL AND period < 2000) AS train_missing_n, round(count(*) FILTER ({c} IS NULL AND period < 2000) / count(*) FILTER (period < 2000)::DOUBLE, 6) AS train_missing_rate, count(*) FILTER ({c} IS NULL AND period >= 2000) AS test_missing_n, {'TRUE' if c == 'state' else 'FALSE'} AS is_categorical FROM log" for i, c in enumerate(EXPORTED, 1)))
+def M19_schema(spark, d):
+    return rounded(export.feature_schema(_bundle(spark, d)).select("position", "feature", "train_missing_n", "train_missing_rate", "test_missing_n", "is_categorical"))
+
+
+@query(f"{E} SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY period ORDER BY md5('7/' || CAST(event_id AS VARCHAR)), event_id) <= 100")
 def S05_sample(spark, d):
     return tables.sample_per_group(events(spark, d), "period", "event_id", 100, 7)

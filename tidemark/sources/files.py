@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -37,6 +40,47 @@ def write_csv(df: DataFrame, path: str, rows: int | None = None, order: str | No
     out.write.mode("overwrite").csv(path, header=True, compression="gzip")
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder for results that a query writes: below spark.checkpoint.dir, which all executors share; a local session without it takes a temporary one, a cluster raises."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return f"{found.rstrip('/')}/work-{uuid.uuid4().hex}"
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-")
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One text file below path."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(path)
+
+
+def write_json(spark: SparkSession, value: object, path: str) -> None:
+    write_text(spark, to_json(value), path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())  # the one small file that write_text made
+
+
+def read_json(spark: SparkSession, path: str) -> object:
+    return json.loads(read_text(spark, path))
+
+
+def file_signature(spark: SparkSession, path: str | None) -> list[list] | None:
+    """Path, size and time of change of the file, or of each file of the folder; the contents aren't read."""
+    if path is None:
+        return None
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return sorted([r[0], r[1], r[2].isoformat()] for r in found.select("path", "length", "modificationTime").collect())  # a row a file
+
+
+def save_model(spark: SparkSession, model, path: str, facts: dict | None = None) -> None:
+    """A fitted pipeline with a note of what it is; a constant model is the note alone."""
+    if model is not None:
+        model.write().overwrite().save(f"{path}/pipeline")
+    write_json(spark, (facts or {}) | {"fitted": model is not None}, f"{path}/facts")
+
+
 def to_json(value: object) -> str:
     return json.dumps(value, ensure_ascii=False, sort_keys=True, default=str)
 
@@ -46,9 +90,9 @@ def signature(value: object) -> str:
     return hashlib.sha256(to_json(value).encode()).hexdigest()[:16]
 
 
-def cached(spark: SparkSession, folder: str, key: object, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table that an earlier call with the same key wrote, or else make(), written."""
-    path = f"{folder.rstrip('/')}/{signature(key)}"
+def cached(spark: SparkSession, folder: str, key: object, make: Callable[[], DataFrame], *sources: str) -> DataFrame:
+    """The table that an earlier call with the same key and unchanged source files wrote, or else make(), written."""
+    path = f"{folder.rstrip('/')}/{signature([key, [file_signature(spark, s) for s in sources]])}"
     try:
         return spark.read.parquet(path)
     except AnalysisException:

@@ -31,6 +31,20 @@ EVENTS = {
 }
 
 
+#: The raw columns of a log, those that have NULLs with NULLs.
+RAW = {
+    "season": "CAST(year(o_orderdate) AS INT)", "game_month": "CAST(month(o_orderdate) AS INT)", "game_dayofweek": "CAST(l_linenumber % 7 AS INT)", "inning": LOG["inning"], "balls_before": LOG["balls"],
+    "strikes_before": LOG["strikes"], "outs_before": LOG["outs"], "run_top_before": "CAST(l_partkey % 5 AS INT)", "run_bot_before": "CAST(l_partkey % 6 AS INT)", "run_total_before": "CAST(l_partkey % 11 AS INT)",
+    "score_diff_home": LOG["score_diff"], "score_diff_pitcher_team": LOG["score_diff"], "runner_on_1b": "CAST(l_partkey % 3 AS INT)", "runner_on_2b": LOG["on_2b"], "runner_on_3b": LOG["on_3b"],
+    "num_runners_on": LOG["runners"], "home_win_expectancy": "l_discount * 50", "away_win_expectancy": "l_tax * 50", "li": LOG["li"], "asof_pitcher_n": LOG["pitcher_n"], "asof_batter_n": LOG["batter_n"],
+    "asof_pitcher_pitchmix_n": LOG["mix_n"], **{f"asof_pitcher_{k}_rate": LOG[f"pitcher_{k}"] for k in ("success", "reverse", "middle", "ball", "strike")},
+    **{f"asof_pitcher_prev{n}_game_{k}_rate": LOG[f"prev{n}_{k}"] for n in (1, 3, 5) for k in ("success", "middle")}, "asof_batter_success_rate": LOG["batter_success"],
+    "asof_batter_middle_rate": LOG["batter_middle"], **{f"asof_pitcher_{k}_rate": LOG[k] for k in ("fastball", "breaking", "offspeed")},
+    "top_bottom": "l_linestatus", "game_type": "o_orderstatus", "base_state": "NULLIF(l_returnflag, 'A')", "pitcher_id": "CAST(l_suppkey AS VARCHAR(20))", "batter_id": "CAST(o_custkey AS VARCHAR(20))",
+    "pitcher_team_id": "CAST(l_suppkey % 9 AS VARCHAR(20))", "batter_team_id": "CAST(o_custkey % 9 AS VARCHAR(20))", "pitcher_hand": "l_linestatus", "batter_hand": LOG["batter_hand"],
+}
+
+
 def _sql(roles: dict[str, str], source: str) -> str:
     return "SELECT " + ", ".join(f"{e} AS {n}" for n, e in roles.items()) + f" FROM {source}"
 
@@ -40,6 +54,15 @@ LOG_SQL = f"log AS ({_sql(LOG, 'lineitem JOIN orders ON l_orderkey = o_orderkey'
 EVENTS_SQL = f"ev AS ({_sql(EVENTS, 'events')})"
 
 
+RAW_SQL = f"raw AS ({_sql({k: LOG[k] for k in ('k1', 'k2', 'k3', 'entity')} | RAW, 'lineitem JOIN orders ON l_orderkey = o_orderkey')})"
+
+
+def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    roles = {k: LOG[k] for k in ("k1", "k2", "k3", "entity")} | RAW
+    return items.join(orders, items["l_orderkey"] == orders["o_orderkey"]).selectExpr(*[f"{e} AS {n}" for n, e in roles.items()])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
