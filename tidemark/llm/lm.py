@@ -35,12 +35,12 @@ from .simhash import LOWER
 END = b""
 #: Distinct words that a task holds before it passes on its counts.
 HELD_WORDS = 250_000
-#: Length of a word's vector, noise draws a batch, tokens a batch, passes.
-SIZE, NOISE, BATCH, ROUNDS = 24, 24, 4096, 2
-#: Tokens that a task holds at a time while it trains, and steps that it makes at least by going over them again, PASSES times at most.
-HELD_TOKENS, LEAST_STEPS, PASSES = 4_000_000, 150, 12
+#: Length of a word's vector, noise draws a batch, passes.
+SIZE, NOISE, ROUNDS = 24, 16, 2
+#: Tokens that a task holds at a time while it trains, and a batch: as many as LEAST_STEPS batches leave, between these bounds. Shorter runs go over theirs again, PASSES times at most.
+HELD_TOKENS, BATCH, LEAST_BATCH, LEAST_STEPS, PASSES = 4_000_000, 1 << 14, 1 << 12, 150, 12
 #: Tokens scored at a time, and rows of parameters that travel together.
-SCORED_TOKENS, ROWS = 1 << 16, 256
+SCORED_TOKENS, ROWS = 1 << 15, 256
 
 
 def words(text: bytes) -> list[bytes]:
@@ -107,12 +107,18 @@ def arrange(own_counts: list[int], bucket_sizes: np.ndarray, bucket_of_known: li
     return Units(np.concatenate([place[:n], place[n + np.array(bucket_of_known, np.int64)], place[n:]]), share, first)
 
 
-def _added(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+def _order(at: np.ndarray, below: int) -> np.ndarray:
+    """Stable order of numbers below a bound; numpy sorts small integers by their digits."""
+    return np.argsort(at.astype(np.uint16) if below <= 1 << 16 else at, kind="stable")
+
+
+def _added(total: np.ndarray, at: np.ndarray, rows: np.ndarray, ascending: bool = False) -> None:
     """total[at] += rows, where at has repeats."""
-    order = np.argsort(at, kind="stable")
-    i = at[order]
-    head = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
-    total[i[head]] += np.add.reduceat(rows[order], head, axis=0)
+    if not ascending:
+        order = _order(at, len(total))
+        at, rows = at[order], rows[order]
+    head = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    total[at[head]] += np.add.reduceat(rows, head, axis=0)
 
 
 class LogBilinear:
@@ -123,6 +129,11 @@ class LogBilinear:
         k, c = len(units.share), len(units.first) - 1
         self.k, self.c = k, c
         self.class_share = np.add.reduceat(units.share, units.first[:-1])
+        self.running = np.cumsum(units.share)
+        self.running_before = np.append(0.0, self.running)[units.first[:-1]]
+        #: Logarithms of the expected number of a class, and of a unit within its class, among the noise.
+        self.log_class = np.log(NOISE * self.class_share).astype(np.float32)
+        self.log_unit = np.log(NOISE * units.share / self.class_share[self.class_of]).astype(np.float32)
         rng = np.random.default_rng(seed)
         p = rng.normal(0, 0.1, (k + c + 2 * SIZE, SIZE + 1)).astype(np.float32)
         p[:k, SIZE] = np.log(units.share / self.class_share[self.class_of])
@@ -137,64 +148,63 @@ class LogBilinear:
         r[:, :SIZE] = q[before] @ self.p[at : at + SIZE, :SIZE].T + q[earlier] @ self.p[at + SIZE :, :SIZE].T
         return r
 
-    @staticmethod
-    def _contrast(r, target, noise, log_target, log_noise):
-        """Gradient of the noise-contrastive loss in the scores of the targets and of the noise that a batch shares."""
-        true = 1 / (1 + np.exp(np.clip(log_target - (r * target).sum(1), -30, 30))) - 1
-        false = 1 / (1 + np.exp(np.clip(log_noise - r @ noise.T, -30, 30)))
-        return true.astype(np.float32), false.astype(np.float32)
-
     def step(self, state: np.ndarray, met: np.ndarray, rng, before, earlier, unit, rate: float) -> None:
-        """One step of Adagrad over a batch; state: sums of squared gradients; met: how often each row was met."""
+        """One step of Adagrad over a batch, whose tokens are taken in the order of their units, hence of their classes. state: sums of squared gradients; met:
+        how often each row was met. Both levels are noise-contrastive: the class against classes, the unit against units of its class."""
         p, k, first = self.p, self.k, self.units.first
+        order = _order(unit, k)
+        before, earlier, unit = before[order], earlier[order], unit[order]
         cls = self.class_of[unit]
         r = self._context(before, earlier)
         grad = np.zeros_like(p)
 
-        drawn = rng.choice(self.c, NOISE, p=self.class_share)
-        true, false = self._contrast(r, p[k + cls], p[k + drawn], np.log(NOISE * self.class_share[cls]), np.log(NOISE * self.class_share[drawn]))
-        back = true[:, None] * p[k + cls] + false @ p[k + drawn]
-        _added(grad, k + cls, true[:, None] * r)
+        drawn = np.searchsorted(np.cumsum(self.class_share), rng.random(NOISE) * (1 - 1e-9)).clip(0, self.c - 1)
+        target, noise = p[k + cls], p[k + drawn]
+        true = _sigmoid((r * target).sum(1) - self.log_class[cls]) - 1
+        false = _sigmoid(r @ noise.T - self.log_class[drawn])
+        back = true[:, None] * target + false @ noise
+        _added(grad, k + cls, true[:, None] * r, ascending=True)
         np.add.at(grad, k + drawn, false.T @ r)
 
-        order = np.argsort(cls, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, np.diff(cls[order]) != 0, True])
-        of_target = np.zeros(len(r), np.float32)
-        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            i = order[a:z]
-            lo, hi = first[cls[i[0]]], first[cls[i[0]] + 1]
-            if hi - lo < 2:
-                continue
-            own = self.units.share[lo:hi] / self.class_share[cls[i[0]]]
-            drawn = lo + np.searchsorted(np.cumsum(own), rng.random(NOISE) * (1 - 1e-9))
-            drawn = np.minimum(drawn, hi - 1)
-            rows = r[i]
-            true, false = self._contrast(rows, p[unit[i]], p[drawn], np.log(NOISE * own[unit[i] - lo]), np.log(NOISE * own[drawn - lo]))
-            of_target[i] = true
-            back[i] += true[:, None] * p[unit[i]] + false @ p[drawn]
-            np.add.at(grad, drawn, false.T @ rows)
-        _added(grad, unit, of_target[:, None] * r)
+        # Units drawn for each class by its units' shares, as places on the running sum of all shares.
+        low = first[:-1, None]
+        drawn = np.searchsorted(self.running, self.running_before[:, None] + rng.random((self.c, NOISE)) * self.class_share[:, None]).clip(low, first[1:, None] - 1)
+        cuts = np.append(np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]]), len(cls)).tolist()
+        found = [(x, z, int(cls[x])) for x, z in zip(cuts, cuts[1:]) if first[cls[x] + 1] - first[cls[x]] > 1]
+        scores = np.full((len(r), NOISE), -40, np.float32)
+        for x, z, c in found:
+            np.matmul(r[x:z], p[drawn[c]].T, out=scores[x:z])
+            scores[x:z] -= self.log_unit[drawn[c]]
+        false = _sigmoid(scores)
+        target = p[unit]
+        true = (_sigmoid((r * target).sum(1) - self.log_unit[unit]) - 1) * (np.diff(first)[cls] > 1)
+        back += true[:, None] * target
+        _added(grad, unit, true[:, None] * r, ascending=True)
+        for x, z, c in found:
+            back[x:z] += false[x:z] @ p[drawn[c]]
+            np.add.at(grad, drawn[c], false[x:z].T @ r[x:z])
 
         back = back[:, :SIZE]
         at = k + self.c
         for start, context in ((at, before), (at + SIZE, earlier)):
-            matrix, q = p[start : start + SIZE, :SIZE], p[context, :SIZE]
-            grad[start : start + SIZE, :SIZE] += back.T @ q / 16
+            grad[start : start + SIZE, :SIZE] += back.T @ p[context, :SIZE] / 16
             own = np.zeros((len(context), SIZE + 1), np.float32)
-            own[:, :SIZE] = back @ matrix
+            own[:, :SIZE] = back @ p[start : start + SIZE, :SIZE]
             _added(grad, context, own)
         met[:k] += np.bincount(before, minlength=k) + np.bincount(earlier, minlength=k) + np.bincount(unit, minlength=k)
         met[k:] += len(unit)
-        state += grad * grad
-        p -= rate * grad / np.sqrt(state)
+        at = np.flatnonzero(grad.any(1))  # few of many units
+        g = grad[at]
+        state[at] += g * g
+        p[at] -= rate * g / np.sqrt(state[at])
 
-    def train(self, before, earlier, unit, seed: int, rate: float = 0.2) -> np.ndarray:
-        """Steps over all tokens, in order of the texts; short runs go over theirs again. Returns how often each row was met."""
+    def train(self, before, earlier, unit, seed, rate: float = 0.2) -> np.ndarray:
+        """Steps over all tokens, in order of the texts; short runs take smaller batches and go over theirs again. Returns how often each row was met."""
         rng, state, met = np.random.default_rng(seed), np.ones_like(self.p), np.zeros(len(self.p))
-        steps = -(-len(unit) // BATCH)
-        for _ in range(min(PASSES, -(-LEAST_STEPS // max(steps, 1)))):
-            for i in range(0, len(unit), BATCH):
-                j = slice(i, i + BATCH)
+        size = min(BATCH, max(LEAST_BATCH, len(unit) // LEAST_STEPS))
+        for _ in range(min(PASSES, -(-LEAST_STEPS // max(-(-len(unit) // size), 1)))):
+            for i in range(0, len(unit), size):
+                j = slice(i, i + size)
                 self.step(state, met, rng, before[j], earlier[j], unit[j], rate)
         return met
 
@@ -202,20 +212,29 @@ class LogBilinear:
         """Natural logarithms of each unit's probability after its context."""
         p, k, first = self.p, self.k, self.units.first
         r, cls = self._context(before, earlier), self.class_of[unit]
-        out = _log_softmax(r @ p[k : k + self.c].T, cls)
-        order = np.argsort(cls, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, np.diff(cls[order]) != 0, True])
-        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            i = order[a:z]
-            lo, hi = first[cls[i[0]]], first[cls[i[0]] + 1]
-            if hi - lo > 1:
-                out[i] += _log_softmax(r[i] @ p[lo:hi].T, unit[i] - lo)
+        order = _order(cls, self.c)
+        r, cls, unit = r[order], cls[order], unit[order]
+        found = _log_softmax(r @ p[k : k + self.c].T, cls)
+        cuts = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1], True]).tolist()
+        for a, z in zip(cuts, cuts[1:]):
+            lo, hi = first[cls[a]], first[cls[a] + 1]
+            for i in range(a, z, 1 << 12) if hi - lo > 1 else ():
+                j = slice(i, min(z, i + (1 << 12)))
+                found[j] += _log_softmax(r[j] @ p[lo:hi].T, unit[j] - lo)
+        out = np.empty(len(order))
+        out[order] = found
         return out
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30, dtype=np.float32)))
+
+
 def _log_softmax(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
-    scores = scores - scores.max(1, keepdims=True)
-    return scores[np.arange(len(at)), at] - np.log(np.exp(scores).sum(1))
+    """The logarithm at `at` of each row's normalised exponentials; scores is overwritten."""
+    scores -= scores.max(1, keepdims=True)
+    chosen = scores[np.arange(len(at)), at]
+    return chosen - np.log(np.exp(scores, out=scores).sum(1))
 
 
 def _coded(found: list[bytes], code: Codes, units: Units):
@@ -367,7 +386,7 @@ def vocabulary(counts: DataFrame, v: int, per_root: float, frequent: int) -> Voc
     return Vocabulary(known, [r["c"] for r in top], n_units, buckets, sizes)
 
 
-def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, per_root: float = 6.0, frequent: int = 32768) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, per_root: float = 4.0, frequent: int = 32768) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held, F.lit(False))
     rows = texts(docs)
