@@ -564,7 +564,7 @@ def test_similar_links_are_checked_however_few_bits_differ(spark):
     tried = (templated("ab" * 8, seed)[0] for seed in range(40))
     pairs = ((int(np.bitwise_count(p ^ q).sum()), a[1], b[1]) for rows in tried for made in [[(r, prints(r[1])) for r in rows]] for (a, p), (b, q) in itertools.product(made[::2], made[1::2]))
     bits, a, b = min(pairs)
-    assert bits <= 96
+    assert bits <= 128  # of 1,024
     # A segment is alike, or the pair isn't met at all.
     assert (np.frombuffer(similar.wide_fingerprint(a.encode()), "<u2") == np.frombuffer(similar.wide_fingerprint(b.encode()), "<u2")).any()
     got = similar.similar_groups(spark.createDataFrame([(0, a), (1, b)], "doc_id long, text string"))
@@ -639,7 +639,8 @@ def test_pipeline_equals_plain_stages(spark, sf_dir, tmp_path):
     for i, x in enumerate(kept["exact_dedup"]):
         if repr(x) not in stay:
             assert i in near, "a text without a similar one was dropped"
-    both = sum(repr(kept["exact_dedup"][i]) in stay and repr(kept["exact_dedup"][j]) in stay for i in near for j in near[i] if i < j)
+    rows = list(map(repr, kept["exact_dedup"]))  # equal rows stay together
+    both = sum(rows[i] in stay and rows[j] in stay for i in near for j in near[i] if i < j and rows[i] != rows[j])
     assert both <= 0.1 * max(1, sum(map(len, near.values())) / 2)
     assert len(kept["personal_data"]) == len(kept["simhash_near_dedup"])
     assert sorted(repr(r["doc_id"]) for r in packed if r["piece"] == 0) == sorted(repr(d) for d, _ in kept["personal_data"])

@@ -1,11 +1,11 @@
 """Near-duplicate groups at a wanted Jaccard similarity of word shingles, by wide SimHash fingerprints and pigeonring filtering,
 and exact similarity within the blocks that these give.
 
-A text's fingerprint has 768 bits: per bit the majority over its distinct five-word shingles. Two texts of similarity s differ in each bit
-with probability arccos(2s / (1 + s)) / pi, whatever the edit looks like. The bits form a ring of 48 segments of 16; every segment is a
-key, so that a pair at 0.8 shares some key with a probability of 0.97, at 0.85 of 0.996 and at 0.9 of 0.9999. Below a key, the segments
-that follow on the ring must keep their running sums of differences within their share of the budget before the full Hamming distance is
-taken; pairs within the budget are near.
+A text's fingerprint has 1,024 bits: per bit the majority over its distinct five-word shingles. Two texts of similarity s differ in each bit
+with probability arccos(2s / (1 + s)) / pi, whatever the edit looks like. The bits form a ring of 64 segments of 16; every segment is a
+key, under which it travels with the REACH segments from it on. Below a key, the segments that follow must keep their running sums of
+differences within their share of the budget before the Hamming distance over these REACH segments is taken; pairs within the budget are
+near. A pair at 0.8 is near under some key with a probability of 0.99, at 0.85 of 0.999 and at 0.9 of 0.99999 (simulated).
 
 Below a key a text that is near one already reached leaves the rest, so that a dense group gives near pairs by its size, not its square.
 Near pairs decide nothing alone: they only gather texts into blocks. Within a block every link is a pair whose sets of shingles have the
@@ -35,10 +35,10 @@ from .common import joined_ranges, materialize, raw, slices
 from .components import components
 from .simhash import shingle_hashes
 
-WORDS, SEGMENTS, SEGMENT_BITS = 12, 48, 16
-BITS = 64 * WORDS
-#: Segments of a chain: the shared one and those that follow it on the ring.
-CHAIN = 8
+WORDS, SEGMENTS, SEGMENT_BITS = 16, 64, 16
+#: Segments that travel under a key, and those of them in a chain: the shared one and those that follow it on the ring.
+REACH, CHAIN = 32, 4
+BITS = SEGMENT_BITS * REACH
 SMALL = 16
 #: Texts of a block that are compared in one go, about, and fingerprints below a key.
 CHUNK, KEY_CHUNK = 128, 50_000
@@ -48,9 +48,9 @@ LinksOf = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def budget(similarity: float) -> int:
-    """Differing bits up to which a pair may be similar: three standard deviations above the expectation at the wanted similarity."""
+    """Differing bits of BITS up to which a pair may be similar: four standard deviations above the expectation at the wanted similarity."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(BITS * share + 3 * np.sqrt(BITS * share * (1 - share)))
+    return int(BITS * share + 4 * np.sqrt(BITS * share * (1 - share)))
 
 
 def wide_fingerprint(text: bytes, shingle: int = 5) -> bytes:
@@ -66,18 +66,18 @@ def wide_fingerprint(text: bytes, shingle: int = 5) -> bytes:
     return np.packbits((2 * counts > len(hashes)).astype(np.uint8), axis=1, bitorder="little").tobytes()
 
 
-def _segments(prints) -> np.ndarray:
-    return np.frombuffer(b"".join(raw(prints)), "<u2").reshape(-1, SEGMENTS)
+def _segments(prints, n: int = SEGMENTS) -> np.ndarray:
+    return np.frombuffer(b"".join(raw(prints)), "<u2").reshape(-1, n)
 
 
 def _keys(batches):
-    """Per node and segment: place (segment and its value), payload (the print turned so that this segment comes first), node."""
+    """Per node and segment: place (segment and its value), payload (the REACH segments from this one on), node."""
     for batch in batches:
         for start in range(0, batch.num_rows, 1024):
             part = batch.slice(start, 1024)
             prints = _segments(part.column("print"))
             for s in range(SEGMENTS):
-                turned = np.ascontiguousarray(np.roll(prints, -s, axis=1))
+                turned = np.ascontiguousarray(np.roll(prints, -s, axis=1)[:, :REACH])
                 place = (s << SEGMENT_BITS) + turned[:, 0].astype(np.int32)
                 cells = pa.Array.from_buffers(pa.binary(), len(turned), [None, pa.py_buffer(np.arange(len(turned) + 1, dtype=np.int32) * (BITS // 8)), pa.py_buffer(turned)])
                 yield pa.RecordBatch.from_arrays([pa.array(place), cells, part.column("node")], names=["place", "payload", "node"])
@@ -95,10 +95,10 @@ def _place_sizes(batches):
 
 
 def _distance(x: np.ndarray, most: int) -> np.ndarray:
-    """Differing bits of xor-ed prints with a viable chain and at most `most` of them; elsewhere BITS."""
+    """Differing bits of xor-ed segments with a viable chain and at most `most` of them; elsewhere BITS."""
     found = np.full(len(x), BITS)
     chain = np.cumsum(np.bitwise_count(x[:, :CHAIN]), axis=1, dtype=np.int64)
-    at = np.flatnonzero((chain * SEGMENTS <= np.arange(1, CHAIN + 1) * most).all(1))
+    at = np.flatnonzero((chain * REACH <= np.arange(1, CHAIN + 1) * most).all(1))
     total = np.bitwise_count(x[at]).sum(1, dtype=np.int64)
     found[at[total <= most]] = total[total <= most]
     return found
@@ -166,7 +166,7 @@ def _pairs(batches, most: int):
 
     held = None
     for batch in batches:
-        prints = _segments(batch.column("payload"))
+        prints = _segments(batch.column("payload"), REACH)
         rows = [batch.column("place").to_numpy(zero_copy_only=False), prints, batch.column("node").to_numpy(zero_copy_only=False)]
         rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
         last = np.flatnonzero(rows[0] != rows[0][-1])
