@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import written
 from .ranges import ranged
 from .tables import first_per_key
 
@@ -47,7 +48,7 @@ def nearest(points: DataFrame, entity: str, period: str, metrics: list[str], val
     known = points.select(period, entity, *metrics, F.col(value).alias("_v"))
     for m in metrics:
         known = known.filter(F.col(m).isNotNull() & ~F.isnan(m))
-    blocked = ranged(known, [period], metrics[0], parts)
+    blocked = written(ranged(written(known), [period], metrics[0], parts))
     other = blocked.filter("_v is not null").select(F.col(period).alias("_period"), F.col("_range").alias("_block"), F.col(entity).alias("_other"), F.col("_v").alias("_value"), *[F.col(m).alias(f"_{m}") for m in metrics])
     blocked = blocked.drop("_v")
     square = sum(((F.col(m) - F.col(f"_{m}")) ** 2 for m in metrics[1:]), (F.col(metrics[0]) - F.col(f"_{metrics[0]}")) ** 2)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..operators.ranges import numbered
 
 
+
 def read_csv(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None) -> DataFrame:
     """All columns of the schema, or those asked for; only these are parsed. A byte order mark is dropped."""
     rows = spark.read.schema(schema).csv(path, header=True, encoding="UTF-8")
@@ -49,6 +50,13 @@ def work_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="spark-")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, for what several later steps read: computed once, and a lost executor costs no recomputation."""
+    path = work_folder(df.sparkSession)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_text(spark: SparkSession, text: str, path: str) -> None:
     """One text file below path."""
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(path)
