@@ -34,11 +34,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return _written[-1]
 
 
-def drop_intermediate(spark: SparkSession) -> None:
-    """Deletes the intermediate tables that this process wrote. Results that still read them can't be computed any more, so write those first."""
-    while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+def intermediate() -> int:
+    """How many intermediate tables this process has written and not deleted."""
+    return len(_written)
+
+
+def drop_intermediate(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes the intermediate tables from number `since` on, but the last `keep`. Results that still read them can't be computed any more, so write those first."""
+    for name in _written[since : len(_written) - keep]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _written[since : len(_written) - keep] = []
 
 
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:

@@ -6,7 +6,9 @@ own rows, so that a text which holds a third of all rows crosses the network onc
 
 Defined results: a null text counts as empty; empty texts form one group; rows with equal doc_id and equal text count as two
 rows of one group, and both stay if theirs is the smallest doc_id; a null doc_id sorts after all others, so such a
-row stays only if all its copies lack a doc_id. An empty table gives an empty result.
+row stays only if all its copies lack a doc_id, and then all of them stay. Very long texts are inserted whole. An empty table gives an
+empty result. Further columns of any name pass through `exact_dedup`. Subtrees spill to a file of the task's own, which is read by that
+task alone and made anew where the task runs again.
 """
 
 from __future__ import annotations

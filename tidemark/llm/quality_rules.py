@@ -4,7 +4,9 @@
 mask of the rules that count under a version; `apply_policy` decides by one bitwise and, and `ablation` finds what each rule
 rejects alone, by bitwise aggregation over the ledger instead of another pass over the texts.
 
-Defined results: a null text counts as empty and has no words; it fails `short`. Rows with equal doc_id stay separate rows.
+Defined results: a null text counts as empty and has no words; it fails `short`. Rows with equal doc_id, and equal rows, stay separate
+rows; there are no ties to break. A null doc_id passes through. Very long texts are measured whole, one at a time; an empty table gives an
+empty ledger, and an ablation of zeros; only doc_id and text are read, so further columns of any name don't matter.
 """
 
 from __future__ import annotations

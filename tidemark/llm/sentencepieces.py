@@ -7,8 +7,10 @@ unigram model the state is the best score and last piece (Viterbi). For a BPE mo
 library gives; there the state is the one last piece that the merge order allows: a piece may follow another just if merging the
 two of them together gives these two again. The ids equal the library's for both.
 
-Defined results: a null text counts as empty; an empty text has no ids. Where a text has U+2581 itself, decoding gives a space, as
-the library does.
+Defined results: a null text counts as empty; an empty text has no ids; a null doc_id and repeated rows pass through row by row, equal
+texts with equal ids; very long texts, and texts of one very long word, are encoded whole, with memory in proportion to the word; an
+empty table gives an empty one; only doc_id and text are read, so further columns of any name don't matter. Where a text has U+2581
+itself, decoding gives a space, as the library does. A model that needs another normaliser, or has pieces of the user's, raises ValueError.
 """
 
 from __future__ import annotations
@@ -45,7 +47,11 @@ class Model:
             found = proto.ModelProto.FromString(file.read())
         kinds = proto.ModelProto.SentencePiece
         self.kind = found.trainer_spec.model_type
-        normal = [(i, p) for i, p in enumerate(found.pieces) if p.type in (kinds.NORMAL, kinds.USER_DEFINED)]
+        spec = found.normalizer_spec
+        plain = spec.add_dummy_prefix and spec.escape_whitespaces and not (spec.remove_extra_whitespaces or spec.precompiled_charsmap or found.trainer_spec.treat_whitespace_as_suffix)
+        if self.kind not in (UNIGRAM, BPE) or not plain or any(p.type == kinds.USER_DEFINED for p in found.pieces):
+            raise ValueError(f"{path}: only BPE and unigram models with an identity normaliser, a dummy prefix and no pieces of the user's are encoded here")
+        normal = [(i, p) for i, p in enumerate(found.pieces) if p.type == kinds.NORMAL]
         self.ids = {p.piece: i for i, p in normal}
         self.scores = {p.piece: p.score for _, p in normal}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(found.pieces) if p.type == kinds.BYTE}

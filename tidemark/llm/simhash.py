@@ -7,7 +7,8 @@ four segments, in one of 15 choices of them; each distinct fingerprint goes to i
 chain before its full Hamming distance is taken. A key with many fingerprints enumerates the values within two flips of each in
 the two free segments (22 bits at most) instead of comparing pairs, and gives only a spanning forest of links.
 
-Defined results: equal fingerprints meet once as one node; a text without words (null, empty, white space) has fingerprint zero
+Defined results: very long texts are read whole, their hashes a part at a time; an empty table gives an empty one; only doc_id and text
+are read, so further columns of any name don't matter; equal fingerprints meet once as one node; a text without words (null, empty, white space) has fingerprint zero
 and links like any other; rows with equal doc_id stay separate rows of one node; a null doc_id is never a group's smallest
 unless the group has no other.
 """
