@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import exact_dedup, packing, pii, quality_classifier, similar
-from tidemark.llm.common import materialize
+from tidemark.llm.common import drop_intermediate, intermediate, materialize
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, start = spark.read.parquet(f"{sf_dir}/documents.parquet"), intermediate()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        drop_intermediate(spark, start, keep=1)  # a stage's own tables, and what the one before it kept
     return STAGES[-1][1](spark, docs, sf_dir)
