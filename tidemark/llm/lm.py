@@ -35,8 +35,8 @@ from .simhash import LOWER
 END = b""
 #: Distinct words that a task holds before it passes on its counts.
 HELD_WORDS = 250_000
-#: Length of a word's vector, noise draws a batch, passes.
-SIZE, NOISE, ROUNDS = 24, 16, 2
+#: Length of a word's vector (with its bias a row fills a cache line), noise draws a batch, passes.
+SIZE, NOISE, ROUNDS = 15, 16, 2
 #: Tokens that a task holds at a time while it trains, and a batch: as many as LEAST_STEPS batches leave, between these bounds. Shorter runs go over theirs again, PASSES times at most.
 HELD_TOKENS, BATCH, LEAST_BATCH, LEAST_STEPS, PASSES = 4_000_000, 1 << 14, 1 << 12, 150, 12
 #: Tokens scored at a time, and rows of parameters that travel together.
@@ -162,7 +162,8 @@ class LogBilinear:
         target, noise = p[k + cls], p[k + drawn]
         true = _sigmoid((r * target).sum(1) - self.log_class[cls]) - 1
         false = _sigmoid(r @ noise.T - self.log_class[drawn])
-        back = true[:, None] * target + false @ noise
+        back = false @ noise
+        back += np.multiply(target, true[:, None], out=target)
         _added(grad, k + cls, true[:, None] * r, ascending=True)
         np.add.at(grad, k + drawn, false.T @ r)
 
@@ -178,7 +179,7 @@ class LogBilinear:
         false = _sigmoid(scores)
         target = p[unit]
         true = (_sigmoid((r * target).sum(1) - self.log_unit[unit]) - 1) * (np.diff(first)[cls] > 1)
-        back += true[:, None] * target
+        back += np.multiply(target, true[:, None], out=target)
         _added(grad, unit, true[:, None] * r, ascending=True)
         for x, z, c in found:
             back[x:z] += false[x:z] @ p[drawn[c]]
@@ -232,9 +233,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def _log_softmax(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The logarithm at `at` of each row's normalised exponentials; scores is overwritten."""
-    scores -= scores.max(1, keepdims=True)
+    scores -= scores.max()
     chosen = scores[np.arange(len(at)), at]
-    return chosen - np.log(np.exp(scores, out=scores).sum(1))
+    if chosen.min() < -60:  # a row far below the largest: each row by its own maximum
+        scores -= scores.max(1, keepdims=True)
+        chosen = scores[np.arange(len(at)), at]
+    return chosen - np.log(np.exp(scores, out=scores) @ np.ones(scores.shape[1], np.float32))
 
 
 def _coded(found: list[bytes], code: Codes, units: Units):
