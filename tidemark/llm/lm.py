@@ -378,16 +378,32 @@ class Vocabulary:
         return arrange(self.counts[: self.n_units], self.bucket_sizes, [bucket(w, self.buckets) for w in self.known[self.n_units :]])
 
 
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """`most` words at most, by descending count and then by word: all with counts of the highest sixteenths of a doubling that hold no more
+    together. Two small aggregates find them, so that no task sends `most` rows of its own."""
+    size = F.floor(F.log2("c") * 16).cast("int")
+    taken, lowest = 0, None
+    for b, n in sorted((tuple(r) for r in counts.groupBy(size.alias("size")).count().collect()), reverse=True):  # 16 rows a doubling
+        taken += n
+        if taken > most:
+            break
+        lowest = b
+    if lowest is None:
+        return []
+    found = counts.filter(size >= lowest).select("word", "c").toArrow().to_pydict()  # `most` rows at most
+    return sorted(zip(map(bytes, found["word"]), found["c"]), key=lambda x: (-x[1], x[0]))
+
+
 def vocabulary(counts: DataFrame, v: int, per_root: float, frequent: int) -> Vocabulary:
     """Of a table of v counted words. Units: per_root times the square root of v words and half the root of v buckets."""
     n_units, buckets = int(per_root * v**0.5) + 1, isqrt(v) // 2 + 8
-    top = counts.orderBy(F.desc("c"), "word").limit(max(frequent, n_units)).collect()  # `frequent` rows, or the root of v times per_root
-    known = [bytes(r["word"]) for r in top]
+    top = most_frequent(counts, max(frequent, n_units))
+    known = [w for w, _ in top]
     n_units = min(n_units, len(known))
     sizes = np.ones(buckets)
     for b, n in counts.mapInArrow(_bucket_sizes(known[:n_units], buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():  # the root of v rows
         sizes[b] += n
-    return Vocabulary(known, [r["c"] for r in top], n_units, buckets, sizes)
+    return Vocabulary(known, [c for _, c in top], n_units, buckets, sizes)
 
 
 def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, per_root: float = 4.0, frequent: int = 32768) -> DataFrame:
