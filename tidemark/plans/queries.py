@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import blocks, coldstart, evaluate, export, history, lab, models, report, resolve, stability, tables, validate
-from ..sources.files import with_row_order, work_folder
+from ..sources.files import append_history, first_rows, read_csv, read_history, read_mapping, with_row_order, work_folder, write_csv, write_features
 from ..sources.views import EVENTS_SQL, LOG_SQL, RAW_SQL, events, log, raw, table
 from .catalog import query
 
@@ -41,6 +41,53 @@ def W01_strict_prior(spark, d):
     return rounded(history.smoothed_rates(log(spark, d), ["entity"], "period", "y"))
 
 
+# --- sources and sinks ------------------------------------------------------------------------------------------------------------
+
+
+CSV = "entity long, event_id long, kind string, value double"
+
+
+def _csv(spark, d) -> str:
+    path = work_folder(spark)
+    write_csv(events(spark, d).select("entity", "event_id", F.when(C("kind") != "error", C("kind")).alias("kind"), "value"), path)
+    return path
+
+
+@query(f"{E} SELECT entity, event_id, NULLIF(kind, 'error') AS kind, value FROM ev")
+def S01_csv_scan(spark, d):
+    return read_csv(spark, _csv(spark, d), CSV)
+
+
+@query(f"{E} SELECT event_id, value FROM ev")
+def S02_pruned_csv(spark, d):
+    return read_csv(spark, _csv(spark, d), CSV, ["event_id", "value"])
+
+
+@query(f"{E} SELECT event_id, kind FROM ev ORDER BY event_id LIMIT 300")
+def S04_first_rows(spark, d):
+    return first_rows(events(spark, d).select("event_id", "kind"), "event_id", 300)
+
+
+@query(f"{E} SELECT event_id, NULLIF(kind, 'error') AS kind, coalesce(kind IN ('click', 'view') AND value IS NOT NULL, FALSE) AS accepted FROM ev")
+def S06_mapping(spark, d):
+    return read_mapping(spark, _csv(spark, d), CSV, "value", "kind", ["click", "view"]).select("event_id", "kind", "accepted")
+
+
+@query(f"{E} SELECT event_id, reading FROM ev")
+def S07_parquet_sink(spark, d):
+    path = work_folder(spark)
+    write_features(events(spark, d).select("event_id", "reading"), path)
+    return spark.read.parquet(path)
+
+
+@query(f"{E} SELECT event_id, kind, NULL::DOUBLE AS value FROM ev WHERE event_id % 2 = 0 UNION ALL SELECT event_id, NULL, value FROM ev WHERE event_id % 2 = 1")
+def S12_history(spark, d):
+    path, rows = work_folder(spark), events(spark, d)
+    append_history(rows.filter("event_id % 2 = 0").select("event_id", "kind"), path)
+    append_history(rows.filter("event_id % 2 = 1").select("event_id", "value"), path)
+    return read_history(spark, path).select("event_id", "kind", "value")
+
+
 # --- projections ----------------------------------------------------------------------------------------------------------------
 
 
@@ -646,6 +693,11 @@ def O05_stages(spark, d):
     return rounded(report.stage_comparison(_runs(spark, d), ["boosted"]).limit(40).select("preprocessing_stage", "finished_at", "brier"))
 
 
+@query(f"{RUNS} SELECT experiment, elapsed_seconds, round(brier, 6) AS brier FROM runs")
+def S14_score_against_time(spark, d):
+    return rounded(report.score_against_time(_runs(spark, d)))
+
+
 @query(f"{RUNS} SELECT finished_at, round(brier, 6) AS brier FROM runs WHERE model_family = 'boosted' AND preprocessing_stage = 'stage2' ORDER BY runs.brier, experiment LIMIT 20")
 def O05_final_stage(spark, d):
     return rounded(report.final_stage(_runs(spark, d), ["boosted"], "stage2").limit(20).select("finished_at", "brier"))
@@ -744,6 +796,13 @@ def M02_boosted(spark, d):
     return validate.tune_refit_evaluate(rows, config, ["a", "p", "li", "state"], ["state"], "period", 2000, "y")[1].select(*KEY_COLUMNS, C("p").alias("forecast"))
 
 
+@query()
+def M05_forest(spark, d):
+    rows = log(spark, d).select(*KEY_COLUMNS, "period", "y", C("p").alias("q"), "li", "state")
+    model = models.fit_configured({"type": "forest", "params": {"numTrees": 5, "seed": 1}}, rows.filter("period < 2000"), ["q", "li", "state"], ["state"], "y")
+    return model.predict(rows.filter("period >= 2000")).select(*KEY_COLUMNS, C("p").alias("forecast"))
+
+
 @query()
 def M03_logistic(spark, d):
     rows = log(spark, d).select(*KEY_COLUMNS, "period", "y", "p", "li", "state", C("runners").cast("double").alias("a"))
