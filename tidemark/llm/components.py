@@ -1,7 +1,7 @@
-"""Connected components of a link table by alternating large-star and small-star rounds.
+"""Connected components of a link table by rounds of hooking to the smallest neighbour and pointer jumping.
 
 Before a round each task contracts the links that it reads to stars, which takes whole groups together where their links lie near each
-other. A round is a grouped minimum (combined before its shuffle) and a join that adaptive execution may split; its result is a table
+other. A round is a grouped minimum (combined before its shuffle) and joins that adaptive execution may split; its result is a table
 in the shared folder, so that lineage stays short and a lost executor costs one round at most.
 """
 
@@ -51,18 +51,15 @@ def _contracted(batches):
         yield out()
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
-    """One star round over (a, b) with a > b."""
-    if small:
-        facing = edges
-        lowest = edges.groupBy("a").agg(F.min("b").alias("m"))
-        linked = facing.join(lowest, "a")
-        moved = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(lowest.select("a", F.col("m").alias("b")))
-    else:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        moved = both.filter("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.distinct()
+def _round(links: DataFrame) -> DataFrame:
+    """Over (a, b) with a > b: every node's other links go to its smallest neighbour, and the node to that one's own smallest neighbour.
+
+    A node is an `a` once per task that met it, so no node is a hub there; the many nodes of one root meet it in a join alone."""
+    lowest = links.groupBy("a").agg(F.min("b").alias("m"))
+    moved = links.join(lowest, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    up = lowest.select(F.col("a").alias("_a"), F.col("m").alias("_m"))
+    jumped = lowest.join(up, F.col("m") == F.col("_a"), "left").select("a", F.coalesce("_m", "m").alias("b"))
+    return moved.union(jumped).distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -77,6 +74,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if tuple(seen) == mark:
             break
         mark = tuple(seen)
-        links = materialize(_star(_star(links, False), True), "links")
+        links = materialize(_round(links), "links")
     stars = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.union(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
