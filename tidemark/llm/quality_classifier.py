@@ -49,19 +49,12 @@ def _matrix(texts: list[bytes]) -> np.ndarray:
     return np.array([features(t) for t in texts], np.float64).reshape(-1, D)
 
 
-def _features(batches):
-    """x and label of labelled texts."""
-    for part in slices(batches):
-        x = _matrix(raw(part.column("text")))
-        yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), D).cast(pa.list_(pa.float64())), part.column("label")], names=["x", "label"])
-
-
 def _sums(batches):
-    """Per class n, the sums and the sums of products, as cells; one set of cells a task."""
+    """Of labelled texts, per class n, the sums and the sums of products of their features, as cells; one set of cells a task."""
     total = np.zeros((2, D + 1, D + 1))
-    for batch in batches:
-        y = batch.column("label").to_numpy(zero_copy_only=False).astype(int)
-        x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, D)
+    for part in slices(batches):
+        y = part.column("label").to_numpy(zero_copy_only=False).astype(int)
+        x = _matrix(raw(part.column("text")))
         z = np.hstack([np.ones((len(x), 1)), x])
         for c in (0, 1):
             total[c] += z[y == c].T @ z[y == c]
@@ -84,8 +77,8 @@ class Qda:
 
 
 def fit(labelled: DataFrame, shrink: float = 0.2, ridge: float = 0.02) -> Qda:
-    """labelled: x and label (0 or 1). shrink: weight of the pooled covariance; ridge: weight of the scaled identity."""
-    cells = labelled.select("x", F.col("label").cast("int").alias("label")).mapInArrow(_sums, "c int, i int, j int, v double").groupBy("c", "i", "j").agg(F.sum("v").alias("v")).collect()  # 2 (D+1)² rows
+    """labelled: text and label (0 or 1). shrink: weight of the pooled covariance; ridge: weight of the scaled identity."""
+    cells = labelled.select("text", "label").mapInArrow(_sums, "c int, i int, j int, v double").groupBy("c", "i", "j").agg(F.sum("v").alias("v")).collect()  # 2 (D+1)² rows
     total = np.zeros((2, D + 1, D + 1))
     for c, i, j, v in cells:
         total[c, i, j] = v
@@ -121,8 +114,7 @@ def taught_labels(labels: DataFrame, most: int) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> Qda:
     """The labels, of a bounded number, go to the texts, so that no text is shuffled and only taught ones are measured."""
-    taught = texts(docs).join(F.broadcast(taught_labels(labels, most)), "doc_id").select("text", "label")
-    return fit(taught.mapInArrow(_features, "x array<double>, label int"))
+    return fit(texts(docs).join(F.broadcast(taught_labels(labels, most)), "doc_id"))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_labels: int = MOST_LABELS) -> DataFrame:
