@@ -245,6 +245,24 @@ def test_components_of_a_chain(spark):
     assert {tuple(r) for r in components(edges).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
 
 
+@pytest.mark.parametrize("held", [2, 2_000_000])
+def test_components_equal_union_find(spark, monkeypatch, held):
+    """A path in random order, a hub, a tree and loose pairs, contracted little and much."""
+    from tidemark.llm import components
+
+    monkeypatch.setattr(components, "HELD_LINKS", held)
+    r = random.Random(6)
+    names = r.sample(range(-5000, 5000), 900)
+    edges = [(names[i], names[i + 1]) for i in range(200)] + [(names[300], names[i]) for i in range(301, 500)] + [(names[i], names[600 + (i - 601) // 2]) for i in range(601, 760)] + [(names[800 + 2 * i], names[801 + 2 * i]) for i in range(40)]
+    parent = {n: n for e in edges for n in e}
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for a, b in edges:
+        low, high = sorted((find(a), find(b)))
+        parent[high] = low
+    got = components.components(spark.createDataFrame(r.sample(edges, len(edges)), "a long, b long").repartition(7))
+    assert dict(map(tuple, got.collect())) == {n: find(n) for n in parent}
+
+
 def test_packing(data):
     docs, rows = data
     t = Tokenizer.from_file(WORD)
