@@ -144,3 +144,43 @@ def op8(docs, held=2, folds=7):
     c = Counter(x for d, ts in tokens if not out_of(d) for x in ts)
     n, v = sum(c.values()), len(c)
     return [(d, out_of(d), len(ts), sum(c[x] > 0 for x in ts), n, sum(log10((c[x] + 1) / (n + v + 1)) for x in ts)) for d, ts in tokens]
+
+
+def op11(docs, byte_path, piece_path):
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    a_model, b_model = Tokenizer.from_file(byte_path), SentencePieceProcessor(model_file=piece_path)
+    a_model.encode_special_tokens = True
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    alphabet = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+    a_bytes = lambda i: bytes(alphabet[c] for c in a_model.id_to_token(i))
+    b_bytes = lambda i: bytes([int(b_model.id_to_piece(i)[3:5], 16)]) if b_model.is_byte(i) else b_model.id_to_piece(i).replace("▁", " ").encode()
+    found = []
+    for d, t in docs:
+        groups, a, b = [], [], []
+        if t:
+            a, b = a_model.encode(" " + t, add_special_tokens=False).ids, b_model.encode(t)
+            if b"".join(map(a_bytes, a)) != (" " + t).encode() or b"".join(map(b_bytes, b)) != (" " + t).encode():
+                a, b = [], []
+        i = j = at_a = at_b = 0
+        left, right = [], []
+        while i < len(a) or j < len(b):
+            if at_a <= at_b:
+                left, at_a, i = [*left, a[i]], at_a + len(a_bytes(a[i])), i + 1
+            else:
+                right, at_b, j = [*right, b[j]], at_b + len(b_bytes(b[j])), j + 1
+            if at_a == at_b:
+                groups.append((left, right))
+                left, right = [], []
+        found.append((d, len(a), len(b), groups, Counter((x, y) for xs, ys in groups for x in xs for y in ys)))
+    count = Counter(p for *_, links in found for p in links)
+    best = {}
+    for (x, _), n in count.items():
+        best[x] = max(best.get(x, 0), n)
+    out = []
+    for d, n_a, n_b, groups, links in found:
+        text = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        n_best = sum(m for p, m in links.items() if count[p] == best[p[0]])
+        out.append((d, n_a, n_b, len(groups), sum(links.values()), n_best, sum(m * count[p] for p, m in links.items()), sha256(text.encode()).hexdigest() if groups else ""))
+    return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, lm, packing, pii, quality_classifier, quality_rules, sentencepieces, simhash, suffix_dedup, token_output
+from . import alignment, exact_dedup, lm, packing, pii, quality_classifier, quality_rules, sentencepieces, simhash, suffix_dedup, token_output
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_statistics(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,7 +69,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_suffix_array_dedup, op2_exact_dedup, op3_token_output, op4_personal_data, op5_quality_rules, op6_simhash_near_dedup,
-        op7_best_fit_packing, op8_lm_scoring, op9_quality_classifier, op10_sentencepiece, pipeline,
+        op7_best_fit_packing, op8_lm_scoring, op9_quality_classifier, op10_sentencepiece, op11_tokenizer_alignment, pipeline,
     )
 }
 
