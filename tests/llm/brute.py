@@ -184,3 +184,62 @@ def op11(docs, byte_path, piece_path):
         n_best = sum(m for p, m in links.items() if count[p] == best[p[0]])
         out.append((d, n_a, n_b, len(groups), sum(links.values()), n_best, sum(m * count[p] for p, m in links.items()), sha256(text.encode()).hexdigest() if groups else ""))
     return out
+
+
+def op13(pages, rules, order, share):
+    """(page_id, host, path, rule, verdict, difference, cut); rules are (verdict, host, path)."""
+    from math import log
+
+    def parts(url):
+        if url is None or "://" not in url:
+            return "", ""
+        host, path = re.match(r"([^/?#]*)([^?#]*)", url.split("://", 1)[1], re.S).groups()
+        return lower(host), path
+
+    rows = []
+    for page, url in pages:
+        host, path = parts(url)
+        fit = [(len(h + p), len(h), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        _, _, rule, verdict = max(fit, default=(0, 0, None, None))
+        rows.append((page, url or "", host, path, rule, verdict))
+    symbols = lambda url: [0] * order + [ord(c) - 30 if 32 < ord(c) < 127 else 2 for c in url] + [1]
+    held = lambda url: zlib.crc32(url.encode()) % 5 == 0
+    n, total, kinds, size = Counter(), Counter(), defaultdict(set), Counter()
+    for _, url, _, _, _, v in rows:
+        if v and not held(url):
+            s = symbols(url)
+            for i in range(order, len(s)):
+                size[v] += 1
+                for k in range(order + 1):
+                    context = (v, *s[i - k : i])
+                    n[context, s[i]] += 1
+                    total[context] += 1
+                    kinds[context].add(s[i])
+
+    def score(v, url):
+        s, out = symbols(url), 0.0
+        for i in range(order, len(s)):
+            p = 1 / 96
+            for k in range(order + 1):
+                context = (v, *s[i - k : i])
+                if total[context] and total[context] >= size[v] * share:
+                    t = len(kinds[context])
+                    p = (n[context, s[i]] + t * p) / (total[context] + t)
+            out += log(p)
+        return out / (len(s) - order)
+
+    both = size["allow"] and size["block"]
+    difference = lambda url: score("allow", url) - score("block", url)
+    tried = [(difference(u), v) for _, u, _, _, _, v in rows if v and held(u)] if both else []
+    counts = Counter(v for _, v in tried)
+    limit = 0.0
+    if counts["allow"] and counts["block"]:
+        at = lambda d: min(int((min(max(d, -10), 10) + 10) * 200), 3999)
+        bins = {v: np.bincount([at(d) for d, x in tried if x == v], minlength=4000) for v in counts}
+        errors = [(round(bins["allow"][:e].sum() / counts["allow"] + bins["block"][e:].sum() / counts["block"], 12), abs(e - 2000), e) for e in range(4001)]
+        limit = min(errors)[2] / 200 - 10
+    out = []
+    for page, url, host, path, rule, verdict in rows:
+        d = None if verdict or not both else difference(url)
+        out.append((page, host, path, rule, verdict or ("allow" if d is None or d >= limit else "block"), d, limit))
+    return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, exact_dedup, lm, packing, pii, quality_classifier, quality_rules, sentencepieces, simhash, suffix_dedup, token_output
+from . import alignment, exact_dedup, lm, packing, pii, quality_classifier, quality_rules, sentencepieces, simhash, suffix_dedup, token_output, url_filter
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,13 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.link_statistics(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+URL_RULES = [url_filter.Rule(*r) for r in (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,7 +76,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_suffix_array_dedup, op2_exact_dedup, op3_token_output, op4_personal_data, op5_quality_rules, op6_simhash_near_dedup,
-        op7_best_fit_packing, op8_lm_scoring, op9_quality_classifier, op10_sentencepiece, op11_tokenizer_alignment, pipeline,
+        op7_best_fit_packing, op8_lm_scoring, op9_quality_classifier, op10_sentencepiece, op11_tokenizer_alignment, op13_url_filter, pipeline,
     )
 }
 
