@@ -159,7 +159,7 @@ def test_nearest_equals_all_pairs(spark):
     points = [(p, e, float(x), float(round(y, 1)), None if e % 7 == 0 else float(e)) for p in (1, 2) for e, (x, y) in enumerate(rng.normal(size=(90, 2)) ** 3)]
     points += [(1, 1000, 5.0, None, 1.0), (3, 1, 0.0, 0.0, 1.0), (3, 2, 0.0, 0.0, 2.0)]
     got = {}
-    for r in coldstart.nearest(spark.createDataFrame(points, "p int, e int, x double, y double, v double"), "e", "p", ["x", "y"], "v", 6, parts=9).collect():
+    for r in coldstart.nearest(spark.createDataFrame(points, "p int, e int, x double, y double, v double"), "e", "p", ["x", "y"], "v", 6, rows=20).collect():
         got.setdefault((r["p"], r["e"]), []).append((round(r["d"], 9), r["_other"]))
     want = {}
     for p, e, x, y, _ in points:
@@ -175,13 +175,40 @@ def test_sums_and_numbers_over_ranges(spark):
     r = random.Random(3)
     data = [(r.choice(["a", "b", None]), r.choice([None, *range(40)]), r.randint(0, 9), i) for i in range(400)]
     df = spark.createDataFrame(data, "g string, o int, v int, n int")
-    for parts in (1, 7):
-        got = {x["n"]: x["s"] or 0 for x in ranges.running(df.filter("o is not null"), ["g"], "o", {"s": C("v")}, parts).collect()}
-        assert got == {n: sum(w for h, p, w, _ in data if h == g and p is not None and p < o) for g, o, _, n in data if o is not None}
-        numbers = {x["n"]: x["k"] for x in ranges.numbered(df, ["g"], ["o", "n"], "k", parts).collect()}
+    for rows in (1000, 60):
+        got = {(x["g"], x["o"]): (x["s"], x["s_here"]) for x in ranges.running(df.filter("o is not null"), ["g"], "o", {"s": C("v")}, rows).collect()}
+        assert got == {(g, o): tuple(sum(w for h, p, w, _ in data if h == g and p is not None and f(p, o)) for f in (int.__lt__, int.__eq__)) for g, o, _, _ in data if o is not None}
+        numbers = {x["n"]: (x["k"], x["t"]) for x in ranges.numbered(df, ["g"], ["o", "n"], "k", {"t": F.nullif(C("v"), F.lit(0))}, rows).collect()}
+        latest = {x["n"]: x["l"] for x in ranges.last_before(df.withColumn("v", F.nullif(C("v"), F.lit(4))), ["g"], ["o", "n"], "v", "l", rows).collect()}
         for g in ("a", "b", None):
             own = sorted((x for x in data if x[0] == g), key=lambda x: (x[1] is not None, x[1] or 0, x[3]))
-            assert [numbers[x[3]] for x in own] == list(range(1, len(own) + 1))
+            assert [(numbers[x[3]][0], numbers[x[3]][1] or 0) for x in own] == [(i + 1, sum(y[2] for y in own[: i + 1])) for i in range(len(own))]
+            assert [latest[x[3]] for x in own] == [next((y[2] for y in reversed(own[:i]) if y[2] != 4), None) for i in range(len(own))]
+
+
+def test_ranges_follow_the_rows_and_part_a_hot_group(spark):
+    """A group with a third of all rows lies in many ranges, whose sizes stay the same when rows become tenfold."""
+    for n in (6_000, 60_000):
+        df = spark.range(n).select(F.when(C("id") % 3 == 0, "hot").otherwise(C("id").cast("string")).alias("g"), "id")
+        at, parts = ranges.ranged(df, ["g"], ["id"], 1000)
+        sizes = at.groupBy("_range").agg(F.count("*").alias("n"), F.count_if(C("g") == "hot").alias("hot")).collect()
+        assert parts == n // 1000 and max(r.n for r in sizes) < 2500 and sum(r.hot > 0 for r in sizes) > parts // 5
+
+
+def test_hot_key_results_do_not_depend_on_ranges(spark, monkeypatch):
+    rows = [("hot" if i % 3 else f"k{i % 7}", i % 5, i, (i * 7) % 4 // 3) for i in range(900)]
+    log = spark.createDataFrame(rows, "k string, p int, o int, y int")
+    asked = spark.createDataFrame([(k, t) for k in ("hot", "k0", "k3", "none", None) for t in range(-1, 920, 13)], "k string, o int")
+
+    def results():
+        recent = history.recent_rates(log, "k", "p", "y", "o", 20)
+        asof = history.asof_join(asked, log, "k", "o", ["y", "p"], "p")
+        ranked = tables.percent_ranks(log.withColumn("o", F.nullif(C("o") % 11, F.lit(3))), "o", ["k"], "r")
+        return [sorted(map(tuple, x.collect()), key=repr) for x in (recent, asof, ranked, evaluate.auc(log.withColumn("q", C("o") % 9 / 9.0), "y", "q", ["k"]))]
+
+    whole = results()
+    monkeypatch.setattr(ranges, "ROWS", 50)
+    assert results() == whole
 
 
 def test_sessions_over_many_ranges(spark):
@@ -197,12 +224,13 @@ def test_sessions_over_many_ranges(spark):
         session, place = (session + 1, 1) if opens else (session, place + 1)
         want[p, n], last = (session, place), (p, n, c, f)
     df = spark.createDataFrame(data, "p int, n int, c string, f int")
-    for parts in (1, 13):
-        assert {(x["p"], x["n"]): (x["session"], x["place"]) for x in resolve.sessions(df, "p", "n", ["c"], ["f"], parts).collect()} == want
+    for rows in (1000, 50):
+        assert {(x["p"], x["n"]): (x["session"], x["place"]) for x in resolve.sessions(df, "p", "n", ["c"], ["f"], rows).collect()} == want
 
 
-def test_no_task_takes_a_whole_period(spark):
+def test_no_task_takes_a_whole_period(spark, monkeypatch):
     """No window or sort is dealt out by the period alone; what is has a row per range."""
+    monkeypatch.setattr(ranges, "ROWS", 100)
     df = spark.range(1000).selectExpr("id % 2 as p", "id as n", "cast(id % 3 as string) as c", "id % 5 as f", "id % 2 as y", "id / 1000.0D as q")
     for out in (resolve.sessions(df, "p", "n", ["c"], ["f"]), evaluate.auc(df, "y", "q", ["p"]), tables.percent_ranks(df, "q", ["p"], "k")):
         plan = out._jdf.queryExecution().optimizedPlan().toString()

@@ -40,7 +40,7 @@ def robust_scores(profiles: DataFrame, period: str, metrics: list[str]) -> DataF
     return at.withColumns({m: (F.coalesce(F.col(m), F.col(f"_{m}")[1]) - F.col(f"_{m}")[1]) / width(m) for m in metrics}).drop(*[f"_{m}" for m in metrics])
 
 
-def nearest(points: DataFrame, entity: str, period: str, metrics: list[str], value: str, k: int, parts: int = 64) -> DataFrame:
+def nearest(points: DataFrame, entity: str, period: str, metrics: list[str], value: str, k: int, rows: int = 256) -> DataFrame:
     """(period, entity, _other, d, _value): each point's k nearest of those of its period that have a value, itself excluded, by root mean square; ties by the other's id.
 
     Exact without all pairs: points lie in blocks of the first metric. A point first meets its own block and the two beside it; the k-th
@@ -48,7 +48,7 @@ def nearest(points: DataFrame, entity: str, period: str, metrics: list[str], val
     known = points.select(period, entity, *metrics, F.col(value).alias("_v"))
     for m in metrics:
         known = known.filter(F.col(m).isNotNull() & ~F.isnan(m))
-    blocked = written(ranged(written(known), [period], metrics[0], parts))
+    blocked = written(ranged(written(known), [period], [metrics[0]], rows)[0])
     other = blocked.filter("_v is not null").select(F.col(period).alias("_period"), F.col("_range").alias("_block"), F.col(entity).alias("_other"), F.col("_v").alias("_value"), *[F.col(m).alias(f"_{m}") for m in metrics])
     blocked = blocked.drop("_v")
     square = sum(((F.col(m) - F.col(f"_{m}")) ** 2 for m in metrics[1:]), (F.col(metrics[0]) - F.col(f"_{metrics[0]}")) ** 2)

@@ -27,9 +27,9 @@ def metrics(df: DataFrame, label: str, p: str, by: list[str] = (), eps: float =
 
 def auc(df: DataFrame, label: str, p: str, by: list[str]) -> DataFrame:
     """Area under the ROC curve by mid-ranks; NULL with one class. Rows reduce to one per distinct forecast, and these are ordered in ranges of the forecast."""
-    points = df.groupBy(*by, p).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
-    scored = running(points, by, p, {"below": F.col("neg")}).withColumn("wins", F.col("pos") * (F.col("below") + F.col("neg") / 2.0))
-    return scored.groupBy(*by).agg(F.try_divide(F.sum("wins"), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
+    y = F.col(label).cast("long")
+    scored = running(df, by, p, {"pos": y, "neg": 1 - y}).withColumn("wins", F.col("pos_here") * (F.col("neg") + F.col("neg_here") / 2.0))
+    return scored.groupBy(*by).agg(F.try_divide(F.sum("wins"), (F.sum("pos_here") * F.sum("neg_here")).cast("double")).alias("auc"))
 
 
 def bin_of(p: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import smoothed
+from .ranges import last_before, null_safe_join, numbered
 
 BEFORE = (Window.unboundedPreceding, -1)
 LAST = (-1, -1)
@@ -39,15 +40,6 @@ def past_sums(rows: DataFrame, keys: list[str], period: str, values: dict[str, C
     return at.select(*keys, period, *[F.sum(n).over(w.rangeBetween(*(frames or {}).get(n, frame))).alias(n) for n in values])
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Join on keys where NULL equals NULL; the keys come from the left."""
-    right = right.select(*[F.col(k).alias(f"_{k}") if k in keys else F.col(k) for k in right.columns])
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & left[k].eqNullSafe(right[f"_{k}"])
-    return left.join(right, condition, how).drop(*[f"_{k}" for k in keys])
-
-
 def smoothed_rates(rows: DataFrame, keys: list[str], period: str, label: str, m: float = 50.0, prior_keys: list[str] = (), frame=BEFORE, periods: list | None = None) -> DataFrame:
     """(keys, period, rate, n): the label's mean over the visible past, drawn by m towards the mean of the prior keys' past, or of all.
 
@@ -69,10 +61,10 @@ def smoothed_rates(rows: DataFrame, keys: list[str], period: str, label: str, m:
 def recent_rates(rows: DataFrame, key: str, period: str, label: str, order: str, last: int, m: float = 20.0) -> DataFrame:
     """(key, period, rate, total, n) over the last rows of the key before the period, in the order given; rows without key are out.
 
-    Prefix sums at two places of a key's rows give the sum between them, so no row meets more than one other. Periods ascend in that order."""
-    w = Window.partitionBy(key).orderBy(period, order)
+    Prefix sums at two places of a key's rows give the sum between them, so no row meets more than one other, and a hot key's are taken in
+    ranges. Periods ascend in that order, which is total within a key."""
     known = rows.filter(F.col(key).isNotNull())
-    prefix = known.select(key, period, F.row_number().over(w).alias("place"), F.sum(label).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("so_far"))
+    prefix = numbered(known.select(key, period, order, label), [key], [period, order], "place", {"so_far": F.col(label)})
     visible = past_sums(known, [key], period, {"n_before": F.lit(1).cast("long")}).filter("n_before > 0")
     at = visible.withColumn("low", F.greatest(F.col("n_before") - last, F.lit(0)))
     upper = prefix.select(F.col(key).alias("_k"), F.col("place").alias("_p"), F.col("so_far").alias("high_sum"))
@@ -137,10 +129,10 @@ def coverage(rows: DataFrame, period: str, column: str) -> DataFrame:
 def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str], tie: str) -> DataFrame:
     """Adds to left the values of the latest right row of its key with a strictly smaller time; of equal times, the row with the largest tie.
 
-    One union and one window over the key: no row meets more than its neighbours. Right rows come after left rows of their time."""
+    One union, then the last value before each row, carried over ranges of (key, time): no row meets more than its neighbours, and a hot key
+    is many tasks' work. Right rows come after left rows of their time."""
     names = left.columns
     best = right.groupBy(key, time).agg(F.max_by(F.struct(*values), tie).alias("_v"))
     rows = left.select(*names, F.lit(0).alias("_side"), F.lit(None).cast(best.schema["_v"].dataType).alias("_v")).unionByName(best.select(key, time, F.lit(1).alias("_side"), "_v"), allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, -1)
-    found = rows.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).filter("_side = 0")
+    found = last_before(rows.withColumn("_at", F.xxhash64(*names)), [key], [time, "_side", "_at"], "_v", "_found").filter("_side = 0").drop("_v").withColumnRenamed("_found", "_v")
     return found.select(*names, *[F.when(F.col(key).isNotNull(), F.col("_v")[v]).alias(v) for v in values])

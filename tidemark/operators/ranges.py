@@ -1,8 +1,9 @@
 """Order-dependent values over groups that are too large for one task.
 
-A group's rows are cut into ranges of a numeric order by approximate percentiles, each range is ordered on its own, and a table of one
-row per range carries on what earlier ranges of the group add. Equal values lie in one range, and a row's range follows from its value
-alone, so a lost task gives the same rows again. A NULL order comes first, NULL group keys are a group.
+Rows are cut into ranges of (group, order) of about ROWS rows each, so the number of ranges follows the number of rows, and a group that
+holds a third of them lies in many. Each range is worked on by itself; a table of one row per range and group in it then carries on what
+the group's earlier ranges add. The ranged rows are a table in the shared folder: a lost task gives the same rows again. A NULL comes
+first, NULL group keys are a group.
 """
 
 from __future__ import annotations
@@ -10,51 +11,82 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .history import null_safe_join
-
 C = F.col
 UP_TO_HERE = (Window.unboundedPreceding, 0)
 EARLIER_RANGES = (Window.unboundedPreceding, -1)
+#: Rows of a range, some 100 MB.
+ROWS = 1_000_000
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join on keys where NULL equals NULL; the keys come from the left."""
+    right = right.select(*[C(k).alias(f"_{k}") if k in keys else C(k) for k in right.columns])
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & left[k].eqNullSafe(right[f"_{k}"])
+    return left.join(right, condition, how).drop(*[f"_{k}" for k in keys])
 
 
-def ranged(df: DataFrame, by: list[str], order: str, parts: int = 64) -> DataFrame:
-    """Adds `_range`, the number of the group's percentile edges below the row's order: `parts` ranges at most."""
-    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    edges = df.groupBy(*by).agg(F.percentile_approx(order, shares, F.lit(10_000)).alias("_edges"))
-    if by:
-        at = null_safe_join(df, edges, by)
-    else:
-        found = edges.first()["_edges"] or []
-        at = df.withColumn("_edges", F.array(*[F.lit(x) for x in found]) if found else F.lit(None).cast("array<double>"))
-    below = F.size(F.filter("_edges", lambda e: e < C(order)))
-    return at.withColumn("_range", F.when(C(order).isNotNull() & C("_edges").isNotNull(), below).otherwise(-1)).drop("_edges")
+def ranged(df: DataFrame, by: list[str], order: list[str], rows: int | None = None) -> tuple[DataFrame, int]:
+    """df with `_range`, which ascends with (by, order), and the number of ranges. Equal (by, order) lie in one range, so order should be total."""
+    from ..sources.files import written
 
+    parts = -(-df.count() // (rows or ROWS))
+    if parts <= 1:
+        return df.withColumn("_range", F.lit(0)), 1
+    return written(df.repartitionByRange(parts, *by, *order).withColumn("_range", F.spark_partition_id())), parts
 
-def within(by: list[str], *order: str) -> Window:
-    return Window.partitionBy(*by, "_range").orderBy(*order)
+
+def within(by: list[str], order: list[str]) -> Window:
+    return Window.partitionBy("_range", *by).orderBy(*order)
 
 
 def over_ranges(by: list[str]) -> Window:
-    """Over the table of ranges: `parts` rows a group."""
+    """Over the table of ranges: for each group as many rows as it has ranges."""
     return Window.partitionBy(*by).orderBy("_range")
 
 
-def running(df: DataFrame, by: list[str], order: str, values: dict[str, Column], parts: int = 64) -> DataFrame:
-    """Adds to each row the sums of values over the group's rows before it; rows of equal order are no rows before each other."""
-    rows = ranged(df, by, order, parts)
-    before = rows.groupBy(*by, "_range").agg(*[F.sum(v).alias(n) for n, v in values.items()])
-    earlier = before.select(*by, "_range", *[F.coalesce(F.sum(n).over(over_ranges(by).rowsBetween(*EARLIER_RANGES)), F.lit(0)).alias(f"_{n}") for n in values])
-    w = Window.partitionBy(*by, "_range").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    peers = Window.partitionBy(*by, "_range", order)
-    local = rows.withColumns({n: F.sum(v).over(w) - F.sum(v).over(peers) for n, v in values.items()})
-    at = null_safe_join(local, earlier, [*by, "_range"])
-    return at.withColumns({n: C(n) + C(f"_{n}") for n in values}).drop("_range", *[f"_{n}" for n in values])
-
-
-def numbered(df: DataFrame, by: list[str], order: list[str], name: str, parts: int = 64) -> DataFrame:
-    """Adds the row's number within its group, from 1, by a total order whose first column is numeric and cuts the ranges."""
-    rows = ranged(df, by, order[0], parts)
-    sizes = rows.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
-    earlier = sizes.select(*by, "_range", F.coalesce(F.sum("_n").over(over_ranges(by).rowsBetween(*EARLIER_RANGES)), F.lit(0)).alias("_before"))
-    local = rows.withColumn("_local", F.row_number().over(within(by, *order)))
-    return null_safe_join(local, earlier, [*by, "_range"]).withColumn(name, C("_before") + C("_local")).drop("_range", "_before", "_local")
+def carried(rows: DataFrame, parts: int, by: list[str], each: dict[str, Column], later: dict[str, Column]) -> DataFrame:
+    """Adds to rows what earlier ranges of their group give: `each` is aggregated per range, `later` are expressions over the group's earlier ranges (see EARLIER_RANGES)."""
+    per = rows.groupBy("_range", *by).agg(*[v.alias(n) for n, v in each.items()])
+    return null_safe_join(rows, per.select("_range", *by, *[v.alias(n) for n, v in later.items()]), ["_range", *by])
+
+
+def numbered(df: DataFrame, by: list[str], order: list[str], name: str, sums: dict[str, Column] | None = None, rows: int | None = None) -> DataFrame:
+    """Adds the row's number within its group, from 1, by a total order, and the `sums` of the group's rows up to and with the row."""
+    at, parts = ranged(df, by, order, rows)
+    w, values = within(by, order), {name: F.lit(1), **(sums or {})}
+    at = at.withColumns({f"_v{i}": v for i, v in enumerate(values.values())})
+    here = at.withColumns({n: F.row_number().over(w).cast("long") if i == 0 else F.sum(f"_v{i}").over(w.rowsBetween(*UP_TO_HERE)) for i, n in enumerate(values)})
+    gone = ["_range", *[f"_v{i}" for i in range(len(values))]]
+    if parts > 1:
+        over = over_ranges(by).rowsBetween(*EARLIER_RANGES)
+        each = {f"_s{i}": F.sum(f"_v{i}") for i in range(len(values))}
+        here = carried(here, parts, by, each, {f"_b{i}": F.sum(f"_s{i}").over(over) for i in range(len(values))})
+        here = here.withColumns({n: F.when(C(f"_b{i}").isNull(), C(n)).otherwise(F.coalesce(C(n), F.lit(0)) + C(f"_b{i}")) for i, n in enumerate(values)})
+        gone += [f"_b{i}" for i in range(len(values))]
+    return here.drop(*gone)
+
+
+def running(df: DataFrame, by: list[str], order: str, values: dict[str, Column], rows: int | None = None) -> DataFrame:
+    """(by, order, and for each of values its sum over the group's rows of a smaller order, and as `<name>_here` over those of this one), a row per distinct order: a tie costs one row however large it is."""
+    points = df.groupBy(*by, order).agg(*[F.sum(v).alias(f"{n}_here") for n, v in values.items()])
+    at, parts = ranged(points, by, [order], rows)
+    w = within(by, [order]).rowsBetween(*EARLIER_RANGES)
+    here = at.withColumns({n: F.coalesce(F.sum(f"{n}_here").over(w), F.lit(0)) for n in values})
+    if parts > 1:
+        over = over_ranges(by).rowsBetween(*EARLIER_RANGES)
+        here = carried(here, parts, by, {f"_s_{n}": F.sum(f"{n}_here") for n in values}, {f"_b_{n}": F.coalesce(F.sum(f"_s_{n}").over(over), F.lit(0)) for n in values})
+        here = here.withColumns({n: C(n) + C(f"_b_{n}") for n in values}).drop(*[f"_b_{n}" for n in values])
+    return here.drop("_range")
+
+
+def last_before(df: DataFrame, by: list[str], order: list[str], value: str, name: str, rows: int | None = None) -> DataFrame:
+    """Adds the latest value of the group's rows before the row that isn't NULL."""
+    at, parts = ranged(df, by, order, rows)
+    found = at.withColumn(name, F.last(value, ignorenulls=True).over(within(by, order).rowsBetween(*EARLIER_RANGES)))
+    if parts > 1:
+        latest = F.max_by(value, F.when(C(value).isNotNull(), F.struct(*order)))
+        found = carried(found, parts, by, {"_latest": latest}, {"_carried": F.last("_latest", ignorenulls=True).over(over_ranges(by).rowsBetween(*EARLIER_RANGES))})
+        found = found.withColumn(name, F.coalesce(name, "_carried")).drop("_carried")
+    return found.drop("_range")

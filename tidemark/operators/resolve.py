@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .history import null_safe_join
-from .ranges import EARLIER_RANGES, UP_TO_HERE, over_ranges, ranged, within
+from .ranges import EARLIER_RANGES, UP_TO_HERE, null_safe_join, over_ranges, ranged, within
 from .tables import one_to_one, only_unique
 
 
@@ -20,11 +21,11 @@ def falls(a: Column, b: Column) -> Column:
     return F.coalesce(a < b, F.lit(False))
 
 
-def sessions(log: DataFrame, period: str, order: str, change: list[str], fall: list[str], parts: int = 64) -> DataFrame:
+def sessions(log: DataFrame, period: str, order: str, change: list[str], fall: list[str], rows: int | None = None) -> DataFrame:
     """Adds `session` (counted from 1 within the period) and `place` (from 1 within the session).
 
     A session starts with a period, where a `change` column differs from the row before, or where a `fall` column gets smaller. A period
-    is cut into ranges of its order, which is numeric; a row per range then tells whether the next one opens a session, how many came
+    is cut into ranges of its order where it is large; a row per range then tells whether the next one opens a session, how many came
     before it and where the last one began."""
     state = list(dict.fromkeys([*change, *fall]))
 
@@ -36,9 +37,22 @@ def sessions(log: DataFrame, period: str, order: str, change: list[str], fall: l
             out = out | falls(now(c), before(c))
         return out
 
-    w = within([period], order)
-    local = ranged(log, [period], order, parts).withColumn("_rn", F.row_number().over(w))
+    w = within([period], [order])
+    local, parts = ranged(log, [period], [order], rows)
+    local = local.withColumn("_rn", F.row_number().over(w))
     local = local.withColumn("_start", F.when(F.col("_rn") > 1, starts(F.col, lambda c: F.lag(c).over(w))).otherwise(F.lit(False)).cast("int"))
+    if parts == 1:
+        at = local.withColumns({"_rows": F.lit(0), "_before": F.lit(1), "_since": F.lit(1)})
+    else:
+        at = null_safe_join(local, _opening(local, period, order, state, starts), [period, "_range"])
+    here = F.max(F.when(F.col("_start") == 1, F.col("_rows") + F.col("_rn"))).over(w.rowsBetween(*UP_TO_HERE))
+    found = at.withColumn("session", F.col("_before") + F.sum("_start").over(w.rowsBetween(*UP_TO_HERE)))
+    found = found.withColumn("place", (F.col("_rows") + F.col("_rn") - F.greatest("_since", here) + 1).cast("int"))
+    return found.drop("_range", "_rn", "_start", "_rows", "_before", "_since")
+
+
+def _opening(local: DataFrame, period: str, order: str, state: list[str], starts: Callable) -> DataFrame:
+    """Per range: rows and sessions of the period before it, its own first session included if it opens one, and where the last of these began."""
     row = F.struct(*state)
     each = local.groupBy(period, "_range").agg(
         F.count("*").alias("_n"), F.sum("_start").alias("_inside"), F.max(F.when(F.col("_start") == 1, F.col("_rn"))).alias("_last"), F.min_by(row, order).alias("_head"), F.max_by(row, order).alias("_tail")
@@ -50,11 +64,7 @@ def sessions(log: DataFrame, period: str, order: str, change: list[str], fall: l
     each = each.withColumn("_before", F.coalesce(F.sum(F.col("_inside") + F.col("_opens")).over(o.rowsBetween(*EARLIER_RANGES)), F.lit(0)) + F.col("_opens"))
     latest = F.greatest(F.col("_rows") + F.col("_last"), F.when(F.col("_opens") == 1, F.col("_rows") + 1))
     each = each.withColumn("_since", F.greatest(F.max(latest).over(o.rowsBetween(*EARLIER_RANGES)), F.when(F.col("_opens") == 1, F.col("_rows") + 1)))
-    at = null_safe_join(local, each.select(period, "_range", "_rows", "_before", "_since"), [period, "_range"])
-    here = F.max(F.when(F.col("_start") == 1, F.col("_rows") + F.col("_rn"))).over(w.rowsBetween(*UP_TO_HERE))
-    found = at.withColumn("session", F.col("_before") + F.sum("_start").over(w.rowsBetween(*UP_TO_HERE)))
-    found = found.withColumn("place", (F.col("_rows") + F.col("_rn") - F.greatest("_since", here) + 1).cast("int"))
-    return found.drop("_range", "_rn", "_start", "_rows", "_before", "_since")
+    return each.select(period, "_range", "_rows", "_before", "_since")
 
 
 def sequence_text(states: list[str], order: str) -> Column:

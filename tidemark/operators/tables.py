@@ -102,9 +102,7 @@ def sample_per_group(df: DataFrame, group: str, key: str, limit: int | None, see
 
 def percent_ranks(df: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
     """Adds the rank of the value in its group with ties averaged, over the group's number of values; NULL for NULL. Groups are ranked in ranges of the value."""
-    w = Window.partitionBy(*by, value)
-    known = df.filter(F.col(value).isNotNull())
-    totals = known.groupBy(*by).agg(F.count(value).alias("_total"))
-    below = running(known, by, value, {"_below": F.lit(1)}).withColumn("_peers", F.count(value).over(w))
-    ranked = null_safe_join(below, totals, by).withColumn(name, (F.col("_below") + (F.col("_peers") + 1) / 2) / F.col("_total")).drop("_below", "_peers", "_total")
-    return ranked.unionByName(df.filter(F.col(value).isNull()).withColumn(name, F.lit(None).cast("double")))
+    at = running(df.filter(F.col(value).isNotNull()), by, value, {"_below": F.lit(1)})
+    totals = at.groupBy(*by).agg(F.sum("_below_here").alias("_total"))
+    ranks = null_safe_join(at, totals, by).select(*by, value, ((F.col("_below") + (F.col("_below_here") + 1) / 2) / F.col("_total")).alias(name))
+    return null_safe_join(df, ranks, [*by, value])  # a NULL has no rank to meet

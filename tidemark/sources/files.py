@@ -118,5 +118,5 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_row_order(df: DataFrame, *order: str) -> DataFrame:
-    """Numbers rows by a total order, which a log without a sequence column needs once. The first column is numeric and cuts the log into ranges."""
+    """Numbers rows by a total order, which a log without a sequence column needs once. A large log is numbered in ranges of that order."""
     return numbered(df, [], list(order), "_row_order")
