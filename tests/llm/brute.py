@@ -243,3 +243,32 @@ def op13(pages, rules, order, share):
         d = None if verdict or not both else difference(url)
         out.append((page, host, path, rule, verdict or ("allow" if d is None or d >= limit else "block"), d, limit))
     return out
+
+
+def op12(rows):
+    """rows: (conv_id, turn, role, text)."""
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            own[c].append((turn is not None, turn, role or "", sha256((text or "").encode()).hexdigest(), text or ""))
+    turns = {c: [(r, t) for _, _, r, _, t in sorted(x)] for c, x in own.items()}
+    rebuilt = {}
+    for c in turns:
+        h, base = zlib.crc32(str(c).encode()) % 4, c - int(np.fmod(c, 20))
+        rebuilt[c] = tuple(turns.get(base, [])[:h] + turns[c][h:])
+    members, children, ends = defaultdict(list), defaultdict(set), defaultdict(list)
+    for c, seq in sorted(rebuilt.items()):
+        ends[seq].append(c)
+        for d in range(len(seq) + 1):
+            members[seq[:d]].append(c)
+            if d:
+                children[seq[: d - 1]].add(seq[:d])
+    leaves, saved = {}, {}
+    for node in sorted(members, key=len, reverse=True):
+        own_saved = (len(members[node]) - 1) * len(WORD.findall(node[-1][1])) if node else 0
+        leaves[node] = sum(leaves[x] for x in children[node]) or 1
+        saved[node] = own_saved + sum(saved[x] for x in children[node])
+    return [
+        (members[n][0], len(n), members[n[:-1]][0] if n else None, len(members[n]), len(children[n]), leaves[n], saved[n], sha256(",".join(map(str, ends[n])).encode()).hexdigest())
+        for n in members
+    ]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, exact_dedup, lm, packing, pii, quality_classifier, quality_rules, sentencepieces, simhash, suffix_dedup, token_output, url_filter
+from . import alignment, conversation_trie, exact_dedup, lm, packing, pii, quality_classifier, quality_rules, sentencepieces, simhash, suffix_dedup, token_output, url_filter
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,10 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.link_statistics(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 URL_RULES = [url_filter.Rule(*r) for r in (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))]
 
 
@@ -76,7 +80,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_suffix_array_dedup, op2_exact_dedup, op3_token_output, op4_personal_data, op5_quality_rules, op6_simhash_near_dedup,
-        op7_best_fit_packing, op8_lm_scoring, op9_quality_classifier, op10_sentencepiece, op11_tokenizer_alignment, op13_url_filter, pipeline,
+        op7_best_fit_packing, op8_lm_scoring, op9_quality_classifier, op10_sentencepiece, op11_tokenizer_alignment, op12_conversation_trie, op13_url_filter, pipeline,
     )
 }
 
@@ -108,4 +112,31 @@ ORACLE_SQL: dict[str, str] = {
                     OR (n_words > 0 AND 100 * n_bars > 15 * n_words) OR longest_word > 200) AS kept
         FROM f
     """,
+    # CRC-32 of an id: bytes enter the register one by one, each by eight shifts.
+    "op12_conversation_trie": r"""
+        WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS pos
+                   FROM conversations WHERE conv_id IS NOT NULL),
+        ids AS (SELECT c, c - c % 20 AS base, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+                       lambda x, b: list_reduce(list_prepend(xor(x, b), range(8)), lambda y, i: xor(y >> 1, CASE WHEN y & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 4 AS h
+                FROM (SELECT DISTINCT c FROM t)),
+        has AS (SELECT c AS base, count(*) AS n FROM t GROUP BY c),
+        r AS (SELECT ids.c, t.pos, t.role, t.text FROM ids JOIN t ON t.c = ids.base AND t.pos <= ids.h
+              UNION ALL SELECT ids.c, t.pos - ids.h + least(ids.h, coalesce(has.n, 0)), t.role, t.text
+              FROM ids JOIN t ON t.c = ids.c AND t.pos > ids.h LEFT JOIN has ON has.base = ids.base),
+        p AS (SELECT c, pos AS d, md5(string_agg(CAST(length(role) AS VARCHAR) || ':' || role || CAST(length(text) AS VARCHAR) || ':' || text, '') OVER (PARTITION BY c ORDER BY pos)) AS k,
+                     len(regexp_extract_all(text, '[^ 	-
+]+')) AS w FROM r
+              UNION ALL SELECT c, 0, '', 0 FROM ids),
+        m AS (SELECT *, lag(k) OVER (PARTITION BY c ORDER BY d) AS up, d = max(d) OVER (PARTITION BY c) AS ends FROM p),
+        n AS (SELECT k, d, min(c) AS conv_id, any_value(up) AS up, count(*) AS n_convs, any_value(w) AS w, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS e
+              FROM m GROUP BY k, d),
+        kids AS (SELECT up, d - 1 AS d, count(*) AS n FROM n WHERE d > 0 GROUP BY up, d),
+        own AS (SELECT n.*, coalesce(kids.n, 0) AS n_children FROM n LEFT JOIN kids ON kids.up = n.k AND kids.d = n.d),
+        above AS (SELECT a.k, a.d, sum(CASE WHEN o.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((o.n_convs - 1) * o.w) AS saved
+                  FROM own o JOIN m a ON a.c = o.conv_id AND a.d <= o.d GROUP BY a.k, a.d)
+        SELECT own.conv_id, CAST(own.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, own.n_convs, CAST(own.n_children AS BIGINT) AS n_children,
+               CAST(above.n_leaves AS BIGINT) AS n_leaves, CAST(above.saved AS BIGINT) AS saved_tokens, own.e AS ends_sha256
+        FROM own JOIN above ON above.k = own.k AND above.d = own.d LEFT JOIN own u ON u.k = own.up AND u.d = own.d - 1
+    """,
 }
