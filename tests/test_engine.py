@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
-from tidemark.operators import blocks, coldstart, evaluate, export, history, lab, models, ranges, report, resolve, tables, validate
+from tidemark.operators import blocks, coldstart, evaluate, export, history, lab, models, ranges, report, resolve, tables, trees, validate
 from tidemark.sources import files
 
 C = F.col
@@ -324,7 +324,7 @@ def test_tune_then_refit(spark):
     assert 1 <= model.rounds <= 5 and found["brier"] < 0.1 and found["tuning_period"] == 2020 and (found["tuning_train_n"], found["train_n"], found["valid_n"]) == (80, 160, 80)
     assert forecast.filter("p between 0 and 1").count() == 80 and "c_freq" not in forecast.columns
     forecasts, folds = validate.forward_folds(rows, {"type": "boosted", "params": {"maxIter": 3, "seed": 1}}, ["x", "c"], ["c"], "period", [2018, 2020, 2021], "y")
-    assert [f["period"] for f in folds] == [2020, 2021] and forecasts.count() == 160
+    assert sorted(r["period"] for r in folds.collect()) == [2020, 2021] and forecasts.count() == 160
     assert validate.final_fit(rows, {"type": "boosted", "params": {"maxIter": 3, "seed": 1}}, ["x"], [], "y", folds, least=4).rounds == 4
     with pytest.raises(ValueError):
         validate.forward_folds(rows, {"type": "constant"}, [], [], "period", [1990], "y")
@@ -332,6 +332,48 @@ def test_tune_then_refit(spark):
     assert out.columns == ["row_id", "p"] and out.first()["p"] == 1 - 1e-5
 
 
+@pytest.mark.parametrize("kind", ["leaf_wise", "second_order", "ordered"])
+def test_boosted_learners_tune_and_fold(spark, kind):
+    rows = seasons(spark).withColumn("x", F.when(C("x") < 0.9, C("x")))
+    config = {"type": kind, "refit_after_tuning": True, "params": {"rounds": 6, "rate": 0.5, "depth": 3, "bins": 16, "least_weight": 0.1, "least_rows": 2, "rows_share": 1.0, "features_share": 1.0, "early_stopping_rounds": 3}}
+    model, forecast, found = validate.tune_refit_evaluate(rows, config, ["x", "c"], ["c"], "period", 2021, "y")
+    assert 1 <= model.rounds <= 6 and found["brier"] < 0.15 and forecast.columns == [*rows.columns, "p"]
+    forecasts, folds = validate.forward_folds(rows, config, ["x", "c"], ["c"], "period", [2020, 2021], "y")
+    got = {r["period"]: r for r in folds.collect()}
+    assert forecasts.count() == 160 and got[2021]["train_n"] == 160 and all(1 <= r["best_iteration"] <= 6 for r in got.values())
+    alone = validate.forward_folds(rows, config, ["x", "c"], ["c"], "period", [2021], "y")[1].first()
+    assert alone["brier"] == pytest.approx(got[2021]["brier"], abs=1e-9)
+    unseen = model.predict(spark.createDataFrame([(None, "never"), (0.2, None)], "x double, c string")).collect()
+    assert all(0 < r["p"] < 1 for r in unseen)
+    with pytest.raises(ValueError):
+        models.fit_configured({"type": kind, "params": {"what": 1}}, rows, ["x"], [], "y")
+
+
+def test_trees_are_saved_as_plain_values(spark, tmp_path):
+    rows = seasons(spark)
+    model = models.fit_configured({"type": "leaf_wise", "params": {"rounds": 3, "least_rows": 2}}, rows, ["x", "c"], ["c"], "y")
+    files.save_model(spark, model.model, str(tmp_path / "m"))
+    again = trees.Boosted.unbundle(files.read_json(spark, str(tmp_path / "m" / "bundle")))
+    p = [{r["row_id"]: r["p"] for r in x.predict(rows).collect()} for x in (model, again)]
+    assert p[0] == pytest.approx(p[1])
+
+
+def test_extra_trees_take_missing_numbers_and_categories(spark):
+    rows = seasons(spark).withColumn("x", F.when(C("x") < 0.9, C("x")))
+    model = models.fit_configured({"type": "extra_trees", "params": {"trees": 5, "depth": 4, "least_rows": 2, "seed": 1}}, rows, ["x", "c"], ["c"], "y")
+    assert model.predict(rows).agg(F.avg((C("p") - C("y")) ** 2)).first()[0] < 0.2 and model.rounds == 5
+
+
+def test_forward_ridge_reads_the_log_once(spark):
+    rows = seasons(spark)
+    forecasts, folds = validate.forward_folds(rows, {"type": "ridge", "params": {"alpha": 2.0}}, ["x"], [], "period", [2020, 2021], "y")
+    train = rows.filter("period < 2021 and y is not null").select("x", "y").toPandas()
+    x, y = train["x"] - train["x"].mean(), train["y"]
+    slope = float((x * y).sum() / ((x * x).sum() + 2.0))
+    want = {r["row_id"]: min(max(float(y.mean()) + slope * (r["x"] - float(train["x"].mean())), 0.0), 1.0) for r in rows.filter("period = 2021 and y is not null").collect()}
+    assert {r["row_id"]: r["p"] for r in forecasts.filter("period = 2021").collect()} == pytest.approx(want) and folds.count() == 2
+
+
 def test_staged_brier_is_that_of_shorter_models(spark):
     df = spark.createDataFrame([(float(i % 20 - 10), int(i % 20 > 10 or i % 7 == 0)) for i in range(200)], "x double, y int")
     whole = models.staged_brier(models.fit(df, ["x"], "y", "boosted", maxIter=4, seed=3), df, "y")
@@ -461,6 +503,19 @@ def test_files(spark, tmp_path):
     csv.write_bytes(csv.read_bytes() + b"4,y\n")
     files.cached(spark, str(tmp_path / "cache"), {"a": 1, "b": 2}, make, str(csv))
     assert len(calls) == 3
+
+    def broken():
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        files.cached(spark, str(tmp_path / "cache"), "broken", broken)
+    half = tmp_path / "cache" / files.signature(["half", []])
+    spark.range(9).write.parquet(str(half / "0123"))  # a write that broke off before its marker
+    assert files.cached(spark, str(tmp_path / "cache"), "half", make).count() == 3
+    # A call that publishes while another one writes: both give the first one's table, and the other's is gone.
+    inner = lambda: files.cached(spark, str(tmp_path / "cache"), "race", lambda: spark.range(5)) and spark.range(7)
+    assert files.cached(spark, str(tmp_path / "cache"), "race", inner).count() == 5
+    assert len([x for x in (tmp_path / "cache" / files.signature(["race", []])).iterdir() if x.is_dir()]) == 2
     files.append_history(spark.createDataFrame([(1,)], "a int"), str(tmp_path / "h"))
     files.append_history(spark.createDataFrame([(2, "x")], "a int, b string"), str(tmp_path / "h"))
     assert sorted(rows(files.read_history(spark, str(tmp_path / "h")))) == [(1, None), (2, "x")]

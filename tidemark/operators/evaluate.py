@@ -36,14 +36,19 @@ def bin_of(p: Column) -> Column:
     return sum(((p >= e).cast("int") for e in EDGES[1:]), (p >= EDGES[0]).cast("int"))
 
 
-def calibration(df: DataFrame, label: str, p: str) -> DataFrame:
-    """Per bin: n, mean forecast and outcome, smallest and largest forecast, gap."""
-    rows = df.groupBy(bin_of(F.col(p)).alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(label).alias("mean_y"), F.min(p).alias("min_p"), F.max(p).alias("max_p"))
+def calibration(df: DataFrame, label: str, p: str, by: list[str] = ()) -> DataFrame:
+    """Per bin (and group): n, mean forecast and outcome, smallest and largest forecast, gap."""
+    rows = df.groupBy(*by, bin_of(F.col(p)).alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(label).alias("mean_y"), F.min(p).alias("min_p"), F.max(p).alias("max_p"))
     return rows.withColumn("gap", F.abs(F.col("mean_p") - F.col("mean_y")))
 
 
-def calibration_error(df: DataFrame, label: str, p: str) -> DataFrame:
-    return calibration(df, label, p).agg((F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("ece"))
+def calibration_error(df: DataFrame, label: str, p: str, by: list[str] = ()) -> DataFrame:
+    return calibration(df, label, p, by).groupBy(*by).agg((F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("ece"))
+
+
+def all_metrics(df: DataFrame, label: str, p: str, by: list[str]) -> DataFrame:
+    """Per group Brier score, log loss, skill, AUC, calibration error and the means: a row a group."""
+    return metrics(df, label, p, by).join(auc(df, label, p, by), by).join(calibration_error(df, label, p, by), by)
 
 
 def paired_deltas(board: DataFrame, name: str, reference: str, value: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -15,8 +15,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MISSING, logit
+from ..sources.files import written
+from .ranges import null_safe_join
+from .trees import Boosted, Forest, Growth, boost, extra_trees, ordered_statistics, with_statistics
 
 C = F.col
+#: Boosted learners and how they grow unless a configuration says otherwise. `leaf_wise` takes categories as they are, `second_order` their
+#: frequencies, `ordered` label rates over the rows before; all take missing numbers as they are.
+GROWTHS = {
+    "second_order": Growth(rounds=200, rate=0.03, depth=7, l1=0.2, l2=3.0, least_weight=50.0, rows_share=0.85, features_share=0.85, patience=100),
+    "leaf_wise": Growth(rounds=200, rate=0.025, depth=24, leaves=31, l2=0.0, least_rows=20, patience=100),
+    "ordered": Growth(rounds=200, rate=0.035, depth=8, l2=5.0, symmetric=True, patience=100),
+}
 
 
 def frequency_encode(train: DataFrame, other: DataFrame, column: str) -> DataFrame:
@@ -99,17 +109,74 @@ class Fitted:
 
     predict: Callable[[DataFrame], DataFrame]
     rounds: int | None
-    model: PipelineModel | None
+    model: PipelineModel | Boosted | Forest | None
+
+
+def growth_of(config: dict) -> Growth:
+    """The learner's growth with the configuration's `params`, whose names are Growth's; `early_stopping_rounds` is its patience."""
+    params = dict(config.get("params", {}))
+    if "early_stopping_rounds" in params:
+        params["patience"] = params.pop("early_stopping_rounds")
+    if unknown := set(params) - set(Growth.__dataclass_fields__):
+        raise ValueError(f"unknown parameters {sorted(unknown)}")
+    return replace(GROWTHS[config["type"]], **params)
+
+
+def encode_folds(kind: str, frame: DataFrame, categorical: list[str], label: str, seed: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame], dict[str, str]]:
+    """The frame (rows with `_fold` and `_train`) with its categoricals encoded by each fold's training rows, the same for other rows with
+    `_fold`, and the new names. Tables of categories stay tables: they grow with the data and are joined."""
+    if kind == "leaf_wise" or not categorical:
+        return frame, lambda rows: rows, {}
+    tables = {}
+    for c in categorical:
+        if kind == "ordered":
+            frame, tables[c] = ordered_statistics(frame, c, label, f"{c}_rate", seed)
+        else:
+            sizes = frame.filter("_train").groupBy("_fold").agg(F.count("*").alias("_all"))  # a row a fold
+            counted = frame.filter("_train").groupBy("_fold", c).agg(F.count("*").alias("_n")).join(sizes, "_fold")
+            tables[c] = written(counted.select("_fold", c, (C("_n") / C("_all")).alias(f"{c}_freq")))
+
+    def apply(rows: DataFrame) -> DataFrame:
+        for c, found in tables.items():
+            rows = with_statistics(rows, found, c, f"{c}_rate") if kind == "ordered" else null_safe_join(rows, found, ["_fold", c]).fillna(0.0, [f"{c}_freq"])
+        return rows
+
+    return frame if kind == "ordered" else apply(frame), apply, {c: f"{c}_rate" if kind == "ordered" else f"{c}_freq" for c in categorical}
+
+
+def boost_folds(config: dict, frame: DataFrame, features: list[str], categorical: list[str], label: str) -> dict[int, Fitted]:
+    """A boosted model per fold of rows with `_fold` and `_train`, all grown side by side from one encoded table."""
+    growth = growth_of(config)
+    frame, apply, renamed = encode_folds(config["type"], frame, categorical, label, growth.seed)
+    names = [renamed.get(f, f) for f in [*(f for f in features if f not in categorical), *categorical]]
+    found = boost(frame, names, [c for c in categorical if c not in renamed], label, growth)
+
+    def forecaster(k: int, model: Boosted) -> Callable[[DataFrame], DataFrame]:
+        return lambda rows: model.predict(apply(rows.withColumn("_fold", F.lit(k)))).drop(*renamed.values())
+
+    return {k: Fitted(forecaster(k, m), m.rounds, m) for k, m in found.items()}
+
+
+def one_fold(train: DataFrame, valid: DataFrame | None = None) -> DataFrame:
+    rows = train.withColumns({"_fold": F.lit(0), "_train": F.lit(True)})
+    return rows if valid is None else rows.unionByName(valid.withColumns({"_fold": F.lit(0), "_train": F.lit(False)}))
 
 
 def fit_configured(config: dict, train: DataFrame, features: list[str], categorical: list[str], label: str, tuning: tuple[DataFrame, DataFrame] | None = None) -> Fitted:
-    """config: `type` (constant, logistic, boosted, forest) and `params`. Categoricals are frequency encoded by the training rows. A
-    boosted model with tuning rows (train, valid) takes as many trees as are best there and is then fitted to `train`."""
+    """config: `type` (constant, ridge, logistic, boosted, forest, extra_trees, or one of GROWTHS) and `params`. Categoricals are frequency encoded by
+    the training rows, but see GROWTHS. A boosted model with tuning rows (train, valid) takes as many trees as are best there and is then
+    fitted to `train`."""
     kind, params = config["type"], dict(config.get("params", {}))
+    if kind in GROWTHS:
+        if tuning:
+            growth_of(config)
+            params = {k: v for k, v in params.items() if k not in ("early_stopping_rounds", "patience")} | {"patience": None}
+            params["rounds"] = max(1, boost_folds(config, one_fold(*tuning), features, categorical, label)[0].rounds)
+        return boost_folds(config | {"params": params}, one_fold(train), features, categorical, label)[0]
     if kind == "constant":
         rate = constant_rate(train, label)
         return Fitted(lambda rows: rows.withColumn("p", F.lit(rate)), None, None)
-    if kind not in ("logistic", "boosted", "forest"):
+    if kind not in ("logistic", "ridge", "boosted", "forest", "extra_trees"):
         raise ValueError(f"unknown model type {kind}")
     names = [*(f for f in features if f not in categorical), *(f"{c}_freq" for c in categorical)]
 
@@ -118,6 +185,16 @@ def fit_configured(config: dict, train: DataFrame, features: list[str], categori
             rows = frequency_encode(by, rows, c)
         return rows
 
+    if kind in ("extra_trees", "ridge"):
+        at = encoded(train, train)
+        middle = medians(at, names)
+        if kind == "ridge":
+            line = ridge(at.fillna(middle, names), names, label, params.pop("alpha", 1.0))
+            value = F.least(F.greatest(line.correction(), F.lit(0.0)), F.lit(1.0))
+            return Fitted(lambda rows: encoded(train, rows).fillna(middle, names).withColumn("p", value).select(*rows.columns, "p"), None, None)
+        forest = extra_trees(at.fillna(middle, names), names, label, **params)
+        return Fitted(lambda rows: forest.predict(encoded(train, rows).fillna(middle, names)).select(*rows.columns, "p"), len(forest.trees), forest)
+
     rounds = None
     if kind == "boosted":
         rounds = params.pop("maxIter", 20)

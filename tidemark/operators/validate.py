@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip
-from .evaluate import auc, calibration_error, metrics
-from .models import Fitted, fit_configured
+from ..sources.files import written
+from .evaluate import all_metrics
+from .models import GROWTHS, Fitted, boost_folds, fit_configured
 
 C = F.col
 
@@ -33,13 +34,6 @@ def split(rows: DataFrame, period: str, valid: int, label: str) -> Split:
     return Split(*parts, *n)
 
 
-def all_metrics(forecast: DataFrame, label: str, p: str = "p") -> dict[str, float]:
-    """Brier score, log loss, skill, AUC, calibration error and the means, of one set of forecasts."""
-    found = metrics(forecast, label, p).first().asDict()
-    found["auc"] = auc(forecast.withColumn("_all", F.lit(1)), label, p, ["_all"]).first()["auc"]
-    return found | {"ece": calibration_error(forecast, label, p).first()[0]}
-
-
 def tune_refit_evaluate(rows: DataFrame, config: dict, features: list[str], categorical: list[str], period: str, valid: int, label: str) -> tuple[Fitted, DataFrame, dict]:
     """Chooses on the period before `valid` (where the configuration says `refit_after_tuning`), fits to all before `valid`, forecasts it.
 
@@ -47,32 +41,54 @@ def tune_refit_evaluate(rows: DataFrame, config: dict, features: list[str], cate
     at = split(rows, period, valid, label)
     before = split(rows, period, valid - 1, label) if config.get("refit_after_tuning") else None
     model = fit_configured(config, at.train, features, categorical, label, (before.train, before.valid) if before else None)
-    forecast = model.predict(at.valid)
-    found = all_metrics(forecast, label) | {"train_n": at.train_n, "valid_n": at.valid_n, "best_iteration": model.rounds}
+    forecast = written(model.predict(at.valid))
+    found = all_metrics(forecast, label, "p", [period]).drop(period).first().asDict() | {"train_n": at.train_n, "valid_n": at.valid_n, "best_iteration": model.rounds}
     return model, forecast, found | ({"tuning_period": valid - 1, "tuning_train_n": before.train_n, "tuning_valid_n": before.valid_n} if before else {})
 
 
-def forward_folds(rows: DataFrame, config: dict, features: list[str], categorical: list[str], period: str, valids: list[int], label: str) -> tuple[DataFrame, list[dict]]:
-    """Forecasts of every fold (train before, judge on each of `valids`) as one table, and each fold's metrics. Periods without labelled rows are skipped; none left is an error.
+def in_folds(rows: DataFrame, period: str, valids: list[int], label: str) -> DataFrame:
+    """Labelled rows once for each fold (a judged period) that they train or are judged in: `_fold` is that period, `_train` says which."""
+    fold = F.explode(F.filter(F.array(*[F.lit(v) for v in valids]), lambda v: v >= C(period)))
+    return rows.filter(C(label).isNotNull()).withColumn("_fold", fold).withColumn("_train", C(period) < C("_fold"))
 
-    A fold's boosted model stops at the best number of trees of its own judged period, as early stopping does; use tune_refit_evaluate for an unbiased figure."""
-    there = {r[0] for r in rows.filter(C(label).isNotNull()).select(period).distinct().collect()}  # periods, few by nature
-    forecasts, folds = None, []
-    for v in [v for v in valids if v in there]:
-        at = split(rows, period, v, label)
-        model = fit_configured(config, at.train, features, categorical, label, (at.train, at.valid) if config["type"] == "boosted" else None)
-        forecast = model.predict(at.valid)
-        folds.append({period: v} | all_metrics(forecast, label) | {"train_n": at.train_n, "best_iteration": model.rounds})
-        forecasts = forecast if forecasts is None else forecasts.unionByName(forecast)
-    if not folds:
+
+def forward_folds(rows: DataFrame, config: dict, features: list[str], categorical: list[str], period: str, valids: list[int], label: str) -> tuple[DataFrame, DataFrame]:
+    """Forecasts of every fold (train before, judge on each of `valids`) as one table, and a table of each fold's metrics, train_n and
+    best_iteration. Periods without labelled rows are skipped; none left, or none before one, is an error.
+
+    The needed columns are read once. Constant and boosted models of all folds are learned side by side from one table; a fold's boosted model
+    stops at the best number of trees of its own judged period, as early stopping does; use tune_refit_evaluate for an unbiased figure."""
+    log = written(rows.filter(C(label).isNotNull()))
+    sizes = dict(sorted((r[0], r[1]) for r in log.groupBy(period).count().collect() if r[0] is not None))  # periods, few by nature
+    judged = [v for v in valids if v in sizes]
+    if not judged:
         raise ValueError(f"none of {valids} has labelled rows")
-    return forecasts, folds
+    before = {v: sum(n for p, n in sizes.items() if p < v) for v in judged}
+    if lacking := [v for v in judged if not before[v]]:
+        raise ValueError(f"no labelled rows before {lacking}")
+    if config["type"] in GROWTHS:
+        models = boost_folds(config, in_folds(log, period, judged, label), features, categorical, label)
+    elif config["type"] == "constant":
+        rates = in_folds(log, period, judged, label).filter("_train").groupBy("_fold").agg(F.avg(label).alias("rate")).collect()  # a row a fold
+        models = {r["_fold"]: Fitted(lambda x, rate=r["rate"]: x.withColumn("p", F.lit(rate)), None, None) for r in rates}
+    else:
+        models = {}
+        for v in judged:
+            parts = log.filter(C(period) < v), log.filter(C(period) == v)
+            models[v] = fit_configured(config, parts[0], features, categorical, label, parts if config["type"] == "boosted" else None)
+    forecasts = None
+    for v in judged:
+        forecast = models[v].predict(log.filter(C(period) == v))
+        forecasts = forecast if forecasts is None else forecasts.unionByName(forecast)
+    forecasts = written(forecasts)
+    facts = F.create_map(*[F.lit(x) for v in judged for x in (v, before[v])]), F.create_map(*[x for v in judged for x in (F.lit(v), F.lit(models[v].rounds).cast("int"))])
+    return forecasts, all_metrics(forecasts, label, "p", [period]).withColumns({"train_n": facts[0][C(period)].cast("long"), "best_iteration": facts[1][C(period)]})
 
 
-def final_fit(rows: DataFrame, config: dict, features: list[str], categorical: list[str], label: str, folds: list[dict], least: int = 50) -> Fitted:
+def final_fit(rows: DataFrame, config: dict, features: list[str], categorical: list[str], label: str, folds: DataFrame, least: int = 50) -> Fitted:
     """The model of all labelled rows, with the median of the folds' numbers of trees, `least` at least."""
-    found = [f["best_iteration"] for f in folds if f["best_iteration"]]
-    params = dict(config.get("params", {})) | ({"maxIter": max(least, int(median(found)))} if found else {})
+    found = [r[0] for r in folds.select("best_iteration").collect() if r[0]]  # a row a fold
+    params = dict(config.get("params", {})) | ({"rounds" if config["type"] in GROWTHS else "maxIter": max(least, int(median(found)))} if found else {})
     return fit_configured(config | {"params": params}, rows.filter(C(label).isNotNull()), features, categorical, label)
 
 

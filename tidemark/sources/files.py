@@ -83,8 +83,10 @@ def file_signature(spark: SparkSession, path: str | None) -> list[list] | None:
 
 
 def save_model(spark: SparkSession, model, path: str, facts: dict | None = None) -> None:
-    """A fitted pipeline with a note of what it is; a constant model is the note alone."""
-    if model is not None:
+    """A fitted pipeline, or the plain values of trees, with a note of what it is; a constant model is the note alone."""
+    if hasattr(model, "bundle"):
+        write_json(spark, model.bundle(), f"{path}/bundle")
+    elif model is not None:
         model.write().overwrite().save(f"{path}/pipeline")
     write_json(spark, (facts or {}) | {"fitted": model is not None}, f"{path}/facts")
 
@@ -99,13 +101,25 @@ def signature(value: object) -> str:
 
 
 def cached(spark: SparkSession, folder: str, key: object, make: Callable[[], DataFrame], *sources: str) -> DataFrame:
-    """The table that an earlier call with the same key and unchanged source files wrote, or else make(), written."""
+    """The table that an earlier call with the same key and unchanged source files published, or else make(), published.
+
+    A call writes to a folder of its own and publishes by renaming a finished marker file that names it. A write that broke off has no marker and
+    is never a hit; of calls at the same time the first to rename wins, and all give its table."""
     path = f"{folder.rstrip('/')}/{signature([key, [file_signature(spark, s) for s in sources]])}"
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        make().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    marker = Path(f"{path}/published")
+    fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(marker):
+        name = uuid.uuid4().hex
+        make().write.parquet(f"{path}/{name}")
+        write_text(spark, name, f"{path}/marker-{name}")
+        if not fs.rename(Path(f"{path}/marker-{name}"), marker):
+            fs.delete(Path(f"{path}/marker-{name}"), True)
+            fs.delete(Path(f"{path}/{name}"), True)
+        elif fs.exists(nested := Path(f"{path}/published/marker-{name}")):  # another call's marker was there: a rename onto a folder moves into it
+            fs.delete(nested, True)
+            fs.delete(Path(f"{path}/{name}"), True)
+    return spark.read.parquet(f"{path}/{read_text(spark, f'{path}/published').strip()}")
 
 
 def append_history(df: DataFrame, path: str) -> None:
