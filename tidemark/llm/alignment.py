@@ -17,6 +17,7 @@ text are read, so further columns of any name don't matter. A vocabulary whose p
 
 from __future__ import annotations
 
+import ctypes
 import re
 from functools import lru_cache
 from hashlib import sha256
@@ -36,9 +37,9 @@ MARK = "▁"
 #: Spaces before which nothing but a word ends: both tokenizers begin a new token there.
 CUT = re.compile(r"(?<=[^ ]) (?=\S)")
 #: Units and links that a worker holds, and how many units of the first met it keeps beyond that.
-HELD_UNITS, HELD_LINKS, KEPT_UNITS = 500_000, 8_000_000, 150_000
-#: Bytes of text in a slice.
-SLICE_BYTES = 16 << 20
+HELD_UNITS, HELD_LINKS, KEPT_UNITS = 120_000, 2_000_000, 60_000
+#: Bytes of text in a slice, units that are aligned and documents' unit occurrences that are looked at together.
+SLICE_BYTES, LEARNT, OCCURRENCES = 2 << 20, 10_000, 100_000
 #: Links of groups that are expanded at a time; a group with more is expanded by its distinct ids.
 EXPANDED = 1 << 16
 
@@ -186,7 +187,8 @@ class Aligner:
         used = np.zeros(len(words), bool)
         used[at[~apart[row]]] = True
         if new := list(dict.fromkeys(u for u in (*compress(words, used.tolist()), *more) if u not in self.code)):
-            self.learn(new)
+            for i in range(0, len(new), LEARNT):
+                self.learn(new[i : i + LEARNT])
         code = np.fromiter((self.code.get(w, -1) for w in words), np.int64, len(words))[at]
         if whole:
             keep = ~apart[row]
@@ -216,10 +218,27 @@ def _summed(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(values)])[np.cumsum(counts)], prepend=0)
 
 
+def release() -> None:
+    """Gives what the tokenizers' many small allocations leave behind back to the machine; a worker would hold another 100 MB of it. Only some C libraries offer that."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _lists(values: np.ndarray, counts: np.ndarray, kind=None) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, kind or pa.int32()))
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers from 0 to 2**32 - 1, byte by byte, compressed."""
+    return len(x).to_bytes(8, "little") + pa.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    return np.frombuffer(pa.decompress(data[8:], 4 * n, codec="zstd"), np.uint8).reshape(4, n).T.copy().view("<u4").ravel().astype(np.int64)
+
+
 def align(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
     """doc_id, a and b (ids of both tokenizers), a_ends and b_ends (of each group, in tokens of the text)."""
 
@@ -240,9 +259,11 @@ def align(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, a array<int>, b array<int>, a_ends array<int>, b_ends array<int>")
 
 
+#: Small row groups, so that writers hold little.
+WRITER = {"parquet.block.size": str(16 << 20)}
 SLICED = (
-    "slice long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, units array<int>,"
-    " unit_links array<int>, link array<int>, often array<int>, a array<int>, b array<int>, docs array<int>"
+    "slice long, place int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_units int,"
+    " units binary, unit_links binary, link binary, often binary, a array<int>, b array<int>, docs array<int>"
 )
 
 
@@ -259,9 +280,23 @@ def _joined(batches, size: int):
         yield pa.Table.from_batches(held)
 
 
+def _document_counts(doc: np.ndarray, unit: np.ndarray, n_units: int, n_link: np.ndarray, link: np.ndarray, n_pairs: int) -> np.ndarray:
+    """In how many documents each link is. Occurrences of units come document by document, and whole documents are looked at together."""
+    out, start, first = np.zeros(n_pairs, np.int64), 0, np.cumsum(n_link) - n_link
+    while start < len(doc):
+        last = doc[min(start + OCCURRENCES, len(doc)) - 1]
+        stop = int(np.searchsorted(doc, last, "right"))
+        there = distinct((doc[start:stop] - doc[start]) * n_units + unit[start:stop])
+        d, u = there // n_units, there % n_units
+        seen = distinct(np.repeat(d, n_link[u]) * n_pairs + link[joined_ranges(first[u], n_link[u])])
+        out += np.bincount(seen % n_pairs, minlength=n_pairs)
+        start = stop
+    return out
+
+
 def _sliced(docs: DataFrame, byte_path: str, piece_path: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """A row per document; the first of a slice also has the slice's distinct units (how many links each has, which and how often) and
-    distinct links (ids, and in how many of its documents)."""
+    """A row per document; the first of a slice also has the units of all its documents, packed, its distinct units (how many links each has,
+    which and how often) and its distinct links (ids, and in how many of its documents)."""
 
     def run(batches):
         aligner, number = aligner_of(byte_path, piece_path), TaskContext.get().partitionId() << 32
@@ -275,24 +310,15 @@ def _sliced(docs: DataFrame, byte_path: str, piece_path: str, slice_bytes: int =
             link, n_link = aligner.take(4, unit)
             often, _ = aligner.take(5, unit)
             pair, link = np.unique(link, return_inverse=True)
-            # In how many documents a link is: distinct units of each document, then distinct links of those.
-            there = distinct(doc * max(len(unit), 1) + local)
-            d, u = there // max(len(unit), 1), there % max(len(unit), 1)
-            d = np.repeat(d, n_link[u])
-            at = link[joined_ranges((np.cumsum(n_link) - n_link)[u], n_link[u])]
-            seen = distinct(d * max(len(pair), 1) + at)
-            n_docs = np.bincount(seen % max(len(pair), 1), minlength=len(pair))
+            n_docs = _document_counts(doc, local, len(unit), n_link, link, len(pair))
             per_doc = [_summed(aligner.sizes[code, c], counts) for c in range(4)]
-            first = np.zeros(len(counts), np.int64)
-
-            def once(values, first=first):
-                first[0] = len(values)
-                return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(first)]), pa.int32()), pa.array(values, pa.int32()), mask=pa.array(np.arange(len(first)) > 0))
-
-            columns = [pa.array(np.full(len(counts), number)), table.column("doc_id").combine_chunks(), *map(pa.array, per_doc), pa.array(sha, pa.string()), _lists(local, counts)]
-            columns += [once(x) for x in (n_link, link, often, pair >> 32, pair & 0xFFFFFFFF, n_docs)]
+            n, rest = len(counts), len(counts) - 1
+            columns = [pa.array(np.full(n, number)), pa.array(np.arange(n), pa.int32()), table.column("doc_id").combine_chunks(), *map(pa.array, per_doc), pa.array(sha, pa.string()), pa.array(counts, pa.int32())]
+            columns += [pa.array([packed(x)] + [None] * rest, pa.binary()) for x in (local, n_link, link, often)]
+            columns += [pa.array([x] + [None] * rest, pa.list_(pa.int32())) for x in (pair >> 32, pair & 0xFFFFFFFF, n_docs)]
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SLICED.split(", ") if c])
             number += 1
+            release()
 
     return texts(docs).mapInArrow(run, SLICED)
 
@@ -309,18 +335,17 @@ def _counted(links: DataFrame) -> DataFrame:
 
 def link_counts(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
     """(a, b, n_docs, best) of all linked id pairs: how many documents hold them linked, and whether that is the A id's highest count."""
-    return _counted(_links(materialize(_sliced(docs, byte_path, piece_path), "aligned")))
+    return _counted(_links(materialize(_sliced(docs, byte_path, piece_path), "aligned", **WRITER)))
 
 
 def _resolved(docs: pa.Table, counts: pa.Table) -> pa.Table:
     """The documents of a slice with what has come back for its links."""
-    lead = docs.filter(pc.is_valid(docs.column("a")))
-    n_link, link, often = (pc.list_flatten(lead.column(c)).to_numpy() for c in ("unit_links", "link", "often"))
+    docs = docs.sort_by("place")
+    units, n_link, link, often = (unpacked(docs.column(c)[0].as_py()) for c in ("units", "unit_links", "link", "often"))
     n_docs, best = np.zeros(counts.num_rows, np.int64), np.zeros(counts.num_rows, np.int64)
     at = counts.column("pos").to_numpy()
     n_docs[at], best[at] = counts.column("n_docs").to_numpy(), counts.column("best").to_numpy()
-    units = pc.list_flatten(docs.column("units")).to_numpy()
-    per_doc = pc.list_value_length(docs.column("units")).to_numpy().astype(np.int64)
+    per_doc = docs.column("n_units").to_numpy().astype(np.int64)
     columns = [_summed(_summed(often * x[link], n_link)[units], per_doc) for x in (best, n_docs)]
     out = docs.select(["doc_id", "n_a", "n_b", "n_groups", "n_links"])
     for name, x in zip(("n_best", "count_sum"), columns):
@@ -330,9 +355,9 @@ def _resolved(docs: pa.Table, counts: pa.Table) -> pa.Table:
 
 def link_statistics(docs: DataFrame, byte_path: str, piece_path: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best (links with their A id's highest count), count_sum (of the links' counts), groups_sha256."""
-    sliced = materialize(_sliced(docs, byte_path, piece_path, slice_bytes), "aligned")
+    sliced = materialize(_sliced(docs, byte_path, piece_path, slice_bytes), "aligned", **WRITER)
     links = _links(sliced)
     back = links.select("slice", "pos", "a", "b").join(_counted(links), ["a", "b"]).select(F.col("slice").alias("of"), "pos", "n_docs", "best")
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    parts = sliced.select("slice", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "units", "unit_links", "link", "often", "a")
+    parts = sliced.select("slice", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "place", "n_units", "units", "unit_links", "link", "often")
     return parts.groupBy("slice").cogroup(back.groupBy("of")).applyInArrow(_resolved, schema)
