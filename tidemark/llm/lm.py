@@ -35,10 +35,10 @@ from .simhash import LOWER
 END = b""
 #: Distinct words that a task holds before it passes on its counts.
 HELD_WORDS = 250_000
-#: Length of a word's vector (with its bias a row fills a cache line), noise draws a batch, passes.
-SIZE, NOISE, ROUNDS = 15, 16, 2
+#: Length of a word's vector, noise draws a batch, passes.
+SIZE, NOISE, ROUNDS = 24, 24, 2
 #: Tokens that a task holds at a time while it trains, and a batch: as many as LEAST_STEPS batches leave, between these bounds. Shorter runs go over theirs again, PASSES times at most.
-HELD_TOKENS, BATCH, LEAST_BATCH, LEAST_STEPS, PASSES = 4_000_000, 1 << 14, 1 << 12, 150, 12
+HELD_TOKENS, BATCH, LEAST_BATCH, LEAST_STEPS, PASSES = 4_000_000, 1 << 12, 1 << 12, 150, 12
 #: Tokens scored at a time, and rows of parameters that travel together.
 SCORED_TOKENS, ROWS = 1 << 15, 256
 
@@ -406,7 +406,7 @@ def vocabulary(counts: DataFrame, v: int, per_root: float, frequent: int) -> Voc
     return Vocabulary(known, [c for _, c in top], n_units, buckets, sizes)
 
 
-def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, per_root: float = 4.0, frequent: int = 32768) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, per_root: float = 6.0, frequent: int = 32768) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held, F.lit(False))
     rows = texts(docs)
