@@ -159,7 +159,7 @@ def test_nearest_equals_all_pairs(spark):
     points = [(p, e, float(x), float(round(y, 1)), None if e % 7 == 0 else float(e)) for p in (1, 2) for e, (x, y) in enumerate(rng.normal(size=(90, 2)) ** 3)]
     points += [(1, 1000, 5.0, None, 1.0), (3, 1, 0.0, 0.0, 1.0), (3, 2, 0.0, 0.0, 2.0)]
     got = {}
-    for r in coldstart.nearest(spark.createDataFrame(points, "p int, e int, x double, y double, v double"), "e", "p", ["x", "y"], "v", 6, rows=20).collect():
+    for r in coldstart.nearest(spark.createDataFrame(points, "p int, e int, x double, y double, v double"), "e", "p", ["x", "y"], "v", 6, cell=20).collect():
         got.setdefault((r["p"], r["e"]), []).append((round(r["d"], 9), r["_other"]))
     want = {}
     for p, e, x, y, _ in points:
@@ -470,7 +470,7 @@ def test_joins_with_other_names_and_seeds(spark):
 
 def test_empty_and_missing_states_have_other_fingerprints(spark):
     df = spark.createDataFrame([(1, "", 1), (2, None, 1)], "g int, s string, o int")
-    assert df.groupBy("g").agg(resolve.fingerprint(["s"], "o").alias("f")).select("f").distinct().count() == 2
+    assert resolve.fingerprints(df, ["g"], ["s"], "o", "f").select("f").distinct().count() == 2
 
 
 def test_learners(spark):

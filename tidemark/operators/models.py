@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import MISSING, logit
 from ..sources.files import written
+from .quantiles import quantiles
 from .ranges import null_safe_join
 from .trees import Boosted, Forest, Growth, boost, extra_trees, ordered_statistics, with_statistics
 
@@ -38,8 +39,8 @@ def frequency_encode(train: DataFrame, other: DataFrame, column: str) -> DataFra
 
 def medians(train: DataFrame, columns: list[str]) -> dict[str, float]:
     """Exact medians of the training rows, 0 where all are missing."""
-    row = train.agg(*[F.coalesce(F.percentile(c, F.lit(0.5)), F.lit(0.0)).alias(c) for c in columns]).first()
-    return {c: float(row[c]) for c in columns}
+    row = quantiles(train, [], columns, [0.5]).first()
+    return {c: float(row[c][0]) if row[c] else 0.0 for c in columns}
 
 
 def constant_rate(train: DataFrame, label: str) -> float:

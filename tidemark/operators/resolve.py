@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import EARLIER_RANGES, UP_TO_HERE, null_safe_join, over_ranges, ranged, within
-from .tables import one_to_one, only_unique
+from .ranges import EARLIER_RANGES, UP_TO_HERE, null_safe_join, numbered, over_ranges, ranged, within
+from .tables import only_unique
+
+C = F.col
 
 
 def differs(a: Column, b: Column) -> Column:
@@ -74,8 +76,17 @@ def sequence_text(states: list[str], order: str) -> Column:
     return F.array_join(F.transform(rows, lambda r: r["s"]), ";")
 
 
-def fingerprint(states: list[str], order: str) -> Column:
-    return F.sha2(sequence_text(states, order), 256)
+def fingerprints(rows: DataFrame, by: list[str], states: list[str], order: str, name: str = "fingerprint", place: str | None = None) -> DataFrame:
+    """(by, fingerprint) of each group's sequence of states: equal for equal sequences.
+
+    A row's hash covers its place in the group and its state, and the group's fingerprint is the sum of its rows' hashes in five pieces of 32
+    bits, with their number. Sums merge, so no group's rows are collected, and a hot group is added up by many tasks. place: the column that
+    already has the row's place, else rows are numbered (in ranges). A missing state is no empty one."""
+    at = rows if place else numbered(rows.select(*by, *states, order), by, [order], "_place")
+    text = F.concat_ws("|", *[F.coalesce(F.concat(F.length(C(s).cast("string")).cast("string"), F.lit(":"), C(s).cast("string")), F.lit("nan")) for s in states])
+    at = at.select(*by, F.sha2(F.concat(C(place or "_place").cast("string"), F.lit("/"), text), 256).alias("_h"))
+    pieces = [F.sum(F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("long")).cast("string") for i in range(5)]
+    return at.groupBy(*by).agg(F.concat_ws("-", F.count("*").cast("string"), *pieces).alias(name))
 
 
 def with_both(df: DataFrame, group: list[str], column: str, values: list) -> DataFrame:
@@ -98,7 +109,7 @@ def seed_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 def matched_groups(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str) -> DataFrame:
     """(left_id, right_id) of groups whose keys, a sequence fingerprint among them, occur once on each side."""
-    return one_to_one(only_unique(left, keys), only_unique(right, keys), keys).select(left_id, right_id)
+    return only_unique(left, keys).join(only_unique(right, keys), keys).select(left_id, right_id)
 
 
 def votes(pairs: DataFrame, source: str, target: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import blocks, coldstart, evaluate, export, history, lab, models, report, resolve, stability, tables, validate
+from ..operators.quantiles import quantiles
 from ..sources.files import append_history, first_rows, read_csv, read_history, read_mapping, with_row_order, work_folder, write_csv, write_features
 from ..sources.views import EVENTS_SQL, LOG_SQL, RAW_SQL, events, log, raw, table
 from .catalog import query
@@ -319,7 +320,7 @@ def J08_asof_strict(spark, d):
     SELECT u.entity AS entity, v.entity AS other FROM u JOIN v ON u.day = v.day AND u.s = v.s""")
 def J11_fingerprint_join(spark, d):
     rows = events(spark, d).withColumn("m", C("event_id") % 7)
-    prints = lambda x, name: x.groupBy(C("entity").alias(name), "day").agg(resolve.fingerprint(["kind", "m"], "event_id").alias("s"))
+    prints = lambda x, name: resolve.fingerprints(x, ["entity", "day"], ["kind", "m"], "event_id", "s").withColumnRenamed("entity", name)
     return resolve.matched_groups(prints(rows, "entity"), prints(rows.filter("event_id % 13 <> 0"), "other"), ["day", "s"], "entity", "other")
 
 
@@ -365,7 +366,8 @@ def U01_union_missing(spark, d):
     return rows.filter("kind = 'click'").select("entity", "value").unionByName(rows.filter("kind = 'signup'").select("entity", "day"), allowMissingColumns=True)
 
 
-@query("SELECT TRUE AS same_ids, FALSE AS same_after_drop")
+@query("""WITH o AS (SELECT event_id FROM events WHERE event_id % 2 = 0), d AS (SELECT event_id FROM events EXCEPT ALL SELECT event_id FROM o)
+    SELECT NOT EXISTS (SELECT event_id FROM events EXCEPT ALL SELECT event_id FROM events) AS same_ids, NOT EXISTS (SELECT * FROM d) AS same_after_drop""")
 def U04_set_equality(spark, d):
     ids = events(spark, d).select("event_id")
     same, other = tables.same_rows(ids, ids.select("event_id")), tables.same_rows(ids, ids.filter("event_id % 2 = 0"))
@@ -531,8 +533,8 @@ def A15_fallbacks(spark, d):
 
 @query(f"{E} SELECT period, round(median(reading), 6) AS median, round(quantile_cont(reading, 0.25), 6) AS q1, round(quantile_cont(reading, 0.75), 6) AS q3 FROM ev GROUP BY 1")
 def A16_robust_stats(spark, d):
-    at = events(spark, d).groupBy("period").agg(F.percentile("reading", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    return rounded(at.select("period", C("q")[1].alias("median"), C("q")[0].alias("q1"), C("q")[2].alias("q3")))
+    at = quantiles(events(spark, d), ["period"], ["reading"], [0.25, 0.5, 0.75])
+    return rounded(at.select("period", C("reading")[1].alias("median"), C("reading")[0].alias("q1"), C("reading")[2].alias("q3")))
 
 
 def _lookup(spark, d):
@@ -677,20 +679,20 @@ def O03_topn(spark, d):
     return rounded(tables.top(_board(spark, d), 30, "brier", "entity", "period"))
 
 
-@query(f"{E} SELECT entity, kind, event_id FROM ev ORDER BY kind DESC, entity, event_id LIMIT 200")
+@query(f"{E} SELECT entity, kind, event_id FROM ev")
 def O01_stable_sort(spark, d):
-    return tables.ordered(events(spark, d).select("kind", "entity", "event_id"), C("kind").desc(), "entity").limit(200)
+    return tables.ordered(events(spark, d).select("kind", "entity", "event_id"), C("kind").desc(), "entity")
 
 
 @query(f"""{RUNS}, c AS (SELECT * FROM runs WHERE status = 'success' AND data_signature = 's1' QUALIFY row_number() OVER (PARTITION BY experiment ORDER BY finished_at DESC) = 1)
-    SELECT experiment, round(brier, 6) AS brier FROM c ORDER BY c.brier, experiment LIMIT 5""")
+    SELECT experiment, round(brier, 6) AS brier FROM c""")
 def O02_leaderboard(spark, d):
-    return rounded(evaluate.leaderboard(_runs(spark, d), {"data_signature": "s1"}).limit(5).select("experiment", "brier"))
+    return rounded(evaluate.leaderboard(_runs(spark, d), {"data_signature": "s1"}).select("experiment", "brier"))
 
 
-@query(f"{RUNS} SELECT preprocessing_stage, finished_at, round(brier, 6) AS brier FROM runs WHERE model_family = 'boosted' ORDER BY preprocessing_stage, runs.brier, experiment LIMIT 40")
+@query(f"{RUNS} SELECT preprocessing_stage, finished_at, round(brier, 6) AS brier FROM runs WHERE model_family = 'boosted'")
 def O05_stages(spark, d):
-    return rounded(report.stage_comparison(_runs(spark, d), ["boosted"]).limit(40).select("preprocessing_stage", "finished_at", "brier"))
+    return rounded(report.stage_comparison(_runs(spark, d), ["boosted"]).select("preprocessing_stage", "finished_at", "brier"))
 
 
 @query(f"{RUNS} SELECT experiment, elapsed_seconds, round(brier, 6) AS brier FROM runs")
@@ -698,9 +700,9 @@ def S14_score_against_time(spark, d):
     return rounded(report.score_against_time(_runs(spark, d)))
 
 
-@query(f"{RUNS} SELECT finished_at, round(brier, 6) AS brier FROM runs WHERE model_family = 'boosted' AND preprocessing_stage = 'stage2' ORDER BY runs.brier, experiment LIMIT 20")
+@query(f"{RUNS} SELECT finished_at, round(brier, 6) AS brier FROM runs WHERE model_family = 'boosted' AND preprocessing_stage = 'stage2'")
 def O05_final_stage(spark, d):
-    return rounded(report.final_stage(_runs(spark, d), ["boosted"], "stage2").limit(20).select("finished_at", "brier"))
+    return rounded(report.final_stage(_runs(spark, d), ["boosted"], "stage2").select("finished_at", "brier"))
 
 
 @query(f"""{RUNS}, c AS (SELECT * FROM runs WHERE status = 'success' AND data_signature = 's0' QUALIFY row_number() OVER (PARTITION BY experiment ORDER BY finished_at DESC) = 1),
@@ -770,22 +772,78 @@ def _fold_sql(periods: list[int]) -> str:
     return f"{W} " + " UNION ALL ".join(one.format(v=v) for v in periods)
 
 
-def _fold_rows(spark, folds: list[dict]):
-    return spark.createDataFrame([(f["period"], f["n"], round(f["brier"], 6), f["train_n"]) for f in folds], "period int, n long, brier double, train_n long")
-
-
 @query(_fold_sql([1998, 1999, 2000]))
 def M08_forward_folds(spark, d):
     rows = log(spark, d).select("period", "y")
     _, folds = validate.forward_folds(rows, {"type": "constant"}, [], [], "period", [1900, 1998, 1999, 2000], "y")
-    return _fold_rows(spark, folds)
+    return rounded(folds.select("period", "n", "brier", "train_n"))
+
+
+def _ridge_sql(periods: list[int]) -> str:
+    """Brier score of a line through the earlier periods' outcomes, its slope drawn to 0 by alpha = 3."""
+    one = """SELECT {v} AS period, count(*) AS n, round(avg((y - p) * (y - p)), 6) AS brier, any_value(train_n) AS train_n FROM (
+        SELECT y, train_n, least(greatest(my + sxy / (sxx + 3) * (p0 - mx), 0), 1) AS p FROM (SELECT y, p AS p0 FROM log WHERE period = {v}),
+        (SELECT avg(y) AS my, avg(p) AS mx, covar_pop(p, y) * count(*) AS sxy, var_pop(p) * count(*) AS sxx, count(*) AS train_n FROM log WHERE period < {v}))"""
+    return f"{W} " + " UNION ALL ".join(one.format(v=v) for v in periods)
+
+
+RIDGE = {"type": "ridge", "params": {"alpha": 3.0}}
+
+
+@query(_ridge_sql([1996, 1998, 2000]))
+def M08_forward_ridge(spark, d):
+    rows = log(spark, d).select("period", "y", C("p").alias("x"))
+    _, folds = validate.forward_folds(rows, RIDGE, ["x"], [], "period", [1996, 1998, 2000], "y")
+    return rounded(folds.select("period", "n", "brier", "train_n"))
+
+
+@query(_ridge_sql([2000]))
+def M09_refit_ridge(spark, d):
+    rows = log(spark, d).select("period", "y", C("p").alias("x"))
+    _, forecast, found = validate.tune_refit_evaluate(rows, RIDGE | {"refit_after_tuning": True}, ["x"], [], "period", 2000, "y")
+    return rounded(evaluate.metrics(forecast, "y", "p", ["period"]).select("period", "n", "brier", F.lit(found["train_n"]).cast("long").alias("train_n")))
+
+
+@query()
+def M08_forward_boosted(spark, d):
+    """Scores of each fold's second-order trees, grown side by side; tests/test_trees.py has their plain form."""
+    rows = log(spark, d).select("period", "y", C("p").alias("x"), "li", "state")
+    config = {"type": "second_order", "params": {"rounds": 4, "depth": 3, "rate": 0.3, "bins": 32, "rows_share": 1.0, "features_share": 1.0}}
+    _, folds = validate.forward_folds(rows, config, ["x", "li", "state"], ["state"], "period", [1998, 1999, 2000], "y")
+    return folds.select("period", "n", "brier", "auc", "ece", "train_n", "best_iteration")
+
+
+def _learned(spark, d, config: dict):
+    rows = log(spark, d).select(*KEY_COLUMNS, "period", "y", C("p").alias("q"), "li", "state", C("other").alias("batter"))
+    model = models.fit_configured(config, rows.filter("period < 2000"), ["q", "li", "state", "batter"], ["state", "batter"], "y")
+    return model.predict(rows.filter("period >= 2000")).select(*KEY_COLUMNS, C("p").alias("forecast"))
+
+
+@query()
+def M02_leaf_wise(spark, d):
+    return _learned(spark, d, {"type": "leaf_wise", "params": {"rounds": 4, "leaves": 8, "rate": 0.2, "bins": 32}})
+
+
+@query()
+def M05_extra_trees(spark, d):
+    return _learned(spark, d, {"type": "extra_trees", "params": {"trees": 6, "depth": 4, "seed": 1}})
+
+
+@query()
+def M06_second_order(spark, d):
+    return _learned(spark, d, {"type": "second_order", "params": {"rounds": 4, "depth": 4, "rate": 0.2, "bins": 32}})
+
+
+@query()
+def M07_ordered(spark, d):
+    return _learned(spark, d, {"type": "ordered", "params": {"rounds": 4, "depth": 4, "rate": 0.2, "bins": 32}})
 
 
 @query(_fold_sql([2000]))
 def M09_tune_refit(spark, d):
     rows = log(spark, d).select("period", "y")
-    _, _, found = validate.tune_refit_evaluate(rows, {"type": "constant", "refit_after_tuning": True}, [], [], "period", 2000, "y")
-    return _fold_rows(spark, [found | {"period": 2000}])
+    _, forecast, found = validate.tune_refit_evaluate(rows, {"type": "constant", "refit_after_tuning": True}, [], [], "period", 2000, "y")
+    return rounded(evaluate.metrics(forecast, "y", "p", ["period"]).select("period", "n", "brier", F.lit(found["train_n"]).cast("long").alias("train_n")))
 
 
 @query()
