@@ -169,6 +169,75 @@ def test_nearest_equals_all_pairs(spark):
     assert {k: sorted(v) for k, v in got.items()} == want
 
 
+def test_pairs_of_neighbours_grow_with_the_points(spark):
+    """Not with their square, whatever the copies and ties; and every point's nearest are those of all pairs."""
+    import numpy as np
+
+    met = {}
+    for n in (1_000, 4_000):
+        rng = np.random.default_rng(n)
+        xy = rng.normal(size=(n, 2))
+        xy[: n // 4] = [0.5, 0.5]  # a quarter are copies of one point
+        xy[n // 4 : n // 2, 0] = 0.0  # another quarter ties in the first metric
+        df = spark.createDataFrame([(1, i, float(a), float(b), float(i)) for i, (a, b) in enumerate(xy)], "p int, e int, x double, y double, v double")
+        met[n] = coldstart.near_pairs(df, "e", "p", ["x", "y"], "v", 5).count()
+        if n == 1_000:
+            got = {}
+            for r in coldstart.nearest(df, "e", "p", ["x", "y"], "v", 5).collect():
+                got.setdefault(r["e"], []).append((r["d"], r["_other"]))
+            for i in range(0, n, 9):
+                d = np.sqrt(((xy - xy[i]) ** 2).sum(1) / 2)
+                d[i] = np.inf
+                assert [o for _, o in sorted(got[i])] == np.lexsort((np.arange(n), d))[:5].tolist()
+    assert met[4_000] < 6 * met[1_000] < 6 * 1_000 * 120
+
+
+def test_neighbours_in_many_dimensions_and_small_groups(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    data = rng.normal(size=(400, 5))
+    df = spark.createDataFrame([(i % 3 if i < 390 else 9 + i % 5, i, *map(float, x), float(i)) for i, x in enumerate(data)], "p int, e int, a double, b double, c double, d double, f double, v double")
+    got = {}
+    for r in coldstart.nearest(df, "e", "p", list("abcdf"), "v", 4, cell=12).collect():
+        got.setdefault(r["e"], []).append((r["d"], r["_other"]))
+    period = np.array([i % 3 if i < 390 else 9 + i % 5 for i in range(400)])
+    for i in range(400):
+        d = np.where((period == period[i]) & (np.arange(400) != i), np.sqrt(((data - data[i]) ** 2).sum(1) / 5).round(9), np.inf)
+        want = [o for o in np.lexsort((np.arange(400), d))[:4].tolist() if d[o] < np.inf]
+        assert [o for _, o in sorted((round(x, 9), o) for x, o in got.get(i, []))] == want
+
+
+@pytest.mark.parametrize("held", [0, 10_000])
+def test_quantiles_equal_percentiles(spark, held):
+    import random
+
+    from tidemark.operators.quantiles import quantiles
+
+    r = random.Random(6)
+    data = [(g, None if r.random() < 0.1 else round(r.gauss(0, 1), 2), r.choice([1, 1, 1, 2, None])) for g in ["a", "b", None] for _ in range(700)] + [("one", 3.5, None), ("none", None, None)]
+    df = spark.createDataFrame(data, "g string, x double, k int")
+    for by in (["g"], []):
+        want = df.groupBy(*by).agg(*[F.percentile(c, F.array(F.lit(0.0), F.lit(0.25), F.lit(0.5), F.lit(0.9), F.lit(1.0))).alias(c) for c in ("x", "k")])
+        got = quantiles(df, by, ["x", "k"], [0.0, 0.25, 0.5, 0.9, 1.0], held)
+        key = lambda rows: sorted((repr(x[:-2]), [None if v is None else [round(y, 9) for y in v] for v in x[-2:]]) for x in map(tuple, rows))
+        assert key(got.collect()) == key(want.select(*got.columns).collect())
+    large = spark.range(60_000).select((C("id") * 7919 % 60_000 / F.lit(7.0)).alias("x"))
+    assert list(quantiles(large, [], ["x"], [0.25, 0.5], held).first()["x"]) == pytest.approx([59_999 / 28, 59_999 / 14])
+    plan = quantiles(df, ["g"], ["x"], [0.5], 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan and "collect" not in plan
+
+
+def test_fingerprints_add_up(spark):
+    """Equal sequences alone have equal fingerprints, whatever the partitions; no rows are collected."""
+    data = [("a", 1, "x", 1), ("a", 2, "y", None), ("b", 11, "x", 1), ("b", 19, "y", None), ("c", 1, "y", None), ("c", 2, "x", 1), ("d", 1, "x", 1), ("e", 1, "x", 1), ("e", 2, "y", None), ("e", 3, "y", None), ("f", 1, "x|1", None), (None, 1, "x", 1), (None, 2, None, None)]
+    df = spark.createDataFrame(data, "g string, o int, s string, m int")
+    found = {r.g: r.f for r in resolve.fingerprints(df.repartition(5), ["g"], ["s", "m"], "o", "f").collect()}
+    assert found["a"] == found["b"] and len(set(found.values())) == len(found) - 1
+    assert found == {r.g: r.f for r in resolve.fingerprints(df.withColumn("at", F.when(C("g") == "b", (C("o") > 11).cast("int") + 1).otherwise(C("o"))), ["g"], ["s", "m"], "o", "f", place="at").collect()}
+    assert "collect_list" not in resolve.fingerprints(df, ["g"], ["s", "m"], "o")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_sums_and_numbers_over_ranges(spark):
     import random
 
@@ -400,8 +469,8 @@ CONFIG = {
 }
 
 
-def test_presets_and_unknown_names():
-    names = lambda *a: [e["name"] for e in lab.select_experiments(CONFIG, *a)]
+def test_presets_and_unknown_names(spark):
+    names = lambda *a: [e["name"] for e in lab.select_experiments(spark, CONFIG, *a)]
     assert (names("starter"), names("extended"), names("all"), names("starter", ["b", "a"])) == (["a"], ["a", "b", "c"], ["a", "b", "c"], ["b", "a"])
     for bad in (lambda: names("starter", ["unknown"]), lambda: names("none"), lambda: lab.load_config("{}")):
         with pytest.raises(ValueError):
@@ -419,7 +488,7 @@ def test_matrix_skips_what_is_done_and_records_failures(spark, tmp_path):
     assert run().count() == 2 and lab.history_of(spark, folder).count() == 4  # the failed one alone ran again
     assert run(rerun=True).count() == 2 and lab.history_of(spark, folder).count() == 7
     text = files.read_text(spark, f"{folder}/report")
-    assert "Best: `b`" in text and "| b |" in text and "Baseline: `a`" in text
+    assert "2 experiments finished" in text and "1 | b | " in text and "Measured against a" in text and "Changes" in text
     assert lab.already_completed(history, "d", history.filter("experiment = 'a'").first()["config_hash"], "full") and not lab.already_completed(history, "e", "x", "full")
     with pytest.raises(ValueError):
         lab.check_views({"v1": views["v1"], "v2": lab.View(rows.filter("x > 0"), ["x"])}, "row_id", "period", 2021, "y")
@@ -432,7 +501,10 @@ def test_report_tables(spark):
     assert [r["experiment"] for r in report.stage_comparison(board, ["boosted"]).collect()] == ["v1", "threat"] and report.final_stage(board, ["boosted"], "s2").first()["experiment"] == "threat"
     assert [r["experiment"] for r in report.score_against_time(board).collect()] == ["v1", "threat"]
     assert report.baseline_deltas(board, "none").filter("brier_delta_vs_baseline is not null").isEmpty()
-    assert "a\\|b" in report.markdown(board.withColumn("experiment", F.lit("a|b")), "x", 2024) and "None" in report.markdown(board.limit(0), "x", 2024)
+    text = report.markdown(report.with_deltas(board, "v1"), "v1", 2024)
+    assert "3 experiments finished" in text and "0.247500 (threat)" in text and "1.000 % lower" in text and "| -0.002500" in text and "s2 | 2 | threat | 0.247500 | 0.052500" in text
+    assert "a\\|b" in report.markdown(board.withColumn("experiment", F.lit("a|b")), "x", 2024) and "No experiment" in report.markdown(board.limit(0), "x", 2024)
+    assert "Ranking" in report.markdown(board.select("experiment", "brier"), "x", 2024)
 
 
 def test_export(spark, tmp_path):

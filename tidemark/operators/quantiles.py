@@ -25,11 +25,13 @@ def quantiles(df: DataFrame, by: list[str], columns: list[str], shares: list[flo
     rows = df.select(*by, *[C(c).cast("double").alias(c) for c in columns])
     if rows.count() <= (HELD if held is None else held):
         return rows.groupBy(*by).agg(*[F.percentile(c, F.array(*map(F.lit, shares))).alias(c) for c in columns])
-    ends = F.array(*[F.lit(x) for q in shares for x in (max(q - MARGIN, 0.0), min(q + MARGIN, 1.0))])
+    ends = F.array(*[F.lit(x) for q in shares for x in (max(q - MARGIN, 0.0), min(q + MARGIN, 1.0))], F.lit(0.0), F.lit(1.0))
     near = rows.groupBy(*by).agg(*[x for i, c in enumerate(columns) for x in (F.count(c).alias(f"_n{i}"), F.percentile_approx(c, ends, F.lit(ACCURACY)).alias(f"_b{i}"))])
     at = null_safe_join(rows, near, by)
     places = [(i, j) for i in range(len(columns)) for j in range(len(shares))]
-    low, high = (lambda i, j: C(f"_b{i}")[2 * j]), (lambda i, j: C(f"_b{i}")[2 * j + 1])
+    few = lambda i: C(f"_n{i}") <= ACCURACY  # noqa: E731  # all of a small group lies inside
+    low = lambda i, j: F.when(few(i), C(f"_b{i}")[2 * len(shares)]).otherwise(C(f"_b{i}")[2 * j])
+    high = lambda i, j: F.when(few(i), C(f"_b{i}")[2 * len(shares) + 1]).otherwise(C(f"_b{i}")[2 * j + 1])
     below = at.groupBy(*by).agg(*[F.count_if(C(columns[i]) < low(i, j)).alias(f"_below{i}_{j}") for i, j in places])
     inside = F.array(*[F.when(C(columns[i]).between(low(i, j), high(i, j)), F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), C(columns[i]).alias("v"))) for i, j in places])
     values = at.select(*by, F.explode(F.filter(inside, lambda x: x.isNotNull())).alias("x")).groupBy(*by, "x.i", "x.j", "x.v").agg(F.count("*").alias("k"))

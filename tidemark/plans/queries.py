@@ -276,11 +276,13 @@ def F08_completed(spark, d):
     return spark.createDataFrame(done, "config_hash string, done boolean")
 
 
-@query("SELECT * FROM (VALUES ('starter', 'a'), ('starter', 'c'), ('extended', 'b'), ('all', 'a'), ('all', 'b'), ('all', 'c')) AS t(preset, name)")
+@query("""WITH x AS (SELECT p_partkey AS position, p_name || '/' || CAST(p_partkey AS VARCHAR) AS name, p_size % 5 <> 0 AS enabled, p_brand AS brand, p_container AS container FROM part)
+    SELECT 'Brand#11' AS preset, position AS turn, name FROM x WHERE enabled AND (brand = 'Brand#11' OR container = 'Brand#11') UNION ALL SELECT 'all', position, name FROM x WHERE enabled""")
 def F09_select(spark, d):
-    config = {"experiments": [{"name": "a"}, {"name": "b", "presets": ["extended"]}, {"name": "c", "presets": ["starter"]}, {"name": "d", "enabled": False}]}
-    found = [(p, e["name"]) for p in ("starter", "extended", "all") for e in lab.select_experiments(config, p)]
-    return spark.createDataFrame(found, "preset string, name string")
+    parts = table(spark, d, "part")
+    name = F.concat_ws("/", "p_name", C("p_partkey").cast("string"))
+    experiments = parts.select(C("p_partkey").alias("position"), name.alias("name"), (C("p_size") % 5 != 0).alias("enabled"), F.array("p_brand", "p_container").alias("presets"))
+    return lab.selected(experiments, "Brand#11").withColumn("preset", F.lit("Brand#11")).unionByName(lab.selected(experiments, "all").withColumn("preset", F.lit("all")))
 
 
 @query(f"{E}, g AS (SELECT entity, day FROM ev GROUP BY 1, 2 HAVING bool_or(kind = 'click') AND bool_or(kind = 'view')) SELECT event_id FROM ev JOIN g USING (entity, day)")
