@@ -556,6 +556,20 @@ def test_similar_groups_equal_brute_force(spark):
     assert len(wrong) <= 0.03 * len(truth)
 
 
+@pytest.mark.parametrize("size,recall", [(4, 1), (8, 1), (12, 1), (16, 0.95), (48, 0.95)])
+def test_short_texts_of_the_wanted_similarity_are_found(spark, size, recall):
+    """Pairs with a Jaccard similarity of exactly 0.8, and others just below it, among texts that share a frequent shingle."""
+    rng = np.random.default_rng(size)
+    new = lambda n: [f"w{i}" for i in rng.integers(0, 10**9, n)]
+    rows = [(10_000 + i, " ".join(["one", "of", "the", "same", "five", *new(1)])) for i in range(300)]
+    for base in range(0, 600, 3):
+        words, more = new(size + 4), size // 4
+        rows += [(base, " ".join(words)), (base + 1, " ".join([*words, *new(more)] if base % 2 else [*new(more), *words])), (base + 2, " ".join([*new(more + 1), *words[:-1], *new(1)]))]
+    found = dict(map(tuple, similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert np.mean([found[b + 1] == b for b in range(0, 600, 3)]) >= recall
+    assert all(found[b + 2] == b + 2 for b in range(0, 600, 3)) and all(found[i] == i for i, _ in rows[:300])
+
+
 def templated(kinds: str, seed: int = 5) -> tuple[list, dict]:
     """Texts of one template, each with a passage of its own place replaced, and their sets: two of kind a have a similarity of 0.806, of kind b 0.784, a and b 0.795."""
     rng = np.random.default_rng(seed)

@@ -12,6 +12,9 @@ Near pairs decide nothing alone: they only gather texts into blocks. Within a bl
 wanted similarity, and every pair of texts is compared unless links join the two already. A block larger than CHUNK is cut into chunks:
 first each chunk is linked, then one text of each group found, and last, where a block still has several groups, every two chunks meet.
 
+Short texts' bits differ more often than that. A pair of which one text has fewer than SHORT distinct shingles is found exactly: both are
+members of a block for each shingle of their prefixes (the lowest few of a set, of which similar sets share one), with the same chunks.
+
 Keys with more than KEY_CHUNK fingerprints are cut into chunks in the same way, so that no task holds a hot key whole.
 
 Defined results: texts of one fingerprint are one node, whatever their doc_ids, null ones included, and different texts of one doc_id
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +44,8 @@ WORDS, SEGMENTS, SEGMENT_BITS = 16, 64, 16
 REACH, CHAIN = 32, 4
 BITS = SEGMENT_BITS * REACH
 SMALL = 16
+#: Texts of fewer distinct shingles are linked by their shingles, exactly: their fingerprints differ in more bits than the similarity tells.
+SHORT = 16
 #: Texts of a block that are compared in one go, about, and fingerprints below a key.
 CHUNK, KEY_CHUNK = 128, 50_000
 #: Stands for a doc_id that is null.
@@ -53,9 +59,16 @@ def budget(similarity: float) -> int:
     return int(BITS * share + 4 * np.sqrt(BITS * share * (1 - share)))
 
 
+def distinct_shingles(text: bytes, shingle: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, shingle), "<u8"))
+
+
 def wide_fingerprint(text: bytes, shingle: int = 5) -> bytes:
+    return fingerprint_of(distinct_shingles(text, shingle))
+
+
+def fingerprint_of(hashes: np.ndarray) -> bytes:
     """The fingerprint as WORDS little-endian words of 64 bits; each further word mixes the hashes anew."""
-    hashes = np.unique(np.array(shingle_hashes(text, shingle), "<u8"))
     counts = np.zeros((WORDS, 64), np.int64)
     for w in range(WORDS):
         hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
@@ -181,10 +194,24 @@ def _pairs(batches, most: int):
 def _sets(batches, shingle: int):
     """block, node and as payload the node's sorted distinct shingles as 64-bit words."""
     for part in slices(batches):
-        sets = [np.unique(np.array(shingle_hashes(t, shingle), "<u8")).tobytes() for t in raw(part.column("text"))]
+        sets = [distinct_shingles(t, shingle).tobytes() for t in raw(part.column("text"))]
         yield pa.RecordBatch.from_arrays([part.column("block"), part.column("node"), pa.array(sets, pa.binary())], names=["block", "node", "payload"])
 
 
+def _prefixes(batches, shingle: int, similarity: float):
+    """block, node and the node's shingles as payload, for each shingle of its prefix: two sets of at least this similarity share one of the lowest
+    n - ceil(similarity * n) + 1 of each."""
+    for part in slices(batches):
+        blocks, nodes, sets = [], [], []
+        for node, text in zip(part.column("node").to_pylist(), raw(part.column("text"))):
+            own = distinct_shingles(text, shingle)
+            prefix = own[: len(own) - ceil(similarity * len(own) - 1e-9) + 1].view("<i8").tolist()
+            blocks += prefix
+            nodes += [node] * len(prefix)
+            sets += [own.tobytes()] * len(prefix)
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["block", "node", "payload"])
+
+
 def _forest(sets: list[np.ndarray], group: np.ndarray, similarity: float):
     """Pairs (i, j) of at least this Jaccard similarity that join the groups, as far as any do; group is changed."""
     sizes = np.array([len(s) for s in sets])
@@ -282,21 +309,29 @@ def _identified(docs: DataFrame) -> tuple[Column, Column]:
 def _placed(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, print), and each print's group by its first row: print, low_id, low_key."""
 
+    most = int((SHORT - 1) / similarity + 1e-9)
+
     def run(batches):
         for part in slices(batches):
-            found = [wide_fingerprint(t, shingle) for t in raw(part.column("text"))]
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_key"), pa.array(found, pa.binary())], names=["id", "text_key", "print"])
+            sets = [distinct_shingles(t, shingle) for t in raw(part.column("text"))]
+            few = pa.array([len(x) <= most for x in sets], pa.bool_())
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_key"), pa.array([fingerprint_of(x) for x in sets], pa.binary()), few], names=["id", "text_key", "print", "few"])
 
     row_id, text_key = _identified(docs)
     rows = docs.select(row_id.alias("id"), text_key.alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
-    prints = materialize(rows.mapInArrow(run, "id long, text_key long, print binary"), "wide-fingerprints")
+    prints = materialize(rows.mapInArrow(run, "id long, text_key long, print binary, few boolean"), "wide-fingerprints")
     lowest = F.min(F.struct("id", "text_key")).alias("low")
-    nodes = materialize(prints.groupBy("print").agg(lowest).select("print", "low.*", F.monotonically_increasing_id().alias("node")), "wide-nodes")
+    found = prints.groupBy("print").agg(F.min(F.struct("id", "text_key", "few")).alias("low"))
+    nodes = materialize(found.select("print", "low.*", F.monotonically_increasing_id().alias("node")), "wide-nodes")
+    heads = nodes.select("id", "text_key", "node", "few")
+    text_of = lambda wanted: rows.join(wanted, ["id", "text_key"]).dropDuplicates(["id", "text_key"])
     blocks = components(_near(nodes, budget(similarity))).withColumnRenamed("component", "block")
-    heads = nodes.select("id", "text_key", "node").join(blocks, "node")
-    wanted = rows.join(heads, ["id", "text_key"]).dropDuplicates(["id", "text_key"]).select("block", "node", "text")
+    wanted = text_of(heads.join(blocks, "node").drop("few")).select("block", "node", "text")
     sets = materialize(wanted.mapInArrow(lambda it: _sets(it, shingle), "block long, node long, payload binary"), "shingle-sets")
-    named = components(_spanning_links(sets, lambda it: _links(it, similarity), CHUNK))
+    short = text_of(heads.filter("few")).select("node", "text")
+    short = materialize(short.mapInArrow(lambda it: _prefixes(it, shingle, similarity), "block long, node long, payload binary"), "short-sets")
+    links_of = lambda it: _links(it, similarity)
+    named = components(_spanning_links(sets, links_of, CHUNK).union(_spanning_links(short, links_of, CHUNK)))
     grouped = materialize(nodes.join(named, "node", "left").select("print", "id", "text_key", F.coalesce("component", "node").alias("component")), "similar-nodes")
     first = grouped.groupBy("component").agg(lowest).select("component", F.col("low.id").alias("low_id"), F.col("low.text_key").alias("low_key"))
     return prints, grouped.select("print", "component").join(first, "component").select("print", "low_id", "low_key")
