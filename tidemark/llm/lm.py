@@ -112,13 +112,27 @@ def _order(at: np.ndarray, below: int) -> np.ndarray:
     return np.argsort(at.astype(np.uint16) if below <= 1 << 16 else at, kind="stable")
 
 
-def _added(total: np.ndarray, at: np.ndarray, rows: np.ndarray, ascending: bool = False) -> None:
-    """total[at] += rows, where at has repeats."""
-    if not ascending:
-        order = _order(at, len(total))
-        at, rows = at[order], rows[order]
-    head = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    total[at[head]] += np.add.reduceat(rows, head, axis=0)
+def _heads(ascending: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    new = np.ones(len(ascending), bool)
+    np.not_equal(ascending[1:], ascending[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
+class Grouped:
+    """Rows by a number that they share: what belongs to a number is computed once for all of its rows."""
+
+    def __init__(self, at: np.ndarray, below: int):
+        self.order = _order(at, below)
+        ascending = at[self.order]
+        self.heads = _heads(ascending)
+        self.values = ascending[self.heads]
+        self.place = np.empty(len(at), np.int64)
+        self.place[self.order] = np.repeat(np.arange(len(self.heads)), np.diff(self.heads, append=len(at)))
+
+    def sums(self, rows: np.ndarray) -> np.ndarray:
+        """Of the rows of each value."""
+        return np.add.reduceat(rows[self.order], self.heads, axis=0)
 
 
 class LogBilinear:
@@ -142,10 +156,11 @@ class LogBilinear:
         p[k + c :, SIZE] = 0
         self.p = p
 
-    def _context(self, before: np.ndarray, earlier: np.ndarray) -> np.ndarray:
-        at, q = self.k + self.c, self.p[: self.k, :SIZE]
-        r = np.ones((len(before), SIZE + 1), np.float32)
-        r[:, :SIZE] = q[before] @ self.p[at : at + SIZE, :SIZE].T + q[earlier] @ self.p[at + SIZE :, :SIZE].T
+    def _context(self, before: Grouped, earlier: Grouped) -> np.ndarray:
+        at = self.k + self.c
+        r = np.ones((len(before.place), SIZE + 1), np.float32)
+        x, y = (self.p[g.values, :SIZE] @ self.p[start : start + SIZE, :SIZE].T for g, start in ((before, at), (earlier, at + SIZE)))
+        np.add(x[before.place], y[earlier.place], out=r[:, :SIZE])
         return r
 
     def step(self, state: np.ndarray, met: np.ndarray, rng, before, earlier, unit, rate: float) -> None:
@@ -153,45 +168,54 @@ class LogBilinear:
         how often each row was met. Both levels are noise-contrastive: the class against classes, the unit against units of its class."""
         p, k, first = self.p, self.k, self.units.first
         order = _order(unit, k)
-        before, earlier, unit = before[order], earlier[order], unit[order]
+        unit = unit[order]
+        contexts = Grouped(before[order], k), Grouped(earlier[order], k)
         cls = self.class_of[unit]
-        r = self._context(before, earlier)
+        r = self._context(*contexts)
         grad = np.zeros_like(p)
+        cuts = _heads(cls)
+        bounds = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(cls)], cls[cuts].tolist()))
 
         drawn = np.searchsorted(np.cumsum(self.class_share), rng.random(NOISE) * (1 - 1e-9)).clip(0, self.c - 1)
-        target, noise = p[k + cls], p[k + drawn]
-        true = _sigmoid((r * target).sum(1) - self.log_class[cls]) - 1
+        noise = p[k + drawn]
+        own = np.empty(len(r), np.float32)
+        for x, z, c in bounds:
+            own[x:z] = r[x:z] @ p[k + c]
+        true = _sigmoid(own - self.log_class[cls]) - 1
         false = _sigmoid(r @ noise.T - self.log_class[drawn])
         back = false @ noise
-        back += np.multiply(target, true[:, None], out=target)
-        _added(grad, k + cls, true[:, None] * r, ascending=True)
+        for x, z, c in bounds:
+            back[x:z] += true[x:z, None] * p[k + c]
+            grad[k + c] += true[x:z] @ r[x:z]
         np.add.at(grad, k + drawn, false.T @ r)
 
         # Units drawn for each class by its units' shares, as places on the running sum of all shares.
         low = first[:-1, None]
         drawn = np.searchsorted(self.running, self.running_before[:, None] + rng.random((self.c, NOISE)) * self.class_share[:, None]).clip(low, first[1:, None] - 1)
-        cuts = np.append(np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]]), len(cls)).tolist()
-        found = [(x, z, int(cls[x])) for x, z in zip(cuts, cuts[1:]) if first[cls[x] + 1] - first[cls[x]] > 1]
+        found = [(x, z, c) for x, z, c in bounds if first[c + 1] - first[c] > 1]
         scores = np.full((len(r), NOISE), -40, np.float32)
         for x, z, c in found:
             np.matmul(r[x:z], p[drawn[c]].T, out=scores[x:z])
             scores[x:z] -= self.log_unit[drawn[c]]
         false = _sigmoid(scores)
         target = p[unit]
-        true = (_sigmoid((r * target).sum(1) - self.log_unit[unit]) - 1) * (np.diff(first)[cls] > 1)
+        true = (_sigmoid(np.einsum("ij,ij->i", r, target) - self.log_unit[unit]) - 1) * (np.diff(first)[cls] > 1)
         back += np.multiply(target, true[:, None], out=target)
-        _added(grad, unit, true[:, None] * r, ascending=True)
+        heads = _heads(unit)
+        grad[unit[heads]] += np.add.reduceat(true[:, None] * r, heads, axis=0)
+        pushed = np.zeros((self.c, NOISE, SIZE + 1), np.float32)
         for x, z, c in found:
             back[x:z] += false[x:z] @ p[drawn[c]]
-            np.add.at(grad, drawn[c], false[x:z].T @ r[x:z])
+            np.matmul(false[x:z].T, r[x:z], out=pushed[c])
+        drawn_by = Grouped(drawn.ravel(), k)
+        grad[drawn_by.values] += drawn_by.sums(pushed.reshape(-1, SIZE + 1))
 
         back = back[:, :SIZE]
         at = k + self.c
-        for start, context in ((at, before), (at + SIZE, earlier)):
-            grad[start : start + SIZE, :SIZE] += back.T @ p[context, :SIZE] / 16
-            own = np.zeros((len(context), SIZE + 1), np.float32)
-            own[:, :SIZE] = back @ p[start : start + SIZE, :SIZE]
-            _added(grad, context, own)
+        for start, g in zip((at, at + SIZE), contexts):
+            sums = g.sums(back)
+            grad[start : start + SIZE, :SIZE] += sums.T @ p[g.values, :SIZE] / 16
+            grad[g.values, :SIZE] += sums @ p[start : start + SIZE, :SIZE]
         met[:k] += np.bincount(before, minlength=k) + np.bincount(earlier, minlength=k) + np.bincount(unit, minlength=k)
         met[k:] += len(unit)
         at = np.flatnonzero(grad.any(1))  # few of many units
@@ -212,7 +236,7 @@ class LogBilinear:
     def log_probabilities(self, before, earlier, unit) -> np.ndarray:
         """Natural logarithms of each unit's probability after its context."""
         p, k, first = self.p, self.k, self.units.first
-        r, cls = self._context(before, earlier), self.class_of[unit]
+        r, cls = self._context(Grouped(before, k), Grouped(earlier, k)), self.class_of[unit]
         order = _order(cls, self.c)
         r, cls, unit = r[order], cls[order], unit[order]
         found = _log_softmax(r @ p[k : k + self.c].T, cls)
