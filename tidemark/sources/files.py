@@ -50,9 +50,27 @@ def work_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="spark-")
 
 
+_written: list[str] = []
+
+
+def written_tables() -> int:
+    """How many tables `written` has made in this process that are still there."""
+    return len(_written)
+
+
+def drop_written(spark: SparkSession, since: int = 0, upto: int | None = None) -> None:
+    """Deletes the tables that `written` made from number `since` on. Results that still read them can't be computed any more, so write those first."""
+    upto = len(_written) if upto is None else upto
+    for name in _written[since:upto]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _written[since:upto] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, for what several later steps read: computed once, and a lost executor costs no recomputation."""
     path = work_folder(df.sparkSession)
+    _written.append(path)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
