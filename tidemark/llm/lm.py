@@ -154,7 +154,7 @@ class LogBilinear:
         p[k : k + c, SIZE] = np.log(self.class_share)
         p[k + c :, :SIZE] = np.concatenate([np.eye(SIZE), 0.5 * np.eye(SIZE)])
         p[k + c :, SIZE] = 0
-        self.p = p
+        self.p, self.grad = p, np.zeros_like(p)
 
     def _context(self, before: Grouped, earlier: Grouped) -> np.ndarray:
         at = self.k + self.c
@@ -172,54 +172,59 @@ class LogBilinear:
         contexts = Grouped(before[order], k), Grouped(earlier[order], k)
         cls = self.class_of[unit]
         r = self._context(*contexts)
-        grad = np.zeros_like(p)
-        cuts = _heads(cls)
-        bounds = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(cls)], cls[cuts].tolist()))
+        grad, touched = self.grad, np.zeros(len(p), bool)
+
+        def add(at: np.ndarray, rows: np.ndarray) -> None:
+            """Rows of different places."""
+            grad[at] += rows
+            touched[at] = True
 
+        cuts = _heads(cls)
         drawn = np.searchsorted(np.cumsum(self.class_share), rng.random(NOISE) * (1 - 1e-9)).clip(0, self.c - 1)
-        noise = p[k + drawn]
-        own = np.empty(len(r), np.float32)
-        for x, z, c in bounds:
-            own[x:z] = r[x:z] @ p[k + c]
-        true = _sigmoid(own - self.log_class[cls]) - 1
+        target, noise = p[k + cls], p[k + drawn]
+        true = _sigmoid(np.einsum("ij,ij->i", r, target) - self.log_class[cls]) - 1
         false = _sigmoid(r @ noise.T - self.log_class[drawn])
         back = false @ noise
-        for x, z, c in bounds:
-            back[x:z] += true[x:z, None] * p[k + c]
-            grad[k + c] += true[x:z] @ r[x:z]
+        back += np.multiply(target, true[:, None], out=target)
+        add(k + cls[cuts], np.add.reduceat(true[:, None] * r, cuts, axis=0))
         np.add.at(grad, k + drawn, false.T @ r)
+        touched[k + drawn] = True
 
         # Units drawn for each class by its units' shares, as places on the running sum of all shares.
         low = first[:-1, None]
         drawn = np.searchsorted(self.running, self.running_before[:, None] + rng.random((self.c, NOISE)) * self.class_share[:, None]).clip(low, first[1:, None] - 1)
-        found = [(x, z, c) for x, z, c in bounds if first[c + 1] - first[c] > 1]
+        noise, many = p[drawn], np.diff(first) > 1
+        found = [x for x in zip(cuts.tolist(), [*cuts[1:].tolist(), len(cls)], cls[cuts].tolist()) if many[x[2]]]
         scores = np.full((len(r), NOISE), -40, np.float32)
         for x, z, c in found:
-            np.matmul(r[x:z], p[drawn[c]].T, out=scores[x:z])
-            scores[x:z] -= self.log_unit[drawn[c]]
+            np.matmul(r[x:z], noise[c].T, out=scores[x:z])
+        scores -= self.log_unit[drawn][cls]
         false = _sigmoid(scores)
         target = p[unit]
-        true = (_sigmoid(np.einsum("ij,ij->i", r, target) - self.log_unit[unit]) - 1) * (np.diff(first)[cls] > 1)
+        true = (_sigmoid(np.einsum("ij,ij->i", r, target) - self.log_unit[unit]) - 1) * many[cls]
         back += np.multiply(target, true[:, None], out=target)
         heads = _heads(unit)
-        grad[unit[heads]] += np.add.reduceat(true[:, None] * r, heads, axis=0)
+        add(unit[heads], np.add.reduceat(true[:, None] * r, heads, axis=0))
         pushed = np.zeros((self.c, NOISE, SIZE + 1), np.float32)
         for x, z, c in found:
-            back[x:z] += false[x:z] @ p[drawn[c]]
+            back[x:z] += false[x:z] @ noise[c]
             np.matmul(false[x:z].T, r[x:z], out=pushed[c])
         drawn_by = Grouped(drawn.ravel(), k)
-        grad[drawn_by.values] += drawn_by.sums(pushed.reshape(-1, SIZE + 1))
+        add(drawn_by.values, drawn_by.sums(pushed.reshape(-1, SIZE + 1)))
 
-        back = back[:, :SIZE]
+        back = np.ascontiguousarray(back[:, :SIZE])
         at = k + self.c
         for start, g in zip((at, at + SIZE), contexts):
             sums = g.sums(back)
             grad[start : start + SIZE, :SIZE] += sums.T @ p[g.values, :SIZE] / 16
             grad[g.values, :SIZE] += sums @ p[start : start + SIZE, :SIZE]
+            touched[g.values] = True
+        touched[at:] = True
         met[:k] += np.bincount(before, minlength=k) + np.bincount(earlier, minlength=k) + np.bincount(unit, minlength=k)
         met[k:] += len(unit)
-        at = np.flatnonzero(grad.any(1))  # few of many units
+        at = np.flatnonzero(touched)  # few of many units
         g = grad[at]
+        grad[at] = 0
         state[at] += g * g
         p[at] -= rate * g / np.sqrt(state[at])
 
@@ -239,7 +244,7 @@ class LogBilinear:
         r, cls = self._context(Grouped(before, k), Grouped(earlier, k)), self.class_of[unit]
         order = _order(cls, self.c)
         r, cls, unit = r[order], cls[order], unit[order]
-        found = _log_softmax(r @ p[k : k + self.c].T, cls)
+        found = np.concatenate([np.zeros(0, np.float32)] + [_log_softmax(r[i : i + (1 << 12)] @ p[k : k + self.c].T, cls[i : i + (1 << 12)]) for i in range(0, len(cls), 1 << 12)])
         cuts = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1], True]).tolist()
         for a, z in zip(cuts, cuts[1:]):
             lo, hi = first[cls[a]], first[cls[a] + 1]
