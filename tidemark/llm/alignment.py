@@ -17,7 +17,6 @@ text are read, so further columns of any name don't matter. A vocabulary whose p
 
 from __future__ import annotations
 
-import ctypes
 import re
 from functools import lru_cache
 from hashlib import sha256
@@ -30,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_ranges, materialize, slices, texts
+from .common import joined_ranges, materialize, release, slices, texts
 from .tokens import WordEncoder
 
 MARK = "▁"
@@ -218,13 +217,6 @@ def _summed(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(values)])[np.cumsum(counts)], prepend=0)
 
 
-def release() -> None:
-    """Gives what the tokenizers' many small allocations leave behind back to the machine; a worker would hold another 100 MB of it. Only some C libraries offer that."""
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def _lists(values: np.ndarray, counts: np.ndarray, kind=None) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, kind or pa.int32()))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, raw, slices, texts
+from .common import SPACE, raw, release, slices, texts
 
 LAST = (1 << 63) - 1
 
@@ -142,6 +142,7 @@ ARROW = pa.schema([("text", pa.string()), ("text_sha256", pa.string()), ("low",
 
 def _trie_groups(batches, trie_bytes: int):
     """Inserts (text, low, copies) rows; gives each distinct text once."""
+    release()  # what earlier tasks of this worker left
     trie = PatriciaTrie(trie_bytes)
     for part in slices(batches):
         for text, low, copies in zip(raw(part.column("text")), part.column("low").to_pylist(), part.column("copies").to_pylist()):
@@ -159,6 +160,8 @@ def _trie_groups(batches, trie_bytes: int):
             rows, held = [], 0
     if rows:
         yield batch()
+    del trie, rows
+    release()
 
 
 def exact_groups(docs: DataFrame, trie_bytes: int = 96 << 20) -> DataFrame:

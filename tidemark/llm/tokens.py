@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import joined_ranges
+from .common import joined_ranges, release
 
 #: Words that a worker holds with their ids, some 30 MB, and how many of the first met, the common ones, it keeps beyond that.
 HELD_WORDS, KEPT_WORDS = 700_000, 300_000
@@ -101,6 +101,7 @@ class WordEncoder:
         per_word = sizes[code]
         body = ids[joined_ranges((np.cumsum(sizes) - sizes)[code], per_word)]
         counts = np.bincount(row, per_word, len(per_text)).astype(np.int64)
+        release()
         return np.insert(body, np.cumsum(counts), end).astype(np.int32), counts + 1
 
 
