@@ -401,6 +401,24 @@ def test_tune_then_refit(spark):
     assert out.columns == ["row_id", "p"] and out.first()["p"] == 1 - 1e-5
 
 
+@pytest.mark.parametrize("kind", ["boosted", "forest", "logistic", "ridge", "extra_trees"])
+def test_a_feature_may_have_the_forecasts_name(spark, kind):
+    """The same forecasts as with the feature under another name, in its column's place."""
+    config = {"type": kind, "params": {"boosted": {"maxIter": 3, "seed": 1}, "forest": {"numTrees": 3, "seed": 1}, "extra_trees": {"trees": 3, "seed": 1}}.get(kind, {})}
+    run = lambda f: validate.tune_refit_evaluate(seasons(spark).withColumnRenamed("x", f), config, [f, "c"], ["c"], "period", 2021, "y")
+    (_, got, found), (_, want, expected) = run("p"), run("q")
+    assert sorted(got.columns) == ["c", "p", "period", "row_id", "y"] and found["brier"] == pytest.approx(expected["brier"], abs=1e-9)
+    assert rows(got.select("row_id", F.round("p", 9)), "row_id") == rows(want.select("row_id", F.round("p", 9)), "row_id")
+
+
+def test_boosted_query_forecasts_every_row_of_the_last_period(spark, sf_dir):
+    from __spark_entry__ import queries
+    from tidemark.sources.views import log
+
+    got = queries()["M02_boosted"](spark, sf_dir)
+    assert got.count() == log(spark, sf_dir).filter("period = 2000").count() and got.filter("forecast between 0 and 1").count() == got.count()
+
+
 @pytest.mark.parametrize("kind", ["leaf_wise", "second_order", "ordered"])
 def test_boosted_learners_tune_and_fold(spark, kind):
     rows = seasons(spark).withColumn("x", F.when(C("x") < 0.9, C("x")))
