@@ -495,6 +495,22 @@ def test_presets_and_unknown_names(spark):
             bad()
 
 
+def test_experiments_are_selected_as_by_sql(spark, sf_dir, tmp_path):
+    """With containers: what the SQL gives. On the driver's parts, which have none: by brand alone."""
+    duckdb = pytest.importorskip("duckdb")
+    from __spark_entry__ import oracle_sql, queries
+
+    path, of = f"{tmp_path}/part.parquet", lambda d: sorted(rows(queries()["F09_select"](spark, str(d)).select("preset", "turn", "name")), key=str)
+    given = [(1, "a", "Brand#11", "x", 1), (2, None, "Brand#12", "Brand#11", 2), (3, "c", None, "Brand#11", 3), (4, "d", "Brand#11", None, None), (5, "e", "Brand#11", "x", 5), (6, "f", None, None, 6), (7, "g", "Brand#2", "y", -7)]
+    spark.createDataFrame(given, "p_partkey long, p_name string, p_brand string, p_container string, p_size int").write.parquet(path)
+    want = duckdb.sql(oracle_sql()["F09_select"].replace("FROM part)", f"FROM '{path}/*.parquet')")).fetchall()
+    assert of(tmp_path) == sorted(want, key=str) and ("Brand#11", 2, None) in want
+
+    parts = [r for r in spark.read.parquet(f"{sf_dir}/part.parquet").collect() if r.p_size % 5]
+    kept = [(p, r.p_partkey, f"{r.p_name}/{r.p_partkey}") for r in parts for p in ("all", "Brand#11") if p in ("all", r.p_brand)]
+    assert of(sf_dir) == sorted(kept, key=str) and {p for p, *_ in kept} == {"all", "Brand#11"}
+
+
 def test_matrix_skips_what_is_done_and_records_failures(spark, tmp_path):
     rows, folder = seasons(spark), str(tmp_path)
     views = {"v1": lab.View(rows, ["x", "c"], ["c"])}
