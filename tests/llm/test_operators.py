@@ -8,6 +8,7 @@ import zlib
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -338,6 +339,56 @@ def words_model(counts: dict, n_units: int, buckets: int):
     return lm.LogBilinear(units), lm.Codes(known, buckets), within, sizes
 
 
+def test_lm_tokens_counts_and_buckets_are_those_of_single_words():
+    """Read as arrays; before, word by word in Python, which the CPU budget didn't allow."""
+    texts = ["", " ", "a", "  A\tb\x0bC\x0c\r\n", "É Éa ÀB", "x\x1cy z\u0085w\xa0q", "İI the", "THE end "]
+    split = [t.translate({i: i + 32 for i in range(65, 91)}).encode().split() + [lm.END] for t in texts]
+    for column in (pa.array(texts), pa.array(["skipped one", *texts]).slice(1), pa.array(texts, pa.large_string())):
+        tokens, sizes = lm.words(column)
+        assert tokens.to_pylist() == [w for ws in split for w in ws] and sizes.tolist() == [len(ws) for ws in split]
+    counts = {}
+    for batch in lm._count([pa.record_batch([pa.array(texts)], names=["text"])] * 3):
+        for w, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
+            counts[w] = counts.get(w, 0) + c
+    assert counts == {w: 3 * c for w, c in brute.Counter(w for ws in split for w in ws).items()}
+    found = pa.array([b"", b"a", b"zz", b"abc", b"\x00\xff\x80", *(f"w{i}".encode() for i in range(200))], pa.binary())
+    for part in (found, found.slice(3, 90), found.slice(0, 0)):
+        assert lm.buckets_of(part, 37).tolist() == [lm.bucket(w, 37) for w in part.to_pylist()]
+    code = lm.Codes([b"the", b"a"], 37)
+    at, other, rare = code.of(lm.words(pa.array(texts))[0])
+    flat = [w for ws in split for w in ws]
+    assert at.tolist() == [code[w] for w in flat] and rare.to_pylist() == [flat[i] for i in other] and lm.END in rare.to_pylist()
+
+
+def test_lm_step_equals_its_plain_form():
+    """One step of a batch, token by token."""
+    counts = {f"w{i}".encode(): 1 + 900 // (i + 1) ** 2 for i in range(60)}
+    model, *_ = words_model(counts, 50, 3)
+    assert (np.diff(model.units.first) == 1).any()
+    k, first, size = model.k, model.units.first, lm.SIZE
+    before, earlier, unit = np.random.default_rng(5).integers(0, k, (3, 70))
+    rng, p = np.random.default_rng(9), model.p.astype(float)
+    classes = np.searchsorted(np.cumsum(model.class_share), rng.random(lm.NOISE) * (1 - 1e-9)).clip(0, model.c - 1)
+    drawn = np.searchsorted(model.running, model.running_before[:, None] + rng.random((model.c, lm.NOISE)) * model.class_share[:, None]).clip(first[:-1, None], first[1:, None] - 1)
+    grad, one, two = np.zeros_like(p), p[k + model.c : k + model.c + size, :size], p[k + model.c + size :, :size]
+    for b, e, u in zip(before, earlier, unit):
+        r, c, back = np.append(one @ p[b, :size] + two @ p[e, :size], 1.0), model.class_of[u], np.zeros(size + 1)
+        pairs = [(k + x, model.log_class[x], 0) for x in classes] + [(k + c, model.log_class[c], 1)]
+        if first[c + 1] - first[c] > 1:
+            pairs += [(x, model.log_unit[x], 0) for x in drawn[c]] + [(u, model.log_unit[u], 1)]
+        for row, noise, label in pairs:
+            error = 1 / (1 + np.exp(noise - r @ p[row])) - label
+            grad[row] += error * r
+            back += error * p[row]
+        for start, at, context in ((k + model.c, b, one), (k + model.c + size, e, two)):
+            grad[start : start + size, :size] += np.outer(back[:size], p[at, :size]) / 16
+            grad[at, :size] += back[:size] @ context
+    met = np.zeros(len(p))
+    model.step(np.ones_like(model.p), met, np.random.default_rng(9), before, earlier, unit, 0.2)
+    assert np.abs(model.p - (p - 0.2 * grad / np.sqrt(1 + grad**2))).max() < 1e-4
+    assert met[:k].sum() == 3 * 70
+
+
 def test_lm_is_normalised_over_the_vocabulary():
     r = random.Random(2)
     counts = {f"w{i}{r.choice('abcdef')}".encode(): 1 + 3000 // (i + 1) for i in range(400)} | {lm.END: 50}

@@ -19,22 +19,21 @@ and the model is uniform over its units. An empty table gives an empty one; only
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 from math import isqrt
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, raw, shuffle_partitions, slices, texts
-from .simhash import LOWER
+from .common import joined_ranges, materialize, offsets, shuffle_partitions, slices, texts
 
 END = b""
-#: Distinct words that a task holds before it passes on its counts.
-HELD_WORDS = 250_000
+#: Counted words that a task holds, each once a slice of texts, before it passes on their sums.
+HELD_WORDS = 500_000
 #: Length of a word's vector, noise draws a batch, passes.
 SIZE, NOISE, ROUNDS = 24, 24, 2
 #: Tokens that a task holds at a time while it trains, and a batch: as many as LEAST_STEPS batches leave, between these bounds. Shorter runs go over theirs again, PASSES times at most.
@@ -43,24 +42,31 @@ HELD_TOKENS, BATCH, LEAST_BATCH, LEAST_STEPS, PASSES = 4_000_000, 1 << 12, 1 <<
 SCORED_TOKENS, ROWS = 1 << 15, 256
 
 
-def words(text: bytes) -> list[bytes]:
-    found = text.translate(LOWER).split()
-    found.append(END)
-    return found
+def words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All tokens of texts as bytes, each text's words and then its end token, and how many each has. Arrow splits at the same six bytes and lower-cases A-Z alone."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(column))
+    values, cuts = parts.values, parts.offsets.to_numpy()
+    full = pc.binary_length(values).to_numpy() > 0  # white space at an end of a text leaves an empty part there
+    sizes = np.diff(np.append(0, np.cumsum(full))[cuts]) + 1
+    at = np.full(sizes.sum(), len(values), np.int64)
+    at[joined_ranges(np.cumsum(sizes) - sizes, sizes - 1)] = np.flatnonzero(full)
+    return pa.concat_arrays([values, pa.array([""], values.type)]).take(pa.array(at)).cast(pa.binary()), sizes
 
 
 def _count(batches):
-    held: Counter = Counter()
+    held, n = [], 0
 
     def out():
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
+        words, counts = (pa.concat_arrays([x.field(f) for x in held]) for f in ("values", "counts"))
+        found = pa.table([words, counts], names=["word", "c"]).group_by("word", use_threads=False).aggregate([("c", "sum")])
+        return found.select(["word", "c_sum"]).rename_columns(["word", "c"]).combine_chunks().to_batches()
 
     for part in slices(batches):
-        for text in raw(part.column("text")):
-            held.update(words(text))
-        if len(held) > HELD_WORDS:
+        held.append(words(part.column("text"))[0].value_counts())
+        n += len(held[-1])
+        if n > HELD_WORDS:
             yield from out()
-            held.clear()
+            held, n = [], 0
     if held:
         yield from out()
 
@@ -69,12 +75,37 @@ def bucket(word: bytes, buckets: int) -> int:
     return crc32(word[-3:]) % buckets
 
 
+#: By length, what each byte at each place changes in the crc32 of as many zero bytes.
+CRC = [[np.array([crc32(bytes(i) + bytes([b]) + bytes(n - 1 - i)) ^ crc32(bytes(n)) for b in range(256)], np.uint32) for i in range(n)] for n in range(4)]
+
+
+def buckets_of(words: pa.Array, buckets: int) -> np.ndarray:
+    """bucket() of each word: crc32 of bytes is the exclusive or of what each of them changes."""
+    at, data = offsets(words), np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    ends, sizes, out = at[1:], np.minimum(np.diff(at), 3), np.zeros(len(words), np.uint32)
+    for n in range(1, 4):
+        own = np.flatnonzero(sizes == n)
+        crc = np.full(len(own), crc32(bytes(n)), np.uint32)
+        for i in range(n):
+            crc ^= CRC[n][i][data[ends[own] - n + i]]
+        out[own] = crc
+    return out.astype(np.int64) % buckets
+
+
 class Codes(dict):
     """Word to its place among the known ones; any other to len(known) + its bucket."""
 
     def __init__(self, known: list[bytes], buckets: int):
         super().__init__(zip(known, range(len(known))))
-        self.n, self.buckets = len(known), buckets
+        self.n, self.buckets, self.known = len(known), buckets, pa.array(known, pa.binary())
+
+    def of(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """The codes of tokens, which of them aren't known, and these."""
+        at = pc.index_in(tokens, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        other = np.flatnonzero(at < 0)
+        rare = tokens.take(pa.array(other))
+        at[other] = self.n + buckets_of(rare, self.buckets)
+        return at, other, rare
 
     def __missing__(self, word):
         return self.n + crc32(word[-3:]) % self.buckets
@@ -119,6 +150,11 @@ def _heads(ascending: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _sums(rows: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Of runs of rows with an even number of floats; numpy adds two of them at a time as one complex number."""
+    return np.add.reduceat(rows.view(np.complex64), heads, axis=0).view(np.float32)
+
+
 class Grouped:
     """Rows by a number that they share: what belongs to a number is computed once for all of its rows."""
 
@@ -127,12 +163,17 @@ class Grouped:
         ascending = at[self.order]
         self.heads = _heads(ascending)
         self.values = ascending[self.heads]
-        self.place = np.empty(len(at), np.int64)
-        self.place[self.order] = np.repeat(np.arange(len(self.heads)), np.diff(self.heads, append=len(at)))
+
+    @property
+    def place(self) -> np.ndarray:
+        """Of each row's number among the values."""
+        out = np.empty(len(self.order), np.int64)
+        out[self.order] = np.repeat(np.arange(len(self.heads)), np.diff(self.heads, append=len(out)))
+        return out
 
     def sums(self, rows: np.ndarray) -> np.ndarray:
         """Of the rows of each value."""
-        return np.add.reduceat(rows[self.order], self.heads, axis=0)
+        return _sums(rows.take(self.order, axis=0), self.heads)
 
 
 class LogBilinear:
@@ -158,9 +199,9 @@ class LogBilinear:
 
     def _context(self, before: Grouped, earlier: Grouped) -> np.ndarray:
         at = self.k + self.c
-        r = np.ones((len(before.place), SIZE + 1), np.float32)
-        x, y = (self.p[g.values, :SIZE] @ self.p[start : start + SIZE, :SIZE].T for g, start in ((before, at), (earlier, at + SIZE)))
-        np.add(x[before.place], y[earlier.place], out=r[:, :SIZE])
+        x, y = (self.p.take(g.values, axis=0)[:, :SIZE] @ self.p[start : start + SIZE, :SIZE].T for g, start in ((before, at), (earlier, at + SIZE)))
+        r = np.ones((len(before.order), SIZE + 1), np.float32)
+        np.add(x.take(before.place, axis=0), y.take(earlier.place, axis=0), out=r[:, :SIZE])
         return r
 
     def step(self, state: np.ndarray, met: np.ndarray, rng, before, earlier, unit, rate: float) -> None:
@@ -176,57 +217,62 @@ class LogBilinear:
 
         def add(at: np.ndarray, rows: np.ndarray) -> None:
             """Rows of different places."""
-            grad[at] += rows
+            grad[at] = grad.take(at, axis=0) + rows
             touched[at] = True
 
-        cuts = _heads(cls)
-        drawn = np.searchsorted(np.cumsum(self.class_share), rng.random(NOISE) * (1 - 1e-9)).clip(0, self.c - 1)
-        target, noise = p[k + cls], p[k + drawn]
-        true = _sigmoid(np.einsum("ij,ij->i", r, target) - self.log_class[cls]) - 1
-        false = _sigmoid(r @ noise.T - self.log_class[drawn])
-        back = false @ noise
-        back += np.multiply(target, true[:, None], out=target)
-        add(k + cls[cuts], np.add.reduceat(true[:, None] * r, cuts, axis=0))
-        np.add.at(grad, k + drawn, false.T @ r)
-        touched[k + drawn] = True
-
-        # Units drawn for each class by its units' shares, as places on the running sum of all shares.
-        low = first[:-1, None]
-        drawn = np.searchsorted(self.running, self.running_before[:, None] + rng.random((self.c, NOISE)) * self.class_share[:, None]).clip(low, first[1:, None] - 1)
-        noise, many = p[drawn], np.diff(first) > 1
-        found = [x for x in zip(cuts.tolist(), [*cuts[1:].tolist(), len(cls)], cls[cuts].tolist()) if many[x[2]]]
-        scores = np.full((len(r), NOISE), -40, np.float32)
-        for x, z, c in found:
-            np.matmul(r[x:z], noise[c].T, out=scores[x:z])
-        scores -= self.log_unit[drawn][cls]
-        false = _sigmoid(scores)
-        target = p[unit]
-        true = (_sigmoid(np.einsum("ij,ij->i", r, target) - self.log_unit[unit]) - 1) * many[cls]
+        # What the tokens of each class of the batch are scored against: the classes drawn, the units drawn for it by its units' shares (as
+        # places on the running sum of all shares; none where it has one unit), and the class itself.
+        cuts, many = _heads(cls), np.diff(first) > 1
+        present = cls[cuts]
+        classes = np.searchsorted(np.cumsum(self.class_share), rng.random(NOISE) * (1 - 1e-9)).clip(0, self.c - 1)
+        drawn = np.searchsorted(self.running, self.running_before[:, None] + rng.random((self.c, NOISE)) * self.class_share[:, None]).clip(first[:-1, None], first[1:, None] - 1)[present]
+        against = np.empty((len(cuts), 2 * NOISE + 1, SIZE + 1), np.float32)
+        against[:, :NOISE], against[:, NOISE:-1], against[:, -1] = p[k + classes], p.take(drawn, axis=0), p[k + present]
+        weights = -against  # their products with r, whose last number is one, are the logarithms of the noise less the scores
+        weights[:, :NOISE, SIZE] += self.log_class[classes]
+        weights[:, NOISE:-1, SIZE] += np.where(many[present, None], self.log_unit[drawn], 60)
+        weights[:, -1, SIZE] += self.log_class[present]
+        errors, back, pushed = np.empty((len(r), 2 * NOISE + 1), np.float32), np.empty_like(r), np.empty_like(against)
+        found = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(cls)], weights, against, pushed))
+        for x, z, w, _, _ in found:
+            np.matmul(r[x:z], w.T, out=errors[x:z])
+        _shares(errors)
+        errors[:, -1] -= 1
+        for x, z, _, w, out in found:
+            np.matmul(errors[x:z], w, out=back[x:z])
+            np.matmul(errors[x:z].T, r[x:z], out=out)
+        add(k + present, pushed[:, -1])
+        for c, row in zip(classes.tolist(), pushed[:, :NOISE].sum(0)):  # a class may be drawn twice
+            grad[k + c] += row
+        touched[k + classes] = True
+        drawn_by, rows = Grouped(drawn.ravel(), k), pushed[:, NOISE:-1].reshape(-1, SIZE + 1)
+        add(drawn_by.values, np.column_stack([drawn_by.sums(np.ascontiguousarray(rows[:, :SIZE])), np.add.reduceat(rows[drawn_by.order, SIZE], drawn_by.heads)]))
+
+        target = p.take(unit, axis=0)
+        true = (_shares(self.log_unit[unit] - np.einsum("ij,ij->i", r, target)) - 1) * many[cls]
         back += np.multiply(target, true[:, None], out=target)
         heads = _heads(unit)
-        add(unit[heads], np.add.reduceat(true[:, None] * r, heads, axis=0))
-        pushed = np.zeros((self.c, NOISE, SIZE + 1), np.float32)
-        for x, z, c in found:
-            back[x:z] += false[x:z] @ noise[c]
-            np.matmul(false[x:z].T, r[x:z], out=pushed[c])
-        drawn_by = Grouped(drawn.ravel(), k)
-        add(drawn_by.values, drawn_by.sums(pushed.reshape(-1, SIZE + 1)))
+        add(unit[heads], np.column_stack([_sums(true[:, None] * r[:, :SIZE], heads), np.add.reduceat(true, heads)]))
 
         back = np.ascontiguousarray(back[:, :SIZE])
         at = k + self.c
         for start, g in zip((at, at + SIZE), contexts):
             sums = g.sums(back)
-            grad[start : start + SIZE, :SIZE] += sums.T @ p[g.values, :SIZE] / 16
-            grad[g.values, :SIZE] += sums @ p[start : start + SIZE, :SIZE]
-            touched[g.values] = True
+            rows = np.zeros((len(sums), SIZE + 1), np.float32)
+            np.matmul(sums, p[start : start + SIZE, :SIZE], out=rows[:, :SIZE])
+            grad[start : start + SIZE, :SIZE] += sums.T @ p.take(g.values, axis=0)[:, :SIZE] / 16
+            add(g.values, rows)
         touched[at:] = True
         met[:k] += np.bincount(before, minlength=k) + np.bincount(earlier, minlength=k) + np.bincount(unit, minlength=k)
         met[k:] += len(unit)
         at = np.flatnonzero(touched)  # few of many units
-        g = grad[at]
+        g, sums = grad.take(at, axis=0), state.take(at, axis=0)
         grad[at] = 0
-        state[at] += g * g
-        p[at] -= rate * g / np.sqrt(state[at])
+        sums += g * g
+        state[at] = sums
+        g *= rate
+        g /= np.sqrt(sums, out=sums)
+        p[at] = p.take(at, axis=0) - g
 
     def train(self, before, earlier, unit, seed, rate: float = 0.2) -> np.ndarray:
         """Steps over all tokens, in order of the texts; short runs take smaller batches and go over theirs again. Returns how often each row was met."""
@@ -241,9 +287,9 @@ class LogBilinear:
     def log_probabilities(self, before, earlier, unit) -> np.ndarray:
         """Natural logarithms of each unit's probability after its context."""
         p, k, first = self.p, self.k, self.units.first
-        r, cls = self._context(Grouped(before, k), Grouped(earlier, k)), self.class_of[unit]
-        order = _order(cls, self.c)
-        r, cls, unit = r[order], cls[order], unit[order]
+        order = _order(unit, k)  # hence of their classes
+        unit = unit[order]
+        r, cls = self._context(Grouped(before[order], k), Grouped(earlier[order], k)), self.class_of[unit]
         found = np.concatenate([np.zeros(0, np.float32)] + [_log_softmax(r[i : i + (1 << 12)] @ p[k : k + self.c].T, cls[i : i + (1 << 12)]) for i in range(0, len(cls), 1 << 12)])
         cuts = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1], True]).tolist()
         for a, z in zip(cuts, cuts[1:]):
@@ -256,8 +302,12 @@ class LogBilinear:
         return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30, dtype=np.float32)))
+def _shares(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)), in place of x; beyond the largest exponential it is 0."""
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    return np.divide(np.float32(1), x, out=x)
 
 
 def _log_softmax(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -270,19 +320,17 @@ def _log_softmax(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
     return chosen - np.log(np.exp(scores, out=scores) @ np.ones(scores.shape[1], np.float32))
 
 
-def _coded(found: list[bytes], code: Codes, units: Units):
-    """Of texts: all tokens, their codes and units, the units one and two before each (the end token before a text), and the texts' lengths."""
-    tokens = [words(t) for t in found]
-    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    flat = [w for ws in tokens for w in ws]
-    at = np.fromiter(map(code.__getitem__, flat), np.int64, len(flat))
+def _coded(column: pa.Array, code: Codes, units: Units):
+    """Of texts: their tokens' codes, the places of unknown ones and these, all units, the units one and two before each (the end token before a text), and the texts' lengths."""
+    tokens, sizes = words(column)
+    at, other, rare = code.of(tokens)
     unit, end = units.unit_of[at], units.unit_of[code[END]]
     before, earlier = np.roll(unit, 1), np.roll(unit, 2)
     starts = np.cumsum(sizes) - sizes
     before[starts], earlier[starts] = end, end
     second = starts[sizes > 1] + 1
     earlier[second] = end
-    return flat, at, unit, before, earlier, sizes
+    return at, other, rare, unit, before, earlier, sizes
 
 
 def _trainer(model: LogBilinear, known: list[bytes], buckets: int, seed: int):
@@ -300,7 +348,7 @@ def _trainer(model: LogBilinear, known: list[bytes], buckets: int, seed: int):
             met += own.train(*(np.concatenate(x) for x in zip(*held)), seed=[seed, TaskContext.get().partitionId(), turn])
 
         for part in slices(batches):
-            _, _, unit, before, earlier, _ = _coded(raw(part.column("text")), code, model.units)
+            *_, unit, before, earlier, _ = _coded(part.column("text"), code, model.units)
             held.append((before, earlier, unit))
             size += len(unit)
             if size > HELD_TOKENS:
@@ -356,19 +404,18 @@ def _score(model: LogBilinear, known: list[bytes], counts: list[int], buckets: i
         within = np.where(np.arange(len(log_c)) < is_unit, 0.0, log_c - np.log10(bucket_sizes)[of_bucket])
         row = TaskContext.get().partitionId() << 34
         for part in slices(batches):
-            flat, at, unit, before, earlier, sizes = _coded(raw(part.column("text")), code, model.units)
+            at, other, rare, unit, before, earlier, sizes = _coded(part.column("text"), code, model.units)
             lm = np.concatenate([np.zeros(0)] + [model.log_probabilities(before[i : i + SCORED_TOKENS], earlier[i : i + SCORED_TOKENS], unit[i : i + SCORED_TOKENS]) for i in range(0, len(unit), SCORED_TOKENS)]) / np.log(10)
             starts = np.cumsum(sizes) - sizes
             sums = [np.add.reduceat(x, starts) for x in ((at < len(known)).astype(np.int64), log_c[at], lm + within[at])]
-            rare, times = [], []
-            other = np.flatnonzero(at >= len(known))
-            cuts = np.searchsorted(other, np.append(starts, len(at)))
-            for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                c = Counter(flat[i] for i in other[a:z].tolist())
-                rare.append(list(c))
-                times.append(list(c.values()))
+            # The distinct unknown words of each text, by (text, word).
+            rare = rare.dictionary_encode()
+            many = max(len(rare.dictionary), 1)
+            pairs, times = np.unique((np.searchsorted(starts, other, "right") - 1) * many + rare.indices.to_numpy(), return_counts=True)
+            cuts = pa.array(np.searchsorted(pairs, np.arange(len(sizes) + 1) * many), pa.int32())
+            lists = [pa.ListArray.from_arrays(cuts, x) for x in (rare.dictionary.take(pa.array(pairs % many)), pa.array(times, pa.int64()))]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(row + np.arange(len(sizes))), pa.array(sizes), *(pa.array(x) for x in sums), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
+                [part.column("doc_id"), pa.array(row + np.arange(len(sizes))), pa.array(sizes), *(pa.array(x) for x in sums), *lists],
                 names=["doc_id", "row", "n_tokens", "known", "log_c", "lm", "rare", "times"],
             )
             row += len(sizes)
@@ -383,11 +430,10 @@ def _bucket_sizes(own: list[bytes], buckets: int):
     """Counts, and numbers of distinct words, of the words that are no units, per bucket."""
 
     def run(batches):
-        skip, total = set(own), np.zeros(buckets, np.int64)
+        skip, total = pa.array(own, pa.binary()), np.zeros(buckets, np.int64)
         for batch in batches:
-            for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
-                if word not in skip:
-                    total[crc32(word[-3:]) % buckets] += c + 1
+            other = batch.filter(pc.invert(pc.is_in(batch.column("word"), value_set=skip)))
+            np.add.at(total, buckets_of(other.column("word"), buckets), other.column("c").to_numpy() + 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["bucket", "n"])
 
     return run
