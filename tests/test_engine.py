@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
-from tidemark.operators import blocks, coldstart, evaluate, export, history, lab, models, ranges, report, resolve, tables, trees, validate
+from tidemark.operators import blocks, coldstart, evaluate, export, history, lab, models, ranges, report, resolve, stability, tables, trees, validate
 from tidemark.sources import files
 
 C = F.col
@@ -106,6 +106,22 @@ def test_sensor_history_uses_earlier_periods_only(spark):
     assert rows(history.sensor_history(summary, "id", "period", "speed")) == [("900", 2020, 140.0, 0.0, 140.0, None)]
 
 
+def test_exact_moments_do_not_depend_on_the_order(spark):
+    """A mean halfway between two rounded values, and a deviation of 0, from as many tasks and orders as one likes."""
+    values = [0.1] * 27 + [70.73, 29.27, 0.31, 8.81, 61.01]  # mean 5.4009375
+    readings = [("a", 1, v) for v in values] + [("b", 1, 500.3)] * 7 + [("c", 1, None)]
+    found = set()
+    for seed, parts in ((1, 1), (2, 3), (3, 7), (4, 16)):
+        rows = spark.createDataFrame(readings, "k string, period int, v double").orderBy(F.rand(seed)).repartition(parts).withColumn("kind", F.lit("x"))
+        mean, std = history.exact_moments(F.col("v_n"), F.col("v_sum"), F.col("v_squares"))
+        at = history.sensor_summary(rows, "k", "period", ["v"], "kind", ["x"], exactly=True).select("k", F.round(mean, 6).alias("m"), std.alias("s")).orderBy("k")
+        found.add(tuple(tuple(r) for r in at.collect()))
+    ((a, b, c),) = found
+    assert a[1] == 5.400938 and b[1:] == (500.3, 0.0) and c[1:] == (None, None)
+    wild = spark.createDataFrame([("a", 1, 1e-30), ("a", 1, 1e30)], "k string, period int, v double").withColumn("kind", F.lit("x"))
+    assert history.sensor_summary(wild, "k", "period", ["v"], "kind", ["x"], exactly=True).first().v_sum == 1e30
+
+
 def test_asof_is_strict_and_takes_the_last_of_ties(spark):
     left = spark.createDataFrame([("a", 1), ("a", 3), ("b", 3), (None, 3)], "k string, t int")
     right = spark.createDataFrame([("a", 1, 10, 1), ("a", 1, 11, 2), ("a", 3, 12, 3), (None, 1, 9, 4)], "k string, t int, v int, o int")

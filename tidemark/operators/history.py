@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import exact
 from ..functions.scalars import smoothed
 from .ranges import last_before, null_safe_join, numbered
 
@@ -90,11 +91,18 @@ def moments(n: Column, total: Column, squares: Column) -> tuple[Column, Column]:
     return mean, F.sqrt(F.greatest(F.try_divide(squares, n) - mean * mean, F.lit(0.0)))
 
 
-def sensor_summary(readings: DataFrame, key: str, period: str, metrics: list[str], group: str, groups: list[str]) -> DataFrame:
-    """Additive summary per key and period: rows, readings of each group (all others as one), and n, sum, squares of each metric."""
+def exact_moments(n: Column, total: Column, squares: Column) -> tuple[Column, Column]:
+    """Mean and population deviation from exact sums."""
+    return exact.quotient(total, n), F.sqrt(exact.variance(n, total, squares))
+
+
+def sensor_summary(readings: DataFrame, key: str, period: str, metrics: list[str], group: str, groups: list[str], exactly: bool = False) -> DataFrame:
+    """Additive summary per key and period: rows, readings of each group (all others as one), and n, sum, squares of each metric. `exactly`: the
+    sums are those of the decimals that the readings print as, whatever the order of the rows."""
+    add, squared = (exact.total, exact.total_squares) if exactly else (F.sum, lambda x: F.sum(x * x))
     cols = [F.count("*").alias("n_rows"), *[F.count_if(F.col(group) == g).alias(f"usage_{g}") for g in groups], F.count_if(~F.coalesce(F.col(group).isin(groups), F.lit(False))).alias("usage_other")]
     for m in metrics:
-        cols += [F.count(m).alias(f"{m}_n"), F.coalesce(F.sum(m), F.lit(0.0)).alias(f"{m}_sum"), F.coalesce(F.sum(F.col(m) * F.col(m)), F.lit(0.0)).alias(f"{m}_squares")]
+        cols += [F.count(m).alias(f"{m}_n"), F.coalesce(add(F.col(m)), F.lit(0.0)).alias(f"{m}_sum"), F.coalesce(squared(F.col(m)), F.lit(0.0)).alias(f"{m}_squares")]
     return readings.filter(F.col(key).isNotNull() & F.col(period).isNotNull()).groupBy(key, period).agg(*cols)
 
 
