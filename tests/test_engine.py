@@ -122,6 +122,22 @@ def test_exact_moments_do_not_depend_on_the_order(spark):
     assert history.sensor_summary(wild, "k", "period", ["v"], "kind", ["x"], exactly=True).first().v_sum == 1e30
 
 
+def test_equal_deviations_share_a_rank(spark):
+    """Entities with the same readings in other orders and tasks, and with readings that don't vary, are ties."""
+    some = [29.27, 122.79, 2.11, 0.3, 77.77, 15.01, 8.8]
+    rows = [(e, 1, "x", some[(i * (e % 6 + 1) + e) % 7]) for e in range(60) for i in range(7)] + [(e, 1, "x", 0.1 * e) for e in range(100, 110) for _ in range(9)]
+    at = stability.ranked_deviations(spark.createDataFrame(rows, "e int, p int, kind string, v double").repartition(13, F.rand(5)), "e", "p", "kind", "v", 3)
+    assert {(r.pct, r.s == 0) for r in at.select("pct", "s").distinct().collect()} == {(5.5 / 70, True), (40.5 / 70, False)}
+
+
+def test_exact_deviations_equal_spark_s(spark):
+    from tidemark.functions import exact
+
+    rows = spark.range(4000).select((F.col("id") % 40).alias("g"), F.round(F.rand(3) * 500, 2).alias("v")).unionByName(spark.sql("SELECT 100L AS g, 3.5D AS v UNION ALL SELECT 101L, 1e20D UNION ALL SELECT 101L, 2e20D UNION ALL SELECT 102L, CAST(NULL AS DOUBLE)"))
+    for r in rows.groupBy("g").agg(exact.stddev_samp(F.col("v")).alias("a"), F.stddev_samp("v").alias("b")).collect():
+        assert r.a == r.b or r.a == pytest.approx(r.b, rel=1e-11)
+
+
 def test_asof_is_strict_and_takes_the_last_of_ties(spark):
     left = spark.createDataFrame([("a", 1), ("a", 3), ("b", 3), (None, 3)], "k string, t int")
     right = spark.createDataFrame([("a", 1, 10, 1), ("a", 1, 11, 2), ("a", 3, 12, 3), (None, 1, 9, 4)], "k string, t int, v int, o int")

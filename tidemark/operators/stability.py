@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import exact
 from .history import asof_join
 from .tables import percent_ranks
 
@@ -18,7 +19,7 @@ def shrunk_score(rank: Column, n: Column, strength: float = 100.0) -> Column:
 
 def ranked_deviations(readings: DataFrame, entity: str, period: str, kind: str, metric: str, least: int = 50) -> DataFrame:
     """Per entity, period and kind: n, the sample deviation (NULL below `least` readings) and its percent rank among the entities of that period and kind."""
-    per = readings.groupBy(entity, period, kind).agg(F.count("*").alias("n"), F.stddev_samp(metric).alias("s")).withColumn("s", F.when(C("n") >= least, C("s")))
+    per = readings.groupBy(entity, period, kind).agg(F.count("*").alias("n"), exact.stddev_samp(C(metric)).alias("s")).withColumn("s", F.when(C("n") >= least, C("s")))
     return percent_ranks(per, "s", [period, kind], "pct")
 
 
